@@ -20,7 +20,7 @@ MOST_REPEATS = 3
 #: Tokens of a block; small sources lower it so that each has at least MIN_BLOCKS.
 BLOCK_TOKENS, MIN_BLOCKS = 256, 256
 #: Rows of a shard, the unit whose documents one task lays out.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 
 
 def apportion(parties: DataFrame, group: list[str], weight: str, seats: str, most: str, out: str) -> DataFrame:

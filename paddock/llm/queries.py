@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import chat, mixing, sharding
+from paddock.llm import bpe, chat, langid, mixing, quality, sharding, simhash
 from paddock.llm.common import table
 
 
@@ -35,6 +35,42 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op7_chat": op7_chat, "op9_mixing": op9_mixing}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return done.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
+    "op5_langid": op5_langid,
+    "op6_bpe": op6_bpe,
+    "op7_chat": op7_chat,
+    "op9_mixing": op9_mixing,
+}
 
 ORACLES: dict[str, str] = {}
