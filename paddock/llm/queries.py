@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, chat, langid, linededup, mixing, quality, sharding, simhash
+from paddock.llm import bpe, capfilters, chat, langid, linededup, mixing, quality, sharding, simhash
 from paddock.llm.common import table, word_count
 
 
@@ -75,6 +75,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"])
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +88,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
     "op9_mixing": op9_mixing,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {}
