@@ -47,5 +47,10 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def row_key(*cols: str) -> list[Column]:
+    """Two hashes that name a row by the given columns, nulls included: never null, so joins and groupings on them share a shuffle."""
+    return [F.xxhash64(*cols).alias("_key1"), F.xxhash64(F.lit("second"), *cols).alias("_key2")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

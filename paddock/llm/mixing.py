@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.common import materialize, word_count
+from paddock.llm.common import SPACE, materialize, row_key, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -175,19 +175,18 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     others are words joined by a space. Documents that the mix doesn't take, and null or empty texts, go.
     Rows that agree in doc_id, source and text count as many times in the mix and pool what they draw.
     """
-    key = ["doc_id", "source", "text_hash"]
     drawn = (
         mix(docs, seed)
-        .groupBy(*key)
+        .where("taken > 0")
+        .groupBy(*row_key("doc_id", "source", "text_hash"))
         .agg(F.sum("rounds").alias("rounds"), F.flatten(F.collect_list("arcs")).alias("arcs"), F.first("size").alias("size"))
     )
-    named = drawn.select(*[F.col(k).alias(f"_{k}") for k in key], "rounds", "arcs", "size")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_text_hash"))
-    joined = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(key).join(named, same)
+    keyed = docs.withColumn("text_hash", F.xxhash64("text")).select("*", *row_key("doc_id", "source", "text_hash"))
+    joined = keyed.join(drawn, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"])
     whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
     pieces = joined.withColumn("_range", F.explode(F.concat(F.array_repeat(whole, F.col("rounds").cast("int")), F.col("arcs"))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
     cut = F.when((F.col("_range.start") == 0) & (F.col("_range.end") == F.col("size")), F.col("text")).otherwise(
         F.array_join(F.slice(words, (F.col("_range.start") + 1).cast("int"), (F.col("_range.end") - F.col("_range.start")).cast("int")), " ")
     )
-    return pieces.where(F.col("size") > 0).withColumn("text", cut).select(*docs.columns)
+    return pieces.withColumn("text", cut).select(*docs.columns)

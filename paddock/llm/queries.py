@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, capfilters, chat, langid, linededup, mixing, quality, sharding, simhash
+from paddock.llm import bpe, capfilters, chat, contextmix, langid, linededup, mixing, quality, sharding, simhash
 from paddock.llm.common import table, word_count
 
 
@@ -75,6 +75,13 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"])
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out).withColumn("learn", ~F.col("held_out"))
+    found = contextmix.score(docs, "learn", ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +94,7 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
 }

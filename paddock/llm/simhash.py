@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.common import materialize
+from paddock.llm.common import materialize, row_key
 from paddock.llm.components import connected
 from paddock.session import ship
 
@@ -58,17 +58,17 @@ def fingerprint(text: str | None, n: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every document."""
+def fingerprints(docs: DataFrame, n: int = 4, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+    """``keep`` columns and fp (signed 64-bit) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), n) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), n) for t in batch.column("_text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64), pa.int64())], names=[*keep, "fp"])
 
     ship(docs.sparkSession)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fp", T.LongType())])
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def _linked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -161,6 +161,13 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def _components(own: DataFrame) -> DataFrame:
+    """fp and root, the same for all fingerprints of a component, of a table with ``fp``."""
+    nodes = materialize(own.select("fp").distinct())
+    found = connected(materialize(links(nodes)))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every document: components of links at BITS or fewer bits.
 
@@ -169,9 +176,21 @@ def near_duplicates(docs: DataFrame, n: int = 4) -> DataFrame:
     beside doc_id and text are not looked at; an empty table gives no rows.
     """
     own = materialize(fingerprints(docs, n))
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected(materialize(links(nodes.select("fp"))))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    roots = materialize(_components(own))
+    met = own.join(roots, own["fp"] == F.col("_fp"))
+    least = met.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = roots.join(least, "root").select("_fp", "component_id")
     return own.join(named, own["fp"] == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id (null last), then text hash.
+
+    Shingles have five words by default. Columns stay as they are; of rows equal in doc_id and text one stays.
+    """
+    keyed = docs.select("*", *row_key("doc_id", "text"))
+    own = materialize(fingerprints(keyed, n, ["doc_id", "_key1", "_key2"]))
+    met = own.join(_components(own), own["fp"] == F.col("_fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key1", "_key2"))
+    winners = met.groupBy("root").agg(first.alias("w")).select("w._key1", "w._key2")
+    return keyed.join(winners, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)
