@@ -23,11 +23,28 @@ ROLES: dict[str, tuple[str, ...]] = {
     "dop": ("gpsdop", "gpshdop", "hdop"),
     "fix_valid": ("gpsfixvalid",),
 }
+# The same for the roles of the normalised sample.
+SAMPLE_ROLES: dict[str, tuple[str, ...]] = {
+    "speed": ("groundspeed", "speedref", "corrspeed", "vehiclespeed", "gpsspeed", "speed", "velocitykmh"),
+    "throttle": ("throttlepos", "driverthrottlepos", "throttlepedal", "pedalpos", "throttle"),
+    "brake": ("brakepedalpos", "brakepedal", "driverbrakepressure", "brakepressure", "pbrakefront", "brake"),
+    "clutch": ("clutchpos", "clutchpedal", "clutchpedalpos", "clutch"),
+    "steering": ("steeringangle", "steerangle", "steeringpos", "handwheelangle", "swangle", "steering"),
+    "gear": ("gearpos", "selectedgear", "ngear", "gear"),
+    "rpm": ("enginerpm", "engspeed", "rpm", "nmot"),
+    "lap_distance": ("lapdistancecorrected", "lapdistance", "lapdist", "lapdistpct", "lapprogression", "lapprogress", "lapprogresspct", "linelapdistancel", "distance"),
+    "lap_number": ("lapnumber", "lapnum", "lapcount", "lapcounter", "currentlap", "lap"),
+    "lap_time": ("currentlaptime", "lapcurrentlaptime", "laptimerunning", "laptime"),
+    "latitude": ("gpslatitudeclean", "gpslatitude", "latitude", "gpslat", "lat"),
+    "longitude": ("gpslongitudeclean", "gpslongitude", "longitude", "gpslon", "lon", "long"),
+}
 # Counters of completed beacons, progress channels.
 COMPLETED_COUNTERS = ("beaconeventcount", "beaconcount", "lapbeaconcount")
 PROGRESS = ("lapprogression", "lapprogress", "lapprogresspct")
 # A float channel whose normalised name holds one of these steps.
-STEP_TOKENS = ("gear", "lapnumber", "lapcount", "lapnum", "beacon", "driver", "status", "state", "flag", "fixtype", "satellites", "index", "count")
+STEP_TOKENS = (
+    "gear", "lapnumber", "lapbeacon", "laptrigger", "beaconeventcount", "beaconcount", "switch", "status", "state", "flag", "alarm", "satellites", "solutiontype",
+)
 
 
 def normalize(name: Column) -> Column:
