@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +77,9 @@ def _fold(s: str) -> str:
 
 
 def _map(entries: dict[str, tuple]) -> Column:
+    """The entries as one literal map."""
     fields = ("canonical", "dimension", "factor", "offset")
-    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), F.struct(*[F.lit(y).alias(n) for n, y in zip(fields, v)]))])
+    return F.from_json(F.lit(json.dumps({k: dict(zip(fields, v)) for k, v in entries.items()})), f"map<string,{_UNIT}>")
 
 
 def lookup(unit: Column) -> Column:

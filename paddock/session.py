@@ -1,12 +1,13 @@
-"""Make the package importable in Python workers, wherever the driver runs from."""
+"""What operators need of a session: the package on the workers, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +24,24 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Only a session without that setting (tests, local runs) gets a temporary one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        held = spark.sparkContext.getCheckpointDir()
+        found = held or tempfile.mkdtemp(prefix="paddock-")
+        if not held:
+            spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
