@@ -59,7 +59,7 @@ def timer_resets(samples: DataFrame, by: list[str], order: list[str], progress:
     """
     w, every = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
     ok = F.when(finite(F.col("value")), F.col("value"))
-    v = samples.withColumn("_p", progress).select(*by, *[c for c in order if c not in by], "value", "_p", F.greatest(F.lit(0.0), F.max(ok).over(every)).alias("_most"))
+    v = samples.withColumn("_p", progress).select(*by, *dict.fromkeys(["t_ns", *(c for c in order if c not in by)]), "value", "_p", F.greatest(F.lit(0.0), F.max(ok).over(every)).alias("_most"))
     v = v.withColumn("_before", F.lag("value").over(w)).where(finite(F.col("_before")) & finite(F.col("value")))
     full = F.when(F.col("_most") > 2, 100.0).otherwise(1.0)
     wraps = F.col("_p") & (F.col("_before") >= full * 0.75) & (F.col("value") <= full * 0.25)

@@ -68,7 +68,10 @@ def clean_fixes(fixes: DataFrame, by: list[str]) -> DataFrame:
         out["clean_lat"], out["clean_lon"], out["accepted"] = np.where(kept, lat, np.nan), np.where(kept, lon, np.nan), kept
         return out
 
-    return fixes.select(*by, "t_ns", "local_idx", "lat", "lon", "flag").groupBy(*by).applyInPandas(run, schema)
+    nan = F.lit(float("nan"))
+    done = fixes.select(*by, "t_ns", "local_idx", "lat", "lon", "flag").groupBy(*by).applyInPandas(run, schema)
+    #: A NaN that pandas hands back is null.
+    return done.withColumns({c: F.when(F.col("accepted"), F.col(c)).otherwise(nan) for c in ("clean_lat", "clean_lon")})
 
 
 def odometer(samples: DataFrame, by: list[str], order: list[str], speed: Column) -> DataFrame:

@@ -98,5 +98,6 @@ def sample_at_grid(probes: DataFrame, chunks: DataFrame, samples: DataFrame, cha
         .join(channels.select(*key, "duration_ns", "steps"), key)
     )
     after = F.col("after_v").isNotNull()
-    got = F.when(F.col("t_ns") < F.col("duration_ns"), interpolated(F.col("t_ns"), F.lit(linear) & ~F.col("steps") & after))
+    at_least = F.greatest("t_ns", "before_t")
+    got = F.when(F.col("t_ns") < F.col("duration_ns"), interpolated(at_least, F.lit(linear) & ~F.col("steps") & after))
     return valued.select(*probes.columns, got.alias("value"))

@@ -685,8 +685,8 @@ def sidecar_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_PROBES_SQL}, fr as (select recording_id, row_number() over (partition by recording_id order by t_ns, event_id) - 1 as frame, t_ns + 5000000 as pts from vw), fd as (select recording_id, pts, max(frame) as frame from fr group by 1, 2),
-p as (select recording_id, probe, t_ns, t_ns + (recording_id % 3 - 1) * 104000000 as at from probes)
-select p.recording_id, p.probe, p.t_ns, case when at >= 0 then case when fd.frame is not null then fd.frame when p.recording_id in (select recording_id from fr) then 0 end end as frame from p asof left join fd on p.recording_id = fd.recording_id and p.at >= fd.pts""")
+p as (select recording_id, probe, t_ns, t_ns + (recording_id % 3 - 1) * 104000000 as pts_at from probes)
+select p.recording_id, p.probe, p.t_ns, case when pts_at >= 0 then case when fd.frame is not null then fd.frame when p.recording_id in (select recording_id from fr) then 0 end end as frame from p asof left join fd on p.recording_id = fd.recording_id and p.pts_at >= fd.pts""")
 def video_frame_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

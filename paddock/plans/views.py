@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paddock.session import prepare
+
 #: Channel numbers of the event types, and the units that they are taken to have.
 CHANNELS = {"click": (0, "km/h"), "error": (1, "bar"), "purchase": (2, "C"), "signup": (3, "rpm"), "view": (4, "m/s")}
 #: What a recording lasts beyond its last sample.
@@ -15,7 +17,7 @@ TAIL_NS = 1_000_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

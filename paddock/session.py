@@ -12,8 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that the plans rely on.
+
+    Unions don't claim their inputs' partitioning: with partitions coalesced at run time, inputs of
+    unequal counts would be zipped, which fails.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application."""
+    prepare(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -42,6 +53,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(prepare(df.sparkSession))}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

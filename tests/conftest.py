@@ -26,5 +26,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+
+    from paddock.session import prepare
+
+    prepare(session)
     yield session
     session.stop()
