@@ -22,7 +22,7 @@ _ASSISTANT = "assistant"
 
 def escape(text: Column) -> Column:
     r"""Double every backslash, then put ``\.`` after the first character of each control string."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\\\\\"), _CONTROL, r"$1\\.$2")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"$1\\.$2")
 
 
 def unescape(text: Column) -> Column:
