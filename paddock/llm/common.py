@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space between words, as a character class.
-SPACE = r"[\x20\x09-\x0D]+"
-
+from paddock.session import materialize, prepare, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+__all__ = ["SPACE", "materialize", "row_key", "shared_dir", "table", "unit_hash", "word_count"]
 
-    Only a session without that setting (tests, local runs) gets a temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or tempfile.mkdtemp(prefix="paddock-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space between words, as a character class.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
@@ -53,4 +33,4 @@ def row_key(*cols: str) -> list[Column]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from paddock.llm import bpe, capfilters, chat, contextmix, langid, linededup, mixing, quality, sharding, simhash
 from paddock.llm.common import table, word_count
+from paddock.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +101,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
 }
-
-ORACLES: dict[str, str] = {}
