@@ -25,7 +25,7 @@ from paddock.session import ship
 
 #: Characters of a piece, of the first window on either side of a join, rows sent back at once, and
 #: words whose tokens a worker remembers.
-LEAF, WINDOW, ROWS, REMEMBERED = 32_768, 64, 128, 150_000
+LEAF, WINDOW, ROWS, REMEMBERED = 32_768, 64, 128, 250_000
 #: Tokens in a row that must agree on either side.
 AGREE = 2
 
@@ -44,20 +44,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, tuple[bytes, str]] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text, as little-endian unsigned 32-bit integers."""
+    def coded(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Token ids of each text, as little-endian unsigned 32-bit integers, and the text that they decode to.
+
+        Without a decoder the library joins the tokens by spaces, so a text decodes to its words' joined ones.
+        """
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = list({w for ws in split for w in ws} - self.words.keys())
+        own = {w for ws in split for w in ws}
+        new = list(own - self.words.keys())
+        if len(self.words) + len(new) > REMEMBERED:  # frequent words are among the batch's own and stay
+            self.words = {w: self.words[w] for w in own & self.words.keys()}
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                self.words[w] = np.asarray(e.ids, "<u4").tobytes()
+            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)]
+            said = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            for w, ids, d in zip(some, found, said):
+                self.words[w] = np.asarray(ids, "<u4").tobytes(), d
         held = self.words
-        return [b"".join([held[w] for w in ws]) for ws in split]
+        parts = [[held[w] for w in ws] for ws in split]
+        return [b"".join([p[0] for p in ps]) for ps in parts], [" ".join([p[1] for p in ps if p[0]]) for ps in parts]
 
     def decode(self, ids: bytes) -> str:
         return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
@@ -159,9 +166,8 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], leaf: int = LE
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = e.ids(batch.column("_text").to_pylist())
-                said = pa.array([e.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), said], names=out)
+                ids, said = e.coded(batch.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(said, pa.string())], names=out)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
