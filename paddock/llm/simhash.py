@@ -4,7 +4,8 @@ A 64-bit fingerprint is eight positional bytes. Fingerprints that differ in at m
 at most four bytes, so they share at least four positional bytes; by counting, at least
 three of the first seven. The inverted index is therefore kept on triples of positional bytes of the
 first seven (35 lists of 24 bits each), lists bring pairs together, the positional bytes that each pair
-shares are tallied, pairs below the guaranteed four go, and the rest are verified bit by bit.
+shares are tallied, pairs below the guaranteed four go, and the rest are verified bit by bit. A limit of
+six bits works alike with pairs of positional bytes (28 lists of 16 bits).
 
 Equal fingerprints are one entry. A list with more than BLOCK entries is dealt out as pairs of blocks to
 many tasks; a task returns links that connect what is linked in it, at most one per entry, never all
@@ -27,8 +28,7 @@ from paddock.llm.common import materialize, row_key
 from paddock.llm.components import connected
 from paddock.session import ship
 
-BITS, SHARED = 4, 4
-TRIPLES = list(combinations(range(7), 3))
+BITS = 4
 #: Entries of a list that are compared at once, and shingles hashed at once.
 BLOCK, CHUNK = 1024, 1 << 16
 _SEED = 42
@@ -71,13 +71,18 @@ def fingerprints(docs: DataFrame, n: int = 4, keep: list[str] = ["doc_id"]) -> D
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def _linked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Which pairs share enough positional bytes and differ in few enough bits."""
+def _close(one: int, two: int, bits: int) -> bool:
+    """Whether two fingerprints share enough positional bytes and differ in few enough bits."""
+    apart = one ^ two
+    return sum((apart >> k) & 255 == 0 for k in range(0, 64, 8)) >= 8 - bits and apart.bit_count() <= bits
+
+
+def _linked(one: np.ndarray, two: np.ndarray, bits: int) -> np.ndarray:
+    """The same for all pairs of two arrays."""
     apart = one[:, None] ^ two[None, :]
     tally = (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(axis=2)
-    close = tally >= SHARED
-    i, j = np.nonzero(close)
-    return np.stack([i, j])[:, np.bitwise_count(apart[i, j]) <= BITS]
+    i, j = np.nonzero(tally >= 8 - bits)
+    return np.stack([i, j])[:, np.bitwise_count(apart[i, j]) <= bits]
 
 
 def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -99,10 +104,20 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, in
     return links
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that have the components of all pairs within BITS bits."""
+def lists(bits: int) -> list[tuple[int, ...]]:
+    """Sets of positions whose bytes key the index: pairs within ``bits`` share at least one set.
+
+    They share 8 - bits bytes of eight, and so k of them within the first 8 - (8 - bits - k).
+    """
+    shared = 8 - bits
+    k = max(2, shared - 1)
+    return list(combinations(range(8 - (shared - k)), k))
+
+
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that have the components of all pairs within ``bits`` (6 at most)."""
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255)
-    keys = F.array(*[byte(i) + 256 * byte(j) + 65536 * byte(k) + (n << 24) for n, (i, j, k) in enumerate(TRIPLES)])
+    keys = F.array(*[sum((byte(i) * (1 << 8 * m) for m, i in enumerate(held)), F.lit(n << 24)) for n, held in enumerate(lists(bits))])
     index = fps.select("fp", F.explode(keys).alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -141,18 +156,17 @@ def links(fps: DataFrame) -> DataFrame:
             edges = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             fp, own = part["fp"].to_numpy(np.int64), part["own"].to_numpy()
             for a, b in zip([0, *edges], [*edges, len(part)]):
-                ids, bits = fp[a:b], fp[a:b].view(np.uint64)
-                if b - a == 2:
-                    d = int(bits[0] ^ bits[1])
-                    if d.bit_count() <= BITS and sum((d >> s) & 255 == 0 for s in range(0, 64, 8)) >= SHARED:
-                        found.append((int(ids[0]), int(ids[1])))
+                ids, bits_of = fp[a:b], fp[a:b].view(np.uint64)
+                if b - a <= 5:
+                    alike = [(i, j) for i, j in combinations(range(b - a), 2) if _close(int(bits_of[i]), int(bits_of[j]), bits)]
+                    found += [(int(ids[i]), int(ids[j])) for i, j in alike]
                     continue
                 if k[a, 1] == k[a, 2]:
                     rows = cols = np.arange(b - a)
                 else:
                     rows, cols = np.flatnonzero(own[a:b] == k[a, 1]), np.flatnonzero(own[a:b] == k[a, 2])
                 for at in range(0, len(rows), 256):
-                    i, j = _linked(bits[rows[at : at + 256]], bits[cols])
+                    i, j = _linked(bits_of[rows[at : at + 256]], bits_of[cols], bits)
                     i, j = rows[i + at], cols[j]
                     found += _forest(ids, i[i < j] if rows is cols else i, j[i < j] if rows is cols else j)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -161,10 +175,10 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def _components(own: DataFrame) -> DataFrame:
+def _components(own: DataFrame, bits: int) -> DataFrame:
     """fp and root, the same for all fingerprints of a component, of a table with ``fp``."""
     nodes = materialize(own.select("fp").distinct())
-    found = connected(materialize(links(nodes)))
+    found = connected(materialize(links(nodes, bits)))
     return nodes.join(found, nodes["fp"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"))
 
 
@@ -176,21 +190,22 @@ def near_duplicates(docs: DataFrame, n: int = 4) -> DataFrame:
     beside doc_id and text are not looked at; an empty table gives no rows.
     """
     own = materialize(fingerprints(docs, n))
-    roots = materialize(_components(own))
+    roots = materialize(_components(own, BITS))
     met = own.join(roots, own["fp"] == F.col("_fp"))
     least = met.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "root").select("_fp", "component_id")
     return own.join(named, own["fp"] == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, bits: int = 6) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id (null last), then text hash.
 
-    Shingles have five words by default. Columns stay as they are; of rows equal in doc_id and text one stays.
+    Shingles have five words, and copies that share four fifths of theirs mostly differ in up to six
+    bits, so that many link here. Columns stay as they are; of rows equal in doc_id and text one stays.
     """
     keyed = docs.select("*", *row_key("doc_id", "text"))
     own = materialize(fingerprints(keyed, n, ["doc_id", "_key1", "_key2"]))
-    met = own.join(_components(own), own["fp"] == F.col("_fp"))
+    met = own.join(_components(own, bits), own["fp"] == F.col("_fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key1", "_key2"))
     winners = met.groupBy("root").agg(first.alias("w")).select("w._key1", "w._key2")
     return keyed.join(winners, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)

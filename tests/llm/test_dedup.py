@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from paddock.llm import capfilters, simhash
@@ -53,12 +54,13 @@ def test_simhash_documents(spark):
     assert {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in got} == fps
     linked = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
     assert {r["doc_id"]: r["component_id"] for r in got} == components(fps, linked)
-    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS), 4)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS), 4, 4)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c in components(fps, linked).values()})
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_links_of_dense_groups(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [4, 6])
+def test_links_of_dense_groups(spark, monkeypatch, bits):
     """Fingerprints around a few centres, in lists split into several blocks."""
     rnd = random.Random(2)
     monkeypatch.setattr(simhash, "BLOCK", 16)
@@ -72,8 +74,8 @@ def test_links_of_dense_groups(spark, monkeypatch):
             fps.add(x)
     fps |= {rnd.getrandbits(64) for _ in range(50)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint")).collect()]
-    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), bits).collect()]
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= bits
     assert all(near(a, b) for a, b in got)
     want = [(a, b) for a in signed for b in signed if a < b and near(a, b)]
     assert components(signed, got) == components(signed, want)
