@@ -694,3 +694,56 @@ def video_frame_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = views.samples(spark, sf_dir).where("channel = 'view'").select("recording_id", (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("t_ns") + 5_000_000).alias("pts_ns"))
     pr = _probes(spark, sf_dir).select("recording_id", "probe", "t_ns", ((F.col("recording_id") % 3 - 1) * 104_000_000).alias("offset_ns"))
     return video.frame_at(pr, fr, _BY).select("recording_id", "probe", "t_ns", "frame")
+
+
+# ---- scans ------------------------------------------------------------------------------------------
+
+_LOG_SQL = "lg as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders)"
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("recording_id"), "o_orderkey", (F.row_number().over(w) - 1).cast("long").alias("i"))
+
+
+@query(f"""with {_LOG_SQL} select o_custkey::varchar as recording_id, name, i * 500000000 as t_ns, case name when 'time' then i * 0.5 when 'velocity' then (o_orderkey % 300)::double when 'Tsample' then 0.5 else case when o_orderkey % 7 = 0 then null else 9 end end::double as value
+from lg, (values ('sats'), ('time'), ('velocity'), ('Tsample')) as c(name)""")
+def vbo_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sectioned text log per customer, a row per order, parsed back to samples; unparsable numbers are null here."""
+    from paddock.sources import vbo
+
+    at = 120_000 + F.col("i") * 0.5
+    line = F.format_string("%s %.1f %d 0.5", F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise("9"), at, F.col("o_orderkey") % 300)
+    body = _numbered(spark, sf_dir).groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda r: r["x"]), "\n").alias("b"))
+    files = body.select("recording_id", F.concat(F.lit("[column names]\nsats time velocity Tsample\n[data]\n"), "b").alias("text"))
+    c, s, _ = vbo.parse(files)
+    met = s.join(c.select("recording_id", "channel_idx", "name"), ["recording_id", "channel_idx"])
+    return met.select("recording_id", "name", "t_ns", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@query(f"""with {_LOG_SQL} select o_custkey::varchar as recording_id, i as local_idx, i * 10000000 as t_ns, case when o_orderkey % 5 = 0 then null else (o_orderkey % 300) / 4.0::double end as value from lg""")
+def mtj_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line-oriented recording per customer, written as text and parsed back; missing values are null here."""
+    from paddock.sources import jsonl
+
+    v = F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 300) / 4.0)
+    rows = _numbered(spark, sf_dir).select("recording_id", F.lit("Speed").alias("name"), F.lit("m/s").alias("unit"), F.col("i").alias("slot"), v.alias("value"))
+    ids = rows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
+    lat = ids.select("recording_id", F.lit("Speed").alias("name"), F.lit(0).cast("long").alias("t0_ns"), F.lit(10_000_000).cast("long").alias("period_ns"))
+    head = ids.select("recording_id", F.lit(10_000_000).cast("long").alias("q_ns"), (F.col("n") * 10_000_000).alias("dur_ns"))
+    none = spark.createDataFrame([], "recording_id string, number bigint, start_ns bigint, end_ns bigint, complete boolean")
+    s = jsonl.parse(jsonl.to_lines(rows, lat, none, head))["samples"]
+    return s.select("recording_id", "local_idx", "t_ns", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@query("""with m as (select o_custkey::varchar as recording_id, (row_number() over (partition by o_custkey order by o_orderkey)) * 10000000000 + (o_orderkey % 9) * 1000000000 as t_ns from orders),
+d as (select *, lead(t_ns) over w - t_ns as gap, row_number() over w as i from m window w as (partition by recording_id order by t_ns))
+select recording_id, count(*) + 1 as total_laps, min(gap) as fastest_ns, arg_min(i + 1, gap * 100000 + i) as fastest_lap from d group by 1""")
+def ldx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lap sidecars written as XML from markers and read back."""
+    from paddock.sources import ldx
+
+    m = _numbered(spark, sf_dir).select("recording_id", ((F.col("i") + 1) * 10_000_000_000 + (F.col("o_orderkey") % 9) * 1_000_000_000).alias("t_ns"))
+    return ldx.parse(ldx.to_xml(m)).select("recording_id", F.col("total_laps").cast("long").alias("total_laps"), "fastest_ns", "fastest_lap")
