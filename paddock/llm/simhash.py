@@ -4,8 +4,12 @@ A 64-bit fingerprint is eight positional bytes. Fingerprints that differ in at m
 at most four bytes, so they share at least four positional bytes; by counting, at least
 three of the first seven. The inverted index is therefore kept on triples of positional bytes of the
 first seven (35 lists of 24 bits each), lists bring pairs together, the positional bytes that each pair
-shares are tallied, pairs below the guaranteed four go, and the rest are verified bit by bit. A limit of
-six bits works alike with pairs of positional bytes (28 lists of 16 bits).
+shares are tallied, pairs below the guaranteed four go, and the rest are verified bit by bit.
+
+Texts that share four fifths of their shingles differ in about ten bits. The pipeline's rule therefore
+asks for two shared positional bytes (28 lists of 16 bits) and verifies on a fingerprint of 256 bits, of
+which the index carries the other 192: at that similarity about 39 of 256 bits differ, and half of them
+between unrelated texts.
 
 Equal fingerprints are one entry. A list with more than BLOCK entries is dealt out as pairs of blocks to
 many tasks; a task returns links that connect what is linked in it, at most one per entry, never all
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,61 +33,89 @@ from paddock.llm.common import materialize, row_key
 from paddock.llm.components import connected
 from paddock.session import ship
 
-BITS = 4
+class Rule(NamedTuple):
+    """When two fingerprints link: positional bytes they share, bits of 64 and bits of all they differ in at most."""
+
+    shared: int
+    bits: int
+    wide: int
+
+
+#: Four bits, by counting at least four shared bytes; and a similarity of 0.8 on 256 bits.
+FOUR_BITS, SIMILAR = Rule(4, 4, 4), Rule(2, 16, 42)
+#: Further words of a wide fingerprint.
+WIDE = ["w1", "w2", "w3"]
 #: Entries of a list that are compared at once, and shingles hashed at once.
 BLOCK, CHUNK = 1024, 1 << 16
 _SEED = 42
 
 
-def fingerprint(text: str | None, n: int = 4) -> int:
-    """SimHash of the n-word shingles, repeats included; 0 without words."""
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of the shingles from their hashes: an odd step and a multiply-xorshift round."""
+    h = (h + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: str | None, n: int = 4, width: int = 1) -> np.ndarray:
+    """SimHash of the n-word shingles, repeats included, in ``width`` 64-bit words; zeros without words."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(width, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     k = min(n, len(words))
     total = len(words) - k + 1
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(64 * width, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, total, CHUNK):
         upto = min(total, at + CHUNK)
         spans = zip(starts[at:upto].tolist(), ends[at + k - 1 : upto + k - 1].tolist())
-        h = np.array([digest(joined[a:b], _SEED) for a, b in spans], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        h = [np.array([digest(joined[a:b], _SEED) for a, b in spans], np.uint64)]
+        while len(h) < width:
+            h.append(_remixed(h[-1]))
+        h = np.stack(h, axis=1)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > total).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, n: int = 4, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """``keep`` columns and fp (signed 64-bit) of every document."""
+def fingerprints(docs: DataFrame, n: int = 4, keep: list[str] = ["doc_id"], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keep`` columns and fp (signed 64-bit) of every document, and ``more`` words of a wide fingerprint."""
+    words = ["fp", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), n) for t in batch.column("_text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64), pa.int64())], names=[*keep, "fp"])
+            found = np.array([fingerprint(t.as_py(), n, len(words)) for t in batch.column("_text")], np.uint64).reshape(-1, len(words))
+            own = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in found.view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*keep, *words])
 
     ship(docs.sparkSession)
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fp", T.LongType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(w, T.LongType()) for w in words]])
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def _close(one: int, two: int, bits: int) -> bool:
-    """Whether two fingerprints share enough positional bytes and differ in few enough bits."""
-    apart = one ^ two
-    return sum((apart >> k) & 255 == 0 for k in range(0, 64, 8)) >= 8 - bits and apart.bit_count() <= bits
+def _close(one: list[int], two: list[int], rule: Rule) -> bool:
+    """Whether two fingerprints, in words, share enough positional bytes and differ in few enough bits."""
+    apart = one[0] ^ two[0]
+    if apart.bit_count() > rule.bits or sum((apart >> k) & 255 == 0 for k in range(0, 64, 8)) < rule.shared:
+        return False
+    return sum((x ^ y).bit_count() for x, y in zip(one, two)) <= rule.wide
 
 
-def _linked(one: np.ndarray, two: np.ndarray, bits: int) -> np.ndarray:
-    """The same for all pairs of two arrays."""
-    apart = one[:, None] ^ two[None, :]
-    tally = (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(axis=2)
-    i, j = np.nonzero(tally >= 8 - bits)
-    return np.stack([i, j])[:, np.bitwise_count(apart[i, j]) <= bits]
+def _linked(one: np.ndarray, two: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Where the same holds between the rows of two arrays of words."""
+    apart = one[:, None, 0] ^ two[None, :, 0]
+    i, j = np.nonzero(np.bitwise_count(apart) <= rule.bits)
+    shared = (apart[i, j].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    i, j = i[shared >= rule.shared], j[shared >= rule.shared]
+    near = np.bitwise_count(one[i] ^ two[j]).sum(axis=1, dtype=np.int64) <= rule.wide
+    return i[near], j[near]
 
 
 def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -104,21 +137,21 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, in
     return links
 
 
-def lists(bits: int) -> list[tuple[int, ...]]:
-    """Sets of positions whose bytes key the index: pairs within ``bits`` share at least one set.
+def lists(shared: int) -> list[tuple[int, ...]]:
+    """Sets of positions whose bytes key the index: pairs that share ``shared`` bytes of eight share at least one set.
 
-    They share 8 - bits bytes of eight, and so k of them within the first 8 - (8 - bits - k).
+    They share k of them within the first 8 - (shared - k).
     """
-    shared = 8 - bits
     k = max(2, shared - 1)
     return list(combinations(range(8 - (shared - k)), k))
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that have the components of all pairs within ``bits`` (6 at most)."""
+def links(fps: DataFrame, rule: Rule = FOUR_BITS, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Links (a, b) between distinct fingerprints ``fp`` (with ``more`` words) that have the components of all pairs by ``rule``."""
+    words = ["fp", *more]
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255)
-    keys = F.array(*[sum((byte(i) * (1 << 8 * m) for m, i in enumerate(held)), F.lit(n << 24)) for n, held in enumerate(lists(bits))])
-    index = fps.select("fp", F.explode(keys).alias("key"))
+    keys = F.array(*[sum((byte(i) * (1 << 8 * m) for m, i in enumerate(held)), F.lit(n << 24)) for n, held in enumerate(lists(rule.shared))])
+    index = fps.select(*words, F.explode(keys).alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     held = (
@@ -130,8 +163,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             "key",
             F.least("own", "other").alias("x"),
             F.greatest("own", "other").alias("y"),
-            F.col("own").alias("own"),
-            "fp",
+            "own",
+            *words,
         )
     )
 
@@ -155,10 +188,12 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             k = part[["key", "x", "y"]].to_numpy()
             edges = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             fp, own = part["fp"].to_numpy(np.int64), part["own"].to_numpy()
+            all_bits = np.ascontiguousarray(part[words].to_numpy(np.int64)).view(np.uint64)
             for a, b in zip([0, *edges], [*edges, len(part)]):
-                ids, bits_of = fp[a:b], fp[a:b].view(np.uint64)
+                ids, bits_of = fp[a:b], all_bits[a:b]
                 if b - a <= 5:
-                    alike = [(i, j) for i, j in combinations(range(b - a), 2) if _close(int(bits_of[i]), int(bits_of[j]), bits)]
+                    few = bits_of.tolist()
+                    alike = [(i, j) for i, j in combinations(range(b - a), 2) if _close(few[i], few[j], rule)]
                     found += [(int(ids[i]), int(ids[j])) for i, j in alike]
                     continue
                 if k[a, 1] == k[a, 2]:
@@ -166,7 +201,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 else:
                     rows, cols = np.flatnonzero(own[a:b] == k[a, 1]), np.flatnonzero(own[a:b] == k[a, 2])
                 for at in range(0, len(rows), 256):
-                    i, j = _linked(bits_of[rows[at : at + 256]], bits_of[cols], bits)
+                    i, j = _linked(bits_of[rows[at : at + 256]], bits_of[cols], rule)
                     i, j = rows[i + at], cols[j]
                     found += _forest(ids, i[i < j] if rows is cols else i, j[i < j] if rows is cols else j)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -175,37 +210,40 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def _components(own: DataFrame, bits: int) -> DataFrame:
-    """fp and root, the same for all fingerprints of a component, of a table with ``fp``."""
-    nodes = materialize(own.select("fp").distinct())
-    found = connected(materialize(links(nodes, bits)))
+def _components(own: DataFrame, rule: Rule, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """fp and root, the same for all fingerprints of a component, of a table with ``fp`` and ``more`` words.
+
+    Of fingerprints equal in ``fp`` the smallest further words stand for all.
+    """
+    nodes = materialize(own.groupBy("fp").agg(*[F.min(w).alias(w) for w in more]) if more else own.select("fp").distinct())
+    found = connected(materialize(links(nodes, rule, more)))
     return nodes.join(found, nodes["fp"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 4) -> DataFrame:
-    """doc_id, fp, component_id of every document: components of links at BITS or fewer bits.
+    """doc_id, fp, component_id of every document: components of links at four or fewer bits.
 
     component_id is the smallest doc_id reachable. Null and blank texts have fingerprint 0 and link like
     any other; null doc_ids belong to their component but never name it. Repeated rows stay rows. Columns
     beside doc_id and text are not looked at; an empty table gives no rows.
     """
     own = materialize(fingerprints(docs, n))
-    roots = materialize(_components(own, BITS))
+    roots = materialize(_components(own, FOUR_BITS))
     met = own.join(roots, own["fp"] == F.col("_fp"))
     least = met.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "root").select("_fp", "component_id")
     return own.join(named, own["fp"] == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, bits: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, rule: Rule = SIMILAR) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id (null last), then text hash.
 
-    Shingles have five words, and copies that share four fifths of theirs mostly differ in up to six
-    bits, so that many link here. Columns stay as they are; of rows equal in doc_id and text one stays.
+    Shingles have five words; documents link by ``rule`` on 256 bits. Columns stay as they are; of rows
+    equal in doc_id and text one stays. Texts without words are one component; an empty table gives no rows.
     """
     keyed = docs.select("*", *row_key("doc_id", "text"))
-    own = materialize(fingerprints(keyed, n, ["doc_id", "_key1", "_key2"]))
-    met = own.join(_components(own, bits), own["fp"] == F.col("_fp"))
+    own = materialize(fingerprints(keyed, n, ["doc_id", "_key1", "_key2"], WIDE))
+    met = own.join(_components(own, rule, WIDE), own["fp"] == F.col("_fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key1", "_key2"))
     winners = met.groupBy("root").agg(first.alias("w")).select("w._key1", "w._key2")
     return keyed.join(winners, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)

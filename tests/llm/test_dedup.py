@@ -54,11 +54,39 @@ def test_simhash_documents(spark):
     assert {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in got} == fps
     linked = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
     assert {r["doc_id"]: r["component_id"] for r in got} == components(fps, linked)
-    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS), 4, 4)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS), 4, simhash.Rule(4, 4, 256))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c in components(fps, linked).values()})
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_similar_documents(spark):
+    """The pipeline's rule against all pairs, on copies with more and more words changed."""
+    rnd = random.Random(3)
+    docs = []
+    for _ in range(10):
+        base = [str(rnd.getrandbits(30)) for _ in range(200)]
+        for changed in (0, 0, 1, 2, 4, 6, 9, 15, 40):
+            one = list(base)
+            for k in rnd.sample(range(200), changed):
+                one[k] = "x"
+            docs.append(" ".join(one))
+    docs += [None, "", "few words"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(docs)]
+    fps = {i: simhash.fingerprint(t, 5, 4) for i, t in enumerate(docs)}
+
+    def similar(a, b):
+        apart = [int(x) ^ int(y) for x, y in zip(fps[a], fps[b])]
+        shared = sum(apart[0] >> k & 255 == 0 for k in range(0, 64, 8))
+        return shared >= 2 and apart[0].bit_count() <= 16 and sum(x.bit_count() for x in apart) <= 42
+
+    want = components(fps, [(a, b) for a in fps for b in fps if a < b and similar(a, b)])
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == sorted(set(want.values()))
+    #: Exact copies go always, copies with one or two words changed (nine tenths shared) mostly; the groups stay apart.
+    assert all(9 * g in kept and 9 * g + 1 not in kept for g in range(10))
+    assert sum(9 * g + k in kept for g in range(10) for k in (2, 3)) <= 3
+
+
 @pytest.mark.parametrize("bits", [4, 6])
 def test_links_of_dense_groups(spark, monkeypatch, bits):
     """Fingerprints around a few centres, in lists split into several blocks."""
@@ -74,7 +102,7 @@ def test_links_of_dense_groups(spark, monkeypatch, bits):
             fps.add(x)
     fps |= {rnd.getrandbits(64) for _ in range(50)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), bits).collect()]
+    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), simhash.Rule(8 - bits, bits, bits)).collect()]
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= bits
     assert all(near(a, b) for a, b in got)
     want = [(a, b) for a in signed for b in signed if a < b and near(a, b)]
