@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.common import word_count
+from paddock.llm.common import SPACE, word_count
 from paddock.session import ship
 
 SYMBOLS = "#*$%&|<>"
@@ -68,22 +68,26 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema).withColumn("base_failed", failed)
 
 
+def _line_hash(line: Column) -> Column:
+    """Hash of a line in lower case, with single spaces."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """source, text_hash, line (hash of the normalised line), words: one row per line of each distinct document and host."""
     line = F.explode(F.split("text", "\n", -1))
-    normal = F.trim(F.regexp_replace(F.lower("_line"), r"[\x20\x09-\x0D]+", " "))
     return (
         docs.where(F.col("text").isNotNull())
         .select("source", F.xxhash64("text").alias("text_hash"), line.alias("_line"))
-        .select("source", "text_hash", F.xxhash64(normal).alias("line"), word_count(F.col("_line")).alias("words"))
+        .select("source", "text_hash", _line_hash(F.col("_line")).alias("line"), word_count(F.col("_line")).alias("words"))
         .where("words > 0")
         .groupBy("source", "text_hash", "line")
         .agg(F.sum("words").alias("words"))
     )
 
 
-def depleted(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """source and text_hash of the documents that removal of frequent lines leaves with too few words.
+def boilerplate(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """source, text_hash, lines (hashes of its frequent lines) and depleted of the documents that have frequent lines.
 
     Words of m copies of a text count m times in both the whole and the rest, so the share is the same.
     """
@@ -94,12 +98,33 @@ def depleted(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LI
     marked = lines.join(frequent.select("_source", "_line"), (F.col("line") == F.col("_line")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     return (
         marked.groupBy("source", "text_hash")
-        .agg(F.sum("words").alias("whole"), F.sum(F.when(F.col("_line").isNull(), F.col("words")).otherwise(0)).alias("left"))
-        .where(F.col("left") < F.col("whole") * left_share)
-        .select("source", "text_hash")
+        .agg(
+            F.sum("words").alias("whole"),
+            F.sum(F.when(F.col("_line").isNull(), F.col("words")).otherwise(0)).alias("left"),
+            F.collect_list("_line").alias("lines"),
+        )
+        .where("left < whole")
+        .select("source", "text_hash", "lines", (F.col("left") < F.col("whole") * left_share).alias("depleted"))
     )
 
 
+def depleted(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """source and text_hash of the documents that removal of frequent lines leaves with too few words."""
+    return boilerplate(docs, line_docs, line_share, left_share).where("depleted").select("source", "text_hash")
+
+
+def _judged(docs: DataFrame, keep: list[str], limits: dict[str, float]) -> DataFrame:
+    """``judge`` with _gone_lines, the hashes of the frequent lines of each document, null where it has none."""
+    hashed = docs.withColumns({"_th": F.xxhash64("text"), "_src": F.col("source")})
+    base = with_counts(hashed, [*keep, "_src", "_th"])
+    found = boilerplate(docs, **limits).select(
+        F.col("source").alias("_gone"), F.col("text_hash").alias("_gone_hash"), F.col("lines").alias("_gone_lines"), F.col("depleted").alias("_depleted")
+    )
+    met = base.join(found, (F.col("_th") == F.col("_gone_hash")) & F.col("_src").eqNullSafe(F.col("_gone")), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("_depleted", F.lit(False))
+    return met.select(*keep, *_COUNTS, "base_failed", kept.alias("kept"), "_gone_lines")
+
+
 def judge(docs: DataFrame, keep: list[str], **limits: float) -> DataFrame:
     """``keep`` columns, the counts, base_failed and kept of every document.
 
@@ -107,14 +132,28 @@ def judge(docs: DataFrame, keep: list[str], **limits: float) -> DataFrame:
     rules. A null source is a host of its own; repeated rows get equal verdicts; columns of other names
     are passed by; an empty table gives no rows.
     """
-    hashed = docs.withColumns({"_th": F.xxhash64("text"), "_src": F.col("source")})
-    base = with_counts(hashed, [*keep, "_src", "_th"])
-    gone = depleted(docs, **limits).select(F.col("source").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
-    met = base.join(gone, (F.col("_th") == F.col("_gone_hash")) & F.col("_src").eqNullSafe(F.col("_gone")), "left")
-    kept = ~F.col("base_failed") & F.col("_gone_hash").isNull()
-    return met.select(*keep, *_COUNTS, "base_failed", kept.alias("kept"))
+    return _judged(docs, keep, limits).drop("_gone_lines")
+
+
+def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
+    """``docs`` with frequent lines removed from the text, removed (their numbers, from 0), and what ``judge`` adds.
+
+    Counts and base_failed are of the whole text. Texts without frequent lines stay as they are, with an
+    empty list; so do null texts.
+    """
+    parts = F.split("text", "\n", -1)
+    hit = F.transform(parts, lambda x: F.array_contains("_gone_lines", _line_hash(x)))
+    found = _judged(docs, docs.columns, limits).withColumn("_hit", F.when(F.col("_gone_lines").isNotNull(), hit))
+    rest = F.filter(parts, lambda _, i: ~F.get("_hit", i))
+    numbers = F.filter(F.sequence(F.lit(0), F.size("_hit") - 1), lambda i: F.get("_hit", i))
+    some = F.col("_hit").isNotNull()
+    found = found.withColumns({
+        "removed": F.when(some, numbers).otherwise(F.array().cast("array<int>")),
+        "text": F.when(some, F.array_join(rest, "\n")).otherwise(F.col("text")),
+    })
+    return found.select(*docs.columns, "removed", *_COUNTS, "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that ``judge`` keeps, all columns as they are."""
-    return judge(docs, docs.columns).where("kept").select(*docs.columns)
+    """The documents that ``judge`` keeps, frequent lines removed from their texts; the other columns as they are."""
+    return cleaned(docs).where("kept").select(*docs.columns)

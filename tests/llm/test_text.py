@@ -47,6 +47,25 @@ def test_quality_lines(spark):
     assert quality.judge(docs_of(spark, []), ["doc_id"]).count() == 0
 
 
+def test_quality_removes_lines(spark):
+    """Kept documents lose the host's frequent lines, with their numbers; other hosts and texts stay as they are."""
+    import corpus_pipeline
+
+    rnd = random.Random(1)
+    line = lambda k: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(k))
+    own = [(line(40), line(30)) for _ in range(40)]
+    texts = [f"Read  MORE here\n{a}\n\n read more HERE\t\n{b}" for a, b in own] + [line(60) + "\n", "Read more here\n" + line(60), None]
+    docs = docs_of(spark, texts, sources={41: "other"})
+    got = {r["doc_id"]: r for r in quality.cleaned(docs).collect()}
+    assert len(got) == len(texts)
+    for i, (a, b) in enumerate(own):
+        assert got[i]["kept"] and got[i]["removed"] == [0, 3] and got[i]["text"] == f"{a}\n\n{b}"
+    assert all(got[i]["removed"] == [] and got[i]["text"] == texts[i] for i in (40, 41, 42))
+    passed = {r["doc_id"]: r for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert sorted(passed) == list(range(42))
+    assert all(passed[i]["text"] == got[i]["text"] and passed[i]["n_chars"] == len(got[i]["text"]) for i in passed)
+
+
 def test_language(spark):
     rnd = random.Random(5)
     parts = {"xx": ["ka", "lo", "mi", "ta"], "yy": ["sch", "ung", "ein", "ö"], "zz": ["ção", "que", "ar", "os"]}
