@@ -20,8 +20,8 @@ from paddock.session import ship
 
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate in a host when more than this many distinct documents, and more than this share
-#: of the host's distinct documents, hold it.
-LINE_DOCS, LINE_SHARE = 20, 0.1
+#: of the host's distinct documents, hold it. Without a share the number is the same for hosts of every size.
+LINE_DOCS, LINE_SHARE = 20, 0.0
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
 #: Base rules: fewest words, and most repeated words in a hundred.
@@ -92,9 +92,10 @@ def boilerplate(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
     Words of m copies of a text count m times in both the whole and the rest, so the share is the same.
     """
     lines = _lines(docs)
-    hosts = docs.groupBy(F.col("source").alias("_host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_docs"))
-    per_line = lines.groupBy(F.col("source").alias("_source"), F.col("line").alias("_line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
-    frequent = per_line.join(hosts, F.col("_source").eqNullSafe(F.col("_host"))).where(F.col("n") > F.col("host_docs") * line_share)
+    frequent = lines.groupBy(F.col("source").alias("_source"), F.col("line").alias("_line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
+    if line_share:
+        hosts = docs.groupBy(F.col("source").alias("_host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_docs"))
+        frequent = frequent.join(hosts, F.col("_source").eqNullSafe(F.col("_host"))).where(F.col("n") > F.col("host_docs") * line_share)
     marked = lines.join(frequent.select("_source", "_line"), (F.col("line") == F.col("_line")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     return (
         marked.groupBy("source", "text_hash")
