@@ -165,6 +165,19 @@ def test_lm(spark):
     assert {r["n_known"] for r in untaught.collect()} == {0}
 
 
+def test_lm_fits_on_distinct_texts(spark, monkeypatch):
+    """Copies of a text are drawn once, and all of their own counts are left out."""
+    texts = ["the same words again"] * 200 + [f"text {i} of many" for i in range(40)] + [None, ""]
+    docs = docs_of(spark, texts).withColumn("learn", F.lit(True))
+    drawn = contextmix.drawn_texts(docs.select("text"), 1.0, 3)
+    assert len(drawn) == 42 and dict(drawn)["the same words again"] == 200 and dict(drawn)[""] == 2
+    seen, fit = [], contextmix.Mixer.fit
+    monkeypatch.setattr(contextmix.Mixer, "fit", lambda self, *a: (seen.append((len(a[0]), a[3] if len(a) > 3 else None)), fit(self, *a))[1])
+    contextmix.score(docs, "learn", ["doc_id"])
+    n, once = seen[0]
+    assert n == 5 + 40 * 5 + 1 and once is not None and sorted(set(once.tolist())) == [1, 2, 200]
+
+
 def test_mixer_is_a_distribution():
     """Probabilities of all symbols in a context add up to one, and words with all closings to at most one."""
     pick = np.random.default_rng(0)
