@@ -111,7 +111,10 @@ def test_bpe_equals_library(spark):
 
     t = Tokenizer.from_file(PATH)
     texts = _texts()
-    for leaf in (37, 128, 32_768):
+    rnd = random.Random(4)
+    prose = " ".join(rnd.choice(["plain", "words,", "It's", "Straße", "naïve.", "x1", "longer-worded"]) for _ in range(9000))
+    texts += [prose, prose, "z" * 70_000, prose[:40_000] + "unsplit" * 6_000 + prose[:9_000]]
+    for leaf in (37, 128, 1000, 32_768):
         got = {r["doc_id"]: r for r in bpe.encode(docs_of(spark, texts), PATH, ["doc_id"], leaf).collect()}
         assert len(got) == len(texts)
         for i, x in enumerate(texts):
@@ -119,6 +122,22 @@ def test_bpe_equals_library(spark):
             assert np.frombuffer(got[i]["ids"], "<u4").tolist() == ids, (leaf, i)
             assert got[i]["decoded"] == t.decode(ids, skip_special_tokens=False)
     assert bpe.encode(docs_of(spark, []), PATH, ["doc_id"]).count() == 0
+    named = docs_of(spark, ["a b", None]).withColumns({c: F.lit("mine") for c in ("ids", "decoded", "row", "id", "piece", "head")})
+    assert [(r["row"], r["piece"], len(r["ids"])) for r in bpe.encode(named, PATH, named.columns, 1).orderBy("doc_id").collect()] == [("mine", "mine", 8), ("mine", "mine", 0)]
+
+
+def test_bpe_of_another_tokenizer(tmp_path):
+    """A file that the word-wise path doesn't fit is encoded whole."""
+    import json
+
+    told = json.load(open(PATH, encoding="utf-8"))
+    told["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    e = bpe.Encoder(str(path))
+    texts = ["Hello world's é", ""]
+    assert not e.by_word and bpe.Encoder(PATH).by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.coded(texts)[0]] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_chat_round_trip(spark):
