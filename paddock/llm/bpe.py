@@ -30,7 +30,7 @@ from paddock.session import ship
 
 #: Characters of a piece, of the first window on either side of a join, rows encoded at once, and
 #: words and parts of words whose tokens a worker remembers.
-LEAF, WINDOW, ROWS, REMEMBERED = 32_768, 64, 256, 400_000
+LEAF, WINDOW, ROWS, REMEMBERED = 32_768, 64, 256, 200_000
 #: Tokens in a row that must agree on either side; the share of a piece whose offsets it hands on at either end.
 AGREE, EDGE = 2, 32
 #: Words of these characters alone are in normal form C and have plain lower case (no combining marks, no dotted capital i).

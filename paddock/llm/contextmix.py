@@ -1,44 +1,58 @@
 """LM scoring by online logistic context mixing.
 
 A text is its lower-cased words and an end. Each word is coded as a symbol (the most frequent words, the
-end, and an escape), an escaped word also byte by byte. Symbols and bytes are coded as the bits of a
-Huffman code, and every bit is predicted by several counters found by hashing a context with the place
-in the code: none, the symbol before, the two before; for bytes none, the one, two and three before and
-the word so far. The predictions, as logits, are summed with weights, each selected by a gate: how much
-the predictor's context has seen. The weights are fitted in four passes of mean steps over 2,048
-bits, on a bounded sample of distinct texts whose own counts, copies included, are left out, and a last
-stage refines the sum by what such sums turned out to be. Both are then fixed: scoring learns nothing.
-
-All counts cover every training text: words in a table that grows with the corpus, contexts in hashed
-tables that tasks fill and Spark adds up. Only the fit of the weights uses a bounded sample.
+end, and an escape). Symbols are coded as the bits of a Huffman code, and every bit is predicted by
+several counters found by hashing a context with the place in the code: none, the symbol before, the two
+before. The predictions, as logits, are summed with weights, each selected by a gate: how much the
+predictor's context has seen; a last stage refines the sum by what such sums turned out to be.
+
+An escaped word is predicted twice: as one that training has, by its own count, and as a new one,
+spelled byte by byte by another mix (contexts: none, the one, two and three bytes before, the word so
+far). The two are mixed by the share of escaped words that training had had elsewhere.
+
+Counts cover every training text. The weights and the last stage are learned online over every training
+text: each task goes through its texts in steps of STEP_BITS bits, Spark averages the tasks' weights by
+bits, and a second round starts from the averages. No text learns from its own counts: texts are dealt
+in two folds by their hash, copies together, and one fold's weights are learned on the other's counts.
+Scoring reads all counts with the weights of the last round and learns nothing more.
+
+Counts of words are a table that grows with the corpus and is joined by word; the number of symbols and
+the slots of the hashed tables follow from the counted words, up to a documented size. Tables of counts
+are filled by tasks and added up by Spark, and reach the driver as one byte a slot.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.common import materialize, unit_hash
+from paddock.llm.common import materialize
 from paddock.session import ship
 
-#: Words with a symbol of their own at most; slots of a context's table (a power of two); parts it is added up in.
-SYMBOLS, SLOT_BITS, PARTS = 65_536, 21, 1024
-#: Texts and rare words that the weights are fitted on, about; texts whose words are counted at once.
-FIT_TEXTS, FIT_WORDS, COUNTED = 120, 6_000, 2_048
-#: Bits that are scored at once.
-CHUNK = 1 << 20
+#: Counted words for one symbol, fewest and most symbols; counted words for a slot, fewest and most bits of a slot's number.
+PER_SYMBOL, FEWEST_SYMBOLS, MOST_SYMBOLS = 512, 1 << 14, 1 << 17
+PER_SLOT, FEWEST_BITS, MOST_BITS = 32, 18, 22
+#: Slots of the spelling contexts (bits), parts that a table is added up in, texts whose words are counted at once.
+SPELLING_BITS, PARTS, COUNTED = 20, 512, 2_048
+#: Bits that are scored at once, and bits of a learning step; the step of each round.
+CHUNK, STEP_BITS, STEPS = 1 << 20, 2_048, (0.02, 0.005)
 ESCAPE, END, FIRST = 0, 1, 2
-_STEP, _EPOCHS, _BATCH, _GATES = 0.02, 4, 2048, 4
+_GATES = 4
 #: Sums are told apart by this fraction, up to this bound; the last stage learns in wider cells.
 _FINE, _BOUND, _CELLS = 64, 12, 48
+#: A slot's state: its gate, and its logit in levels of this width around the middle one.
+_LEVEL, _MIDDLE = 0.28, 32
+_LOGITS = np.tile((np.arange(64) - _MIDDLE) * _LEVEL, _GATES).astype(np.float32)
 
 
 class Code:
@@ -71,15 +85,16 @@ class Code:
                 bits.append(int(bit[k]))
                 k = int(up[k])
             self.length[s] = len(nodes) - self.start[s]
-        self.nodes, self.bits = np.array(nodes, np.int32), np.array(bits, np.uint32)
+        flat = np.array(nodes, np.int32)
+        self.bits = np.array(bits, np.uint8)
         ones = np.zeros(max(n - 1, 1), np.int64)
         for k in range(2 * n - 2):
             if bit[k]:
                 ones[up[k] - n] += held[k]
         whole = held[n:] if n > 1 else np.ones(1)
         logit = np.log((ones + 0.4) / (whole - ones + 0.4)).astype(np.float32)
-        self.own = logit[self.nodes]
-        self.place = _mixed(self.nodes)
+        self.own = logit[flat]
+        self.place = _mixed(flat)
         self.start, self.length = self.start.astype(np.int32), self.length.astype(np.int32)
 
     def passed(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +110,10 @@ class Code:
         return max(1, int(CHUNK / max(1.0, float(self.length[symbols].mean())))) if len(symbols) else 1
 
 
-def _slots(context: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _slots(context: np.ndarray, n: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
     h = np.repeat(context, n)
     h ^= place
-    h >>= np.uint32(32 - SLOT_BITS)
+    h >>= np.uint32(32 - bits)
     return h
 
 
@@ -143,81 +158,115 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     return b, begins, [o1, _mixed(back[0], back[1]) + np.uint32(1), _mixed(*back) + np.uint32(2), whole + np.uint32(3)]
 
 
-def tally(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], tables: np.ndarray, weight: np.ndarray | None = None) -> None:
+def tally(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], tables: np.ndarray) -> None:
     """Add the bits of the symbols to ``tables`` (context, slot, bit)."""
     per = code.per(symbols)
+    bits = tables.shape[1].bit_length() - 1
     flat = tables.reshape(len(tables), -1)
+    one = tables.dtype.type(1)  # of the tables' own type, else each addition casts
     for at in range(0, len(symbols), per):
         n, where = code.passed(symbols[at : at + per])
         place, bit = code.place[where], code.bits[where]
-        #: Of the tables' own type, else each addition casts.
-        w = tables.dtype.type(1) if weight is None else np.repeat(weight[at : at + per], n).astype(tables.dtype)
         for k, c in enumerate(contexts):
-            cell = _slots(c[at : at + per], n, place)
+            cell = _slots(c[at : at + per], n, place, bits)
             cell <<= np.uint32(1)
             cell |= bit
-            np.add.at(flat[k], cell.astype(np.intp), w)
+            np.add.at(flat[k], cell.astype(np.intp), one)
 
 
-class Mixer:
-    """Counters as logits, their gated weights, and the last stage, folded into one table per context."""
+def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """One byte for a slot's counts: how much it has seen (none, up to 2, up to 20, more), and its logit's level."""
+    seen = zeros + ones
+    logit = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+    level = np.clip(np.rint(logit / np.float32(_LEVEL)), -_MIDDLE, 63 - _MIDDLE).astype(np.int64) + _MIDDLE
+    gate = (seen > 0).astype(np.int64) + (seen > 2) + (seen > 20)
+    return (gate * 64 + level).astype(np.uint8)
+
 
-    def __init__(self, code: Code, tables: np.ndarray):
-        self.code = code
-        k = len(tables)
-        self.weights = np.full((k, _GATES), 0.3, np.float32)
-        self.first, self.bias = np.float32(0.5), np.float32(0)
-        self.tables: list[np.ndarray] = []
-        self._learn_last(np.zeros(0), np.zeros(0))
+class Weights(NamedTuple):
+    """Of the code's own logits, a constant, each context's gates, and what sums of each cell turned out to be (zeros, ones)."""
+
+    first: float
+    bias: float
+    gates: np.ndarray
+    seen: np.ndarray
 
     @staticmethod
-    def _logit(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of counts, and the gates of how much was seen."""
-        seen = zeros + ones
-        logit = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))).astype(np.float32)
-        return logit, (seen > 0).astype(np.int8) + (seen > 2) + (seen > 20)
-
-    def fit(self, symbols: np.ndarray, contexts: list[np.ndarray], tables: np.ndarray, once: np.ndarray | None = None) -> None:
-        """Learn weights online from symbols that the tables hold, leaving out their own counts; then fold."""
-        if len(symbols):
-            n, where = self.code.passed(symbols)
-            place, bit = self.code.place[where], self.code.bits[where]
-            own = np.ones(len(where), np.int32) if once is None else np.repeat(once, n).astype(np.int32)
-            x0, inputs = self.code.own[where], []
-            for k, c in enumerate(contexts):
-                slot = _slots(c, n, place)
-                zeros = np.maximum(tables[k][slot, 0] - own * (bit == 0), 0)
-                inputs.append(self._logit(zeros, np.maximum(tables[k][slot, 1] - own * (bit == 1), 0)))
-            for epoch in range(_EPOCHS):
-                step = _STEP / (1 + epoch)
-                for at in range(0, len(bit), _BATCH):
-                    part = slice(at, at + _BATCH)
-                    wrong = bit[part] - 1 / (1 + np.exp(-self._sum(x0[part], [(x[part], g[part]) for x, g in inputs])))
-                    self.first += np.float32(step * (wrong * x0[part]).mean())
-                    self.bias += np.float32(step * wrong.mean())
-                    for k, (x, g) in enumerate(inputs):
-                        seen = np.maximum(np.bincount(g[part], minlength=_GATES), 64)
-                        self.weights[k] += step * np.bincount(g[part], wrong * x[part], _GATES) / seen
-            self._learn_last(self._sum(x0, inputs), bit)
-        self.tables = []
-        for k in range(len(tables)):
-            logit, gate = self._logit(tables[k, :, 0], tables[k, :, 1])
-            self.tables.append(logit * self.weights[k][gate])
-        self.own = self.code.own * self.first + self.bias
-
-    def _sum(self, x0: np.ndarray, inputs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def start(contexts: int) -> Weights:
+        return Weights(0.5, 0.0, np.full((contexts, _GATES), 0.3), np.zeros((2, _CELLS)))
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([[self.first, self.bias], self.gates.ravel(), self.seen.ravel()])
+
+    @staticmethod
+    def unpacked(flat: np.ndarray, contexts: int) -> Weights:
+        n = 2 + contexts * _GATES
+        return Weights(float(flat[0]), float(flat[1]), flat[2:n].reshape(contexts, _GATES), flat[n:].reshape(2, _CELLS))
+
+
+class Learner:
+    """A task's online pass over texts: weights that take a step after every STEP_BITS bits."""
+
+    def __init__(self, weights: Weights, step: float):
+        self.first, self.bias, self.gates = weights.first, weights.bias, weights.gates.astype(np.float64).copy()
+        self.seen, self.step, self.n = np.zeros((2, _CELLS)), step, 0
+
+    def learn(self, code: Code, symbols: np.ndarray, contexts: list[np.ndarray], tables: np.ndarray) -> None:
+        """Go through the bits of the symbols in order, with the states of ``tables`` (context, slot)."""
+        per = code.per(symbols)
+        bits = tables.shape[1].bit_length() - 1
+        for at in range(0, len(symbols), per):
+            n, where = code.passed(symbols[at : at + per])
+            place, bit, x0 = code.place[where], code.bits[where], code.own[where]
+            held = [t[_slots(c[at : at + per], n, place, bits)] for t, c in zip(tables, contexts)]
+            for k in range(0, len(bit), STEP_BITS):
+                part = slice(k, k + STEP_BITS)
+                self._step(bit[part], x0[part], [h[part] for h in held])
+        self.n += int(code.length[symbols].sum())
+
+    def _step(self, bit: np.ndarray, x0: np.ndarray, held: list[np.ndarray]) -> None:
         z = x0 * self.first + self.bias
-        for k, (x, g) in enumerate(inputs):
-            z = z + self.weights[k][g] * x
-        return np.clip(z, -_BOUND, _BOUND)
+        for w, h in zip(self.gates, held):
+            z += (np.repeat(w, 64) * _LOGITS)[h]
+        np.clip(z, -_BOUND, _BOUND, out=z)
+        cell = np.minimum((z + _BOUND) * (_CELLS / (2 * _BOUND)), _CELLS - 1).astype(np.int64)
+        ones = np.bincount(cell, bit, _CELLS)
+        self.seen += [np.bincount(cell, minlength=_CELLS) - ones, ones]
+        wrong = bit - 1 / (1 + np.exp(-z))
+        self.first += self.step * float(wrong @ x0) / len(bit)
+        self.bias += self.step * float(wrong.mean())
+        for w, h in zip(self.gates, held):
+            met = np.maximum(np.bincount(h, minlength=256).reshape(_GATES, 64).sum(axis=1), 64)
+            w += self.step * (np.bincount(h, wrong, 256) * _LOGITS).reshape(_GATES, 64).sum(axis=1) / met
+
+    def row(self) -> bytes:
+        """What the task hands on: weights times bits, the cells, and the bits."""
+        told = Weights(self.first, self.bias, self.gates, self.seen).packed()
+        told[: -self.seen.size] *= self.n
+        return np.append(told, self.n).tobytes()
+
+
+def averaged(rows: list[bytes], before: Weights) -> Weights:
+    """Weights of all tasks, each by its bits; the cells of all are added up."""
+    if not rows or (total := (added := np.sum([np.frombuffer(r) for r in rows], axis=0))[-1]) == 0:
+        return before
+    flat = added[:-1]
+    flat[: -before.seen.size] /= total
+    return Weights.unpacked(flat, len(before.gates))
+
+
+class Mixer:
+    """Weights folded into one value a state and context, and the last stage, for scoring."""
 
-    def _learn_last(self, z: np.ndarray, bit: np.ndarray) -> None:
-        """The cost of either bit at every level of the sum: half the sum, half what its cell turned out to be."""
+    def __init__(self, code: Code, tables: np.ndarray, weights: Weights):
+        self.code, self.tables, self.weights = code, tables, weights
+        self.values = [(np.repeat(w, 64) * _LOGITS).astype(np.float32) for w in weights.gates]
+        self.own = (code.own * weights.first + weights.bias).astype(np.float32)
         centre = (np.arange(_CELLS) + 0.5) * (2 * _BOUND / _CELLS) - _BOUND
-        cell = np.minimum((z + _BOUND) * (_CELLS / (2 * _BOUND)), _CELLS - 1).astype(np.int64)
         prior = 1 / (1 + np.exp(-centre))
-        p = (np.bincount(cell, bit, _CELLS) + 30 * prior) / (np.bincount(cell, minlength=_CELLS) + 30)
+        p = (weights.seen[1] + 30 * prior) / (weights.seen.sum(axis=0) + 30)
         level = np.arange(-_BOUND * _FINE, _BOUND * _FINE + 1) / _FINE
+        #: Half the sum, half what its cell turned out to be.
         refined = (level + np.interp(level, centre, np.log(p / (1 - p)))) / 2
         cost = np.stack([np.log1p(np.exp(refined)), np.log1p(np.exp(-refined))], axis=1) / np.log(10)
         self.cost = cost.astype(np.float32).ravel()
@@ -226,11 +275,12 @@ class Mixer:
         """log10 of each symbol's probability."""
         out = np.zeros(len(symbols))
         per = self.code.per(symbols)
+        bits = self.tables.shape[1].bit_length() - 1
         for at in range(0, len(symbols), per):
             n, where = self.code.passed(symbols[at : at + per])
             place, z = self.code.place[where], self.own[where]
-            for t, c in zip(self.tables, contexts):
-                z += t[_slots(c[at : at + per], n, place)]
+            for v, t, c in zip(self.values, self.tables, contexts):
+                z += v[t[_slots(c[at : at + per], n, place, bits)]]
             z *= _FINE
             np.clip(z, -_BOUND * _FINE, _BOUND * _FINE, out=z)
             z += _BOUND * _FINE + 0.5
@@ -252,28 +302,20 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pc.not_equal(flat, "")), n
 
 
-def vocabulary(docs: DataFrame, learn: str) -> DataFrame:
-    """word, c: every word of every text and how often the texts where ``learn`` holds have it."""
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word, c: every word of every text and how often the texts where ``learn`` is true have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, COUNTED):
                 batch = whole.slice(at, COUNTED)
-                flat, n = tokens(batch.column("_text"))
-                learns = np.repeat(batch.column("_learn").to_numpy(zero_copy_only=False).astype(bool), n)
+                flat, n = tokens(batch.column("text"))
+                learns = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False).astype(bool), n)
                 counts, others = pc.value_counts(flat.filter(pa.array(learns))), pc.unique(flat.filter(pa.array(~learns)))
                 yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "c"])
                 yield pa.RecordBatch.from_arrays([others, pa.array(np.zeros(len(others), np.int64))], names=["word", "c"])
 
-    rows = docs.select(F.col(learn).alias("_learn"), F.col("text").alias("_text"))
-    return rows.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def drawn_texts(learned: DataFrame, rate: float, seed: int) -> list[tuple[str, int]]:
-    """Distinct texts drawn at ``rate`` by their hash, each once with its number of copies, in order."""
-    own = learned.select(F.coalesce("text", F.lit("")).alias("text"))
-    drawn = own.where(unit_hash("text", F.lit(seed)) < rate).groupBy("text").agg(F.count(F.lit(1)).alias("c"))
-    return sorted((r["text"], r["c"]) for r in drawn.collect())
+    return docs.select("learn", "text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _fewer(df: DataFrame) -> DataFrame:
@@ -281,50 +323,87 @@ def _fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _added(parts: DataFrame, n: int) -> np.ndarray:
-    """Tables (context, slot, bit) from rows (k, part, counts), added up by Spark."""
-    width = (1 << SLOT_BITS) // PARTS
+_PARTS_SCHEMA = "k bigint, part bigint, kind string, counts binary"
+
+
+def _in_parts(tables: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A task's tables (fold, context, slot, bit) in parts, each in the narrowest integers that hold it; k is fold and context."""
+    for k, table in enumerate(tables.reshape(-1, *tables.shape[2:])):
+        rows = []
+        for p, t in enumerate(np.split(table.ravel(), PARTS)):
+            if t.any():
+                kind = next(x for x in ("<u1", "<u2", "<u4") if t.max() <= np.iinfo(x).max)
+                rows.append((k, p, kind, t.astype(kind).tobytes()))
+        yield pd.DataFrame(rows, columns=["k", "part", "kind", "counts"])
+
+
+def _added(parts: DataFrame, n: int, bits: int) -> np.ndarray:
+    """States (fold 0, fold 1, or both; context; slot) of tables added up by Spark from rows (k, part, kind, counts)."""
+    width = (1 << bits) // PARTS
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for k, p, kind, raw in zip(b["k"], b["part"], b["kind"], b["counts"]):
-                own = held.setdefault((k, p), np.zeros(2 * width, np.int64))
-                own += np.frombuffer(raw, kind)
-        rows = [(*key, np.minimum(v, _MOST).astype("<i4").tobytes()) for key, v in held.items()]
-        yield pd.DataFrame(rows, columns=["k", "part", "counts"])
-
-    tables = np.zeros((n, 1 << SLOT_BITS, 2), np.int32)
-    done = parts.repartition("k", "part").mapInPandas(add, "k int, part int, counts binary")
+                own = held.setdefault((k % n, p), np.zeros((2, 2 * width), np.float32))
+                own[k // n] += np.frombuffer(raw, kind)
+        rows = []
+        for (k, p), v in held.items():
+            v = np.stack([v[0], v[1], v[0] + v[1]]).reshape(3, width, 2)
+            rows.append((k, p, states(v[..., 0], v[..., 1]).tobytes()))
+        yield pd.DataFrame(rows, columns=["k", "part", "states"])
+
+    none = states(np.zeros(1, np.float32), np.zeros(1, np.float32))[0]
+    tables = np.full((3, n, 1 << bits), none, np.uint8)
+    own = parts.withColumn("of", F.col("k") % n)
+    done = own.repartition("of", "part").drop("of").mapInPandas(add, "k int, part int, states binary")
     for r in done.toLocalIterator():
-        tables[r["k"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], "<i4").reshape(-1, 2)
+        tables[:, r["k"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["states"], np.uint8).reshape(3, width)
     return tables
 
 
-_PARTS_SCHEMA = "k bigint, part bigint, kind string, counts binary"
-#: Counts beyond this are taken as it; a logit doesn't tell them apart.
-_MOST = (1 << 31) - 1
+#: Goes through a batch: (fold, symbols, contexts) of what is in it.
+Reader = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, list[np.ndarray]]]]
 
 
-def _in_parts(tables: np.ndarray) -> Iterator[pd.DataFrame]:
-    """A task's tables in parts, each in the narrowest integers that hold it."""
-    for k in range(len(tables)):
-        rows = []
-        for p, t in enumerate(np.split(tables[k].ravel(), PARTS)):
-            if t.any():
-                kind = next(x for x in ("<u1", "<u2", "<u4", "<i8") if t.max() <= np.iinfo(x).max)
-                rows.append((k, p, kind, t.astype(kind).tobytes()))
-        yield pd.DataFrame(rows, columns=["k", "part", "kind", "counts"])
+def _counted(df: DataFrame, read: Reader, code: Broadcast, contexts: int, bits: int) -> np.ndarray:
+    """States of all that ``read`` finds in ``df``, by folds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((2, contexts, 1 << bits, 2), np.uint32)
+        for b in batches:
+            for fold, s, c in read(b):
+                tally(code.value, s, c, tables[fold])
+        for part in _in_parts(tables):
+            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
+
+    return _added(_fewer(df).mapInArrow(count, _PARTS_SCHEMA), contexts, bits)
+
+
+def _learned(df: DataFrame, read: Reader, code: Broadcast, tables: np.ndarray) -> Weights:
+    """Weights after two rounds over all that ``read`` finds in ``df``; each fold learns on the other's counts."""
+    weights = Weights.start(tables.shape[1])
+    held = df.sparkSession.sparkContext.broadcast(tables[:2])
+    for step in STEPS:
+
+        def learn(batches: Iterator[pa.RecordBatch], start: Weights = weights, step: float = step) -> Iterator[pa.RecordBatch]:
+            own = Learner(start, step)
+            for b in batches:
+                for fold, s, c in read(b):
+                    own.learn(code.value, s, c, held.value[1 - fold])
+            yield pa.RecordBatch.from_arrays([pa.array([own.row()], pa.binary())], names=["row"])
+
+        weights = averaged([r["row"] for r in df.mapInArrow(learn, "row binary").collect()], weights)
+    held.unpersist()
+    return weights
 
 
 class Model:
-    """What scoring needs in a task: symbols and their base scores, and the mixers."""
+    """What tasks need to read texts: the symbols, their counts and their base scores."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, base: np.ndarray, code: Code):
+    def __init__(self, words: list[str], counts: np.ndarray, base: np.ndarray):
         self.words = pa.array(words, pa.string())
-        self.counts, self.base, self.code = counts, base, code
-        self.text: Mixer | None = None
-        self.rare: Mixer | None = None
+        self.counts, self.base = counts, base
 
     def symbols(self, flat: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the texts one after another, an end after each, and where each text begins."""
@@ -337,23 +416,27 @@ class Model:
         return s, ends - n
 
 
-def score(docs: DataFrame, learn: str, keep: list[str], seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of every document with its scores by a model of the texts where ``learn`` is true.
 
     Adds n_tokens (words and an end), n_known (tokens that training has), train_tokens, n_bytes (of the
     words, a space or end after each), base_score (log10 by add-half word counts), score (log10
     probability by the mixed model) and bits_per_byte. Null and empty texts are an end alone. Without
-    training texts all words are unknown. Repeated rows stay rows; an empty table gives no rows.
+    training texts all words are unknown. Repeated rows stay rows, and train as often; equal texts have
+    equal scores; an empty table gives no rows. Columns other than text, ``learn`` and ``keep`` are not
+    looked at.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.withColumn("_learn", F.coalesce(F.col(learn), F.lit(False)))
-    vocab = materialize(vocabulary(docs, "_learn"))
+    #: The user's columns travel as one, so their names can't meet ours.
+    row = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    docs = docs.select(row.alias("row"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.col("text").alias("text"))
+    vocab = materialize(vocabulary(docs))
     known = vocab.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ends, texts = docs.where("_learn").agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64("text"))).first()
+    ends = docs.where("learn").count()
     total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
     level = F.floor(F.log2("c") * 64).cast("int")
-    room, cut = SYMBOLS, None
+    room, cut = min(MOST_SYMBOLS, max(FEWEST_SYMBOLS, total // PER_SYMBOL)), None
     for r in sorted(vocab.where("c > 1").groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
         room -= r["count"]
         if room < 0:
@@ -362,73 +445,65 @@ def score(docs: DataFrame, learn: str, keep: list[str], seed: int = 3) -> DataFr
     frequent = (level >= cut) & (F.col("c") > 1) if cut is not None else F.lit(False)
     top = vocab.where(frequent).orderBy(F.desc("c"), "word").collect()
     words, counts = [r["word"] for r in top], np.array([r["c"] for r in top], np.int64)
+    del top
     below = 0.5 * (distinct + 1) + total
     own = np.r_[max(0, total - ends - counts.sum()), ends, counts]
-    base = np.log10((own + 0.5) / below)
-    model = Model(words, own, base, Code(own))
-    held = spark.sparkContext.broadcast(model)
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        tables = np.zeros((2, 1 << SLOT_BITS, 2), np.int32)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                s, begins = m.symbols(*tokens(b.column("text").slice(at, 512)))
-                tally(m.code, s, symbol_contexts(s, begins), tables)
-        for part in _in_parts(tables):
-            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
-
-    learned = docs.where("_learn").select("text")
-    tables = _added(_fewer(learned).mapInArrow(contexts, _PARTS_SCHEMA), 2)
-    mixer = Mixer(model.code, tables)
-    drawn = drawn_texts(learned, FIT_TEXTS / max(texts, 1), seed) if ends else []
-    s, begins = model.symbols(*tokens(pa.array([t for t, _ in drawn], pa.string())))
-    once = np.repeat(np.array([c for _, c in drawn], np.int64), np.diff(np.r_[begins, len(s)])) if drawn else None
-    mixer.fit(s, symbol_contexts(s, begins), tables, once)
-    model.text = mixer
-    del tables, s, begins
+    code = Code(own)
+    model = spark.sparkContext.broadcast(Model(words, own, np.log10((own + 0.5) / below)))
+    symbol_code = spark.sparkContext.broadcast(code)
+
+    def texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        for fold in (0, 1):
+            some = b.column("text").filter(pc.equal(b.column("fold"), fold))
+            for at in range(0, len(some), 512):
+                s, begins = model.value.symbols(*tokens(some.slice(at, 512)))
+                yield fold, s, symbol_contexts(s, begins)
+
+    learned = docs.where("learn").select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+    slots = min(MOST_BITS, max(FEWEST_BITS, int(total // PER_SLOT).bit_length()))
+    tables = _counted(learned, texts, symbol_code, 2, slots)
+    mixer = Mixer(code, tables[2].copy(), _learned(learned, texts, symbol_code, tables))
+    del tables
 
     rare = vocab.where(~frequent)
     letters = Code(np.bincount(np.frombuffer(" ".join(words).encode() + bytes(range(256)), np.uint8), minlength=256))
-
-    def spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = np.zeros((4, 1 << SLOT_BITS, 2), np.int32)
-        for b in batches:
-            for at in range(0, len(b), 20_000):
-                some = b.iloc[at : at + 20_000]
-                s, begins, ctx = spelled([w.encode() for w in some["word"]])
-                n = np.diff(np.r_[begins, len(s)])
-                tally(letters, s, ctx, tables, np.repeat(some["c"].to_numpy(), n))
-        yield from _in_parts(tables)
-
-    shown = rare.where("c > 0")
-    tables = _added(_fewer(shown).mapInPandas(spellings, _PARTS_SCHEMA), 4)
-    speller = Mixer(letters, tables)
-    n_rare = max(1, shown.count())
-    drawn = sorted((r["word"].encode(), r["c"]) for r in shown.where(unit_hash("word", F.lit(seed)) < FIT_WORDS / n_rare).collect())
-    s, begins, ctx = spelled([w for w, _ in drawn] or [b""])
-    once = np.repeat(np.array([c for _, c in drawn] or [0]), np.diff(np.r_[begins, len(s)]))
-    speller.fit(s, ctx, tables, once)
+    letter_code = spark.sparkContext.broadcast(letters)
+
+    def spellings(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        for fold in (0, 1):
+            some = b.column("word").filter(pc.equal(b.column("fold"), fold))
+            for at in range(0, len(some), 20_000):
+                s, _, c = spelled([w.encode() for w in some.slice(at, 20_000).to_pylist()])
+                yield fold, s, c
+
+    #: New words are spelled as words that training has rarely, each once.
+    shown = rare.where("c > 0").select("word", F.pmod(F.xxhash64("word"), F.lit(2)).cast("int").alias("fold"))
+    tables = _counted(shown, spellings, letter_code, 4, SPELLING_BITS)
+    speller = Mixer(letters, tables[2].copy(), _learned(shown, spellings, letter_code, tables))
     del tables
-    model.rare = speller
-    final = spark.sparkContext.broadcast(model)
+    #: Of the escaped words in training, how many it has elsewhere too.
+    seen = rare.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("again")).first()
+    escaped, again = seen["all"] or 0, ((seen["again"] or 0) + 0.5) / ((seen["all"] or 0) + 1)
+    text_mixer, word_mixer = spark.sparkContext.broadcast(mixer), spark.sparkContext.broadcast(speller)
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = final.value
         for b in batches:
             for at in range(0, len(b), 5_000):
                 some = b.iloc[at : at + 5_000]
                 s, begins, ctx = spelled([w.encode() for w in some["word"]])
-                yield pd.DataFrame({"word": some["word"].tolist(), "c": some["c"].to_numpy(), "lp": np.add.reduceat(m.rare.log10(s, ctx), begins)})
+                yield pd.DataFrame({"word": some["word"].tolist(), "c": some["c"].to_numpy(), "new": np.add.reduceat(word_mixer.value.log10(s, ctx), begins)})
 
-    rare_scored = rare.mapInPandas(spell, "word string, c bigint, lp double")
+    by_count = F.lit(again) * F.col("c") / F.lit(float(max(1, escaped)))
+    rare_scored = rare.mapInPandas(spell, "word string, c bigint, new double").select(
+        "word", "c", F.log10(by_count + F.lit(1 - again) * F.pow(F.lit(10.0), F.greatest("new", F.lit(-300.0)))).alias("lp")
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = final.value
+        m = model.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                flat, words_in = tokens(batch.column("_text"))
+                flat, words_in = tokens(batch.column("text"))
                 s, begins = m.symbols(flat, words_in)
                 escaped = s == ESCAPE
                 rare_in = np.add.reduceat(escaped.astype(np.int32), begins)
@@ -440,27 +515,25 @@ def score(docs: DataFrame, learn: str, keep: list[str], seed: int = 3) -> DataFr
                     pa.array(np.add.reduceat((~escaped & (m.counts[s] > 0)).astype(np.int64), begins)),
                     pa.array(lengths[edges] - lengths[edges - words_in] + words_in + 1),
                     pa.array(np.add.reduceat(np.where(escaped, 0.0, m.base[s]), begins)),
-                    pa.array(np.add.reduceat(m.text.log10(s, symbol_contexts(s, begins)), begins)),
+                    pa.array(np.add.reduceat(text_mixer.value.log10(s, symbol_contexts(s, begins)), begins)),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_in)], pa.int32()), flat.filter(pa.array(escaped[~ends]))),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *more], names=names)
 
-    fields = [T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    schema = T.StructType(fields + T._parse_datatype_string("n_tokens bigint, known bigint, n_bytes bigint, base double, mixed double, odd array<string>").fields)
+    schema = T.StructType([T.StructField("row", docs.schema["row"].dataType), *T._parse_datatype_string("n_tokens bigint, known bigint, n_bytes bigint, base double, mixed double, odd array<string>").fields])
     names = [f.name for f in schema.fields]
-    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text")).mapInArrow(read, schema)
-    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
-    odd = rows.select("_row", F.explode("odd").alias("word"))
+    rows = materialize(docs.select("row", "text").mapInArrow(read, schema).withColumn("id", F.monotonically_increasing_id()))
+    odd = rows.select("id", F.explode("odd").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     met = odd.join(rare_scored, "word")
-    more = met.groupBy(F.col("_row").alias("_r")).agg(
-        F.count_if(F.col("c") > 0).alias("known2"),
-        F.sum(F.log10((F.col("c") + 0.5) / below)).alias("base2"),
-        F.sum("lp").alias("mixed2"),
+    more = met.groupBy(F.col("id").alias("of")).agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known2"),
+        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / below)).alias("base2"),
+        F.sum(F.col("n") * F.col("lp")).alias("mixed2"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     score_ = F.col("mixed") + F.coalesce("mixed2", F.lit(0.0))
-    return rows.join(more, F.col("_row") == F.col("_r"), "left").select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
+    return rows.join(more, F.col("id") == F.col("of"), "left").select(
+        *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)],
         "n_tokens",
         (F.col("known") + zero("known2")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

@@ -180,35 +180,145 @@ def test_lm(spark):
     known = [i for i in range(300) if i % 5 == 1]
     assert sum(got[i]["score"] for i in known) > 1.15 * sum(got[i]["base_score"] for i in known)
     assert contextmix.score(docs.where("false"), "learn", ["doc_id"]).count() == 0
+    named = docs.limit(20).withColumns({c: F.lit("mine") for c in ("row", "id", "word", "n_tokens", "known", "c", "fold")})
+    assert {r["word"] for r in contextmix.score(named, "learn", ["doc_id", "word", "id", "row"]).collect()} == {"mine"}
     untaught = contextmix.score(docs.limit(5).withColumn("learn", F.lit(None).cast("boolean")), "learn", ["doc_id"])
     assert {r["n_known"] for r in untaught.collect()} == {0}
 
 
-def test_lm_fits_on_distinct_texts(spark, monkeypatch):
-    """Copies of a text are drawn once, and all of their own counts are left out."""
-    texts = ["the same words again"] * 200 + [f"text {i} of many" for i in range(40)] + [None, ""]
-    docs = docs_of(spark, texts).withColumn("learn", F.lit(True))
-    drawn = contextmix.drawn_texts(docs.select("text"), 1.0, 3)
-    assert len(drawn) == 42 and dict(drawn)["the same words again"] == 200 and dict(drawn)[""] == 2
-    seen, fit = [], contextmix.Mixer.fit
-    monkeypatch.setattr(contextmix.Mixer, "fit", lambda self, *a: (seen.append((len(a[0]), a[3] if len(a) > 3 else None)), fit(self, *a))[1])
-    contextmix.score(docs, "learn", ["doc_id"])
-    n, once = seen[0]
-    assert n == 5 + 40 * 5 + 1 and once is not None and sorted(set(once.tolist())) == [1, 2, 200]
+def plain_mix(code, passes, k, bits, starts):
+    """A mix in plain Python: (table, weights) learned from passes[fold] = [(symbols, contexts), ...], each folds's on the other's counts."""
+    path = lambda s: [(int(code.place[i]), int(code.bits[i]), float(code.own[i])) for i in range(code.start[s], code.start[s] + code.length[s])]
+    slot = lambda c, place: (int(c) ^ place) >> (32 - bits)
+    counts = [Counter(), Counter()]
+    for fold in (0, 1):
+        for symbols, contexts in passes[fold]:
+            for n, s in enumerate(symbols):
+                for place, bit, _ in path(s):
+                    for c in range(k):
+                        counts[fold][c, slot(contexts[c][n], place), bit] += 1
+
+    def state(held, c, at):
+        zeros, ones = held[c, at, 0], held[c, at, 1]
+        level = min(31, max(-32, round(math.log((ones + 0.4) / (zeros + 0.4)) / 0.28)))
+        return sum(zeros + ones > x for x in (0, 2, 20)), level * 0.28
+
+    first, bias, w, seen = starts.first, starts.bias, starts.gates.tolist(), {}
+    for step in contextmix.STEPS:
+        seen = Counter()
+        for fold in (0, 1):
+            for symbols, contexts in passes[fold]:
+                every = [(x, [state(counts[1 - fold], c, slot(contexts[c][n], x[0])) for c in range(k)]) for n, s in enumerate(symbols) for x in path(s)]
+                for at in range(0, len(every), contextmix.STEP_BITS):
+                    part, wrong = every[at : at + contextmix.STEP_BITS], []
+                    for (_, bit, own), held in part:
+                        z = min(12, max(-12, own * first + bias + sum(w[c][g] * x for c, (g, x) in enumerate(held))))
+                        seen[min(47, int((z + 12) * 2)), bit] += 1
+                        wrong.append(bit - 1 / (1 + math.exp(-z)))
+                    first += step * sum(e * x[2] for e, (x, _) in zip(wrong, part)) / len(part)
+                    bias += step * sum(wrong) / len(part)
+                    for c in range(k):
+                        for g in range(4):
+                            met = [(e, h[c][1]) for e, (_, h) in zip(wrong, part) if h[c][0] == g]
+                            w[c][g] += step * sum(e * x for e, x in met) / max(64, len(met))
+    both = counts[0] + counts[1]
+    centres = [(i + 0.5) / 2 - 12 for i in range(48)]
+    turned = []
+    for i, c in enumerate(centres):
+        p = (seen[i, 1] + 30 / (1 + math.exp(-c))) / (seen[i, 0] + seen[i, 1] + 30)
+        turned.append(math.log(p / (1 - p)))
+
+    def log10(s, contexts):
+        out = 0.0
+        for place, bit, own in path(s):
+            z = own * first + bias
+            for c in range(k):
+                g, x = state(both, c, slot(contexts[c], place))
+                z += w[c][g] * x
+            z = math.floor((min(12, max(-12, z)) + 12) * 64 + 0.5) / 64 - 12
+            z = (z + float(np.interp(z, centres, turned))) / 2
+            out -= math.log10(1 + math.exp(-z if bit else z))
+        return out
+
+    return log10
+
+
+def test_lm_equals_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(contextmix, "FEWEST_SYMBOLS", 40)
+    rnd = random.Random(12)
+    vocab = [f"w{chr(97 + i % 26)}{i}" for i in range(150)]
+    texts = [" ".join(rnd.choice(vocab[: rnd.choice([12, 150])]) for _ in range(rnd.randint(0, 30))) for _ in range(90)]
+    texts += [texts[0], texts[0], None, "", "neverseen wa0 WB1"]
+    docs = docs_of(spark, texts).withColumn("learn", F.col("doc_id") % 4 != 1).coalesce(1)
+    got = {r["doc_id"]: r for r in contextmix.score(docs, "learn", ["doc_id"]).collect()}
+    split = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    learns = [i for i in range(len(texts)) if i % 4 != 1]
+    c = Counter(w for i in learns for w in split[i])
+    total = sum(c.values()) + len(learns)
+    levels, room, cut = Counter(math.floor(math.log2(n) * 64) for n in c.values() if n > 1), 40, None
+    for x in sorted(levels, reverse=True):
+        room -= levels[x]
+        if room < 0:
+            break
+        cut = x
+    words = sorted((w for w, n in c.items() if n > 1 and math.floor(math.log2(n) * 64) >= cut), key=lambda w: (-c[w], w))
+    assert 5 < len(words) <= 40
+    own = np.array([total - len(learns) - sum(c[w] for w in words), len(learns), *[c[w] for w in words]], np.int64)
+    code, number = contextmix.Code(own), {w: n + 2 for n, w in enumerate(words)}
+    fold = {r["t"]: r["f"] for r in spark.createDataFrame([(t,) for t in {*texts, *c}], "t string").selectExpr("t", "cast(pmod(xxhash64(t), 2) as int) f").collect()}
+
+    def read(ids):
+        s, begins = [], []
+        for i in ids:
+            begins.append(len(s))
+            s += [number.get(w, 0) for w in split[i]] + [1]
+        return np.array(s, np.int32), contextmix.symbol_contexts(np.array(s, np.int32), np.array(begins))
+
+    passes = [[read([i for i in learns if fold[texts[i]] == f])] for f in (0, 1)]
+    mix = plain_mix(code, passes, 2, contextmix.FEWEST_BITS, contextmix.Weights.start(2))
+    letters = contextmix.Code(np.bincount(np.frombuffer(" ".join(words).encode() + bytes(range(256)), np.uint8), minlength=256))
+    rare = [w for w in c if w not in number]
+    order = [r["word"] for r in contextmix.vocabulary(docs.select("text", "learn")).where("c > 0").collect() if r["word"] in set(rare)]
+    passes = [[contextmix.spelled([w.encode() for w in order if fold[w] == f])[::2]] for f in (0, 1)]
+    spell = plain_mix(letters, passes, 4, contextmix.SPELLING_BITS, contextmix.Weights.start(4))
+    again = (sum(c[w] for w in rare if c[w] > 1) + 0.5) / (sum(c[w] for w in rare) + 1)
+    for i in range(len(texts)):
+        s, ctx = read([i])
+        want = sum(mix(x, [k[n] for k in ctx]) for n, x in enumerate(s))
+        for w in split[i]:
+            if w not in number:
+                b, _, ctx2 = contextmix.spelled([w.encode()])
+                new = sum(spell(x, [k[n] for k in ctx2]) for n, x in enumerate(b))
+                want += math.log10(again * c[w] / max(1, sum(c[w] for w in rare)) + (1 - again) * 10**new)
+        assert abs(got[i]["score"] - want) < 0.01 * abs(want) + 0.05, (i, got[i]["score"], want)
+    assert got[0]["score"] == got[90]["score"] == got[91]["score"]
+
+
+def test_lm_averages_tasks_by_bits():
+    """Two tasks' weights count by the bits they saw; cells add up; tasks without bits don't count."""
+    start = contextmix.Weights.start(1)
+    one, two, none = (contextmix.Learner(start, 0.1) for _ in range(3))
+    one.first, one.n, two.first, two.n = 1.0, 30, 3.0, 10
+    one.seen[0, 3], two.seen[0, 3] = 4, 5
+    got = contextmix.averaged([one.row(), two.row(), none.row()], start)
+    assert got.first == 1.5 and got.seen[0, 3] == 9 and np.allclose(got.gates, start.gates)
+    assert contextmix.averaged([none.row()], start) is start and contextmix.averaged([], start) is start
 
 
 def test_mixer_is_a_distribution():
-    """Probabilities of all symbols in a context add up to one, and words with all closings to at most one."""
+    """Probabilities of all symbols in a context add up to one."""
     pick = np.random.default_rng(0)
     counts = pick.integers(0, 1000, 300)
     code = contextmix.Code(counts)
     s = pick.choice(300, 4000, p=counts / counts.sum()).astype(np.int32)
     ctx = contextmix.symbol_contexts(s, np.array([0]))
-    tables = np.zeros((2, 1 << contextmix.SLOT_BITS, 2), np.int32)
+    tables = np.zeros((2, 1 << 18, 2), np.uint32)
     contextmix.tally(code, s, ctx, tables)
     assert tables.sum() == 2 * code.length[s].sum()
-    m = contextmix.Mixer(code, tables)
-    m.fit(s, ctx, tables)
+    held = contextmix.states(tables[..., 0].astype(np.float32), tables[..., 1].astype(np.float32))
+    own = contextmix.Learner(contextmix.Weights.start(2), 0.02)
+    own.learn(code, s, ctx, held)
+    m = contextmix.Mixer(code, held, contextmix.averaged([own.row()], contextmix.Weights.start(2)))
     every = np.arange(300, dtype=np.int32)
     one = [np.full(300, c[17], np.uint32) for c in ctx]
     assert abs((10.0 ** m.log10(every, one)).sum() - 1) < 0.02
