@@ -40,12 +40,12 @@ from paddock.llm.common import materialize
 from paddock.session import ship
 
 #: Counted words for one symbol, fewest and most symbols; counted words for a slot, fewest and most bits of a slot's number.
-PER_SYMBOL, FEWEST_SYMBOLS, MOST_SYMBOLS = 512, 1 << 14, 1 << 17
+PER_SYMBOL, FEWEST_SYMBOLS, MOST_SYMBOLS = 512, 1 << 14, 1 << 16
 PER_SLOT, FEWEST_BITS, MOST_BITS = 32, 18, 22
 #: Slots of the spelling contexts (bits), parts that a table is added up in, texts whose words are counted at once.
 SPELLING_BITS, PARTS, COUNTED = 20, 512, 2_048
 #: Bits that are scored at once, and bits of a learning step; the step of each round.
-CHUNK, STEP_BITS, STEPS = 1 << 20, 2_048, (0.02, 0.005)
+CHUNK, STEP_BITS, STEPS = 1 << 20, 4_096, (0.1, 0.02)
 ESCAPE, END, FIRST = 0, 1, 2
 _GATES = 4
 #: Sums are told apart by this fraction, up to this bound; the last stage learns in wider cells.
@@ -217,27 +217,35 @@ class Learner:
         bits = tables.shape[1].bit_length() - 1
         for at in range(0, len(symbols), per):
             n, where = code.passed(symbols[at : at + per])
-            place, bit, x0 = code.place[where], code.bits[where], code.own[where]
-            held = [t[_slots(c[at : at + per], n, place, bits)] for t, c in zip(tables, contexts)]
-            for k in range(0, len(bit), STEP_BITS):
-                part = slice(k, k + STEP_BITS)
-                self._step(bit[part], x0[part], [h[part] for h in held])
+            place, bit, x0 = code.place[where], code.bits[where].astype(np.float32), code.own[where]
+            held = [t[_slots(c[at : at + per], n, place, bits)].astype(np.intp) for t, c in zip(tables, contexts)]
+            #: How many bits of each step have each gate.
+            steps = np.arange(len(bit)) // STEP_BITS * _GATES
+            met = [np.maximum(np.bincount(steps + (h >> 6), minlength=len(bit) // STEP_BITS * _GATES + _GATES), 64).reshape(-1, _GATES) for h in held]
+            for k, begin in enumerate(range(0, len(bit), STEP_BITS)):
+                part = slice(begin, begin + STEP_BITS)
+                self._step(bit[part], x0[part], [h[part] for h in held], [m[k] for m in met])
         self.n += int(code.length[symbols].sum())
 
-    def _step(self, bit: np.ndarray, x0: np.ndarray, held: list[np.ndarray]) -> None:
-        z = x0 * self.first + self.bias
+    def _step(self, bit: np.ndarray, x0: np.ndarray, held: list[np.ndarray], met: list[np.ndarray]) -> None:
+        z = x0 * np.float32(self.first)
+        z += np.float32(self.bias)
         for w, h in zip(self.gates, held):
-            z += (np.repeat(w, 64) * _LOGITS)[h]
+            z += (np.repeat(w, 64) * _LOGITS).astype(np.float32)[h]
         np.clip(z, -_BOUND, _BOUND, out=z)
-        cell = np.minimum((z + _BOUND) * (_CELLS / (2 * _BOUND)), _CELLS - 1).astype(np.int64)
-        ones = np.bincount(cell, bit, _CELLS)
-        self.seen += [np.bincount(cell, minlength=_CELLS) - ones, ones]
-        wrong = bit - 1 / (1 + np.exp(-z))
+        cell = ((z + _BOUND) * np.float32(_CELLS / (2 * _BOUND))).astype(np.intp)
+        cell[cell == _CELLS] = _CELLS - 1
+        of = np.bincount(cell + _CELLS * (bit > 0), minlength=2 * _CELLS).reshape(2, _CELLS)
+        self.seen += of
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        wrong = bit - 1 / z
         self.first += self.step * float(wrong @ x0) / len(bit)
         self.bias += self.step * float(wrong.mean())
-        for w, h in zip(self.gates, held):
-            met = np.maximum(np.bincount(h, minlength=256).reshape(_GATES, 64).sum(axis=1), 64)
-            w += self.step * (np.bincount(h, wrong, 256) * _LOGITS).reshape(_GATES, 64).sum(axis=1) / met
+        exact = wrong.astype(np.float64)
+        for w, h, m in zip(self.gates, held, met):
+            w += self.step * (np.bincount(h, exact, 256) * _LOGITS).reshape(_GATES, 64).sum(axis=1) / m
 
     def row(self) -> bytes:
         """What the task hands on: weights times bits, the cells, and the bits."""
@@ -259,7 +267,7 @@ class Mixer:
     """Weights folded into one value a state and context, and the last stage, for scoring."""
 
     def __init__(self, code: Code, tables: np.ndarray, weights: Weights):
-        self.code, self.tables, self.weights = code, tables, weights
+        self.tables, self.weights = tables, weights
         self.values = [(np.repeat(w, 64) * _LOGITS).astype(np.float32) for w in weights.gates]
         self.own = (code.own * weights.first + weights.bias).astype(np.float32)
         centre = (np.arange(_CELLS) + 0.5) * (2 * _BOUND / _CELLS) - _BOUND
@@ -271,14 +279,14 @@ class Mixer:
         cost = np.stack([np.log1p(np.exp(refined)), np.log1p(np.exp(-refined))], axis=1) / np.log(10)
         self.cost = cost.astype(np.float32).ravel()
 
-    def log10(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """log10 of each symbol's probability."""
+    def log10(self, code: Code, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """log10 of each symbol's probability by the code that the mixer was made with."""
         out = np.zeros(len(symbols))
-        per = self.code.per(symbols)
+        per = code.per(symbols)
         bits = self.tables.shape[1].bit_length() - 1
         for at in range(0, len(symbols), per):
-            n, where = self.code.passed(symbols[at : at + per])
-            place, z = self.code.place[where], self.own[where]
+            n, where = code.passed(symbols[at : at + per])
+            place, z = code.place[where], self.own[where]
             for v, t, c in zip(self.values, self.tables, contexts):
                 z += v[t[_slots(c[at : at + per], n, place, bits)]]
             z *= _FINE
@@ -286,7 +294,7 @@ class Mixer:
             z += _BOUND * _FINE + 0.5
             cell = z.astype(np.uint32)
             cell <<= np.uint32(1)
-            cell |= self.code.bits[where]
+            cell |= code.bits[where]
             ends = np.cumsum(n)
             out[at : at + per] = -np.add.reduceat(self.cost[cell], ends - n)
         return out
@@ -327,13 +335,16 @@ _PARTS_SCHEMA = "k bigint, part bigint, kind string, counts binary"
 
 
 def _in_parts(tables: np.ndarray) -> Iterator[pd.DataFrame]:
-    """A task's tables (fold, context, slot, bit) in parts, each in the narrowest integers that hold it; k is fold and context."""
+    """A task's tables (fold, context, slot, bit) in parts, each in the narrowest integers that hold it, packed; k is fold and context."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
     for k, table in enumerate(tables.reshape(-1, *tables.shape[2:])):
         rows = []
         for p, t in enumerate(np.split(table.ravel(), PARTS)):
             if t.any():
                 kind = next(x for x in ("<u1", "<u2", "<u4") if t.max() <= np.iinfo(x).max)
-                rows.append((k, p, kind, t.astype(kind).tobytes()))
+                rows.append((k, p, kind, pack(t.astype(kind).tobytes())))
         yield pd.DataFrame(rows, columns=["k", "part", "kind", "counts"])
 
 
@@ -342,11 +353,14 @@ def _added(parts: DataFrame, n: int, bits: int) -> np.ndarray:
     width = (1 << bits) // PARTS
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for k, p, kind, raw in zip(b["k"], b["part"], b["kind"], b["counts"]):
                 own = held.setdefault((k % n, p), np.zeros((2, 2 * width), np.float32))
-                own[k // n] += np.frombuffer(raw, kind)
+                own[k // n] += np.frombuffer(unpack(raw), kind)
         rows = []
         for (k, p), v in held.items():
             v = np.stack([v[0], v[1], v[0] + v[1]]).reshape(3, width, 2)
@@ -491,7 +505,7 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
             for at in range(0, len(b), 5_000):
                 some = b.iloc[at : at + 5_000]
                 s, begins, ctx = spelled([w.encode() for w in some["word"]])
-                yield pd.DataFrame({"word": some["word"].tolist(), "c": some["c"].to_numpy(), "new": np.add.reduceat(word_mixer.value.log10(s, ctx), begins)})
+                yield pd.DataFrame({"word": some["word"].tolist(), "c": some["c"].to_numpy(), "new": np.add.reduceat(word_mixer.value.log10(letter_code.value, s, ctx), begins)})
 
     by_count = F.lit(again) * F.col("c") / F.lit(float(max(1, escaped)))
     rare_scored = rare.mapInPandas(spell, "word string, c bigint, new double").select(
@@ -515,7 +529,7 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
                     pa.array(np.add.reduceat((~escaped & (m.counts[s] > 0)).astype(np.int64), begins)),
                     pa.array(lengths[edges] - lengths[edges - words_in] + words_in + 1),
                     pa.array(np.add.reduceat(np.where(escaped, 0.0, m.base[s]), begins)),
-                    pa.array(np.add.reduceat(text_mixer.value.log10(s, symbol_contexts(s, begins)), begins)),
+                    pa.array(np.add.reduceat(text_mixer.value.log10(symbol_code.value, s, symbol_contexts(s, begins)), begins)),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_in)], pa.int32()), flat.filter(pa.array(escaped[~ends]))),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), *more], names=names)

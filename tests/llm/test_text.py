@@ -321,4 +321,4 @@ def test_mixer_is_a_distribution():
     m = contextmix.Mixer(code, held, contextmix.averaged([own.row()], contextmix.Weights.start(2)))
     every = np.arange(300, dtype=np.int32)
     one = [np.full(300, c[17], np.uint32) for c in ctx]
-    assert abs((10.0 ** m.log10(every, one)).sum() - 1) < 0.02
+    assert abs((10.0 ** m.log10(code, every, one)).sum() - 1) < 0.02
