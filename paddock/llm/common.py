@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock.session import materialize, prepare, shared_dir
 
-__all__ = ["SPACE", "materialize", "row_key", "shared_dir", "table", "unit_hash", "word_count"]
+__all__ = ["SPACE", "materialize", "packed", "row_key", "shared_dir", "table", "unit_hash", "unpacked", "word_count"]
 
 #: White space between words, as a character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,5 +32,15 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols).alias("_key1"), F.xxhash64(F.lit("second"), *cols).alias("_key2")]
 
 
+def packed(keep: list[str]) -> Column:
+    """The user's columns as one, ``row``, so that their names can't meet an operator's own."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]).alias("row")
+
+
+def unpacked(keep: list[str], but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns that ``packed`` holds, without those whose names the operator's results bear."""
+    return [F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in but]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")

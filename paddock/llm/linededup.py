@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.common import SPACE, materialize, word_count
+from paddock.llm.common import SPACE, materialize, packed, unpacked, word_count
 
 #: Words that a repeated run must hold.
 RUN_WORDS = 50
@@ -88,24 +88,33 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     Lines are what \\n parts; blank lines between two deleted lines, or at a deleted run's end, go with
     the run. Documents are in order of doc_id (null first), then text; rows equal in both are one
     document and share its text. Null texts stay null, empty ones empty; a document whose every line is
-    repeated stays with an empty text. Other columns stay as they are.
+    repeated stays with an empty text. Other columns stay as they are, but for those named n_lines or
+    removed, which give way.
     """
     gone = (
-        repeated_lines(docs, run_words)
-        .groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
-        .agg(F.collect_list("pos").alias("_gone"))
+        repeated_lines(docs.select("doc_id", "text"), run_words)
+        .groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"))
+        .agg(F.collect_list("pos").alias("gone"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own_hash") == F.col("_text_hash"))
-    split = docs.withColumns({"_own_hash": F.xxhash64("text"), "_lines": F.split("text", "\n", -1)}).drop("text")
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
-    rest = F.transform(left, lambda i: F.get(F.col("_lines"), i))
-    met = split.join(gone, same, "left").withColumn("_rest", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(rest))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))
+    others = [c for c in docs.columns if c != "text"]
+    split = docs.select(packed(others), "doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
+    n = F.coalesce(F.size("lines"), F.lit(0))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
+    rest = F.transform(left, lambda i: F.get(F.col("lines"), i))
+    met = split.join(gone, same, "left").withColumn("rest", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(rest))
     text = F.when(
-        F.col("_gone").isNull() | F.exists("_rest", lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0), F.array_join("_rest", "\n")
-    ).otherwise(F.when(F.col("_lines").isNotNull(), F.lit("")))
+        F.col("gone").isNull() | F.exists("rest", lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0), F.array_join("rest", "\n")
+    ).otherwise(F.when(F.col("lines").isNotNull(), F.lit("")))
+    own = dict(zip(others, unpacked(others))) | {"text": text.alias("text")}
     return met.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("_lines").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.coalesce(F.array_sort("_gone"), F.array().cast("array<int>")).alias("removed"),
+        *[own[c] for c in docs.columns if c.lower() not in ("n_lines", "removed")],
+        F.when(F.col("lines").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")).alias("removed"),
     )
+
+
+def deduped(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """``dedup`` with the columns of ``docs`` alone, whatever their names."""
+    at = [f"c{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)]
+    return dedup(docs.toDF(*at), run_words).select(*at).toDF(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.common import SPACE, materialize, row_key, word_count
+from paddock.llm.common import SPACE, materialize, packed, row_key, unpacked, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -31,14 +31,26 @@ def apportion(parties: DataFrame, group: list[str], weight: str, seats: str, mos
     cutoff are ranked. Ties go to the lower ``id``.
     """
     whole = Window.partitionBy(*group)
-    share = F.coalesce(F.try_divide(F.col(weight), F.sum(weight).over(whole)), F.lit(0.0))
-    slack = F.ceil(share * F.count(F.lit(1)).over(whole) / 2) + 2
-    sure = F.greatest(F.lit(0).cast("long"), (F.floor(share * F.col(seats) + 0.5) - slack).cast("long"))
+    #: What each party gets in proportion when limits bind: in order of limit / weight, the parties before the first whose limit doesn't cut are full.
+    ratio = F.when(F.col(weight) > 0, F.col(most) / F.col(weight))
+    by_limit = Window.partitionBy(*group).orderBy(F.col("_ratio").asc_nulls_last(), F.col("id").asc_nulls_last())
+    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
+    met = (
+        parties.withColumn("_ratio", ratio)
+        .withColumn("_rest", F.col(seats) - F.coalesce(F.sum(F.when(F.col("_ratio").isNotNull(), F.col(most))).over(before), F.lit(0)))
+        .withColumn("_weights", F.sum(weight).over(whole) - F.coalesce(F.sum(weight).over(before), F.lit(0)))
+        .withColumn("_level", F.try_divide("_rest", "_weights"))
+        .withColumn("_nth", F.row_number().over(by_limit))
+        .withColumn("_water", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_nth", "_level"))).over(whole)["_level"])
+        .withColumn("_fair", F.when(F.col("_water").isNull(), F.when(F.col(weight) > 0, F.col(most)).otherwise(0)).otherwise(F.least(F.col(weight) * F.col("_water"), F.col(most).cast("double"))))
+    )
+    slack = F.ceil(F.coalesce(F.try_divide(F.col(weight), F.sum(weight).over(whole)), F.lit(0.0)) * F.count(F.lit(1)).over(whole) / 2) + 2
+    sure = F.greatest(F.lit(0).cast("long"), (F.floor(F.col("_fair") + 0.5) - slack).cast("long"))
     near = (
-        parties.withColumn("_sure", F.least(sure, F.col(most)))
+        met.withColumn("_sure", F.least(sure, F.col(most)))
         .withColumn("_slack", slack)
         .withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), (2 * F.col("_slack")).cast("long"))))
+        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), (2 * F.col("_slack") + 2).cast("long"))))
         .withColumn("_takes", (F.col("_sure") + F.col("_j") < F.col(most)) & (F.col(weight) > 0))
         .withColumn("_q", F.col(weight) / (2 * (F.col("_sure") + F.col("_j")) + 1))
     )
@@ -174,6 +186,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     Keeps the columns of ``docs``. Word ranges that make up a whole document keep its text as it is;
     others are words joined by a space. Documents that the mix doesn't take, and null or empty texts, go.
     Rows that agree in doc_id, source and text count as many times in the mix and pool what they draw.
+    Columns may have any names; an empty table gives no rows.
     """
     drawn = (
         mix(docs, seed)
@@ -181,12 +194,15 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
         .groupBy(*row_key("doc_id", "source", "text_hash"))
         .agg(F.sum("rounds").alias("rounds"), F.flatten(F.collect_list("arcs")).alias("arcs"), F.first("size").alias("size"))
     )
-    keyed = docs.withColumn("text_hash", F.xxhash64("text")).select("*", *row_key("doc_id", "source", "text_hash"))
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select(packed(others), "doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    keyed = held.select("row", "text", *row_key("doc_id", "source", "text_hash"))
     joined = keyed.join(drawn, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"])
     whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
-    pieces = joined.withColumn("_range", F.explode(F.concat(F.array_repeat(whole, F.col("rounds").cast("int")), F.col("arcs"))))
+    pieces = joined.withColumn("range", F.explode(F.concat(F.array_repeat(whole, F.col("rounds").cast("int")), F.col("arcs"))))
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    cut = F.when((F.col("_range.start") == 0) & (F.col("_range.end") == F.col("size")), F.col("text")).otherwise(
-        F.array_join(F.slice(words, (F.col("_range.start") + 1).cast("int"), (F.col("_range.end") - F.col("_range.start")).cast("int")), " ")
+    cut = F.when((F.col("range.start") == 0) & (F.col("range.end") == F.col("size")), F.col("text")).otherwise(
+        F.array_join(F.slice(words, (F.col("range.start") + 1).cast("int"), (F.col("range.end") - F.col("range.start")).cast("int")), " ")
     )
-    return pieces.withColumn("text", cut).select(*docs.columns)
+    own = dict(zip(others, unpacked(others))) | {"text": cut.alias("text")}
+    return pieces.select(*[own[c] for c in docs.columns])

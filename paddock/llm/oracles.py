@@ -41,9 +41,11 @@ ll as (select source, text, l, sum(words) as words from nn where words > 0 group
 fq as (select source, l, count(*) as n from ll group by 1, 2 having count(*) > {LINE_DOCS}),
 hs as (select source, count(distinct text) as host from documents group by 1),
 fr as (select fq.source, l from fq join hs on fq.source is not distinct from hs.source where n > host * {LINE_SHARE}),
+fl as (select ll.source, text, count(*) as n from ll join fr on fr.l = ll.l and fr.source is not distinct from ll.source group by 1, 2),
 dp as (select ll.source, text from ll left join fr on fr.l = ll.l and fr.source is not distinct from ll.source group by 1, 2 having sum(case when fr.l is null then words else 0 end) < sum(words) * {LEFT_SHARE})
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words) as base_failed,
-  not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words) and dp.text is null as kept from base b left join dp on dp.text = b.text and dp.source is not distinct from b.source"""
+  not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words) and dp.text is null as kept, coalesce(fl.n, 0) as lines_frequent
+from base b left join dp on dp.text = b.text and dp.source is not distinct from b.source left join fl on fl.text = b.text and fl.source is not distinct from b.source"""
 
 _ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|<SYS>|</SYS>|</?SYS>)', '\1\\.\2', 'g')"
 

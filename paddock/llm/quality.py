@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.common import SPACE, word_count
+from paddock.llm.common import SPACE, materialize, packed, unpacked, word_count
 from paddock.session import ship
 
 SYMBOLS = "#*$%&|<>"
@@ -91,7 +91,7 @@ def boilerplate(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
 
     Words of m copies of a text count m times in both the whole and the rest, so the share is the same.
     """
-    lines = _lines(docs)
+    lines = materialize(_lines(docs))
     frequent = lines.groupBy(F.col("source").alias("_source"), F.col("line").alias("_line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
     if line_share:
         hosts = docs.groupBy(F.col("source").alias("_host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_docs"))
@@ -115,46 +115,63 @@ def depleted(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LI
 
 
 def _judged(docs: DataFrame, keep: list[str], limits: dict[str, float]) -> DataFrame:
-    """``judge`` with _gone_lines, the hashes of the frequent lines of each document, null where it has none."""
-    hashed = docs.withColumns({"_th": F.xxhash64("text"), "_src": F.col("source")})
-    base = with_counts(hashed, [*keep, "_src", "_th"])
-    found = boilerplate(docs, **limits).select(
-        F.col("source").alias("_gone"), F.col("text_hash").alias("_gone_hash"), F.col("lines").alias("_gone_lines"), F.col("depleted").alias("_depleted")
+    """row (the packed ``keep`` columns), the counts, base_failed, kept, and gone: the hashes of the document's frequent lines, null without any."""
+    held = docs.select(packed(keep), "source", "text", F.xxhash64("text").alias("th"))
+    base = with_counts(held, ["row", "source", "th"])
+    found = boilerplate(docs.select("source", "text"), **limits).select(
+        F.col("source").alias("_source"), F.col("text_hash").alias("_th"), F.col("lines").alias("gone"), "depleted"
     )
-    met = base.join(found, (F.col("_th") == F.col("_gone_hash")) & F.col("_src").eqNullSafe(F.col("_gone")), "left")
-    kept = ~F.col("base_failed") & ~F.coalesce("_depleted", F.lit(False))
-    return met.select(*keep, *_COUNTS, "base_failed", kept.alias("kept"), "_gone_lines")
+    met = base.join(found, (F.col("th") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
+    return met.select("row", *_COUNTS, "base_failed", kept.alias("kept"), "gone")
+
+
+#: Names of what is returned beside the user's columns; a user's column of such a name gives way.
+_RESULTS = (*_COUNTS, "base_failed", "kept", "removed", "lines_frequent")
 
 
 def judge(docs: DataFrame, keep: list[str], **limits: float) -> DataFrame:
-    """``keep`` columns, the counts, base_failed and kept of every document.
+    """``keep`` columns, the counts, base_failed, kept and lines_frequent of every document.
 
-    Kept are documents that pass the base rules and aren't depleted. Null and blank texts fail the base
-    rules. A null source is a host of its own; repeated rows get equal verdicts; columns of other names
-    are passed by; an empty table gives no rows.
+    lines_frequent says how many different lines of the document its host has too often. Kept are
+    documents that pass the base rules and aren't depleted. Null and blank texts fail the base rules. A
+    null source is a host of its own; repeated rows get equal verdicts; columns of other names are passed
+    by, and a kept column named as a result gives way to it; an empty table gives no rows.
     """
-    return _judged(docs, keep, limits).drop("_gone_lines")
+    often = F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_frequent")
+    return _judged(docs, keep, limits).select(*unpacked(keep, _RESULTS), *_COUNTS, "base_failed", "kept", often)
+
+
+def _cleaned(docs: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """``_judged`` with text, freed of frequent lines, and removed."""
+    at = f"row.k{docs.columns.index('text')}"
+    parts = F.split(at, "\n", -1)
+    hit = F.transform(parts, lambda x: F.array_contains("gone", _line_hash(x)))
+    found = _judged(docs, docs.columns, limits).withColumn("hit", F.when(F.col("gone").isNotNull(), hit))
+    rest = F.filter(parts, lambda _, i: ~F.get("hit", i))
+    numbers = F.filter(F.sequence(F.lit(0), F.size("hit") - 1), lambda i: F.get("hit", i))
+    some = F.col("hit").isNotNull()
+    return found.withColumns({
+        "removed": F.when(some, numbers).otherwise(F.array().cast("array<int>")),
+        "text": F.when(some, F.array_join(rest, "\n")).otherwise(F.col(at)),
+    })
 
 
 def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
     """``docs`` with frequent lines removed from the text, removed (their numbers, from 0), and what ``judge`` adds.
 
     Counts and base_failed are of the whole text. Texts without frequent lines stay as they are, with an
-    empty list; so do null texts.
+    empty list; so do null texts. Columns named as a result give way to it.
     """
-    parts = F.split("text", "\n", -1)
-    hit = F.transform(parts, lambda x: F.array_contains("_gone_lines", _line_hash(x)))
-    found = _judged(docs, docs.columns, limits).withColumn("_hit", F.when(F.col("_gone_lines").isNotNull(), hit))
-    rest = F.filter(parts, lambda _, i: ~F.get("_hit", i))
-    numbers = F.filter(F.sequence(F.lit(0), F.size("_hit") - 1), lambda i: F.get("_hit", i))
-    some = F.col("_hit").isNotNull()
-    found = found.withColumns({
-        "removed": F.when(some, numbers).otherwise(F.array().cast("array<int>")),
-        "text": F.when(some, F.array_join(rest, "\n")).otherwise(F.col("text")),
-    })
-    return found.select(*docs.columns, "removed", *_COUNTS, "base_failed", "kept")
+    names = [c for c in unpacked(docs.columns)]
+    shown = [F.col("text") if c == "text" else x for c, x in zip(docs.columns, names) if c.lower() not in _RESULTS]
+    return _cleaned(docs, limits).select(*shown, "removed", *_COUNTS, "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that ``judge`` keeps, frequent lines removed from their texts; the other columns as they are."""
-    return cleaned(docs).where("kept").select(*docs.columns)
+    """The documents that ``judge`` keeps, frequent lines removed from their texts.
+
+    The other columns are as they are, whatever their names; an empty table gives no rows.
+    """
+    found = _cleaned(docs, {}).where("kept")
+    return found.select(*[F.col("text") if c == "text" else x for c, x in zip(docs.columns, unpacked(docs.columns))])

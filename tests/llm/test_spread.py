@@ -6,7 +6,6 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from paddock.llm import mixing, sharding
@@ -49,10 +48,11 @@ def test_apportionment_is_sainte_lague(spark):
             if not free or sum(w) == 0:
                 break
             want[max(free, key=lambda i: (w[i] / (2 * want[i] + 1), -i))] += 1
-        if all(m == 10_000 or x == 0 for m, x in zip(most, w)):
-            df = spark.createDataFrame([(i, w[i], seats, most[i], 0) for i in range(9)], "id bigint, w double, seats bigint, most bigint, g int")
-            got = {r["id"]: r["out"] for r in mixing.apportion(df, ["g"], "w", "seats", "most", "out").collect()}
-            assert [got[i] for i in range(9)] == want
+        df = spark.createDataFrame([(i, w[i], seats, most[i], 0) for i in range(9)], "id bigint, w double, seats bigint, most bigint, g int")
+        got = {r["id"]: r["out"] for r in mixing.apportion(df, ["g"], "w", "seats", "most", "out").collect()}
+        assert [got[i] for i in range(9)] == want
+    df = spark.createDataFrame([(0, 10.0, 100, 3, 0), (1, 1.0, 100, 500, 0), (2, 1.0, 100, 500, 0)], "id bigint, w double, seats bigint, most bigint, g int")
+    assert [r["out"] for r in mixing.apportion(df, ["g"], "w", "seats", "most", "out").orderBy("id").collect()] == [3, 49, 48]
     w = [10.0, 7.5, 3.0, 0.4]
     df = spark.createDataFrame([(i, x, 41, 10_000, 0) for i, x in enumerate(w)], "id bigint, w double, seats bigint, most bigint, g int")
     want = [0] * 4
@@ -131,9 +131,30 @@ def test_registered(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("clash", ["size", "shard", "range", "_key1", "rounds"])
-def test_clashing_columns(spark, clash):
-    rows = corpus(2, 30)
-    docs = spark.createDataFrame(rows, DOCS).withColumn(clash, F.lit("x"))
-    assert sharding.shard(docs).count() == len(rows)
-    assert mixing.mix(docs).count() == len(rows)
+#: Names that operators use for columns of their own.
+CLASHES = "size shard range slot rounds arcs _key1 _key2 key1 key2 text_hash kept n_words base_failed removed n_lines lines gone row th _src _doc_id of_doc w0 node first id n_tokens ids decoded odd word fold c _text".split()
+
+
+def test_clashing_columns(spark):
+    """Every operator and stage on documents with columns named like the operators' own; stages return them as they were."""
+    import corpus_pipeline
+
+    from paddock.llm import contextmix, langid, linededup, quality, simhash
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join("w%d" % rnd.randrange(40) for _ in range(70)), "en", "ab"[i % 2], 0) for i in range(30)]
+    rows += [rows[0], rows[1], (None, None, None, None, None), (99, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        assert got, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns, name
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in got for c in CLASHES), name
+    assert len(sharding.shard(docs).collect()) == len(mixing.mix(docs).collect()) == len(rows)
+    assert len(simhash.near_duplicates(docs).collect()) == len(linededup.dedup(docs).collect()) == len(rows)
+    assert len(quality.judge(docs, docs.columns).collect()) == len(quality.cleaned(docs).collect()) == len(rows)
+    assert len(langid.identify(docs, langid.fit(docs), ["doc_id"]).collect()) == len(rows)
+    learned = contextmix.score(docs.withColumn("learn", F.lit(True)), "learn", ["doc_id", "row", "id", "word"])
+    assert {r["word"] for r in learned.collect() if r["doc_id"] == 3} == {"word3"}
