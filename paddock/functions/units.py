@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,10 +77,18 @@ def _fold(s: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in s)
 
 
-def _map(entries: dict[str, tuple]) -> Column:
-    """The entries as one literal map."""
+#: Maps that the spellings are dealt to by their checksum, so that a look-up scans a few entries only.
+_DEALT = 256
+
+
+def _found(entries: dict[str, tuple], key: Column) -> Column:
+    """The entry of ``key``, from literal maps that hold the keys of one checksum each."""
     fields = ("canonical", "dimension", "factor", "offset")
-    return F.from_json(F.lit(json.dumps({k: dict(zip(fields, v)) for k, v in entries.items()})), f"map<string,{_UNIT}>")
+    dealt: list[dict] = [{} for _ in range(_DEALT)]
+    for k, v in entries.items():
+        dealt[zlib.crc32(k.encode()) % _DEALT][k] = dict(zip(fields, v))
+    held = F.from_json(F.lit(json.dumps(dealt)), f"array<map<string,{_UNIT}>>")
+    return F.try_element_at(F.get(held, F.pmod(F.crc32(key.cast("binary")), F.lit(_DEALT)).cast("int")), key)
 
 
 def lookup(unit: Column) -> Column:
@@ -87,7 +96,7 @@ def lookup(unit: Column) -> Column:
     exact, folded = _spellings()
     trimmed = F.trim(unit)
     ascii_lower = F.translate(trimmed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(trimmed != "", F.coalesce(F.try_element_at(_map(exact), trimmed), F.try_element_at(_map(folded), ascii_lower)))
+    return F.when(trimmed != "", F.coalesce(_found(exact, trimmed), _found(folded, ascii_lower)))
 
 
 def normalize(unit: Column) -> Column:

@@ -144,21 +144,31 @@ def _gps_reason(channels: DataFrame, samples: DataFrame) -> DataFrame:
     return held.join(degrees, "recording_id", "left").select("recording_id", reason.alias("reason"))
 
 
+#: Channels that are read beside the latitude, as of its samples' times.
+_BESIDE = ("longitude", "fix_type", "satellites", "accuracy", "dop", "fix_valid")
+
+
 def _gps_fixes(channels: DataFrame, samples: DataFrame, linear_lon: bool) -> DataFrame:
-    """Samples of latitude with the other GPS channels as of the same time."""
-    from paddock.operators.sampling import asof
-
-    key = ["recording_id"]
-    lat = samples.join(find(channels, ROLES["latitude"][1:]), ["recording_id", "channel_idx"]).select(*key, "channel_idx", "chunk_idx", "local_idx", "t_ns", F.col("value").alias("lat"))
-    lon = samples.join(find(channels, ROLES["longitude"][1:]), ["recording_id", "channel_idx"])
-    met = asof(lat, lon, key, order=("chunk_idx", "local_idx"))
-    span = F.try_divide((F.col("t_ns") - F.col("before_t")).cast("double"), (F.col("after_t") - F.col("before_t")).cast("double"))
-    at = F.col("before_v") + (F.col("after_v") - F.col("before_v")) * span if linear_lon else F.col("before_v")
-    held = met.withColumn("lon", F.coalesce(at, F.col("before_v"), F.lit(float("nan")))).drop("before_t", "before_v", "after_t", "after_v")
-    for role in ("fix_type", "satellites", "accuracy", "dop", "fix_valid"):
-        own = samples.join(find(channels, ROLES[role]), ["recording_id", "channel_idx"])
-        held = asof(held, own, key, order=("chunk_idx", "local_idx")).withColumnRenamed("before_v", role).drop("before_t", "after_t", "after_v")
-    return held
+    """Samples of latitude with the other GPS channels as of the same time, and has_flag: whether there is a validity channel.
+
+    A channel tells nothing before its first sample or from the end of its duration on. One as-of join
+    serves all channels.
+    """
+    from paddock.operators.sampling import asof, interpolated
+
+    key = ["recording_id", "channel_idx"]
+    lat = samples.join(find(channels, ROLES["latitude"][1:]), key).select("recording_id", "chunk_idx", "local_idx", "t_ns", F.col("value").alias("lat"))
+    roles = None
+    for role in _BESIDE:
+        own = find(channels, ROLES[role][1:] if role == "longitude" else ROLES[role]).withColumn("role", F.lit(role))
+        roles = own if roles is None else roles.unionByName(own)
+    roles = roles.join(channels.select(*key, "duration_ns"), key)
+    asked = lat.join(roles, "recording_id")
+    met = asof(asked, samples.join(roles.select(*key).distinct(), key, "left_semi"), key, order=("chunk_idx", "local_idx"))
+    v = F.when(F.col("t_ns") < F.col("duration_ns"), interpolated(F.col("t_ns"), F.lit(linear_lon) & (F.col("role") == "longitude")))
+    of = lambda role: F.max(F.when(F.col("role") == role, v)).alias("lon" if role == "longitude" else role)
+    wide = met.groupBy("recording_id", "chunk_idx", "local_idx", "t_ns", "lat").agg(*[of(r) for r in _BESIDE], F.bool_or(F.col("role") == "fix_valid").alias("has_flag"))
+    return wide.withColumn("lon", F.coalesce("lon", F.lit(float("nan"))))
 
 
 def _long(df: DataFrame, outputs: list[tuple[str, str, str, str]]) -> DataFrame:
@@ -167,13 +177,21 @@ def _long(df: DataFrame, outputs: list[tuple[str, str, str, str]]) -> DataFrame:
     return df.select("recording_id", "chunk_idx", "local_idx", "t_ns", F.explode(each).alias("o")).select("recording_id", "o.name", "o.unit", "o.sample_type", "chunk_idx", "local_idx", "t_ns", "o.value")
 
 
+def _clean_reason(channels: DataFrame, samples: DataFrame) -> DataFrame:
+    """``_gps_reason``, and that latitude's times must not fall."""
+    lat = samples.join(find(channels, ROLES["latitude"][1:]), ["recording_id", "channel_idx"])
+    falls = monotonic(lat, ["recording_id"], ["chunk_idx", "local_idx"])
+    reason = F.coalesce("reason", F.when(~F.col("monotonic"), "GPS coordinate channels have non-monotonic sample times"))
+    return _gps_reason(channels, samples).join(falls, "recording_id", "left").select("recording_id", reason.alias("reason"))
+
+
 def _derive_quality(channels: DataFrame, samples: DataFrame) -> DataFrame:
     graded = grade_fixes(_gps_fixes(channels, samples, False)).withColumn("valid", F.col("valid").cast("int"))
     return _long(graded, [("valid", "GPS Fix Valid", "", "u8"), ("sigma_m", "GPS Position Sigma", "m", "f32")])
 
 
 def _derive_clean(channels: DataFrame, samples: DataFrame) -> DataFrame:
-    fixes = _gps_fixes(channels, samples, True).withColumn("flag", F.coalesce(F.col("fix_valid") != 0, F.lit(True)))
+    fixes = _gps_fixes(channels, samples, True).withColumn("flag", F.coalesce(F.col("fix_valid") != 0, ~F.col("has_flag")))
     cleaned = clean_fixes(fixes, ["recording_id"])
     back = fixes.select("recording_id", "chunk_idx", "local_idx", "t_ns").join(cleaned, ["recording_id", "local_idx", "t_ns"])
     return _long(back, [("clean_lat", "GPS Latitude Clean", "deg", "f64"), ("clean_lon", "GPS Longitude Clean", "deg", "f64")])
@@ -206,7 +224,7 @@ def registry() -> list[Pass]:
     """The passes in order; later ones see what earlier ones appended."""
     return [
         Pass("gps.quality", 1, _gps_reason, _derive_quality, ("GPS Fix Valid", "GPS Position Sigma"), {"default_sigma_m": "15", "min_fix": "2", "min_satellites": "4", "sentinel_m": "4000000", "uere_m": "5"}),
-        Pass("gps.clean", 1, _gps_reason, _derive_clean, ("GPS Latitude Clean", "GPS Longitude Clean"), {"max_speed_mps": "150", "reanchor_after": "8"}),
+        Pass("gps.clean", 1, _clean_reason, _derive_clean, ("GPS Latitude Clean", "GPS Longitude Clean"), {"max_speed_mps": "150", "reanchor_after": "8"}),
         Pass("speed.distance", 1, _speed_reason, _derive_distance, ("Distance Odometer", "Distance Odometer Sigma"), {"drift_rate": "0.005", "gap_uncertainty": "0.5", "max_gap_s": "1"}),
     ]
 
@@ -248,6 +266,21 @@ def apply(channels: DataFrame, samples: DataFrame, applied: DataFrame, passes: l
     return channels, samples, reports
 
 
+def provenance(reports: DataFrame, passes: list[Pass] | None = None) -> DataFrame:
+    """recording_id, position, name, version, params (name, value; sorted), outputs: what was applied to each recording, in order."""
+    held = F.array(*[
+        F.struct(
+            F.lit(p.name).alias("name"), F.lit(p.version).alias("version"),
+            F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in sorted(p.params.items())]).cast("array<struct<name:string,value:string>>").alias("params"),
+            F.array(*[F.lit(o) for o in p.outputs]).alias("outputs"),
+        )
+        for p in passes or registry()
+    ])
+    applied = reports.where("outcome = 'applied'").groupBy("recording_id").agg(F.collect_set("name").alias("names"))
+    kept = F.filter(held, lambda p: F.array_contains("names", p["name"]))
+    return applied.select("recording_id", F.posexplode(kept).alias("position", "p")).select("recording_id", "position", "p.*")
+
+
 def strip(channels: DataFrame, samples: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Channels and samples without what passes made; ``outputs`` has recording_id and name."""
     kept = channels.join(outputs.select("recording_id", "name"), ["recording_id", "name"], "left_anti").select(*channels.columns)

@@ -187,12 +187,13 @@ _WANTED = {"speed": names.ROLES["speed"], "lap_number": names.ROLES["lap_number"
 @query(
     "with n(idx, name) as (values " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + "), w(role, rank, wanted) as (values "
     + ", ".join(f"('{r}', {k}, '{n}')" for r, ns in _WANTED.items() for k, n in enumerate(ns))
-    + """), c as (select c_custkey as recording_id, idx as channel_idx, name from customer, n where (c_custkey + idx * 7) % 3 <> 0)
+    + """), c as (select c_custkey as recording_id, idx as channel_idx, case when (c_custkey + idx * 7) % 3 <> 0 then name else 'other ' || name end as name from customer, n)
 select recording_id, role, arg_min(channel_idx, rank * 1000 + channel_idx) as channel_idx from c join w on wanted = lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) group by 1, 2"""
 )
 def role_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array(*[F.struct(F.lit(i).alias("channel_idx"), F.lit(n).alias("name")) for i, n in enumerate(_NAMES)])
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.explode(listed).alias("n")).select("recording_id", "n.*").where((F.col("recording_id") + F.col("channel_idx") * 7) % 3 != 0)
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.explode(listed).alias("n")).select("recording_id", "n.*")
+    c = c.withColumn("name", F.when((F.col("recording_id") + F.col("channel_idx") * 7) % 3 != 0, F.col("name")).otherwise(F.concat(F.lit("other "), F.col("name"))))
     return names.resolve_roles(c, _WANTED)
 
 
@@ -301,9 +302,9 @@ def period_modal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_CHUNKS_SQL}, s as (select recording_id, chunk_idx, i as local_idx, time_base_ns, sample_count, sample_period_ns, cast((recording_id * 31 + (sample_base + i) * 17) % 100 as double) as value, sample_base + i as g from chunks, range(0, 5) as r(i) where i < sample_count),
 pr as (select recording_id, i * 9000000 as t_ns from (select distinct recording_id from chunks), range(0, 12) as q(i)),
 dur as (select recording_id, max(time_base_ns + sample_count * sample_period_ns) as duration_ns from chunks group by 1),
-c as (select pr.recording_id, pr.t_ns, arg_min(chunk_idx, chunk_idx) as chunk_idx from pr join chunks c on c.recording_id = pr.recording_id and c.time_base_ns + c.sample_count * c.sample_period_ns > pr.t_ns group by 1, 2)
-select pr.recording_id, pr.t_ns, case when pr.t_ns < duration_ns then s.value end as value from pr join dur using (recording_id) left join c on c.recording_id = pr.recording_id and c.t_ns = pr.t_ns
-left join s on s.recording_id = c.recording_id and s.chunk_idx = c.chunk_idx and s.local_idx = least(s.sample_count - 1, greatest(0, pr.t_ns - s.time_base_ns) // s.sample_period_ns)""")
+ends as (select *, time_base_ns + sample_count * sample_period_ns - 1 as last_ns from chunks),
+c as (select pr.recording_id, pr.t_ns, e.chunk_idx, least(sample_count - 1, greatest(0, pr.t_ns - time_base_ns) // sample_period_ns) as local_idx from pr asof left join ends e on e.recording_id = pr.recording_id and e.last_ns >= pr.t_ns)
+select c.recording_id, c.t_ns, case when c.t_ns < duration_ns then s.value end as value from c join dur using (recording_id) left join s on s.recording_id = c.recording_id and s.chunk_idx = c.chunk_idx and s.local_idx = c.local_idx""")
 def sample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step samples of grids with gaps, where a gap reads the next chunk."""
     chunks = _chunks(spark, sf_dir)
@@ -463,7 +464,14 @@ def gps_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("event_id", "valid", F.round(sigma, 4).alias("sigma_m"))
 
 
-@query()
+@query(f"""with recursive {_FIX_SQL}, fs as (select recording_id, event_id, t_ns // 10000000 as t, lat, lon, not (abs(lat) < 1e-7 and abs(lon) < 1e-7) as sane from fx),
+o as (select *, row_number() over (partition by recording_id order by t, event_id) as n from fs),
+st as (select recording_id, 0::bigint as n, null::bigint as event_id, null::bigint as t_ns, false as accepted, null::bigint as t, null::double as lat, null::double as lon, 0 as streak from (select distinct recording_id from o)
+  union all select recording_id, n, event_id, t2, ok, case when ok then t2 else t end, case when ok then o_lat else lat end, case when ok then o_lon else lon end, case when ok then 0 when sane then streak + 1 else streak end from (
+    select s.recording_id, o.n, o.event_id, o.t as t2, o.lat as o_lat, o.lon as o_lon, o.sane, s.t, s.lat, s.lon, s.streak,
+      o.sane and (s.t is null or o.t <= s.t or s.streak >= 8 or 6371000.0 * sqrt(pow(radians(o.lon - s.lon) * cos(radians((o.lat + s.lat) * 0.5)), 2) + pow(radians(o.lat - s.lat), 2)) / ((o.t - s.t) / 1e9) <= 150) as ok
+    from st s join o on o.recording_id = s.recording_id and o.n = s.n + 1))
+select recording_id, event_id, t_ns, accepted from st where n > 0""")
 def gps_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixes = _fixes(spark, sf_dir).withColumn("flag", F.lit(True)).withColumn("t_ns", F.floor(F.col("t_ns") / 10_000_000))
     return passes.clean_fixes(fixes, _BY).select("recording_id", F.col("local_idx").alias("event_id"), "t_ns", "accepted")
@@ -486,19 +494,39 @@ def pass_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.strip(c, s, outputs)[1].groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _as_speed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = views.channels(spark, sf_dir).withColumn("name", F.when(F.col("name") == "view", F.lit("Speed")).otherwise(F.col("name")))
-    return c.drop("steps"), views.samples(spark, sf_dir).select("recording_id", "channel_idx", "chunk_idx", "local_idx", "t_ns", "value")
+def _as_logger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recordings with a speed, and all but every fourth with positions in degrees."""
+    shown = {"view": "Speed", "click": "GPS Latitude", "purchase": "GPS Longitude"}
+    to = F.create_map(*[F.lit(x) for pair in shown.items() for x in pair])
+    moved = (F.col("recording_id") % 4 != 0) | (F.col("name") == "view")
+    c = views.channels(spark, sf_dir).withColumn("unit", F.when(moved & F.col("name").isin("click", "purchase"), "deg").otherwise(F.col("unit")))
+    c = c.withColumn("name", F.when(moved, F.coalesce(F.try_element_at(to, F.col("name")), "name")).otherwise(F.col("name")))
+    s = views.samples(spark, sf_dir).withColumn("value", F.when(F.col("channel").isin("click", "purchase"), 40 + F.col("k") % 50 * 1e-4).otherwise(F.col("value")))
+    return c.drop("steps"), s.select("recording_id", "channel_idx", "chunk_idx", "local_idx", "t_ns", "value")
 
 
-@query()
+_PASSES = [("gps.quality", 1), ("gps.clean", 1), ("speed.distance", 1)]
+_REGISTRY_SQL = f"""{SAMPLES_SQL}, rec as (select recording_id, recording_id % 4 <> 0 and count(distinct channel) filter (channel in ('click', 'purchase')) = 2 as placed, bool_or(channel = 'view') as fast from samples group by 1),
+ps(place, name, version) as (values {", ".join(f"({i}, '{n}', {v})" for i, (n, v) in enumerate(_PASSES))}),
+rp as (select recording_id, place, name, version, case when name = 'speed.distance' then case when not fast then 'no speed channel present' end when not placed then 'no GPS coordinate channels present' end as reason from rec, ps)"""
+
+
+@query(f"with {_REGISTRY_SQL} select recording_id, name, version, case when reason is null then 'applied' else 'skipped' end as outcome, reason from rp")
 def pass_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of all passes on recordings that have a speed but no positions."""
-    c, s = _as_speed(spark, sf_dir)
+    """Reports of all passes; recordings without positions skip two of them."""
+    c, s = _as_logger(spark, sf_dir)
     none = spark.createDataFrame([], "recording_id bigint, name string, version int")
     return passes.apply(c, s, none)[2]
 
 
+@query(f"""with {_REGISTRY_SQL} select recording_id, cast(row_number() over (partition by recording_id order by place) - 1 as int) as position, name, version,
+  case name when 'gps.quality' then 'default_sigma_m=15;min_fix=2;min_satellites=4;sentinel_m=4000000;uere_m=5' when 'gps.clean' then 'max_speed_mps=150;reanchor_after=8' else 'drift_rate=0.005;gap_uncertainty=0.5;max_gap_s=1' end as params from rp where reason is null""")
+def pass_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = passes.provenance(pass_registry(spark, sf_dir))
+    params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";")
+    return told.select("recording_id", "position", "name", "version", params.alias("params"))
+
+
 # ---- geography --------------------------------------------------------------------------------------
 
 _TRACKS = [("alpha", "Alpha Park", 43.80, -87.99), ("bravo", "Bravo Ring", 50.33, 6.94), ("delta", "Delta Circuit", 35.37, 138.93), ("echo", "Echo Raceway", -37.85, 144.97), ("golf", "Golf Speedway", 27.45, -81.35), ("hotel", "Hotel Field", 43.79, -87.5)]
