@@ -91,8 +91,9 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     """Learn from ``docs`` (text, lang): document frequencies over all of them, centroids from a bounded sample.
 
-    Per language about ``sample`` texts, drawn by a hash of the text, are clustered; that bounds what the
-    driver holds. Rows without a language or a letter teach nothing.
+    Per language about ``sample`` distinct texts, drawn by a hash of the text, are clustered, all of them
+    where there are no more; that bounds what the driver holds, however many copies a text has. Rows
+    without a language or a letter teach nothing.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
@@ -117,9 +118,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     if -1 not in counted:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS), 0.0)
     rows_of = counted[-1]["langs"]
+    texts_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     total = counted[-1]["n"]
     idf = np.array([np.log((1 + total) / (1 + counted[d]["n"])) + 1 for d in range(DIMS)])
-    rate = F.element_at(F.create_map(*[x for k, v in rows_of.items() for x in (F.lit(k), F.lit(min(1.0, sample / v)))]), F.col("lang"))
+    rate = F.element_at(F.create_map(*[x for k, v in rows_of.items() for x in (F.lit(k), F.lit(min(1.0, sample / texts_of[k])))]), F.col("lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
                 x = _weighted(np.stack([x for _, x in got]), idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got]), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    drawn = known.where(unit_hash("text", F.lit(seed)) < rate).mapInArrow(vectors, "lang string, x binary").toPandas()
+    drawn = known.where(unit_hash("text", F.lit(seed)) < rate).dropDuplicates(["lang", "text"]).mapInArrow(vectors, "lang string, x binary").toPandas()
     langs = sorted(rows_of)
     held, of, near = [], [], []
     for n, lang in enumerate(langs):

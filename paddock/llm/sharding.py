@@ -43,9 +43,13 @@ def _range_of(bounds: list[tuple[int, int | None]]) -> Column:
 
 
 def _boundaries(sample: list, every: int) -> list[tuple[int, int | None]]:
-    """Quantiles of the sorted sample. A text that spans several stays alone, split by doc_id; others stay whole."""
-    keys = sorted(((r["h"], r["id"]) for r in sample), key=lambda k: (k[0], k[1] is not None, k[1] or 0))
-    picked = keys[every::every]
+    """Quantiles of the sorted sample (h, id, n: how often). A text that spans several stays alone, split by doc_id; others stay whole."""
+    picked, before = [], 0
+    for h, i, n in sorted(((r["h"], r["id"], r["n"]) for r in sample), key=lambda k: (k[0], k[1] is not None, k[1] or 0)):
+        #: Every multiple of ``every`` picks a key; more than two picks of one key say no more.
+        picks = (before + n - 1) // every - max(0, (before - 1) // every)
+        picked += [(h, i)] * min(2, picks)
+        before += n
     often = {h for (h, _), (g, _) in zip(picked, picked[1:]) if h == g}
     bounds: set[tuple[int, int | None]] = set()
     for h, i in picked:
@@ -98,7 +102,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, seed: int
     total = slim.agg(F.sum("size")).first()[0] or 1
     rate = ranges * SAMPLES_PER_RANGE / total
     draw = unit_hash("h", "id", F.lit(seed))
-    bounds = _boundaries(slim.where(draw < F.col("size") * rate).select("h", "id").collect(), SAMPLES_PER_RANGE)
+    bounds = _boundaries(slim.where(draw < F.col("size") * rate).groupBy("h", "id").agg(F.count(F.lit(1)).alias("n")).collect(), SAMPLES_PER_RANGE)
     most = 3 * total / ranges
     for k in range(1, ROUNDS + 1):
         placed = slim.withColumn("range", _range_of(bounds))
@@ -111,7 +115,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, seed: int
         if not over or k == ROUNDS:
             break
         again = placed.where(F.col("range").isin(over) & (unit_hash("h", "id", F.lit(seed + k)) < F.col("size") * rate * 2))
-        more = _boundaries(again.select("h", "id").collect(), SAMPLES_PER_RANGE)
+        more = _boundaries(again.groupBy("h", "id").agg(F.count(F.lit(1)).alias("n")).collect(), SAMPLES_PER_RANGE)
         if not set(more) - set(bounds):
             break
         bounds = sorted({*bounds, *more}, key=lambda b: (b[0], b[1] is not None, b[1] or 0))

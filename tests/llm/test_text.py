@@ -93,6 +93,8 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     odd = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of(spark, [None, "", "123 !!", "ka" * 600_000]), model, ["doc_id"]).collect()}
     assert odd == {0: "und", 1: "und", 2: "und", 3: "xx"}
+    copied = docs_of(spark, [*texts[:60], *["que ção ar os"] * 400], langs | {i: "ww" for i in range(60, 460)})
+    assert "ww" in langid.fit(copied, sample=20).langs and max(langid.fit(copied, sample=20).of) == 3
     nothing = langid.fit(docs_of(spark, []))
     assert {r["lang_pred"] for r in langid.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
 
