@@ -40,11 +40,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local runs) gets a temporary one.
+    Only a local session without that setting (tests) gets a temporary one; on a cluster a folder of the
+    driver's own would be written by executors and read by nobody.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = held or tempfile.mkdtemp(prefix="paddock-")
         if not held:
             spark.sparkContext.setCheckpointDir(found)
@@ -52,7 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The tables stay, as results are read from them lazily; whoever owns the shared folder clears it when
+    the application has ended.
+    """
     path = f"{shared_dir(prepare(df.sparkSession))}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,18 +57,26 @@ def values(data: bytes, block: dict) -> np.ndarray:
     return raw if block["type"] in ("f32", "f64") else raw * block["factor"] + block["offset"]
 
 
+def _read(data: bytes) -> list[dict]:
+    """``blocks``, or one that says what is wrong with a file that isn't such a log."""
+    try:
+        return blocks(data)
+    except (ValueError, struct.error) as broken:
+        return [{"name": "", "unit": "", "type": "", "kind": None, "at": 0, "n": 0, "period": 0, "factor": 1.0, "offset": 0.0, "problem": f"ld.unreadable: {broken}"}]
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     ship(spark)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][dD]").load(path).select(F.col("path").alias("recording_id"), "content")
 
 
 def channels(raw: DataFrame) -> DataFrame:
-    """Channel rows of ``raw`` (recording_id, content)."""
+    """Channel rows of ``raw`` (recording_id, content); an unreadable file has one nameless row whose problem says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for rid, data in zip(b["recording_id"], b["content"]):
-                yield pd.DataFrame([(rid, i, i, c["name"], c["unit"], "declared" if c["unit"] else "unknown", c["type"], c["n"], c["n"] * c["period"], c["period"], c["problem"]) for i, c in enumerate(blocks(bytes(data)))], columns=[x.split()[0] for x in CHANNELS.split(", ")])
+                yield pd.DataFrame([(rid, i, i, c["name"], c["unit"], "declared" if c["unit"] else "unknown", c["type"], c["n"], c["n"] * c["period"], c["period"], c["problem"]) for i, c in enumerate(_read(bytes(data)))], columns=[x.split()[0] for x in CHANNELS.split(", ")])
 
     return raw.mapInPandas(run, CHANNELS)
 
@@ -80,7 +88,7 @@ def samples(raw: DataFrame, names: list[str] | None = None, rows: int = 100_000)
         for b in batches:
             for rid, data in zip(b["recording_id"], b["content"]):
                 data = bytes(data)
-                for i, c in enumerate(blocks(data)):
+                for i, c in enumerate(_read(data)):
                     if names is None or c["name"] in names:
                         v = values(data, c)
                         for at in range(0, len(v), rows):

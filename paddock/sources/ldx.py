@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.timespan import parse_ms
-
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][dD][xX]").text(path).select(F.col("_metadata.file_path").alias("recording_id"), F.col("value").alias("text"))
 
 
+def _tags(name: str) -> Column:
+    """Every tag of the name in the text, whatever its quotes and the order of its attributes."""
+    return F.regexp_extract_all("text", F.lit(rf"<{name}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), 0)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; null if it has none."""
+    found = F.regexp_extract(tag, rf"\s{name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    return F.when(found != "", F.substring(found, F.lit(2), F.length(found) - 2))
+
+
+def lap_time_ns(text: Column) -> Column:
+    """Nanoseconds of minutes, a colon and seconds with any decimals below 60; null otherwise."""
+    minutes, seconds = F.regexp_extract(text, r"^\+?(\d+):", 1).try_cast("long"), F.regexp_extract(text, r":\+?(\d+(?:\.\d*)?|\.\d+)$", 1).try_cast("double")
+    return F.when(text.rlike(r"^\+?\d+:\+?(\d+\.?\d*|\.\d+)$") & (seconds < 60), minutes * 60_000_000_000 + F.round(seconds * 1e9).cast("long"))
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """recording_id, markers (ns, sorted, distinct), total_laps, fastest_lap, fastest_ns, bad_markers of ``files`` (recording_id, text)."""
-    times = F.regexp_extract_all("text", F.lit(r'<Marker\b[^>]*\bTime="([^"]*)"'), 1)
-    ns = F.transform(times, lambda t: F.round(t.try_cast("double") * 1000).try_cast("bigint"))
-    detail = lambda k: F.nullif(F.regexp_extract("text", rf'<String Id="{k}" Value="([^"]*)"', 1), F.lit(""))
+    """recording_id, markers (ns, sorted, distinct), total_laps, fastest_lap, fastest_ns, bad_markers of ``files`` (recording_id, text).
+
+    Markers are those of class BCN alone; bad_markers counts those of them without a time of zero or
+    more. Totals and laps below one are null.
+    """
+    beacons = F.filter(_tags("Marker"), lambda t: _attribute(t, "ClassName") == "BCN")
+    ns = F.transform(beacons, lambda t: F.round(_attribute(t, "Time").try_cast("double") * 1000).try_cast("bigint"))
+    good = F.filter(ns, lambda t: t.isNotNull() & (t >= 0))
+    strings = _tags("String")
+    detail = lambda k: F.element_at(F.filter(F.transform(F.filter(strings, lambda t: _attribute(t, "Id") == k), lambda t: _attribute(t, "Value")), lambda v: v.isNotNull()), -1)
+    told = lambda k: F.when(F.exists(strings, lambda t: (_attribute(t, "Id") == k) & _attribute(t, "Value").isNotNull()), detail(k))
+    positive = lambda v: F.when(v > 0, v)
     return files.select(
         "recording_id",
-        F.array_sort(F.array_distinct(F.filter(ns, lambda t: t.isNotNull() & (t >= 0)))).alias("markers"),
-        detail("Total Laps").try_cast("int").alias("total_laps"),
-        detail("Fastest Lap").try_cast("bigint").alias("fastest_lap"),
-        (parse_ms(detail("Fastest Time")).cast("long") * 1_000_000).alias("fastest_ns"),
-        F.size(F.filter(ns, lambda t: t.isNull() | (t < 0))).alias("bad_markers"),
+        F.array_sort(F.array_distinct(good)).alias("markers"),
+        positive(told("Total Laps").try_cast("int")).alias("total_laps"),
+        positive(told("Fastest Lap").try_cast("bigint")).alias("fastest_lap"),
+        lap_time_ns(told("Fastest Time")).alias("fastest_ns"),
+        (F.size(ns) - F.size(good)).alias("bad_markers"),
     )
 
 

@@ -106,3 +106,37 @@ def test_globs(spark, tmp_path):
     df = spark.createDataFrame([("x/y/run1.vbo",), ("x/run22.vbo",)], "p string")
     assert [r[0] for r in df.select(globs.matches(F.col("p"), ["x/*.vbo"])).collect()] == [False, True]
     assert [r[0] for r in df.select(globs.matches(F.col("p"), ["x/**/run?.vbo"])).collect()] == [True, False]
+
+
+def test_ldx_of_other_writers(spark):
+    text = """<LDXFile><Marker Time='1.5e6' ClassName='BCN'/><Marker ClassName="BCN" Name="a>b" Time="500000"/><Marker ClassName="OTHER" Time="9"/><Marker ClassName="BCN"/>
+    <Marker ClassName="BCN" Time="-1"/><String Value="0" Id="Total Laps"/><String Value='1:02.5' Id='Fastest Time'/><String Id="Fastest Lap" Value="2"/></LDXFile>"""
+    got = ldx.parse(spark.createDataFrame([("f", text), ("g", "<LDXFile/>")], "recording_id string, text string")).orderBy("recording_id").collect()
+    assert tuple(got[0]) == ("f", [500_000_000, 1_500_000_000], None, 2, 62_500_000_000, 2)
+    assert tuple(got[1]) == ("g", [], None, None, None, 0)
+
+
+def test_unreadable_ld(spark, tmp_path):
+    (tmp_path / "bad.ld").write_bytes(b"not a log" * 1000)
+    raw = ld.files(spark, str(tmp_path))
+    assert [r["problem"].split(":")[0] for r in ld.channels(raw).collect()] == ["ld.unreadable"] and ld.samples(raw).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    """A session of a cluster without the setting is refused."""
+    import pytest
+
+    from paddock.session import shared_dir
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
