@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm.common import materialize
 from paddock.llm.components import connected
-from paddock.llm.simhash import _forest
+from paddock.llm.simhash import forest
 from paddock.session import ship
 
 COSINE = 0.9
@@ -150,7 +150,8 @@ def _compare(cosine: float):
             if len(i):
                 count = np.bincount(i[first], m[j[first]], minlength=b - a) + np.bincount(j[first], m[i[first]], minlength=b - a)
                 out += [(int(ids[v]), None, int(count[v])) for v in np.flatnonzero(count)]
-                out += [(p, q, None) for p, q in _forest(ids, i, j)]
+                x, y = forest([(i, j, np.zeros(len(i), np.int64))])
+                out += [(p, q, None) for p, q in zip(ids[x].tolist(), ids[y].tolist())]
         found = pd.DataFrame(out, columns=["a", "b", "n"])
         return found.astype("Int64")
 

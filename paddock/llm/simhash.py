@@ -142,8 +142,8 @@ def _filtered(bits: np.ndarray, i: np.ndarray, j: np.ndarray, rule: Rule) -> tup
     return i[near], j[near], differ[near]
 
 
-def _forest(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of links (i, j, bits that differ) between n entries those that connect the same, closest first."""
+def forest(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (i, j, distance) between entries those that connect the same, closest first."""
     i, j, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((j, i, d))
     up: dict[int, int] = {}
@@ -186,9 +186,9 @@ def _within(bits: np.ndarray, keys: np.ndarray, own: np.ndarray, rule: Rule) ->
         for k in range(0, len(rows), 128):
             i, j = (x.ravel() for x in np.meshgrid(rows[k : k + 128], cols, indexing="ij"))
             held.append(_filtered(bits, *((i[i < j], j[i < j]) if rows is cols else (i, j)), rule))
-        i, j = _forest(held, len(bits))
+        i, j = forest(held)
         found.append((i, j, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)))
-    return _forest(found, len(bits))
+    return forest(found)
 
 
 def links(fps: DataFrame, rule: Rule = FOUR_BITS) -> DataFrame:
