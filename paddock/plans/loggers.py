@@ -13,7 +13,7 @@ from paddock.plans import fixtures, views
 from paddock.plans.queries import _LOG_SQL, _numbered, query
 from paddock.plans.views import SAMPLES_SQL, read
 from paddock.session import materialize, ship
-from paddock.sources import aimd
+from paddock.sources import aimd, sidecar
 
 
 def _files(rows: DataFrame, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:
@@ -143,3 +143,47 @@ def video_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     raw = read(spark, sf_dir, "customer").select("c_custkey").mapInPandas(build, "recording_id string, content binary")
     return aimd.frame_times(aimd.tracks(raw))
+
+
+# ---- grouped sidecars -------------------------------------------------------------------------------
+
+
+def _sidecars(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A sidecar a customer with a group for even and odd orders, a span an order; written and read back."""
+    k, i = F.col("o_orderkey"), F.col("i")
+    rows = _numbered(spark, sf_dir).withColumn("group", (i % 2).cast("int"))
+    kinds = F.when(k % 4 == 0, F.struct(F.lit("gap").alias("name"), F.lit(None).cast("string").alias("text"), (k % 90_000).cast("long").alias("ms"))).otherwise(
+        F.struct(F.lit("note").alias("name"), F.when(k % 4 == 1, F.lit("1:02.345")).otherwise(F.concat(F.lit('a "b" '), k)).alias("text"), F.lit(None).cast("long").alias("ms"))
+    )
+    spans = rows.select(
+        "recording_id", "group", F.concat(F.lit("s"), k).alias("name"), (i * 1_000_000_000 + k % 7 * 1_000_000).cast("long").alias("start_ns"), (i * 1_000_000_000 + 500_000_000 + k % 5 * 1_000_000).cast("long").alias("end_ns"), (k % 3 != 0).alias("visible"),
+        F.when(k % 5 == 0, "#00Ff7f").otherwise("").alias("color"), F.when(k % 2 == 0, "T").otherwise("").alias("title"), F.lit("").alias("subtitle"), F.array(kinds).alias("meta"),
+    )
+    groups = rows.select("recording_id", "group").distinct().select(
+        "recording_id", "group", F.concat(F.lit("g"), F.col("group")).alias("name"), F.lit(10_000_000).cast("long").alias("q_ns"), F.lit(1_000_000_000).cast("long").alias("duration_ns"), F.lit(1_700_000_000_000_000_000).cast("long").alias("utc_start_ns"), F.lit("Europe/Berlin").alias("timezone"), F.lit(True).alias("visible"),
+    )
+    return sidecar.parse(materialize(sidecar.to_lines(groups, spans)))
+
+
+@query(f"""with {_LOG_SQL}, s as (select o_custkey::varchar as recording_id, (i % 2)::int as "group", 's' || o_orderkey as name, o_orderkey as k, i * 1000000000 + o_orderkey % 7 * 1000000 as a, i * 1000000000 + 500000000 + o_orderkey % 5 * 1000000 as b from lg)
+select recording_id, "group", name, cast((a + 5000000) // 10000000 * 10000000 as bigint) as start_ns, cast((b + 5000000) // 10000000 * 10000000 as bigint) as end_ns, k % 3 <> 0 as visible, case when k % 5 = 0 then '#00Ff7f' else '' end as color, case when k % 2 = 0 then 'T' else '' end as title,
+case when k % 4 = 0 then 'gap' else 'note' end as meta_name, case when k % 4 in (2, 3) then 'a "b" ' || k end as meta_text, case when k % 4 = 0 then k % 90000 when k % 4 = 1 then 62345 end::bigint as meta_ms from s""")
+def sidecar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.element_at("meta", 1)
+    return _sidecars(spark, sf_dir)["spans"].select("recording_id", "group", "name", "start_ns", "end_ns", "visible", "color", "title", m["name"].alias("meta_name"), m["text"].alias("meta_text"), m["ms"].alias("meta_ms"))
+
+
+@query(f"""with {_LOG_SQL}, s as (select o_custkey::varchar as recording_id, (i % 2)::int as "group", i * 1000000000 + 500000000 + o_orderkey % 5 * 1000000 as b from lg)
+select recording_id, "group", 'g' || "group" as name, 10000000::bigint as q_ns, cast(greatest(1000000000, max((b + 5000000) // 10000000 * 10000000)) as bigint) as duration_ns, 1700000000000000000 as utc_start_ns, 'Europe/Berlin' as timezone, true as visible from s group by 1, 2""")
+def sidecar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sidecars(spark, sf_dir)["groups"].select("recording_id", "group", "name", "q_ns", "duration_ns", "utc_start_ns", "timezone", "visible")
+
+
+@query("""with l as (select c_custkey, c_custkey % 8 as k from customer)
+select c_custkey, case k when 1 then 'gauge' when 2 then 'compass' when 3 then null else 'trace' end as plot, case when k = 4 then 5.0 when k = 5 then 1.5 end::double as low, case when k = 4 then 2.0 end::double as high, case k when 6 then 16 when 2 then 3 end::int as decimals,
+case k when 3 then 'plt' when 4 then 'sc' when 6 then 'rnd' when 7 then 'fmt' end as problem from l""")
+def channel_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 8
+    line = F.when(k == 1, '{"plt":"g"}').when(k == 2, '{"plt":"compass","rnd":3}').when(k == 3, '{"plt":"bar"}').when(k == 4, '{"sc":[5,2]}').when(k == 5, '{"sc":[1.5,null]}').when(k == 6, '{"rnd":16}').when(k == 7, '{"fmt":"0.0 C"}').otherwise("{}")
+    d = read(spark, sf_dir, "customer").select("c_custkey", sidecar.display(line).alias("d"))
+    return d.select("c_custkey", "d.plot", "d.low", "d.high", "d.decimals", "d.problem")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paddock.plans import fixtures
 from paddock.session import ship
-from paddock.sources import aimd
+from paddock.sources import aimd, sidecar
 
 MS = 1_000_000
 
@@ -64,3 +64,54 @@ def test_clock_fit(spark):
         for j in range(r["sample_count"]):
             assert abs(r["time_base_ns"] + j * r["sample_period_ns"] - stamps[r["sample_base"] + j]) <= 5 * MS
     assert sum(r["sample_count"] for r in got[:-1]) == len(stamps)
+
+
+HEAD = '{"mtx":1,"q":10,"dur":100,"n":"g","utc":1700000000000000000,"tz":"Europe/Berlin","vis":1}'
+
+
+def _lines(spark, docs):
+    return spark.createDataFrame([(r, i, x) for r, doc in docs.items() for i, x in enumerate(doc)], "recording_id string, n int, line string")
+
+
+def test_sidecar(spark):
+    span = '{"k":"s","n":"a","s":10,"e":30,"vis":0,"c":"#aabbcc","p":{"title":"T","sub":"S"},"m":[["x","hi"],["lap","1:02.345"],["n",1500],["o",{"v":"0:01.000","u":"laptime_ms"}],["p",{"v":7,"u":"timespan_ms"}]]}'
+    channel = '{"n":"Speed","u":"m/s","hz":100000000,"t0":10,"plt":"t","sc":[0,null],"lbl":[[20,"one"],[30,"two"]],"v":[1,null,3]}'
+    good = sidecar.parse(_lines(spark, {"r": [HEAD, span, HEAD.replace('"g"', '"h"').replace('"vis":1', '"vis":false'), channel]}))
+    assert good["problems"].count() == 0
+    assert [(g["group"], g["name"], g["visible"]) for g in good["groups"].orderBy("group").collect()] == [(0, "g", True), (1, "h", False)]
+    s = good["spans"].first()
+    assert (s["start_ns"], s["end_ns"], s["visible"], s["title"], s["subtitle"]) == (10, 30, False, "T", "S")
+    assert [(m["name"], m["text"], m["ms"]) for m in s["meta"]] == [("x", "hi", None), ("lap", None, 62345), ("n", None, 1500), ("o", None, 1000), ("p", None, 7)]
+    assert [(r["group"], r["t_ns"]) for r in good["samples"].orderBy("t_ns").collect()] == [(1, 10), (1, 20), (1, 30)]
+    c = good["channels"].first()
+    assert c["display"]["plot"] == "trace" and [(x["t_ns"], x["text"]) for x in c["labels"]] == [(20, "one"), (30, "two")] and sidecar.lint(good).count() == 0
+    lines = sidecar.to_lines(good["groups"], good["spans"])
+    again = sidecar.parse(lines)
+    assert again["problems"].count() == 0 and again["spans"].select("name", "start_ns", "meta").first() == good["spans"].select("name", "start_ns", "meta").first()
+
+
+def test_sidecar_problems(spark):
+    span = lambda x: '{"k":"s","n":"a","s":10,"e":30,"vis":1,' + x + "}"
+    channel = lambda x: '{"n":"S","hz":100000000,' + x + ',"v":[1]}'
+    wrong = {
+        "version": [HEAD.replace('"mtx":1', '"mtx":9')], "name": [HEAD.replace('"n":"g"', '"n":""')], "lattice": [HEAD.replace('"dur":100', '"dur":101')], "utc": [HEAD.replace("1700000000000000000", "0")],
+        "tz": [HEAD.replace("Europe/Berlin", "Mars/Base")], "vis": [HEAD.replace(',"vis":1', "")], "hash": [HEAD.replace('"q"', '"hash":"xy","q"')], "video": [HEAD.replace('"q"', '"vo":1,"q"')], "right": [HEAD.replace('"q"', '"r":[{"p":["a"]}],"q"')],
+        "span_bounds": [HEAD, '{"k":"s","s":30,"e":10,"vis":1}'], "span_lattice": [HEAD, '{"k":"s","s":11,"e":20,"vis":1}'], "colour": [HEAD, span('"c":"red"')], "span_vis": [HEAD, '{"k":"s","s":10,"e":20}'],
+        "meta_range": [HEAD, span('"m":[["a",360000001]]')], "meta_unit": [HEAD, span('"m":[["a",{"v":1,"u":"m"}]]')], "meta_value": [HEAD, span('"m":[["a",1.5]]')], "meta_name": [HEAD, span('"m":[[1,"x"]]')],
+        "duplicate_name": [HEAD, channel('"u":"a"'), channel('"u":"b"')], "period_off_lattice": [HEAD, channel('"u":"a"').replace("100000000", "300000000")], "plt": [HEAD, channel('"plt":"bar"')], "sc": [HEAD, channel('"sc":[2,1]')], "rnd": [HEAD, channel('"rnd":16')],
+        "fmt": [HEAD, channel('"fmt":"0 C"')], "label": [HEAD, channel('"lbl":[[20,"a"],[10,"b"]]')], "labels_without_trace": [HEAD, channel('"plt":"gauge","lbl":[[20,"a"]]')], "no_header": [span('"c":""'), HEAD],
+    }
+    found = sidecar.parse(_lines(spark, wrong))
+    told = {}
+    for r in found["problems"].collect():
+        told.setdefault(r["recording_id"], set()).add(r["problem"])
+    assert told == {k: {k} for k in wrong} and found["groups"].count() == 0
+    assert sidecar.parse(_lines(spark, {"r": ["x"]}).limit(0))["spans"].count() == 0
+
+
+def test_video_links_and_passes(spark):
+    docs = {"": '{"vo":-5,"vf":[{"n":"a.mp4","i":1}],"vpts":[0,5,5]}', "vpts": '{"vf":[{"n":"a","i":1}],"vpts":[5,4]}', "vpts_without_vf": '{"vpts":[1]}', "vf": '{"vf":[{"n":"","i":1}]}', "vo": '{"vo":"x"}'}
+    df = spark.createDataFrame(list(docs.items()), "want string, line string").select("want", sidecar.video_links(F.col("line")).alias("v"))
+    assert all((r["v"]["problem"] or "") == r["want"] for r in df.collect())
+    p = spark.createDataFrame([('{"passes":[{"n":"gps.clean","v":2,"p":{"a":"1"}}]}',)], "line string").select(sidecar.passes(F.col("line")).alias("p")).first()["p"]
+    assert (p[0]["name"], p[0]["version"], p[0]["params"]) == ("gps.clean", 2, {"a": "1"})
