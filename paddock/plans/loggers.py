@@ -13,7 +13,7 @@ from paddock.plans import fixtures, views
 from paddock.plans.queries import _LOG_SQL, _numbered, query
 from paddock.plans.views import SAMPLES_SQL, read
 from paddock.session import materialize, ship
-from paddock.sources import aimd, sidecar
+from paddock.sources import aimd, opening, sidecar
 
 
 def _files(rows: DataFrame, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:
@@ -187,3 +187,28 @@ def channel_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(k == 1, '{"plt":"g"}').when(k == 2, '{"plt":"compass","rnd":3}').when(k == 3, '{"plt":"bar"}').when(k == 4, '{"sc":[5,2]}').when(k == 5, '{"sc":[1.5,null]}').when(k == 6, '{"rnd":16}').when(k == 7, '{"fmt":"0.0 C"}').otherwise("{}")
     d = read(spark, sf_dir, "customer").select("c_custkey", sidecar.display(line).alias("d"))
     return d.select("c_custkey", "d.plot", "d.low", "d.high", "d.decimals", "d.problem")
+
+
+# ---- opening ----------------------------------------------------------------------------------------
+
+
+def _opened(spark: SparkSession, sf_dir: str, metadata: bool) -> dict[str, DataFrame]:
+    """Text logs of even customers and camera recordings of odd ones, opened as one set of tables."""
+    rows = _numbered(spark, sf_dir)
+    even = F.col("recording_id").cast("long") % 2 == 0
+    line = F.format_string("9 %.1f %d 0.5", 120_000 + F.col("i") * 0.5, F.col("o_orderkey") % 300)
+    body = rows.where(even).groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda r: r["x"]), "\n").alias("b"))
+    texts = body.select("recording_id", F.concat(F.lit("[column names]\nsats time velocity Tsample\n[data]\n"), "b").alias("text"))
+    return opening.tables({"vbo": texts, "aimd": _files(rows.where(~even), _camera)}, metadata)
+
+
+@query(f"""with {_LOG_SQL}, n as (select o_custkey, count(*) as n from lg group by 1)
+select o_custkey::varchar as recording_id, name, n as sample_count from n, (values (0, 'sats'), (0, 'time'), (0, 'velocity'), (0, 'Tsample'), (1, 'Speed'), (1, 'Gear'), (1, 'Lap Number'), (1, 'RPM')) as c(odd, name) where odd = o_custkey % 2""")
+def open_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _opened(spark, sf_dir, False)["channels"].select("recording_id", "name", "sample_count")
+
+
+@query(f"""with {_CAMERA_SQL} select recording_id, i // 3 as number, t_ns as start_ns, i + 3 < n as complete from cv where name = 'Lap Number' and i % 3 = 0 and i >= 3 and recording_id::bigint % 2 = 1""")
+def open_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps recovered in metadata mode from the recordings that have a lap counter."""
+    return _opened(spark, sf_dir, True)["laps"].select("recording_id", "number", "start_ns", "complete")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paddock.plans import fixtures
 from paddock.session import ship
-from paddock.sources import aimd, sidecar
+from paddock.sources import aimd, opening, sidecar
 
 MS = 1_000_000
 
@@ -115,3 +115,25 @@ def test_video_links_and_passes(spark):
     assert all((r["v"]["problem"] or "") == r["want"] for r in df.collect())
     p = spark.createDataFrame([('{"passes":[{"n":"gps.clean","v":2,"p":{"a":"1"}}]}',)], "line string").select(sidecar.passes(F.col("line")).alias("p")).first()["p"]
     assert (p[0]["name"], p[0]["version"], p[0]["params"]) == ("gps.clean", 2, {"a": "1"})
+
+
+def test_open_folder(spark, tmp_path):
+    doc = ['{"mtj":1,"q":10000000,"dur":40000000}', "[[1,0,20000000,1]]", '{"n":"A","u":"m/s","hz":100,"v":[1,2.5,null,4]}']
+    (tmp_path / "a.telemetry.jsonl").write_text("\n".join(doc))
+    (tmp_path / "b.telemetry.ext.jsonl").write_text(HEAD + '\n{"k":"s","s":10,"e":30,"vis":1}\n{"n":"Speed","hz":100000000,"v":[1,2]}\n')
+    (tmp_path / "c.VBO").write_text("[column names]\nsats time velocity Tsample Lap\n[data]\n" + "\n".join(f"9 {120000 + i}.0 {i} 1.0 {i // 20}" for i in range(50)))
+    (tmp_path / "d.mp4").write_bytes(_camera())
+    (tmp_path / "e.ld").write_bytes(b"no")
+    (tmp_path / "f.pds").write_bytes(b"no")
+    (tmp_path / "g.txt").write_text("no")
+    ends = lambda r: r["recording_id"].rsplit("/", 1)[1]
+    found = opening.open_folder(spark, str(tmp_path))
+    assert {(ends(r), r["format"], r["read"]) for r in found["recordings"].collect()} == {("a.telemetry.jsonl", "plain", True), ("b.telemetry.ext.jsonl", "ext", True), ("c.VBO", "vbo", True), ("d.mp4", "aimd", True), ("e.ld", "motec", True), ("f.pds", "pds", False)}
+    n = {(ends(r), r["name"]): r["sample_count"] for r in found["channels"].collect()}
+    assert n["a.telemetry.jsonl", "A"] == 4 and n["b.telemetry.ext.jsonl", "Speed"] == 2 and n["c.VBO", "velocity"] == 50 and n["d.mp4", "Speed"] == 2
+    assert {(ends(r), r["number"]) for r in found["laps"].collect()} >= {("a.telemetry.jsonl", 1), ("c.VBO", 1), ("c.VBO", 2)}
+    told = {ends(r): r for r in opening.verify(found).collect()}
+    assert told["e.ld"]["problems"] >= 1 and told["e.ld"]["channels"] == 0 and told["b.telemetry.ext.jsonl"]["spans"] == 1 and told["a.telemetry.jsonl"]["laps"] == 1 and not told["c.VBO"]["fault"]
+    slim = opening.open_folder(spark, str(tmp_path), ["*.vbo"], metadata=True)
+    assert {(ends(r), r["name"]) for r in slim["channels"].collect()} == {("c.VBO", x) for x in ("time", "Tsample", "Lap")}
+    assert [(ends(r), r["laps"]) for r in opening.lap_metadata(slim).collect()] == [("c.VBO", 2)]
