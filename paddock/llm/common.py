@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock.session import materialize, prepare, shared_dir
 
-__all__ = ["SPACE", "materialize", "packed", "row_key", "shared_dir", "table", "unit_hash", "unpacked", "word_count"]
+__all__ = ["SPACE", "hot_lookup", "materialize", "packed", "row_key", "shared_dir", "table", "unit_hash", "unpacked", "word_count"]
 
 #: White space between words, as a character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,3 +44,23 @@ def unpacked(keep: list[str], but: tuple[str, ...] = ()) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hot_lookup(df: DataFrame, right: DataFrame, key: str, share: int = 512) -> DataFrame:
+    """Left join of ``df`` with ``right``, which has one row per string ``key``, whatever share of ``df`` a key holds.
+
+    Keys with over one in ``share`` of the rows are fewer than ``share``; their rows of ``right`` are
+    broadcast, and the rows of ``df`` that meet them stay where they are dealt by row. ``df`` is read twice.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    least = (counts.agg(F.sum("_n")).first()[0] or 0) // share
+    hot = counts.where((F.col("_n") > least) & (F.col("_n") > 1)).select(key)
+    held = [c for c in right.columns if c != key]
+    hot_rows = right.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in held])
+    rest = right.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_rest_{c}") for c in held])
+    met = df.join(F.broadcast(hot_rows), F.col(key) == F.col("_hot_key"), "left")
+    # rows that are served already, and null keys, get keys of their own, which meet nothing and spread
+    spread = F.concat(F.lit("\x00"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    dealt = met.withColumn("_at", F.coalesce(F.when(F.col("_hot_key").isNull(), F.col(key)), spread))
+    found = dealt.join(rest, F.col("_at") == F.col("_key"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.when(F.col("_hot_key").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_rest_{c}")).alias(c) for c in held])

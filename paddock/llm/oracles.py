@@ -57,4 +57,38 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length({_ESCAPED.format("text")}) + case when before = role then 8 else 24 + length({_ESCAPED.format("role")}) end)::bigint as formatted_chars
 from t group by conv_id"""
 
-ORACLES = {"op2_line_dedup": OP2, "op4_quality": OP4, "op7_chat": OP7}
+OP11 = f"""with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hexed from pages),
+w as (select *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hexed, 5 * (k // 4) + 1, 5))::bigint >> (15 - 5 * (k % 4))) & 31)::int + 1, 1)), '') as payload_digest,
+  row_number() over (partition by hexed order by page_id nulls last) as nth, first_value(page_id) over (partition by hexed order by page_id nulls last) as origin from p)
+select page_id, payload_bytes, payload_digest, case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then origin end as refers_to, null::varchar as problem from w"""
+
+#: CRC-32 by table, bit by bit: each of eight steps halves the remainder.
+_STEP = "(case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+_CRC = "list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: " + _STEP + "))"
+OP12 = rf"""with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) as i,
+    substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as h, length(coalesce(text, '')) as size from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as donor, xor({_CRC}, 4294967295) % 6 as head from (select distinct conv_id from t)),
+u as (select c.conv_id, t.i, t.h, t.size from c join t on t.conv_id = c.donor and t.i <= c.head union all select c.conv_id, 1000000 + t.i, t.h, t.size from c join t on t.conv_id = c.conv_id and t.i > c.head),
+r as (select conv_id, row_number() over o as depth, size, string_agg(h, '') over (partition by conv_id order by i rows unbounded preceding) as k from u window o as (partition by conv_id order by i)),
+m as (select conv_id, depth, size, k from r union all select conv_id, 0, 0, '' from c),
+e as (select conv_id, max(depth) as ends from m group by 1),
+n as (select k, depth, min(m.conv_id) as conv_id, count(*) as n_convs, min(size) as size, coalesce(string_agg(m.conv_id::varchar, ',' order by m.conv_id) filter (ends = depth), '') as told from m join e on e.conv_id = m.conv_id group by 1, 2),
+kids as (select substr(k, 1, length(k) - 32) as k, count(*) as n_children from n where depth > 0 group by 1),
+f as (select n.*, coalesce(n_children, 0) as n_children from n left join kids on kids.k = n.k),
+up as (select f.*, unnest(range(0, depth + 1)) as d from f),
+s as (select substr(k, 1, 32 * d) as k, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * size) as saved_tokens from up group by 1)
+select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(f.told) as ends_sha256
+from f join s on s.k = f.k left join f p on f.depth > 0 and p.k = substr(f.k, 1, length(f.k) - 32)"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')"
+OP13 = f"""with d as (select row_number() over () as row, doc_id, {_TERMS} as ts from documents),
+dn as (select row, doc_id, len(ts) as n, ts from d where len(ts) > 0),
+g as (select count(*) as nn, sum(n)::bigint as ll from dn),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+p as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, n, unnest(ts) as term from dn) where term in (select term from q) group by 1, 2, 3, 4),
+w as (select term, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::bigint as w from (select term, count(*) as df from p group by 1), g),
+sc as (select item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll)))))::bigint as score from q join p using (term) join w using (term), g group by 1, 2, 3),
+rk as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from sc where score > 0)
+select item_id, rank::int as rank, doc_id, score from rk where rank <= 50"""
+
+ORACLES = {"op2_line_dedup": OP2, "op4_quality": OP4, "op7_chat": OP7, "op11_warc": OP11, "op12_trie": OP12, "op13_search": OP13}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, capfilters, chat, contextmix, langid, linededup, mixing, quality, sharding, simhash
-from paddock.llm.common import table, word_count
+from paddock.llm import bpe, capfilters, chat, contextmix, langid, lexical, linededup, mixing, quality, sharding, simhash, trie, warc
+from paddock.llm.common import shared_dir, table, word_count
 from paddock.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -89,6 +91,26 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    found = warc.resolve(warc.read_archives(spark, path))
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "problem"
+    )
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = trie.turn_arrays(table(spark, sf_dir, "conversations"))
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    return trie.trie(trie.rebuilt(held, F.col("conv_id") - F.col("conv_id") % 100, head, 5))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -100,4 +122,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
+    "op11_warc": op11_warc,
+    "op12_trie": op12_trie,
+    "op13_search": op13_search,
 }
