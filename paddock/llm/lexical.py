@@ -26,7 +26,7 @@ SHARD_DOCS, SHARD_BYTES, BLOCK_ITEMS = 65_536, 48_000_000, 4_096
 TOP = 50
 #: What a term is made of (ASCII letters and digits, every byte of other characters), lower-cased.
 _TERM_BYTES = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
-_SHARD = "shard bigint, n_docs bigint, n_terms bigint, vocab array<string>, df array<int>, ids binary, lengths binary, docs binary, values binary"
+_SHARD = "task int, number int, n_docs bigint, n_terms bigint, vocab array<string>, df array<int>, ids binary, lengths binary, docs binary, values binary"
 _HITS = "item_id bigint, doc_id bigint, score bigint"
 
 
@@ -35,7 +35,7 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_TERM_BYTES).split()
 
 
-def _packed(shard: int, ids: list, texts: list[str]) -> tuple | None:
+def _packed(task: int, number: int, ids: list, texts: list[str]) -> tuple | None:
     """One shard of documents; those without a term are left out. ``values`` are term frequencies."""
     names: dict[bytes, int] = {}
     kept, lengths, place, term, tf = [], [], [], [], []
@@ -58,13 +58,13 @@ def _packed(shard: int, ids: list, texts: list[str]) -> tuple | None:
     own = np.array([np.iinfo(np.int64).max if x is None else x for x in kept], np.int64)
     null = np.array([x is None for x in kept], np.uint8)
     return (
-        shard, len(kept), int(sum(lengths)), [t.decode("utf-8", "replace") for t in names], df, own.tobytes() + null.tobytes(), np.array(lengths, np.int64).tobytes(),
+        task, number, len(kept), int(sum(lengths)), [t.decode("utf-8", "replace") for t in names], df, own.tobytes() + null.tobytes(), np.array(lengths, np.int64).tobytes(),
         np.concatenate(place)[order].tobytes(), np.concatenate(tf)[order].tobytes(),
     )
 
 
 def _row(packed: tuple) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(packed, kinds)], names=[c.split()[0] for c in _SHARD.split(", ")])
 
 
@@ -85,13 +85,14 @@ def build(docs: DataFrame) -> DataFrame:
                 if text is None:
                     continue
                 if ids and (size + len(text) > SHARD_BYTES or len(ids) >= SHARD_DOCS):
-                    if (row := _packed(task << 32 | number, ids, texts)) is not None:
+                    if (row := _packed(task, number, ids, texts)) is not None:
                         yield _row(row)
-                    number, ids, texts, size = number + 1, [], [], 0
+                        number += 1
+                    ids, texts, size = [], [], 0
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
-        if ids and (row := _packed(task << 32 | number, ids, texts)) is not None:
+        if ids and (row := _packed(task, number, ids, texts)) is not None:
             yield _row(row)
 
     counted = materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(pack, _SHARD))
@@ -135,10 +136,13 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     ready = materialize(asked.join(df.withColumn("w", weight), "term").groupBy("item_id").agg(F.collect_list(F.struct("term", "w")).alias("terms")))
     blocks = max(1, -(-ready.count() // BLOCK_ITEMS))
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    shards = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vocab", "df", "ids", "docs", "values")
-    # every item meets every shard: one copy of its terms for each, in blocks of bounded size
-    numbers = index.agg(F.collect_list("shard").alias("shards"))
-    dealt = ready.join(F.broadcast(numbers)).select(block.alias("block"), F.explode("shards").alias("shard"), "item_id", "terms")
+    shards = index.select("task", "number", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vocab", "df", "ids", "docs", "values")
+    # every item meets every shard: one copy of its terms for each, keyed by the task and number of the shard
+    made = index.groupBy("task").agg((F.max("number") + 1).alias("n"))
+    tasks = made.agg(F.max("task")).first()[0] or 0
+    copies = ready.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tasks))).alias("task"), "item_id", "terms")
+    dealt = copies.join(made, "task").withColumn("number", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    by = ["task", "number", "block"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -160,6 +164,6 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         columns = list(zip(*out)) or [[], [], []]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("item_id", "doc_id", "score"), columns)})
 
-    hits = shards.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(score, _HITS)
+    hits = shards.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(score, _HITS)
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -60,7 +60,7 @@ def test_search_ties_repeats_and_nulls(spark, monkeypatch):
 
 
 def test_empty_tables_and_clashing_columns(spark):
-    some, none = spark.createDataFrame([(1, "a b", "x", 5)], DOCS + ", vocab string, shard bigint"), spark.createDataFrame([], DOCS)
+    some, none = spark.createDataFrame([(1, "a b", "x", 5)], DOCS + ", vocab string, task bigint"), spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([(1, "A", "t")], ITEMS + ", term string")
     assert [tuple(r)[:3] for r in lexical.search(lexical.build(some), items).collect()] == [(1, 1, 1)]
     two = some.unionByName(spark.createDataFrame([(2, "c", "x", 5)], some.schema))
