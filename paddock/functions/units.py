@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 import math
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,17 @@ def _spellings() -> tuple[dict[str, tuple], dict[str, tuple]]:
     return exact, folded
 
 
+def find(text: str) -> tuple[str, str, float, float] | None:
+    """(canonical, dimension, factor, offset) of a spelling, for code inside tasks; ``lookup`` is its expression."""
+    exact, folded = _held()
+    return exact.get(text.strip()) or folded.get(_fold(text.strip()))
+
+
+@cache
+def _held() -> tuple[dict[str, tuple], dict[str, tuple]]:
+    return _spellings()
+
+
 def _fold(s: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in s)
 

@@ -51,3 +51,36 @@ def camera(packets: list[bytes], video: tuple[int, list, list | None, list | Non
         edts = [box(b"edts", _counted(b"elst", [(d, m, 0x10000) for d, m in edits], ">IiI"))] if edits else []
         tracks.insert(0, box(b"trak", *edts, box(b"mdia", clock(b"mdhd", scale), box(b"hdlr", bytes(8), b"vide", bytes(12)), box(b"minf", box(b"stbl", *own)))))
     return head + box(b"mdat", *packets) + box(b"moov", clock(b"mvhd", movie), *tracks)
+
+
+def searched_log(channels: list[tuple], chunks: list[tuple], directory: int = 0x80, marked: bool = True, twice: bool = True, type_at: int = 0xD0, stride: int = 0x130, quantity_at: int = 0x88, unit_at: int = 0x90, count: int | None = None) -> bytes:
+    """A log of the kind whose layout is searched for.
+
+    ``channels``: id, name, type code, quantity, unit. ``chunks``: channel id, ticks, number of samples, bytes;
+    their bytes lie one after another.
+    """
+    defs = 0x200
+    table = defs + stride * len(channels)
+    end = table + 0x40 * len(chunks)
+    head = bytearray(end)
+    for k, (at, n, kind, following) in enumerate([(defs, len(channels), 1, count or len(chunks)), (table, len(chunks), 3, 0), (end, 0, 1, 0)]):
+        struct.pack_into("<QIIIII", head, directory + 32 * k, at, n, 0, 8, kind, following)
+    shift = 8 if marked else 0
+    for k, (cid, name, code, quantity, unit) in enumerate(channels):
+        at = defs + stride * k
+        if marked:
+            struct.pack_into("<Q", head, at, 0x7C72)
+        for place, form, value in ((shift, "<I", cid), (type_at, "<I", code), (quantity_at, "<I", quantity)):
+            struct.pack_into(form, head, at + place, value)
+        for place, text in ((shift + 8, name), (unit_at, unit)):
+            raw = text.encode("utf-16-le")
+            head[at + place : at + place + len(raw)] = raw
+    place = end
+    for k, (cid, ticks, n, data) in enumerate(chunks):
+        at = table + 0x40 * k
+        if twice:
+            struct.pack_into("<2I", head, at + 4, cid, cid)
+        struct.pack_into("<2I", head, at + 0x18, ticks, n)
+        struct.pack_into("<I", head, at + 0x38, place)
+        place += len(data)
+    return bytes(head) + b"".join(c[3] for c in chunks)

@@ -11,7 +11,7 @@ from paddock.functions.names import COMPLETED_COUNTERS, ROLES, normalize
 from paddock.operators import laps as lap_recovery
 from paddock.operators import report, validate
 from paddock.session import materialize
-from paddock.sources import aimd, globs, jsonl, ld, sidecar, vbo
+from paddock.sources import aimd, globs, jsonl, ld, pds, sidecar, vbo
 
 #: Channels that a text log keeps in metadata mode, in normal form.
 METADATA_CHANNELS = (
@@ -20,7 +20,7 @@ METADATA_CHANNELS = (
     "carnumber", "vehiclenumber", "racenumber", "competitionnumber", "carclass", "vehicleclass", "classid", "competitionclass",
 )
 #: Kinds of files that are told but not read.
-UNREAD = ("pds", "telemetry")
+UNREAD = ("telemetry",)
 _CHANNEL = ("recording_id", "channel_idx", "name", "unit", "unit_source", "sample_type", "sample_count", "duration_ns")
 _SAMPLE = ("recording_id", "channel_idx", "local_idx", "t_ns", "value")
 _LAP = ("recording_id", "number", "start_ns", "end_ns", "duration_ns", "complete")
@@ -45,6 +45,13 @@ def _block_logs(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
     return {"channels": channels.where("name != ''"), "samples": ld.samples(raw), "diagnostics": _told(channels, F.col("problem"))}
 
 
+def _searched_logs(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
+    """Only the chunks of the channels that are asked for are read."""
+    found = pds.tables(materialize(pds.heads(raw)))
+    chunks = found["chunks"].where(normalize(F.col("name")).isin(*METADATA_CHANNELS)) if metadata else found["chunks"]
+    return found | {"samples": pds.samples(chunks, raw if "content" in raw.columns else None)}
+
+
 def _films(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
     # files are parsed once: clocks, counts and laps all start from their samples
     samples, told = materialize(aimd.samples(raw, metadata)), materialize(aimd.channels(raw))
@@ -79,10 +86,10 @@ def tables(inputs: dict[str, DataFrame], metadata: bool = False) -> dict[str, Da
     """channels, samples, laps, spans and diagnostics of files by kind.
 
     ``inputs`` maps a kind of ``globs.kind`` to its raw rows: recording_id with text (vbo), content (motec,
-    aimd) or n and line (plain, ext). With ``metadata`` the formats with bulk samples keep what laps and
+    aimd, pds; pds also takes paths alone) or n and line (plain, ext). With ``metadata`` the formats with bulk samples keep what laps and
     identities need. Declared laps come first; other recordings' are recovered from their lap counters.
     """
-    readers = {"vbo": _text_logs, "motec": _block_logs, "aimd": _films, "plain": _lined, "ext": _grouped}
+    readers = {"vbo": _text_logs, "motec": _block_logs, "pds": _searched_logs, "aimd": _films, "plain": _lined, "ext": _grouped}
     read = [readers[k](raw, metadata) for k, raw in inputs.items()]
     if not read:
         raise ValueError("no kind of file to read")
@@ -113,7 +120,7 @@ def open_folder(spark: SparkSession, folder: str, masks: list[str] | None = None
     lines = jsonl.read_lines(spark, folder)
     line_kind = globs.kind(F.col("recording_id"))
     raw = {
-        "vbo": lambda: vbo.read_text(spark, folder), "motec": lambda: ld.files(spark, folder), "aimd": lambda: aimd.files(spark, folder),
+        "vbo": lambda: vbo.read_text(spark, folder), "motec": lambda: ld.files(spark, folder), "aimd": lambda: aimd.files(spark, folder), "pds": lambda: pds.files(spark, folder),
         "plain": lambda: lines.where(line_kind.isin("plain", "zstd")), "ext": lambda: lines.where(line_kind.isin("ext", "ext_zstd")),
     }
     wanted = {"plain" if k == "zstd" else "ext" if k == "ext_zstd" else k for k in kinds} & raw.keys()

@@ -128,7 +128,7 @@ def test_open_folder(spark, tmp_path):
     (tmp_path / "g.txt").write_text("no")
     ends = lambda r: r["recording_id"].rsplit("/", 1)[1]
     found = opening.open_folder(spark, str(tmp_path))
-    assert {(ends(r), r["format"], r["read"]) for r in found["recordings"].collect()} == {("a.telemetry.jsonl", "plain", True), ("b.telemetry.ext.jsonl", "ext", True), ("c.VBO", "vbo", True), ("d.mp4", "aimd", True), ("e.ld", "motec", True), ("f.pds", "pds", False)}
+    assert {(ends(r), r["format"], r["read"]) for r in found["recordings"].collect()} == {("a.telemetry.jsonl", "plain", True), ("b.telemetry.ext.jsonl", "ext", True), ("c.VBO", "vbo", True), ("d.mp4", "aimd", True), ("e.ld", "motec", True), ("f.pds", "pds", True)}
     n = {(ends(r), r["name"]): r["sample_count"] for r in found["channels"].collect()}
     assert n["a.telemetry.jsonl", "A"] == 4 and n["b.telemetry.ext.jsonl", "Speed"] == 2 and n["c.VBO", "velocity"] == 50 and n["d.mp4", "Speed"] == 2
     assert {(ends(r), r["number"]) for r in found["laps"].collect()} >= {("a.telemetry.jsonl", 1), ("c.VBO", 1), ("c.VBO", 2)}
