@@ -1,13 +1,14 @@
 """Camera recordings with a telemetry track beside the video.
 
-Python reads boxes and records out of a file's bytes, one file a row; clocks, edit lists, frame times,
-geodetic positions and the choice of packets are DataFrame plans over those rows. A file is a binary
-row, so it is smaller than 2 GB, which is Spark's bound of such a row.
+Python reads boxes and records out of a file's bytes; clocks, edit lists, frame times, geodetic positions
+and the choice of packets are DataFrame plans over those rows. Here a file is a binary row, so it is smaller
+than 2 GB, which is Spark's bound of such a row; ``camera`` reads files of any size by ranges.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ LAP_CHANNELS = (
     "lapnumber", "lapnum", "lapcount", "lapcounter", "currentlap", "lap", "beaconeventcount", "beaconcount", "lapbeaconcount", "currentlaptime", "lapcurrentlaptime", "laptime", "laptimerunning",
     "lapprogression", "lapprogress", "lapprogresspct", "reflaptime", "referencelaptime", "previouslt", "previouslaptime", "lastlaptime",
 )
+#: Frames that one row of a run-length table is laid out to at once.
+FRAME_RUN = 65_536
 #: Records handed to Spark at once.
 BATCH = 50_000
 _TYPES = {"u8": "u1", "u32": "<u4", "i32": "<i4", "f32": "<f4"}
@@ -124,16 +127,20 @@ def places(track: dict[bytes, memoryview]) -> tuple[np.ndarray, np.ndarray]:
     return chunks[of] + before - np.maximum.accumulate(np.where(first, before, 0)), sizes
 
 
+def packet_problem(packet: bytes | memoryview, size: int) -> str | None:
+    if len(packet) != size or size < 10 or struct.unpack_from(">H", packet)[0] != size - 2:
+        return "packet length does not match the sample's size"
+    return None if packet[6:10] == SIGNATURE else "packet has no signature"
+
+
 def packets_of(data: memoryview) -> list[memoryview]:
     """The packets of the first telemetry track, its definitions first."""
     for track in tracks_of(data):
         if kind_of(track) == "telemetry":
             found = [data[at : at + n] for at, n in zip(*places(track))]
-            for p in found:
-                if len(p) < 10 or struct.unpack_from(">H", p)[0] != len(p) - 2:
-                    raise ValueError("packet length does not match the sample's size")
-                if p[6:10] != SIGNATURE:
-                    raise ValueError("packet has no signature")
+            for p, n in zip(found, places(track)[1]):
+                if (problem := packet_problem(p, int(n))) is not None:
+                    raise ValueError(problem)
             if not found:
                 raise ValueError("empty telemetry track")
             return found
@@ -175,8 +182,8 @@ def definitions(packet: bytes) -> tuple[dict[int, tuple[str, str]], int | None,
     return found, fix, skipped
 
 
-def scalars_of(packet: bytes, known: dict[int, tuple[str, str]]) -> Iterator[tuple[int, int, bytes]]:
-    """Record id, stamp and value bytes of the closed records of known ids."""
+def scalars_of(packet: bytes, known: dict[int, tuple[str, str]], lost: Counter | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """Record id, stamp and value bytes of the closed records of known ids; ``lost`` counts the others."""
     at = packet.find(SCALAR, 10)
     while at >= 0 and at + 8 <= len(packet):
         stamp, rid = struct.unpack_from("<IH", packet, at + 2)
@@ -185,17 +192,73 @@ def scalars_of(packet: bytes, known: dict[int, tuple[str, str]]) -> Iterator[tup
             yield rid, stamp, packet[at + 8 : at + 8 + width]
             at = packet.find(SCALAR, at + 9 + width)
         else:
+            if lost is not None:
+                lost["aim.value_unterminated" if width else "aim.unknown_record_id"] += 1
             at = packet.find(SCALAR, at + 2)
 
 
+def value_of(raw: bytes, kind: str) -> float:
+    return float(np.frombuffer(raw, _TYPES[kind])[0])
+
+
+def fixes_of(packet: bytes, lost: Counter | None = None) -> Iterator[bytes]:
+    """The satellite records of full size; ``lost`` counts the others."""
+    for a, b in _blocks(packet, b"GPS"):
+        if b - a == FIX.itemsize and b <= len(packet):
+            yield packet[a:b]
+        elif lost is not None:
+            lost["aim.gps_record_skipped"] += 1
+
+
+def _times(box: memoryview, form: str) -> list[dict]:
+    """A run-length table, all of whose entries must be there."""
+    n = struct.unpack_from(">I", box, 4)[0]
+    if len(box) < 8 + 8 * n:
+        raise ValueError("run-length table is cut")
+    return [{"n": int(a), "delta": int(b)} for a, b in _table(box, form)]
+
+
+def track_rows(data: memoryview, size: int) -> Iterator[dict]:
+    """The tracks of a movie with the tables that their clocks follow from, as far as they hold together.
+
+    A clock of 0 ticks, more frames than the file of ``size`` bytes can hold, and composition offsets for
+    another number of frames are problems; such a track keeps no tables.
+    """
+    for i, t in enumerate(tracks_of(data)):
+        row = {"track": i, "track_kind": kind_of(t), "timescale": None, "movie_timescale": None, "edits": None, "stts": [], "ctts": None, "problem": None}
+        try:
+            row |= {"timescale": _scale(t.get(b"mdhd")) or None, "movie_timescale": _scale(t.get(b"mvhd")) or None}
+            if b"edts" in t:
+                wide = t[b"elst"][0] == 1
+                edits = _table(t[b"elst"], ">u8, >i8, >u4" if wide else ">u4, >i4, >u4")
+                if any(r != 0x10000 for *_, r in edits):
+                    raise ValueError("unsupported media rate")
+                row["edits"] = [{"duration": int(a), "media": int(m)} for a, m, _ in edits]
+            row["stts"] = _times(t[b"stts"], ">u4, >u4") if b"stts" in t else []
+            if b"ctts" in t:
+                row["ctts"] = _times(t[b"ctts"], ">u4, >i4" if t[b"ctts"][0] == 1 else ">u4, >u4")
+            frames = sum(r["n"] for r in row["stts"])
+            if row["track_kind"] == "video" and row["timescale"] is None:
+                raise ValueError("no clock")
+            if frames > size:
+                raise ValueError("more frames than the file can hold")
+            if row["ctts"] is not None and sum(r["n"] for r in row["ctts"]) < frames:
+                raise ValueError("composition offsets for another number of frames")
+        except (KeyError, ValueError, struct.error, IndexError, OverflowError) as broken:
+            row |= {"stts": [], "ctts": None, "edits": None, "problem": str(broken)}
+        yield row
+
+
 # ---- rows -------------------------------------------------------------------------------------------
 
 
 def _rows(raw: DataFrame, schema: str, read: Callable[[memoryview], Iterator[pd.DataFrame]]) -> DataFrame:
+    ship(raw.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for rid, data in zip(b["recording_id"], b["content"]):
-                for part in read(memoryview(bytes(data))):
+                for part in read(memoryview(bytes(data or b""))):
                     part.insert(0, "recording_id", rid)
                     yield part
 
@@ -206,22 +269,8 @@ def tracks(raw: DataFrame) -> DataFrame:
     """The tracks of ``raw`` (recording_id, content) with the tables that their clocks follow from."""
 
     def read(data: memoryview) -> Iterator[pd.DataFrame]:
-        for i, t in enumerate(tracks_of(data)):
-            row = {"track": i, "kind": kind_of(t), "timescale": None, "movie_timescale": None, "edits": None, "stts": [], "ctts": None, "problem": None}
-            try:
-                row |= {"timescale": _scale(t.get(b"mdhd")), "movie_timescale": _scale(t.get(b"mvhd"))}
-                if b"edts" in t:
-                    wide = t[b"elst"][0] == 1
-                    edits = _table(t[b"elst"], ">u8, >i8, >u4" if wide else ">u4, >i4, >u4")
-                    row["edits"] = [{"duration": int(a), "media": int(m)} for a, m, _ in edits]
-                    row["problem"] = "unsupported media rate" if any(r != 0x10000 for *_, r in edits) else None
-                row["stts"] = [{"n": int(n), "delta": int(d)} for n, d in _table(t[b"stts"], ">u4, >u4")] if b"stts" in t else []
-                if b"ctts" in t:
-                    signed = ">i4" if t[b"ctts"][0] == 1 else ">u4"
-                    row["ctts"] = [{"n": int(n), "delta": int(d)} for n, d in _table(t[b"ctts"], f">u4, {signed}")]
-            except (KeyError, ValueError, struct.error, IndexError) as broken:
-                row["problem"] = f"truncated: {broken}"
-            yield pd.DataFrame([row])
+        for row in track_rows(data, len(data)):
+            yield pd.DataFrame([{("kind" if k == "track_kind" else k): v for k, v in row.items()}])
 
     return _rows(raw, TRACKS, read)
 
@@ -313,14 +362,19 @@ def _laid_out(tracks: DataFrame, table: str) -> DataFrame:
     w = Window.partitionBy("recording_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     runs = tracks.select("recording_id", F.posexplode(table).alias("k", "r")).select("recording_id", "k", "r.n", "r.delta")
     summed = runs.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("ticks", F.coalesce(F.sum(F.col("n") * F.col("delta")).over(w), F.lit(0))).where("n > 0")
-    each = summed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    part = F.lit(FRAME_RUN).cast("long")
+    runs = summed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, part)))
+    each = runs.withColumn("j", F.explode(F.sequence("at", F.least(F.col("at") + part, F.col("n")) - 1)))
     return each.select("recording_id", (F.col("first") + F.col("j")).alias("i"), "delta", (F.col("ticks") + F.col("j") * F.col("delta")).alias("before"))
 
 
 def frame_times(tracks: DataFrame) -> DataFrame:
-    """recording_id, frame, pts_ns: the first video track's frames in order of presentation; those before zero are left out."""
+    """recording_id, frame, pts_ns: the first video track's frames in order of presentation; those before zero are left out.
+
+    A first track with a problem has no frames.
+    """
     video = tracks.where("kind = 'video'").withColumn("offset_ns", F.coalesce(presentation_offset_ns(tracks), F.lit(0)))
-    own = video.groupBy("recording_id").agg(F.min_by(F.struct("timescale", "offset_ns", "stts", "ctts"), "track").alias("v")).select("recording_id", "v.*")
+    own = video.groupBy("recording_id").agg(F.min_by(F.struct("timescale", "offset_ns", "stts", "ctts", "problem"), "track").alias("v")).select("recording_id", "v.*").where("problem is null")
     shift = _laid_out(own, "ctts").select("recording_id", "i", F.col("delta").alias("shift"))
     at = _laid_out(own, "stts").join(shift, ["recording_id", "i"], "left").join(own.select("recording_id", "timescale", "offset_ns"), "recording_id")
     pts = at.select("recording_id", "i", (_scaled(F.col("before") + F.coalesce("shift", F.lit(0)), F.col("timescale")) + F.col("offset_ns")).alias("pts_ns")).where("pts_ns >= 0")
@@ -360,17 +414,22 @@ def samples(raw: DataFrame, index: bool = False) -> DataFrame:
     Zero is the least of the channels' first stamps as they arrived; earlier ones become zero. In index
     mode channels of ``LAP_CHANNELS`` are whole and of the others evenly spaced packets are taken.
     """
-    told = channels(raw).where("name != ''").select("recording_id", "channel_idx", "id", "name")
+    return assembled(channels(raw), records(raw), fixes(raw), tracks(raw), index)
+
+
+def assembled(named: DataFrame, scalars: DataFrame, satellite: DataFrame, held: DataFrame, index: bool) -> DataFrame:
+    """``samples`` from its parts."""
+    told = named.where("name != ''").select("recording_id", "channel_idx", "id", "name")
     column = F.create_map(*[F.lit(x) for name, _, _, c in FIX_CHANNELS for x in (name, c)])
     scalar = told.where(F.element_at(column, F.col("name")).isNull())
-    found = records(raw).join(scalar, ["recording_id", "id"]).select("recording_id", "channel_idx", "name", "packet", "seq", "stamp_ms", "value")
-    wide = geodetic(fixes(raw))
+    found = scalars.join(scalar, ["recording_id", "id"]).select("recording_id", "channel_idx", "name", "packet", "seq", "stamp_ms", "value")
+    wide = geodetic(satellite)
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, _, _, c in FIX_CHANNELS]))
     long = wide.select("recording_id", "packet", "seq", "stamp_ms", pairs.alias("s")).select("recording_id", "packet", "seq", "stamp_ms", "s.name", "s.value")
     every = found.unionByName(long.join(told.select("recording_id", "channel_idx", "name"), ["recording_id", "name"]))
     if index:
         # every packet counts, records or not: the track's samples less the definitions
-        held = tracks(raw).where("kind = 'telemetry'").groupBy("recording_id").agg(F.min_by("stts", "track").alias("s"))
+        held = held.where("kind = 'telemetry'").groupBy("recording_id").agg(F.min_by("stts", "track").alias("s"))
         counts = held.select("recording_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("n")).withColumn("n", F.col("n") - 1)
         taken = report.spaced(counts, F.col("n")).select("recording_id", F.col("index").cast("int").alias("packet")).distinct()
         lap = names.normalize(F.col("name")).isin(*LAP_CHANNELS)

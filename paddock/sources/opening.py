@@ -11,7 +11,7 @@ from paddock.functions.names import COMPLETED_COUNTERS, ROLES, normalize
 from paddock.operators import laps as lap_recovery
 from paddock.operators import report, validate
 from paddock.session import materialize
-from paddock.sources import aimd, globs, jsonl, ld, pds, sidecar, vbo
+from paddock.sources import aimd, camera, globs, jsonl, ld, pds, sidecar, vbo
 
 #: Channels that a text log keeps in metadata mode, in normal form.
 METADATA_CHANNELS = (
@@ -53,8 +53,9 @@ def _searched_logs(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
 
 
 def _films(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
-    # files are parsed once: clocks, counts and laps all start from their samples
-    samples, told = materialize(aimd.samples(raw, metadata)), materialize(aimd.channels(raw))
+    # one pass over the bytes: clocks, counts and laps all start from its rows
+    rows = materialize(raw if "kind" in raw.columns else camera.scan(raw))
+    samples, told = materialize(camera.samples(rows, metadata)), camera.channels(rows)
     seen = samples.groupBy("recording_id", "channel_idx").agg(F.count(F.lit(1)).alias("sample_count"), F.max("t_ns").alias("last"))
     period = aimd.fit_chunks(samples).where("chunk_idx = 0").select("recording_id", "channel_idx", "sample_period_ns")
     units = F.create_map(*[F.lit(x) for name, unit, _, _ in aimd.FIX_CHANNELS for x in (name, unit)])
@@ -63,7 +64,7 @@ def _films(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
     channels = told.where("name != ''").join(seen, by, "left").join(period, by, "left").withColumns({
         "unit": unit, "unit_source": F.when(unit == "", "unknown").otherwise("declared"), "sample_count": F.coalesce("sample_count", F.lit(0).cast("long")), "duration_ns": F.coalesce(F.col("last") + F.col("sample_period_ns"), F.lit(0).cast("long")),
     })
-    return {"channels": channels, "samples": samples, "diagnostics": _told(told, F.col("problem"))}
+    return {"channels": channels, "samples": samples, "diagnostics": camera.diagnostics(rows)}
 
 
 def _lined(lines: DataFrame, metadata: bool) -> dict[str, DataFrame]:
@@ -86,7 +87,7 @@ def tables(inputs: dict[str, DataFrame], metadata: bool = False) -> dict[str, Da
     """channels, samples, laps, spans and diagnostics of files by kind.
 
     ``inputs`` maps a kind of ``globs.kind`` to its raw rows: recording_id with text (vbo), content (motec,
-    aimd, pds; pds also takes paths alone) or n and line (plain, ext). With ``metadata`` the formats with bulk samples keep what laps and
+    aimd, pds; pds also takes paths alone, aimd rows of ``camera``) or n and line (plain, ext). With ``metadata`` the formats with bulk samples keep what laps and
     identities need. Declared laps come first; other recordings' are recovered from their lap counters.
     """
     readers = {"vbo": _text_logs, "motec": _block_logs, "pds": _searched_logs, "aimd": _films, "plain": _lined, "ext": _grouped}
@@ -120,7 +121,7 @@ def open_folder(spark: SparkSession, folder: str, masks: list[str] | None = None
     lines = jsonl.read_lines(spark, folder)
     line_kind = globs.kind(F.col("recording_id"))
     raw = {
-        "vbo": lambda: vbo.read_text(spark, folder), "motec": lambda: ld.files(spark, folder), "aimd": lambda: aimd.files(spark, folder), "pds": lambda: pds.files(spark, folder),
+        "vbo": lambda: vbo.read_text(spark, folder), "motec": lambda: ld.files(spark, folder), "aimd": lambda: camera.read(spark, folder), "pds": lambda: pds.files(spark, folder),
         "plain": lambda: lines.where(line_kind.isin("plain", "zstd")), "ext": lambda: lines.where(line_kind.isin("ext", "ext_zstd")),
     }
     wanted = {"plain" if k == "zstd" else "ext" if k == "ext_zstd" else k for k in kinds} & raw.keys()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from paddock.plans import fixtures
 from paddock.session import ship
-from paddock.sources import aimd, opening, sidecar
+from paddock.sources import aimd, camera, opening, sidecar
+from paddock.sources.fileio import Ranged
 
 MS = 1_000_000
 
@@ -53,6 +54,62 @@ def test_camera(spark):
     assert aimd.samples(raw.where("recording_id = 'b'")).count() == 0
 
 
+def test_camera_in_one_pass(spark):
+    """The rows of one pass give what the separate scans give, with all codes."""
+    raw = spark.createDataFrame([("a", bytearray(_camera())), ("b", bytearray(b"not a film")), ("c", None)], "recording_id string, content binary")
+    rows = camera.scan(raw).cache()
+    held = lambda df: sorted(map(str, df.collect()))
+    assert held(camera.samples(rows)) == held(aimd.samples(raw)) and held(camera.samples(rows, True)) == held(aimd.samples(raw, True))
+    assert held(camera.tracks(rows)) == held(aimd.tracks(raw))
+    told = {(r["recording_id"], r["code"]): (r["severity"], r["message"]) for r in camera.diagnostics(rows).collect()}
+    assert told["a", "aim.unknown_record_id"] == ("warning", "1") and told["a", "aim.value_unterminated"] == ("warning", "1") and told["a", "aim.chs_block_skipped"] == ("warning", "1")
+    assert told["b", "aim.unreadable"][0] == told["c", "aim.unreadable"][0] == "error"
+    rows.unpersist()
+    head = fixtures.packet(fixtures.definition(20, "", 56, code="GPS0"))
+    short = fixtures.packet(b"<hGPS\0" + struct.pack("<IH", 10, 0) + bytes(10))
+    bad = bytearray(fixtures.packet(fixtures.scalar(1, 5, b"abcd")))
+    bad[6] = 0
+    got = camera.scan(spark.createDataFrame([("g", bytearray(fixtures.camera([head, short, bytes(bad)])))], "recording_id string, content binary"))
+    assert {(r["code"], r["message"]) for r in camera.diagnostics(got).collect()} == {("aim.gps_record_skipped", "1"), ("aim.packet_skipped", "1")}
+
+
+@pytest.mark.parametrize(("video", "problem"), [
+    ((90_000, [(4_000_000_000, 3000)], None, None), "more frames"), ((0, [(2, 3000)], None, None), "no clock"), ((90_000, [(4, 3000)], [(2, 0)], None), "another number"),
+])
+def test_damaged_video_clocks_are_rows(spark, video, problem):
+    good = (90_000, [(3, 3000)], None, None)
+    raw = spark.createDataFrame([(n, bytearray(fixtures.camera([fixtures.packet(fixtures.definition(5, "Speed", 4))], v))) for n, v in (("bad", video), ("good", good))], "recording_id string, content binary")
+    tracks = camera.tracks(camera.scan(raw))
+    assert [r["problem"] for r in tracks.where("recording_id = 'bad' and kind = 'video'").collect()][0].find(problem) >= 0
+    assert [(r["recording_id"], r["frame"]) for r in aimd.frame_times(tracks).orderBy("frame").collect()] == [("good", i) for i in range(3)]
+
+
+def test_camera_source_reads_ranges(spark, tmp_path):
+    """Splits cover every packet once; the media between aren't read; filters reach the reader."""
+    packets = [fixtures.packet(fixtures.definition(5, "Speed", 4))] + [fixtures.packet(fixtures.scalar(10 * i, 5, struct.pack("<f", i))) for i in range(40)]
+    data = bytearray(fixtures.camera(packets))
+    # a box of three gigabytes, all hole, lies between the packets and the index
+    at = data.index(b"moov") - 4
+    far = struct.pack(">I4sQ", 1, b"free", 3_000_000_000)
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.MP4", "wb") as f:
+            f.write(data[:at] + far)
+            f.seek(at + 3_000_000_000)
+            f.write(data[at:])
+    with Ranged(f"file:{tmp_path}/a.MP4") as source:
+        assert sum(b.num_rows for b in camera.rows_of("a", source)) == 42 and source.taken < 10_000
+    camera.register(spark)
+    rows = spark.read.format("paddock_camera").option("splitBytes", 1_500_000_000).load(str(tmp_path))
+    one = rows.where(F.col("recording_id") == f"file:{tmp_path}/a.MP4")
+    assert one.rdd.getNumPartitions() == 3 and rows.where("kind = 'channel'").rdd.getNumPartitions() == 2
+    assert sorted(r["value"] for r in one.where("kind = 'scalar'").collect()) == [float(i) for i in range(40)]
+    assert {r["name"] for r in rows.where("kind = 'channel'").collect()} == {"Speed"}
+    reader = camera.Reader({"path": str(tmp_path), "splitBytes": "200"})
+    with Ranged(f"file:{tmp_path}/a.MP4") as source:
+        found = [b for p in range(0, 2000, 200) for b in camera.rows_of("a", source, p, p + 200)]
+    assert sorted(r["value"] for b in found for r in b.to_pylist() if r["kind"] == "scalar") == [float(i) for i in range(40)] and reader.size == 200
+
+
 def test_clock_fit(spark):
     straight = [i * 10 * MS for i in range(50)]
     after = [straight[-1] + 500 * MS + i * 10 * MS + (7 * MS if i >= 20 else 0) for i in range(40)]
