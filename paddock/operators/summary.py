@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.clock import gps_ns
 from paddock.functions.geo import finite
 from paddock.functions.names import ROLES, find
-from paddock.session import ship
 
 # Codes of sample types; parameters of the 64-bit FNV-1a hash.
 TYPE_CODES = {"i8": 0, "u8": 1, "i16": 2, "u16": 3, "i32": 4, "u32": 5, "f32": 6, "f64": 7}
 _FNV_START, _FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+_HALF = 0xFFFFFFFF
 
 
-def fnv(data: bytes) -> int:
-    h = _FNV_START
-    for b in data:
-        h = ((h ^ b) * _FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv1a(data: Column) -> Column:
+    """The 64-bit FNV-1a hash of ``data`` (binary) as 16 hex digits, folded over its bytes.
+
+    The state is two halves of 32 bits. The prime is 2^40 and a small number, so the products of the halves
+    fit in 64 bits and what passes bit 64 is cut off by hand.
+    """
+    small = _FNV_PRIME & _HALF
+    high, low = "hi", "lo"
+    pair = lambda h, l: F.struct(h.cast("long").alias(high), l.cast("long").alias(low))
+    digits = F.hex(data)
+    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+
+    def step(acc: Column, b: Column) -> Column:
+        mixed = acc[low].bitwiseXOR(b)
+        product = mixed * small
+        return pair((acc[high] * small + F.shiftright(product, 32) + F.shiftleft(mixed, 8)).bitwiseAND(F.lit(_HALF)), product.bitwiseAND(F.lit(_HALF)))
+
+    start = pair(F.lit(_FNV_START >> 32), F.lit(_FNV_START & _HALF))
+    hexed = lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))
+    return F.when(F.octet_length(data) > 0, F.aggregate(bytes_, start, step, lambda acc: F.concat(hexed(acc[high]), hexed(acc[low])))).otherwise(F.when(data.isNotNull(), f"{_FNV_START:016x}"))
 
 
 def schema_hash(channels: DataFrame) -> DataFrame:
     """recording_id, schema_hash (16 hex digits) over the channels in order: name and unit in lower case, type."""
-    ship(channels.sparkSession)
     code = F.element_at(F.create_map(*[F.lit(x) for p in TYPE_CODES.items() for x in p]), F.col("sample_type"))
     part = F.concat(F.lower("name"), F.lit("\x00"), F.lower("unit"), F.lit("\x00"), F.chr(code), F.lit("\x00"))
-    joined = channels.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", part.alias("p")))), lambda x: x["p"]), "").alias("_s"))
-
-    @F.pandas_udf("string")
-    def digest(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: f"{fnv(x.encode()):016x}")
-
-    return joined.select("recording_id", digest("_s").alias("schema_hash"))
+    joined = channels.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", part.alias("p")))), lambda x: x["p"]), "").cast("binary").alias("_s"))
+    return joined.select("recording_id", fnv1a(F.col("_s")).alias("schema_hash"))
 
 
 def file_summary(channels: DataFrame) -> DataFrame:

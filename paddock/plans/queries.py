@@ -349,7 +349,12 @@ def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.file_summary(views.channels(spark, sf_dir))
 
 
-@query()
+_BYTES = "list_transform(string_split(lower({}), ''), lambda c: ascii(c)::hugeint)"
+
+
+@query(f"""with {SAMPLES_SQL}, c as (select distinct recording_id, channel_idx, {_BYTES.format("channel")} || [0::hugeint] || {_BYTES.format("unit")} || [0::hugeint, 7, 0] as b from samples),
+r as (select recording_id, flatten(list(b order by channel_idx)) as b from c group by 1)
+select recording_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::hugeint, b), lambda h, x: xor(h, x) * 1099511628211::hugeint % 18446744073709551616::hugeint)::ubigint)), 16, '0') as schema_hash from r""")
 def schema_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.schema_hash(views.channels(spark, sf_dir))
 

@@ -1,17 +1,22 @@
-"""Registered queries of the loggers whose layout is searched for, with their DuckDB forms."""
+"""Registered queries of the loggers whose layout is searched for, of writing and comparing logs, with their DuckDB forms."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paddock.functions import numbers
+from paddock.operators import compare
 from paddock.plans import fixtures
 from paddock.plans.loggers import _files
 from paddock.plans.queries import _LOG_SQL, _numbered, query
-from paddock.session import materialize
-from paddock.sources import pds
+from paddock.plans.views import read
+from paddock.session import materialize, shared_dir, ship
+from paddock.sources import ld, ldwrite, pds
 
 #: Channels of the logs below: name, type code, quantity, unit.
 _CHANNELS = (("Speed", 6, 3, "km/h"), ("Gear", 1, 0, ""), ("Lap", 3, 0, "cnt"), ("Load", 7, 14, "kN"), ("Temp", 2, 4, "C"), ("Yaw", 6, 8, ""))
@@ -71,3 +76,80 @@ from k, (values {_UNITS}) as c(name, unit, base)""")
 def pds_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units as declared, else of the quantity; exports without texts have too few channels to tell."""
     return pds.tables(_heads(spark, sf_dir)[1])["channels"].select("recording_id", "name", "unit", "unit_source")
+
+
+# ---- writing binary logs ----------------------------------------------------------------------------
+
+#: Channels of the recordings below: name, sample type.
+_WRITTEN = (("Speed", "f32"), ("Gear", "u8"), ("Wide", "u16"), ("Count", "u32"), ("Load", "f64"))
+
+
+def _to_write(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A recording a customer; those divisible by 5 have a value that a 32-bit float can't hold, by 7 a name that is too long, by 11 an odd clock, by 13 a text beyond Latin-1."""
+    rows = _numbered(spark, sf_dir)
+    key, k = F.col("recording_id").cast("long"), F.col("o_orderkey")
+    ids = rows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
+    number = F.posexplode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("sample_type")) for n, t in _WRITTEN]))
+    named = ids.select("recording_id", "n", number.alias("channel_idx", "c")).select("recording_id", "n", "channel_idx", F.when((key % 7 == 0) & (F.col("channel_idx") == 1), F.lit("Gear" * 9)).otherwise(F.col("c.name")).alias("name"), F.lit("°C").alias("unit"), "c.sample_type")
+    period = F.when(key % 11 == 0, 30_000_007).otherwise(10_000_000).cast("long")
+    chunks = named.select("recording_id", "channel_idx", F.lit(0).alias("chunk_idx"), period.alias("sample_period_ns"), F.col("n").alias("sample_count"), F.lit(0).cast("long").alias("time_base_ns"))
+    values = [F.when((key % 5 == 0) & (F.col("i") == 0), F.lit(0.1)).otherwise(k % 2000 / 4), k % 7, k % 60_000, k * 3, k / 7]
+    at = F.posexplode(F.array(*[v.cast("double") for v in values])).alias("channel_idx", "value")
+    samples = rows.select("recording_id", F.col("i").alias("local_idx"), at)
+    identity = ids.select("recording_id", F.when(key % 13 == 0, "Zoë €").otherwise("Zoë").alias("driver"), F.lit("Spa").alias("venue"))
+    return named.drop("n"), chunks, samples, identity
+
+
+_GOOD_SQL = "o_custkey % 5 <> 0 and o_custkey % 7 <> 0 and o_custkey % 11 <> 0 and o_custkey % 13 <> 0"
+
+
+@query(f"""with {_LOG_SQL} select o_custkey::varchar as recording_id, name, case kind when 'u8' then 'i16' when 'u16' then 'i32' when 'u32' then 'f64' else kind end as sample_type, i as local_idx, i * 10000000 as t_ns,
+case name when 'Speed' then (o_orderkey % 2000) / 4.0::double when 'Gear' then o_orderkey % 7 when 'Wide' then o_orderkey % 60000 when 'Count' then o_orderkey * 3 else o_orderkey / 7.0::double end::double as value
+from lg, (values {", ".join(str(c) for c in _WRITTEN)}) as c(name, kind) where {_GOOD_SQL}""")
+def ld_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings that fit, written as binary logs and read back."""
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    ldwrite.write(ldwrite.pieces(*[materialize(df) for df in _to_write(spark, sf_dir)]), path)
+    raw = ld.files(spark, path)
+    name = F.regexp_extract("recording_id", r"([^/]+)\.ld$", 1)
+    channels = ld.channels(raw).select("recording_id", "channel_idx", "name", "sample_type")
+    return ld.samples(raw).join(channels, ["recording_id", "channel_idx"]).select(name.alias("recording_id"), "name", "sample_type", "local_idx", "t_ns", "value")
+
+
+@query(f"""with k as (select distinct o_custkey as k from orders)
+select k::varchar as recording_id, 'Speed' as channel, 'ldwrite.value' as code, '1 values would change' as message from k where k % 5 = 0
+union all select k::varchar, 'GearGearGearGearGearGearGearGearGear', 'ldwrite.name', '' from k where k % 7 = 0
+union all select k::varchar, case when name = 'Gear' and k % 7 = 0 then 'GearGearGearGearGearGearGearGearGear' else name end, 'ldwrite.frequency', '' from k, (values {", ".join(str(c) for c in _WRITTEN)}) as c(name, kind) where k % 11 = 0
+union all select k::varchar, null, 'ldwrite.text', 'driver' from k where k % 13 = 0""")
+def ld_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the others aren't written."""
+    return ldwrite.refusals(*_to_write(spark, sf_dir))
+
+
+@query(f"""with {_LOG_SQL}, c as (select o_custkey, count(*) as n, min(i) filter (o_orderkey % 4 = 0) as first, count(*) filter (o_orderkey % 4 = 0) as d from lg group by 1),
+v as (select *, case when o_custkey % 3 = 0 then 'left_only' when o_custkey % 3 = 1 and d > 0 then 'differs' else 'equal' end as speed from c)
+select o_custkey::varchar as recording_id, 'Speed' as name, speed as verdict, n as left_samples, case when speed = 'left_only' then 0 else n end as right_samples, case speed when 'left_only' then n when 'differs' then d else 0 end as differing, case speed when 'left_only' then 0 when 'differs' then first end as first_difference, case speed when 'left_only' then null when 'differs' then 0.5 else 0 end::double as max_delta from v
+union all select o_custkey::varchar, 'Gear', case when o_custkey % 2 = 0 then 'differs' else 'equal' end, n, case when o_custkey % 2 = 0 then n - 1 else n end, case when o_custkey % 2 = 0 then 1 else 0 end, case when o_custkey % 2 = 0 then n - 1 end, case when n = 1 and o_custkey % 2 = 0 then null else 0 end from c
+union all select o_custkey::varchar, 'New', 'right_only', 0, n, n, 0, null from c where o_custkey % 3 = 0""")
+def compare_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings against altered copies: changed values, a channel under another name, a lost last sample."""
+    rows = _numbered(spark, sf_dir)
+    key, k = F.col("recording_id").cast("long"), F.col("o_orderkey")
+    names = rows.select("recording_id").distinct().select("recording_id", F.posexplode(F.array(F.lit("Speed"), F.lit("Gear"))).alias("channel_idx", "name")).withColumns({"unit": F.lit(""), "sample_type": F.lit("f64")})
+    samples = rows.select("recording_id", F.col("i").alias("local_idx"), (F.col("i") * 1000).alias("t_ns"), "o_orderkey", F.posexplode(F.array((k % 100).cast("double"), (k % 7).cast("double"))).alias("channel_idx", "value"))
+    changed = F.when((key % 3 == 1) & (F.col("channel_idx") == 0) & (k % 4 == 0), F.col("value") + 0.5).otherwise(F.col("value"))
+    lost = (key % 2 == 0) & (F.col("channel_idx") == 1) & (F.col("local_idx") == F.col("last"))
+    ends = samples.groupBy("recording_id").agg(F.max("local_idx").alias("last"))
+    other = samples.join(ends, "recording_id").where(~lost).withColumn("value", changed)
+    renamed = names.withColumn("name", F.when((key % 3 == 0) & (F.col("channel_idx") == 0), "New").otherwise(F.col("name")))
+    found = compare.compare({"channels": names, "samples": samples}, {"channels": renamed, "samples": other})
+    return found.select("recording_id", "name", "verdict", "left_samples", "right_samples", "differing", "first_difference", "max_delta")
+
+
+@query("""with v as (select l_orderkey, l_linenumber, unnest([l_orderkey / 8.0::double, l_extendedprice::double / 7, l_partkey::double * 1000003, l_quantity::double / -3]) as v, unnest([0, 1, 2, 3]) as kind from lineitem)
+select l_orderkey, l_linenumber, kind, case when v = floor(v) then v::bigint::varchar when v::float::double = v then v::float::varchar else v::varchar end as told from v""")
+def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    held = F.posexplode(F.array(F.col("l_orderkey") / 8, F.col("l_extendedprice").cast("double") / 7, F.col("l_partkey").cast("double") * 1_000_003, F.col("l_quantity").cast("double") / -3)).alias("kind", "v")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", held)
+    return rows.select("l_orderkey", "l_linenumber", "kind", numbers.number_text(F.col("v")).alias("told"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.clock import period_ns
+from paddock.functions.numbers import number_text
 from paddock.operators.lattice import valid_lattice
+from paddock.session import ship
 
 _HEADER = "mtj int, q bigint, dur bigint, o bigint, src string, drv string, veh string, ven string, utc bigint, tz string, hash string"
 _CHANNEL = "n string, u string, hz double, t0 bigint, v array<double>"
@@ -55,14 +57,15 @@ def to_lines(aligned: DataFrame, lattice: DataFrame, laps: DataFrame, header: Da
     """recording_id, n, line: the text form of aligned series, ready to be written file by file.
 
     ``aligned`` has recording_id, name, unit, slot, value; ``lattice`` recording_id, name, t0_ns, period_ns;
-    ``header`` recording_id, q_ns, dur_ns. Integral values are written as integers, missing ones as null.
+    ``header`` recording_id, q_ns, dur_ns. Numbers are those of ``number_text``, missing ones null.
     """
-    number = lambda v: F.when(v.isNull() | F.isnan(v), "null").when((v == F.floor(v)) & (F.abs(v) < 1e15), F.floor(v).cast("string")).otherwise(v.cast("string"))
-    held = aligned.groupBy("recording_id", "name", "unit").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s")).join(lattice, ["recording_id", "name"])
-    values = F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: number(x["value"])), ","), F.lit("]"))
+    ship(aligned.sparkSession)
+    told = aligned.withColumn("_text", number_text(F.col("value")))
+    held = told.groupBy("recording_id", "name", "unit").agg(F.array_sort(F.collect_list(F.struct("slot", "_text"))).alias("s")).join(lattice.withColumn("_hz", number_text(1e9 / F.col("period_ns"))), ["recording_id", "name"])
+    values = F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["_text"]), ","), F.lit("]"))
     quote = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
     bare = lambda c: F.regexp_extract(quote(c), r'^\{"x":(.*)\}$', 1)
-    line = F.concat(F.lit('{"n":'), bare("name"), F.when(F.col("unit") != "", F.concat(F.lit(',"u":'), bare("unit"))).otherwise(""), F.lit(',"hz":'), number(1e9 / F.col("period_ns")), F.when(F.col("t0_ns") != 0, F.concat(F.lit(',"t0":'), F.col("t0_ns").cast("string"))).otherwise(""), F.lit(',"v":'), values, F.lit("}"))
+    line = F.concat(F.lit('{"n":'), bare("name"), F.when(F.col("unit") != "", F.concat(F.lit(',"u":'), bare("unit"))).otherwise(""), F.lit(',"hz":'), "_hz", F.when(F.col("t0_ns") != 0, F.concat(F.lit(',"t0":'), F.col("t0_ns").cast("string"))).otherwise(""), F.lit(',"v":'), values, F.lit("}"))
     body = held.select("recording_id", (F.lit(2) + F.row_number().over(Window.partitionBy("recording_id").orderBy("name"))).alias("n"), line.alias("line"))
     first = header.select("recording_id", F.lit(1).alias("n"), F.to_json(F.struct(F.lit(1).alias("mtj"), F.col("q_ns").alias("q"), F.col("dur_ns").alias("dur"))).alias("line"))
     tuples = F.transform(F.array_sort(F.collect_list(F.struct("start_ns", "number", "end_ns", "complete"))), lambda x: F.format_string("[%d,%d,%d,%d]", x["number"], x["start_ns"], x["end_ns"], x["complete"].cast("int")))
