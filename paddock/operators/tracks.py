@@ -7,13 +7,15 @@ first, stays under a limit; beyond it, points and facilities meet in grid cells
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.geo import haversine_m, project
+from paddock.functions.geo import LAT_M, LON_M, haversine_m, project
+from paddock.session import materialize
 
-#: Facilities of a catalog that is broadcast.
+#: Cells of facilities that are broadcast.
 BROADCAST_ROWS = 20_000
 
 
@@ -37,7 +39,8 @@ def nearest_track(points: DataFrame, tracks: DataFrame, max_m: float, key: list[
     lo, hi = F.floor((F.col("t_lon") - r_lon + 180) / size).cast("long"), F.floor((F.col("t_lon") + r_lon + 180) / size).cast("long")
     lon_cells = F.array_distinct(F.transform(F.sequence(lo, F.least(hi, lo + n_lon)), lambda c: F.pmod(c, F.lit(n_lon))))
     placed = t.withColumn("_a", F.explode(lat_cells)).withColumn("_b", F.explode(lon_cells))
-    if tracks.count() <= BROADCAST_ROWS:
+    # what is broadcast is counted: near the poles a facility lies in many cells
+    if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     a, b = _cells(F.col("lat"), F.col("lon"), size)
     met = points.withColumns({"_pa": a, "_pb": F.pmod(b, F.lit(n_lon))}).join(placed, (F.col("_pa") == F.col("_a")) & (F.col("_pb") == F.col("_b")))
@@ -62,6 +65,43 @@ def progress(points: DataFrame, segs: DataFrame, by: list[str], key: list[str])
     return met.groupBy(*key).agg(best.alias("p")).select(*key, "p.*")
 
 
+def progress_at_size(points: DataFrame, segs: DataFrame, by: list[str], key: list[str], rings: tuple[int, ...] = (1, 3, 9), cell: float | None = None) -> DataFrame:
+    """``progress`` for centerlines of many segments: points look in growing rings of grid cells and stop when nothing nearer can lie outside.
+
+    A segment is put in the cells of spots on it that are no further apart than a cell, so what isn't met
+    within r rings is at least r - 1/2 cells away in latitude or longitude; a foot nearer than that is the
+    nearest. Points that no ring settles (far off the track) meet all segments of their track. ``cell`` is in
+    degrees, twice the mean extent of a segment unless given. Points without a place are left out, as are
+    tracks of no length. Each round is a table in the shared folder.
+    """
+    if cell is None:
+        wide = segs.agg(F.avg(F.greatest(F.abs(F.col("b_lat") - F.col("a_lat")), F.abs(F.col("b_lon") - F.col("a_lon"))))).first()[0] or 0.0
+        cell = max(2 * wide, 1e-5)
+    at = lambda v: F.floor(v / cell).cast("long")
+    steps = F.ceil(F.greatest(F.abs(F.col("b_lat") - F.col("a_lat")), F.abs(F.col("b_lon") - F.col("a_lon"))) / cell).cast("int")
+    share = F.transform(F.sequence(F.lit(0), steps), lambda i: F.when(steps > 0, i / steps).otherwise(0.0))
+    on = lambda x: F.struct(at(F.col("a_lat") + x * (F.col("b_lat") - F.col("a_lat"))).alias("_y"), at(F.col("a_lon") + x * (F.col("b_lon") - F.col("a_lon"))).alias("_x"))
+    placed = materialize(segs.where("total_m > 0").withColumn("_c", F.explode(F.array_distinct(F.transform(share, on)))).select("*", "_c._y", "_c._x").drop("_c"))
+    own = list(dict.fromkeys([*by, *key]))
+    left = materialize(points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select(*own, "lat", "lon"))
+    metres = F.least(F.lit(LAT_M), F.cos(F.radians("lat")) * LON_M) * cell
+    done = []
+    for r in rings:
+        around = F.sequence(F.lit(-r), F.lit(r))
+        near = left.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumn("_y", at(F.col("lat")) + F.col("_dy")).withColumn("_x", at(F.col("lon")) + F.col("_dx"))
+        # points of one track are dealt over cells, and its cells' segments with them
+        met = near.join(placed, [*by, "_y", "_x"]).withColumn("_f", project(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+        best = F.min_by(F.struct(((F.col("cum_m") + F.col("_f.frac") * F.col("len_m")) / F.col("total_m")).alias("progress"), F.col("_f.distance_m").alias("distance_m")), F.struct("_f.distance_m", "seg_idx"))
+        found = materialize(met.groupBy(*own, "lat", "lon").agg(best.alias("p"), F.count(F.lit(1)).alias("_compared")).where(F.col("p.distance_m") < (r - 0.5) * metres))
+        done.append(found.select(*key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "p.progress")).alias("progress"), F.col("p.distance_m").alias("distance_m")))
+        left = materialize(left.join(found.select(*key), key, "left_anti"))
+        if left.isEmpty():
+            break
+    else:
+        done.append(progress(left, segs, by, own).select(*key, "progress", "distance_m"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def normalize_venue(v: Column) -> Column:
     """ASCII letters and digits in lower case, words parted by one space where white space, - or _ stood."""
     spaced = F.regexp_replace(v, r"[\s_-]+", " ")

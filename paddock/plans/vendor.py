@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -10,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions import numbers
-from paddock.operators import compare
+from paddock.operators import compare, tracks
 from paddock.plans import fixtures
 from paddock.plans.loggers import _files
 from paddock.plans.queries import _LOG_SQL, _numbered, query
 from paddock.plans.views import read
 from paddock.session import materialize, shared_dir, ship
-from paddock.sources import ld, ldwrite, pds
+from paddock.sources import catalog, ld, ldwrite, pds
 
 #: Channels of the logs below: name, type code, quantity, unit.
 _CHANNELS = (("Speed", 6, 3, "km/h"), ("Gear", 1, 0, ""), ("Lap", 3, 0, "cnt"), ("Load", 7, 14, "kN"), ("Temp", 2, 4, "C"), ("Yaw", 6, 8, ""))
@@ -153,3 +154,36 @@ def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.posexplode(F.array(F.col("l_orderkey") / 8, F.col("l_extendedprice").cast("double") / 7, F.col("l_partkey").cast("double") * 1_000_003, F.col("l_quantity").cast("double") / -3)).alias("kind", "v")
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", held)
     return rows.select("l_orderkey", "l_linenumber", "kind", numbers.number_text(F.col("v")).alias("told"))
+
+
+# ---- the track catalog ------------------------------------------------------------------------------
+
+_SPOTS = 180
+
+
+@query(f"""with tr as (select n_nationkey as k, 'track-' || n_nationkey as slug, -60 + n_nationkey * 5.0::double as lat0, -170 + n_nationkey * 13.0::double as lon0 from nation where n_nationkey % 6 <> 5),
+ln as (select k, slug, i, lat0 + (0.01 + 0.002 * cos(6 * pi() * i / {_SPOTS})) * sin(2 * pi() * i / {_SPOTS}) as lat, lon0 + (0.02 + 0.003 * sin(4 * pi() * i / {_SPOTS})) * cos(2 * pi() * i / {_SPOTS}) as lon from tr, range(0, {_SPOTS + 1}) as r(i)),
+sg as (select k, slug, i, lat as a0, lon as o0, lead(lat) over w as a1, lead(lon) over w as o1 from ln window w as (partition by k order by i)),
+sl as (select *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(a1 - a0) / 2), 2) + cos(radians(a0)) * cos(radians(a1)) * pow(sin(radians(o1 - o0) / 2), 2))) as len from sg where a1 is not null),
+sc as (select *, coalesce(sum(len) over (partition by k order by i rows between unbounded preceding and 1 preceding), 0) as cum, sum(len) over (partition by k) as total from sl),
+q as (select c_custkey, c_nationkey as k, -60 + c_nationkey * 5.0::double + (c_custkey * 37 % 1001 - 500) / 30000.0::double as lat, -170 + c_nationkey * 13.0::double + (c_custkey * 91 % 997 - 498) / 15000.0::double as lon from customer),
+v as (select c_custkey, slug, i, cum, len, total, (o0 - lon) * cos(radians(lat)) * 111320.0 as ax, (a0 - lat) * 110540.0 as ay, (o1 - o0) * cos(radians(lat)) * 111320.0 as dx, (a1 - a0) * 110540.0 as dy from q join sc using (k)),
+f as (select *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) as fr from v), g as (select *, sqrt(pow(ax + dx * fr, 2) + pow(ay + dy * fr, 2)) as dist from f)
+select c_custkey, any_value(slug) as slug, round(arg_min((cum + fr * len) / total, dist), 5) % 1 as progress, round(min(dist), 3) as distance_m from g group by 1""")
+def catalog_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of a track per nation, read from JSON lines, and where customers are along its centerlines; the end of a round is its start."""
+    n, k = F.col("n_nationkey"), F.col("c_nationkey")
+    turn = lambda i, times: 2 * times * math.pi * i / _SPOTS
+    line = F.transform(
+        F.sequence(F.lit(0), F.lit(_SPOTS)),
+        lambda i: F.array(-170 + n * 13.0 + (0.02 + 0.003 * F.sin(turn(i, 2))) * F.cos(turn(i, 1)), -60 + n * 5.0 + (0.01 + 0.002 * F.cos(turn(i, 3))) * F.sin(turn(i, 1))),
+    )
+    layout = F.struct(F.lit("gp").alias("id"), F.lit("Grand Prix").alias("name"), F.lit(5000.0).alias("length_m"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("centerline_geojson"))
+    place = F.struct((-60 + n * 5.0).alias("lat"), (-170 + n * 13.0).alias("lon"), F.lit("UTC").alias("timezone"))
+    text = F.to_json(F.struct(F.when(n % 6 != 5, F.concat(F.lit("track-"), n)).alias("slug"), F.col("n_name").alias("name"), place.alias("location"), F.array(layout).alias("layouts")))
+    held = catalog.parse(read(spark, sf_dir, "nation").select(n.alias("n"), text.alias("line")))
+    segs = tracks.segments(held["points"].where("layout = 'gp'"), ["slug"])
+    c = F.col("c_custkey")
+    points = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("track-"), k).alias("slug"), (-60 + k * 5.0 + (c * 37 % 1001 - 500) / 30000.0).alias("lat"), (-170 + k * 13.0 + (c * 91 % 997 - 498) / 15000.0).alias("lon"))
+    found = tracks.progress_at_size(points, segs, ["slug"], ["c_custkey", "slug"])
+    return found.select("c_custkey", "slug", (F.round("progress", 5) % 1).alias("progress"), F.round("distance_m", 3).alias("distance_m"))

@@ -17,7 +17,7 @@ MILLION = 1_000_000
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """recording_id, n, line of plain and zstd files alike; a file stays in one piece, as its first line governs it."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("recording_id"), "value")
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("recording_id"), "value")
     return text.select("recording_id", F.posexplode(F.split("value", "\n")).alias("n", "line")).where(F.trim("line") != "")
 
 

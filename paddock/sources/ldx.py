@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][dD][xX]").text(path).select(F.col("_metadata.file_path").alias("recording_id"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][dD][xX]").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("recording_id"), F.col("value").alias("text"))
 
 
 def _tags(name: str) -> Column:
