@@ -22,7 +22,7 @@ from paddock.llm.common import materialize
 from paddock.session import ship
 
 #: Texts of a shard: documents and bytes at most (one longer text is a shard of its own). Items of a query block.
-SHARD_DOCS, SHARD_BYTES, BLOCK_ITEMS = 65_536, 48_000_000, 4_096
+SHARD_DOCS, SHARD_BYTES, BLOCK_ITEMS = 65_536, 16_000_000, 4_096
 TOP = 50
 #: What a term is made of (ASCII letters and digits, every byte of other characters), lower-cased.
 _TERM_BYTES = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
