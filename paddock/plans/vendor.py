@@ -17,7 +17,7 @@ from paddock.plans.loggers import _files
 from paddock.plans.queries import _LOG_SQL, _numbered, query
 from paddock.plans.views import read
 from paddock.session import materialize, shared_dir, ship
-from paddock.sources import catalog, ld, ldwrite, pds
+from paddock.sources import catalog, jsonl, ld, ldwrite, pds
 
 #: Channels of the logs below: name, type code, quantity, unit.
 _CHANNELS = (("Speed", 6, 3, "km/h"), ("Gear", 1, 0, ""), ("Lap", 3, 0, "cnt"), ("Load", 7, 14, "kN"), ("Temp", 2, 4, "C"), ("Yaw", 6, 8, ""))
@@ -187,3 +187,22 @@ def catalog_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("track-"), k).alias("slug"), (-60 + k * 5.0 + (c * 37 % 1001 - 500) / 30000.0).alias("lat"), (-170 + k * 13.0 + (c * 91 % 997 - 498) / 15000.0).alias("lon"))
     found = tracks.progress_at_size(points, segs, ["slug"], ["c_custkey", "slug"])
     return found.select("c_custkey", "slug", (F.round("progress", 5) % 1).alias("progress"), F.round("distance_m", 3).alias("distance_m"))
+
+
+# ---- line-oriented recordings with spans and videos -------------------------------------------------
+
+
+@query(f"""with {_LOG_SQL} select o_custkey::varchar as recording_id, 's' || o_orderkey as name, i * 1000000000 as start_ns, i * 1000000000 + 500000000 as end_ns, o_orderkey % 3 <> 0 as visible, -(o_custkey * 1000) as offset_ns, 'cam' || o_custkey || '.mp4' as filename from lg where o_custkey % 7 <> 0""")
+def mtj_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and linked videos of a line-oriented recording per customer; every seventh has a line that isn't JSON and gives nothing."""
+    rows = _numbered(spark, sf_dir)
+    key = F.col("recording_id").cast("long")
+    ids = rows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
+    head = ids.select("recording_id", F.lit(0).alias("n"), F.format_string('{"mtj":1,"q":10000000,"dur":%d,"vo":%d,"vf":[{"n":"cam%s.mp4","i":0}]}', F.col("n") * 1_000_000_000, -key * 1000, F.col("recording_id")).alias("line"))
+    laps = ids.select("recording_id", F.lit(1).alias("n"), F.lit("[]").alias("line"))
+    flag = F.when(F.col("o_orderkey") % 3 == 0, ',"vis":0').otherwise("")
+    spans = rows.select("recording_id", (F.col("i") + 2).cast("int").alias("n"), F.format_string('{"k":"s","n":"s%d","s":%d,"e":%d%s}', F.col("o_orderkey"), F.col("i") * 1_000_000_000, F.col("i") * 1_000_000_000 + 500_000_000, flag).alias("line"))
+    broken = ids.where(key % 7 == 0).select("recording_id", F.lit(1_000_000).alias("n"), F.lit("{cut").alias("line"))
+    found = jsonl.parse(materialize(head.unionByName(laps).unionByName(spans).unionByName(broken)))
+    told = found["spans"].join(found["videos"].select("recording_id", "offset_ns"), "recording_id").join(found["files"].select("recording_id", "filename"), "recording_id")
+    return told.select("recording_id", "name", "start_ns", "end_ns", "visible", "offset_ns", "filename")

@@ -69,7 +69,7 @@ def _films(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
 
 def _lined(lines: DataFrame, metadata: bool) -> dict[str, DataFrame]:
     found = jsonl.parse(lines)
-    return {"channels": found["channels"], "samples": found["samples"], "laps": found["laps"], "diagnostics": _told(found["problems"], F.col("problem"))}
+    return {"channels": found["channels"], "samples": found["samples"], "laps": found["laps"], "spans": found["spans"].withColumn("group", F.lit(0)), "diagnostics": _told(found["problems"], F.col("problem"))}
 
 
 def _grouped(lines: DataFrame, metadata: bool) -> dict[str, DataFrame]:
@@ -106,7 +106,7 @@ def tables(inputs: dict[str, DataFrame], metadata: bool = False) -> dict[str, Da
     if any("laps" in r for r in read):
         declared = joined("laps", _LAP)
         recovered = declared.unionByName(recovered.join(declared.select("recording_id").distinct(), "recording_id", "left_anti"))
-    spans = [r["spans"] for r in read if "spans" in r]
+    spans = [reduce(DataFrame.unionByName, [r["spans"].drop("n") for r in read if "spans" in r])] if any("spans" in r for r in read) else []
     return {"channels": channels, "samples": samples, "laps": recovered, "diagnostics": diagnostics, "spans": spans[0] if spans else spark.createDataFrame([], "recording_id string, `group` int, name string, start_ns bigint, end_ns bigint")}
 
 

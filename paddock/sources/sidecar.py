@@ -22,7 +22,7 @@ LIMITS = {"name": 64, "unit": 24, "fmt": 16, "tz": 64, "label": 80, "title": 32,
 MOST = {"meta": 16, "labels": 256, "right": 8}
 _HEADER = "mtx int, mtj int, n string, q bigint, dur bigint, o bigint, utc bigint, tz string, vis string, hash string, r array<struct<t:string,p:array<string>>>, vo string, vf string, vpts string"
 _SPAN = "n string, s bigint, e bigint, vis string, c string, p struct<title:string,sub:string>"
-_CHANNEL = "n string, u string, hz double, t0 bigint, v array<double>"
+_CHANNEL = "n string, u string, hz double, t0 bigint, v array<double>, vis string"
 _BY = ["recording_id", "group"]
 
 
@@ -49,7 +49,7 @@ def meta_values(line: Column) -> Column:
         ms = F.when(timespan.in_range(number), number).otherwise(timespan.parse_ms(F.coalesce(text, told)).cast("long"))
         problem = (
             F.when(F.coalesce(F.schema_of_variant(F.try_variant_get(entry, "$[0]", "variant")), F.lit("")) != "STRING", "meta_name")
-            .when(typed & ~F.coalesce(unit.isin(*TIME_UNITS), F.lit(False)), "meta_unit")
+            .when(typed & ~F.coalesce(F.lower(unit).isin(*TIME_UNITS), F.lit(False)), "meta_unit")
             .when(number.isNotNull() & ~timespan.in_range(number), "meta_range")
             .when(ms.isNull() & text.isNull(), "meta_value")
         )
@@ -60,6 +60,28 @@ def meta_values(line: Column) -> Column:
     return F.transform(entries, one)
 
 
+def span_rows(body: DataFrame, by: list[str], vis_required: bool) -> DataFrame:
+    """The spans among ``body`` (by, n, line, q_ns), each with its first problem: bounds, lattice, colour, visibility, values.
+
+    Where a flag isn't required, a span without one is visible; a flag that is there must be one.
+    """
+    held = body.where(F.get_json_object("line", "$.k") == "s").select(*by, "n", "q_ns", "line", F.from_json("line", _SPAN).alias("x"), meta_values(F.col("line")).alias("meta"))
+    s, e, c = F.col("x.s"), F.col("x.e"), F.coalesce("x.c", F.lit(""))
+    flag = shown(F.col("x.vis") if vis_required else F.coalesce("x.vis", F.lit("1")))
+    no_list = ~F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), "$.m", "variant")), F.lit("ARRAY")).startswith("ARRAY")
+    return held.select(
+        *by, "n", F.coalesce("x.n", F.lit("")).alias("name"), s.alias("start_ns"), e.alias("end_ns"), flag.alias("visible"), c.alias("color"), F.coalesce("x.p.title", F.lit("")).alias("title"), F.coalesce("x.p.sub", F.lit("")).alias("subtitle"),
+        F.transform("meta", lambda m: F.struct(m["name"].alias("name"), m["text"].alias("text"), m["ms"].alias("ms"))).alias("meta"),
+        F.when(s.isNull() | e.isNull() | (e <= s), "span_bounds").when((s % F.col("q_ns") != 0) | (e % F.col("q_ns") != 0), "span_lattice").when((c != "") & ~formats.colour(c), "colour").when(flag.isNull(), "span_vis").when(no_list, "meta")
+        .otherwise(F.get(F.filter(F.transform("meta", lambda m: m["problem"]), lambda p: p.isNotNull()), F.lit(0))).alias("problem"),
+    )
+
+
+def not_json(body: DataFrame, by: list[str]) -> DataFrame:
+    """Lines that aren't JSON objects, as problems."""
+    return body.where(~F.coalesce(F.schema_of_variant(F.try_parse_json("line")), F.lit("")).startswith("OBJECT")).select(*by, F.lit("json").alias("problem"))
+
+
 def display(line: Column) -> Column:
     """Struct plot, low, high, decimals, format, problem: how a channel's line wants to be shown; a trace without one."""
     d = F.from_json(line, "plt string, sc array<double>, rnd double, fmt string")
@@ -106,7 +128,7 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
 
     A recording with a problem has no other rows. Problems name a group (0-based; -1 for lines before the
     first header) and what is wrong: version, name, lattice, utc, tz, vis, right, hash, video; span_bounds,
-    span_lattice, colour, span_vis, meta_*; duplicate_name, period_off_lattice, t0_off_lattice, plt, sc,
+    span_lattice, colour, span_vis, meta*; json; channel_name, channel_values, channel_vis, beyond_duration, duplicate_name, period_off_lattice, t0_off_lattice, plt, sc,
     rnd, fmt, label*; no_header.
     """
     w = Window.partitionBy("recording_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -121,28 +143,22 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
         .when(F.coalesce("utc", F.lit(0)) <= 0, "utc").when(~F.coalesce(F.col("tz").isin(*zones) if zones else F.col("tz") != "", F.lit(False)), "tz").when(shown(F.col("vis")).isNull(), "vis").when(~good_right, "right")
         .when(formats.schema_hash(F.coalesce("hash", F.lit("")))["error"].isNotNull(), "hash").when(F.coalesce("vo", "vf", "vpts").isNotNull(), "video").alias("problem"),
     )
-    lattice = groups.select(*_BY, "q_ns", "origin_ns")
+    lattice = groups.select(*_BY, "q_ns", "origin_ns", "duration_ns")
     body = told.where(~F.col("opens"))
     stray = body.where("group < 0").select("recording_id", "group", F.lit("no_header").alias("problem"))
     body = body.where("group >= 0").join(lattice, _BY)
     is_span = F.get_json_object("line", "$.k") == "s"
-    spans = body.where(is_span).select(*_BY, "n", "q_ns", F.from_json("line", _SPAN).alias("x"), meta_values(F.col("line")).alias("meta"))
-    s, e, c = F.col("x.s"), F.col("x.e"), F.coalesce("x.c", F.lit(""))
-    spans = spans.select(
-        *_BY, "n", F.coalesce("x.n", F.lit("")).alias("name"), s.alias("start_ns"), e.alias("end_ns"), shown(F.col("x.vis")).alias("visible"), c.alias("color"), F.coalesce("x.p.title", F.lit("")).alias("title"), F.coalesce("x.p.sub", F.lit("")).alias("subtitle"),
-        F.transform("meta", lambda m: F.struct(m["name"].alias("name"), m["text"].alias("text"), m["ms"].alias("ms"))).alias("meta"),
-        F.when(s.isNull() | e.isNull() | (e <= s), "span_bounds").when((s % F.col("q_ns") != 0) | (e % F.col("q_ns") != 0), "span_lattice").when((c != "") & ~formats.colour(c), "colour").when(shown(F.col("x.vis")).isNull(), "span_vis")
-        .otherwise(F.get(F.filter(F.transform("meta", lambda m: m["problem"]), lambda p: p.isNotNull()), F.lit(0))).alias("problem"),
-    )
-    rows = body.where(~F.coalesce(is_span, F.lit(False))).select(*_BY, "n", "line", "q_ns", "origin_ns", F.from_json("line", _CHANNEL).alias("x"), display(F.col("line")).alias("display"), labels(F.col("line"), F.col("origin_ns"), F.col("q_ns")).alias("lbl"))
+    spans = span_rows(body, _BY, True)
+    rows = body.where(~F.coalesce(is_span, F.lit(False)) & F.try_parse_json("line").isNotNull()).select(*_BY, "n", "line", "q_ns", "origin_ns", "duration_ns", F.from_json("line", _CHANNEL).alias("x"), display(F.col("line")).alias("display"), labels(F.col("line"), F.col("origin_ns"), F.col("q_ns")).alias("lbl"))
     t0, period = F.coalesce("x.t0", "origin_ns"), period_ns(F.col("x.hz"))
     twice = F.count(F.lit(1)).over(Window.partitionBy(*_BY, "x.n")) > 1
     checked = rows.select(
-        *_BY, (F.row_number().over(Window.partitionBy(*_BY).orderBy("n")) - 1).alias("channel_idx"), F.col("x.n").alias("name"), F.coalesce("x.u", F.lit("")).alias("unit"), t0.alias("t0_ns"), period.alias("period_ns"), F.col("x.v").alias("v"), "display", F.col("lbl.labels").alias("labels"),
+        *_BY, (F.row_number().over(Window.partitionBy(*_BY).orderBy("n")) - 1).alias("channel_idx"), F.col("x.n").alias("name"), F.coalesce("x.u", F.lit("")).alias("unit"), t0.alias("t0_ns"), period.alias("period_ns"), F.col("x.v").alias("v"), shown(F.col("x.vis")).alias("visible"), "display", F.col("lbl.labels").alias("labels"),
         F.when(F.coalesce("x.n", F.lit("")) == "", "channel_name").when(twice, "duplicate_name").when(period.isNull() | (period % F.col("q_ns") != 0), "period_off_lattice").when((t0 < F.col("origin_ns")) | ((t0 - F.col("origin_ns")) % F.col("q_ns") != 0), "t0_off_lattice")
+        .when(F.col("x.v").isNull(), "channel_values").when(t0 + F.size("x.v") * period > F.col("duration_ns") + period, "beyond_duration").when(shown(F.col("x.vis")).isNull(), "channel_vis")
         .otherwise(F.coalesce("display.problem", "lbl.problem")).alias("problem"),
     )
-    told_problems = [groups.select(*_BY, "problem"), stray, spans.select(*_BY, "problem"), checked.select(*_BY, "problem")]
+    told_problems = [groups.select(*_BY, "problem"), stray, not_json(body, _BY), spans.select(*_BY, "problem"), checked.select(*_BY, "problem")]
     problems = told_problems[0]
     for p in told_problems[1:]:
         problems = problems.unionByName(p)

@@ -131,8 +131,8 @@ def _lines(spark, docs):
 
 
 def test_sidecar(spark):
-    span = '{"k":"s","n":"a","s":10,"e":30,"vis":0,"c":"#aabbcc","p":{"title":"T","sub":"S"},"m":[["x","hi"],["lap","1:02.345"],["n",1500],["o",{"v":"0:01.000","u":"laptime_ms"}],["p",{"v":7,"u":"timespan_ms"}]]}'
-    channel = '{"n":"Speed","u":"m/s","hz":100000000,"t0":10,"plt":"t","sc":[0,null],"lbl":[[20,"one"],[30,"two"]],"v":[1,null,3]}'
+    span = '{"k":"s","n":"a","s":10,"e":30,"vis":0,"c":"#aabbcc","p":{"title":"T","sub":"S"},"m":[["x","hi"],["lap","1:02.345"],["n",1500],["o",{"v":"0:01.000","u":"LapTime_MS"}],["p",{"v":7,"u":"timespan_ms"}]]}'
+    channel = '{"n":"Speed","u":"m/s","hz":100000000,"t0":10,"plt":"t","sc":[0,null],"lbl":[[20,"one"],[30,"two"]],"vis":0,"v":[1,null,3]}'
     good = sidecar.parse(_lines(spark, {"r": [HEAD, span, HEAD.replace('"g"', '"h"').replace('"vis":1', '"vis":false'), channel]}))
     assert good["problems"].count() == 0
     assert [(g["group"], g["name"], g["visible"]) for g in good["groups"].orderBy("group").collect()] == [(0, "g", True), (1, "h", False)]
@@ -149,7 +149,7 @@ def test_sidecar(spark):
 
 def test_sidecar_problems(spark):
     span = lambda x: '{"k":"s","n":"a","s":10,"e":30,"vis":1,' + x + "}"
-    channel = lambda x: '{"n":"S","hz":100000000,' + x + ',"v":[1]}'
+    channel = lambda x: '{"n":"S","hz":100000000,"vis":1,' + x + ',"v":[1]}'
     wrong = {
         "version": [HEAD.replace('"mtx":1', '"mtx":9')], "name": [HEAD.replace('"n":"g"', '"n":""')], "lattice": [HEAD.replace('"dur":100', '"dur":101')], "utc": [HEAD.replace("1700000000000000000", "0")],
         "tz": [HEAD.replace("Europe/Berlin", "Mars/Base")], "vis": [HEAD.replace(',"vis":1', "")], "hash": [HEAD.replace('"q"', '"hash":"xy","q"')], "video": [HEAD.replace('"q"', '"vo":1,"q"')], "right": [HEAD.replace('"q"', '"r":[{"p":["a"]}],"q"')],
@@ -157,6 +157,7 @@ def test_sidecar_problems(spark):
         "meta_range": [HEAD, span('"m":[["a",360000001]]')], "meta_unit": [HEAD, span('"m":[["a",{"v":1,"u":"m"}]]')], "meta_value": [HEAD, span('"m":[["a",1.5]]')], "meta_name": [HEAD, span('"m":[[1,"x"]]')],
         "duplicate_name": [HEAD, channel('"u":"a"'), channel('"u":"b"')], "period_off_lattice": [HEAD, channel('"u":"a"').replace("100000000", "300000000")], "plt": [HEAD, channel('"plt":"bar"')], "sc": [HEAD, channel('"sc":[2,1]')], "rnd": [HEAD, channel('"rnd":16')],
         "fmt": [HEAD, channel('"fmt":"0 C"')], "label": [HEAD, channel('"lbl":[[20,"a"],[10,"b"]]')], "labels_without_trace": [HEAD, channel('"plt":"gauge","lbl":[[20,"a"]]')], "no_header": [span('"c":""'), HEAD],
+        "channel_vis": [HEAD, '{"n":"S","hz":100000000,"v":[1]}'], "channel_values": [HEAD, '{"n":"S","hz":100000000,"vis":1}'], "beyond_duration": [HEAD, '{"n":"S","hz":100000000,"vis":1,"v":[1,2,3,4,5,6,7,8,9,10,11,12]}'], "meta": [HEAD, span('"m":"x"')], "json": [HEAD, "not json"],
     }
     found = sidecar.parse(_lines(spark, wrong))
     told = {}
@@ -177,7 +178,7 @@ def test_video_links_and_passes(spark):
 def test_open_folder(spark, tmp_path):
     doc = ['{"mtj":1,"q":10000000,"dur":40000000}', "[[1,0,20000000,1]]", '{"n":"A","u":"m/s","hz":100,"v":[1,2.5,null,4]}']
     (tmp_path / "a.telemetry.jsonl").write_text("\n".join(doc))
-    (tmp_path / "b.telemetry.ext.jsonl").write_text(HEAD + '\n{"k":"s","s":10,"e":30,"vis":1}\n{"n":"Speed","hz":100000000,"v":[1,2]}\n')
+    (tmp_path / "b.telemetry.ext.jsonl").write_text(HEAD + '\n{"k":"s","s":10,"e":30,"vis":1}\n{"n":"Speed","hz":100000000,"vis":1,"v":[1,2]}\n')
     (tmp_path / "c.VBO").write_text("[column names]\nsats time velocity Tsample Lap\n[data]\n" + "\n".join(f"9 {120000 + i}.0 {i} 1.0 {i // 20}" for i in range(50)))
     (tmp_path / "d.mp4").write_bytes(_camera())
     (tmp_path / "e.ld").write_bytes(b"no")

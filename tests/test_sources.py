@@ -57,6 +57,26 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert {r["problem"] for r in jsonl.parse(bad)["problems"].collect()} == {"period_off_lattice"}
 
 
+def test_jsonl_spans_videos_passes_and_problems(spark):
+    head = '{"mtj":1,"q":10,"dur":100,"vo":-5,"vf":[{"n":"a.mp4","i":0,"fc":3},{"n":"b.mp4","i":1,"po":7}],"vpts":[0,5,5],"passes":[{"n":"gps.clean","v":2,"p":{"a":"1"}}]}'
+    channel = '{"n":"A","hz":100000000,"v":[1,2]}'
+    good = [head, "[]", '{"k":"s","n":"x","s":10,"e":20,"m":[["t",5]]}', channel, '{"k":"s","s":20,"e":30,"vis":false}', channel.replace("A", "B")]
+    wrong = {
+        "json": [head, "[]", "no json"], "video": [head.replace("[0,5,5]", "[5,0]"), "[]"], "channel_values": [head, "[]", '{"n":"A","hz":100000000}'], "channel_name": [head, "[]", '{"hz":100000000,"v":[1]}'],
+        "span_bounds": [head, "[]", '{"k":"s","s":20,"e":20}'], "span_vis": [head, "[]", '{"k":"s","s":10,"e":20,"vis":"x"}'], "meta": [head, "[]", '{"k":"s","s":10,"e":20,"m":{}}'], "beyond_duration": [head, "[]", '{"n":"A","hz":100000000,"t0":90,"v":[1,2,3]}'],
+    }
+    rows = [(r, i, x) for r, doc in ({"good": good} | wrong).items() for i, x in enumerate(doc)]
+    found = jsonl.parse(spark.createDataFrame(rows, "recording_id string, n int, line string"))
+    told = {}
+    for r in found["problems"].collect():
+        told.setdefault(r["recording_id"], set()).add(r["problem"])
+    assert told == {k: {k} for k in wrong}
+    assert [(r["name"], r["start_ns"], r["end_ns"], r["visible"]) for r in found["spans"].orderBy("start_ns").collect()] == [("x", 10, 20, True), ("", 20, 30, False)]
+    assert sorted((r["channel_idx"], r["name"], r["recording_id"]) for r in found["channels"].collect()) == [(0, "A", "good"), (1, "B", "good")]
+    assert [tuple(r)[1:] for r in found["files"].orderBy("idx").collect()] == [("a.mp4", 0, 3, None, None), ("b.mp4", 1, 0, None, 7)]
+    assert [tuple(r) for r in found["videos"].collect()] == [("good", -5, [0, 5, 5])] and [(r["name"], r["version"], r["params"]) for r in found["passes"].collect()] == [("gps.clean", 2, {"a": "1"})]
+
+
 def test_ldx(spark):
     marks = [12.5, 25.5, 37, 51, 63, 78, 89, 102.5, 115, 129, 142]
     m = spark.createDataFrame([("r", int(x * S)) for x in marks], "recording_id string, t_ns bigint")
