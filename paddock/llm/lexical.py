@@ -137,11 +137,12 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     blocks = max(1, -(-ready.count() // BLOCK_ITEMS))
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
     shards = index.select("task", "number", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vocab", "df", "ids", "docs", "values")
-    # every item meets every shard: one copy of its terms for each, keyed by the task and number of the shard
+    # every item meets every shard: one copy of its terms for each, keyed by the task and number of the shard;
+    # neither side has a size that is known to stay small, so neither is broadcast
     made = index.groupBy("task").agg((F.max("number") + 1).alias("n"))
     tasks = made.agg(F.max("task")).first()[0] or 0
     copies = ready.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tasks))).alias("task"), "item_id", "terms")
-    dealt = copies.join(made, "task").withColumn("number", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = copies.join(made.hint("merge"), "task").withColumn("number", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     by = ["task", "number", "block"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
