@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 import math
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,9 +116,13 @@ def normalize(unit: Column) -> Column:
     return lookup(unit)["canonical"]
 
 
-def conversion_error(source: Column, target: Column) -> Column:
-    """Why values don't convert: unknown_unit, dimension_mismatch, not_convertible; null if they do."""
-    a, b = lookup(source), lookup(target)
+def _resolved(source: Column, target: Column, told: Callable[[Column, Column], Column]) -> Column:
+    """``told`` of both units' structs, each looked up once a row however often they are named."""
+    pair = F.array(F.struct(lookup(source).alias("a"), lookup(target).alias("b")))
+    return F.get(F.transform(pair, lambda p: told(p["a"], p["b"])), F.lit(0))
+
+
+def _error(a: Column, b: Column) -> Column:
     return (
         F.when(a.isNull() | b.isNull(), "unknown_unit")
         .when(a["canonical"] == b["canonical"], F.lit(None))
@@ -126,11 +131,19 @@ def conversion_error(source: Column, target: Column) -> Column:
     )
 
 
+def conversion_error(source: Column, target: Column) -> Column:
+    """Why values don't convert: unknown_unit, dimension_mismatch, not_convertible; null if they do."""
+    return _resolved(source, target, _error)
+
+
 def convert(value: Column, source: Column, target: Column) -> Column:
     """The value in the target unit, null where ``conversion_error`` isn't."""
-    a, b = lookup(source), lookup(target)
-    moved = (value * a["factor"] + a["offset"] - b["offset"]) / b["factor"]
-    return F.when(conversion_error(source, target).isNull(), F.when(a["canonical"] == b["canonical"], value).otherwise(moved))
+
+    def moved(a: Column, b: Column) -> Column:
+        other = (value * a["factor"] + a["offset"] - b["offset"]) / b["factor"]
+        return F.when(_error(a, b).isNull(), F.when(a["canonical"] == b["canonical"], value).otherwise(other))
+
+    return _resolved(source, target, moved)
 
 
 def band(unit: Column) -> Column:

@@ -44,7 +44,9 @@ def clean_fixes(fixes: DataFrame, by: list[str]) -> DataFrame:
     """by, t_ns, local_idx, lat, lon, flag → clean_lat, clean_lon: NaN where invalid or a teleport.
 
     A fix is a teleport if reaching it from the last accepted one takes more than 150 m/s; after eight
-    in a row the next is believed. The state is the last accepted fix, so each group is one linear pass.
+    in a row the next is believed. The state is the last accepted fix, so a group with a jump is one linear pass
+    in Python. Where no step between neighbouring sane fixes is that fast, every sane fix is accepted: such groups,
+    nearly all, are told by a window and stay in expressions.
     """
     ship(fixes.sparkSession)
     schema = ", ".join([*[f"{c} {fixes.schema[c].dataType.simpleString()}" for c in by], "local_idx bigint", "t_ns bigint", "clean_lat double", "clean_lon double", "accepted boolean"])
@@ -69,7 +71,19 @@ def clean_fixes(fixes: DataFrame, by: list[str]) -> DataFrame:
         return out
 
     nan = F.lit(float("nan"))
-    done = fixes.select(*by, "t_ns", "local_idx", "lat", "lon", "flag").groupBy(*by).applyInPandas(run, schema)
+    lat, lon = F.col("lat"), F.col("lon")
+    inside = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) <= 90) & (F.abs(lon) <= 180) & ~((F.abs(lat) < 1e-7) & (F.abs(lon) < 1e-7))
+    before = Window.partitionBy(*by).orderBy("t_ns", "local_idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_sane"), F.struct("t_ns", "lat", "lon")), ignorenulls=True).over(before)
+    speed = F.try_divide(equirectangular_m(F.col("_last.lat"), F.col("_last.lon"), lat, lon), (F.col("t_ns") - F.col("_last.t_ns")) / 1e9)
+    held = fixes.select(*by, "t_ns", "local_idx", lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), "flag").withColumn("_sane", F.coalesce(inside & F.col("flag"), F.lit(False))).withColumn("_last", last)
+    # a hair below the limit, so that rounding can't call a jump quiet
+    jump = F.col("_sane") & (F.col("t_ns") > F.col("_last.t_ns")) & (speed > MAX_SPEED_MPS * 0.999999)
+    marked = materialize(held.withColumn("_loud", F.max(F.coalesce(jump, F.lit(False)).cast("int")).over(Window.partitionBy(*by))).drop("_last"))
+    loud = marked.where("_loud = 1").select(*by, "t_ns", "local_idx", "lat", "lon", "flag").groupBy(*by).applyInPandas(run, schema)
+    ok = F.col("_sane")
+    quiet = marked.where("_loud = 0").select(*by, "local_idx", "t_ns", F.when(ok, lat).alias("clean_lat"), F.when(ok, lon).alias("clean_lon"), ok.alias("accepted"))
+    done = loud.unionByName(quiet)
     #: A NaN that pandas hands back is null.
     return done.withColumns({c: F.when(F.col("accepted"), F.col(c)).otherwise(nan) for c in ("clean_lat", "clean_lon")})
 
