@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paddock.functions.clock import period_ns
 from paddock.functions.numbers import number_text
 from paddock.operators.lattice import valid_lattice
-from paddock.session import ship
+from paddock.session import materialize, ship
 from paddock.sources import sidecar
 
 _HEADER = "mtj int, q bigint, dur bigint, o bigint, src string, drv string, veh string, ven string, utc bigint, tz string, hash string"
@@ -50,12 +50,13 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
         .when((F.col("t0") < F.col("o")) | ((F.col("t0") - F.col("o")) % F.col("q") != 0), "t0_off_lattice")
         .when(F.col("t0") + F.size("v") * F.col("period_ns") > F.col("dur") + F.col("period_ns"), "beyond_duration")
     )
-    checked = rows.withColumn("problem", problem)
+    # every table below is filtered by the problems of all, so each is worked out once
+    checked, spans, top = materialize(rows.withColumn("problem", problem)), materialize(spans), materialize(top)
     bad_head = head.select("recording_id", F.when(F.col("mtj").isNull() | (F.col("mtj") != 1), "version").when(~F.coalesce(valid_lattice(F.col("q"), F.col("dur"), F.col("o")), F.lit(False)), "lattice").alias("problem")).where("problem is not null")
     bad_laps = laps.join(head.select("recording_id", "q", "o"), "recording_id").where("end_ns <= start_ns or (start_ns - o) % q != 0 or (end_ns - o) % q != 0 or start_ns is null or end_ns is null").select("recording_id", F.lit("lap").alias("problem")).distinct()
     bad_top = top.where("v.problem is not null").select("recording_id", F.lit("video").alias("problem"))
     found = [bad_head, bad_laps, bad_top, sidecar.not_json(rest, ["recording_id"]), checked.select("recording_id", "problem"), spans.select("recording_id", "problem")]
-    problems = reduce(DataFrame.unionByName, found).where("problem is not null").distinct()
+    problems = materialize(reduce(DataFrame.unionByName, found).where("problem is not null").distinct())
     good = lambda df: df.join(problems.select("recording_id").distinct(), "recording_id", "left_anti")
     fine = good(checked)
     channels = fine.select("recording_id", "channel_idx", F.col("channel_idx").alias("id"), "name", "unit", F.when(F.col("unit") == "", "unknown").otherwise("declared").alias("unit_source"), F.lit("f64").alias("sample_type"), F.size("v").cast("long").alias("sample_count"), (F.col("t0") + F.size("v") * F.col("period_ns")).alias("duration_ns"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paddock.functions import formats, timespan
 from paddock.functions.clock import period_ns
 from paddock.operators.lattice import snap_intervals, snap_up, valid_lattice
+from paddock.session import materialize
 
 VERSION = 1
 #: Units of times in a span's values.
@@ -158,11 +159,13 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
         .when(F.col("x.v").isNull(), "channel_values").when(t0 + F.size("x.v") * period > F.col("duration_ns") + period, "beyond_duration").when(shown(F.col("x.vis")).isNull(), "channel_vis")
         .otherwise(F.coalesce("display.problem", "lbl.problem")).alias("problem"),
     )
+    # every table below is filtered by the problems of all, so each is worked out once
+    groups, spans, checked = materialize(groups), materialize(spans), materialize(checked)
     told_problems = [groups.select(*_BY, "problem"), stray, not_json(body, _BY), spans.select(*_BY, "problem"), checked.select(*_BY, "problem")]
     problems = told_problems[0]
     for p in told_problems[1:]:
         problems = problems.unionByName(p)
-    problems = problems.where("problem is not null").distinct()
+    problems = materialize(problems.where("problem is not null").distinct())
     bad = problems.select("recording_id").distinct()
     good = lambda df: df.join(bad, "recording_id", "left_anti").drop("problem")
     channels = good(checked)
