@@ -28,19 +28,30 @@ from paddock.llm.simhash import forest
 from paddock.session import ship
 
 COSINE = 0.9
-#: Unrelated vectors in a filter, filters of a vector on average and at least, most code words of two blocks.
-HELD, FILTERS, LEAST, WORDS = 16, 24, 8, 2048
+#: Unrelated vectors in a filter, most code words of two blocks, entries of a filter that are compared at once.
+HELD, WORDS = 16, 2048
 BLOCK = 1024
 #: Filters to look at for a vector that has few, lowering the height by this factor each time.
 _LOWER, _TRIES = 0.94, 30
 
 
+def per_vector(n: int) -> int:
+    """Filters that a vector is in on average, of ``n``.
+
+    A higher cap is shared by fewer of the pairs at the cosine, and three blocks by fewer than two, so the
+    number grows with the logarithm: 24 up to 10^4 vectors, 40 at 10^6, 100 at 10^8. A vector has at least a third.
+    """
+    size = np.log10(max(n, 1))
+    return int(round(24 + 8 * max(0.0, size - 4) + 22 * max(0.0, size - 6)))
+
+
 class Code:
     """The product code for vectors of one dimension, the same wherever it is made."""
 
     def __init__(self, dim: int, n: int, seed: int):
         share = min(0.2, HELD / max(n, 1))
-        total = FILTERS / share
+        self.mean = per_vector(n)
+        total = self.mean / share
         self.blocks = min(dim, 2 if total**0.5 <= WORDS else 3)
         self.words = max(2, int(np.ceil(total ** (1 / self.blocks))))
         pick = np.random.default_rng([seed, dim])
@@ -63,7 +74,7 @@ class Code:
             s, o, height = [m[r] for m in near], [m[r] for m in order], self.height
             for _ in range(_TRIES):
                 found = self._decode(s, o, height)
-                if len(found) >= LEAST:
+                if 3 * len(found) >= self.mean:
                     break
                 height = height * _LOWER if height > 0.05 else height - 0.1
             out.append(np.sort(found))
@@ -148,6 +159,7 @@ def _compare(cosine: float):
                 rows, cols = np.flatnonzero(own == k[a, 2]), np.flatnonzero(own == k[a, 3])
             i, j, first = _verified(x, lists, int(k[a, 1]), rows, cols, cosine)
             if len(i):
+                first &= ids[i] != ids[j]
                 count = np.bincount(i[first], m[j[first]], minlength=b - a) + np.bincount(j[first], m[i[first]], minlength=b - a)
                 out += [(int(ids[v]), None, int(count[v])) for v in np.flatnonzero(count)]
                 x, y = forest([(i, j, np.zeros(len(i), np.int64))])
@@ -161,18 +173,24 @@ def _compare(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding).
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so
-    do rows without a vec_id; vectors of different lengths never link. Copies of a vector link with each
-    other. Rows of one vec_id are one vector. Other columns are not looked at; an empty table gives no rows.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
+    different lengths never link. Copies of a vector link with each other. Rows of one vec_id are one entry
+    that has all their vectors: n_links is the sum over them, without links to itself. Rows without a vec_id
+    are entries of their own vectors: they link and connect, but name no component and are never kept; where
+    nothing else is reachable their component_id is null. Other columns are not looked at; an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
     e = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall("_e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("_e", lambda v: v != 0)
-    all_rows = vectors.select("vec_id", e.alias("_e")).withColumn("fine", F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False)))
-    usable = all_rows.where("fine").select("vec_id", "_e").distinct()
-    reps = materialize(usable.groupBy("_e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")))
-    own = usable.join(reps.withColumnRenamed("_e", "_v"), F.col("_e") == F.col("_v")).groupBy("vec_id").agg(F.min("rep").alias("rep"), F.max("m").alias("m"))
+    usable = vectors.select("vec_id", e.alias("_e")).where(F.coalesce(fine, F.lit(False)))
+    #: A vector is called by its smallest vec_id, or by a hash where it has none; null vec_ids count row by row.
+    called = F.coalesce(F.min("vec_id").cast("long"), F.xxhash64("_e"))
+    counted = usable.groupBy("_e", "vec_id").agg(F.when(F.col("vec_id").isNull(), F.count(F.lit(1))).otherwise(F.lit(1)).alias("m"))
+    reps = materialize(counted.groupBy("_e").agg(called.alias("rep"), F.sum("m").alias("m")))
+    met = usable.join(reps.withColumnRenamed("_e", "_v"), F.col("_e") == F.col("_v")).select("vec_id", "rep", "m", "_e").distinct()
+    own = materialize(met.groupBy("vec_id", "rep").agg(F.sum(F.col("m") - 1).alias("copies")))
     n = reps.count()
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,15 +221,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, seed: int = 11)
     group = ["dim", "key", "x", "y"]
     found = materialize(held.repartition(*group).sortWithinPartitions(*group).mapInPandas(_compare(cosine), "a bigint, b bigint, n bigint"))
     degree = found.where("n is not null").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("n"))
-    roots = connected(found.where("b is not null").select("a", "b"))
-    told = (
+    #: The vectors of one vec_id belong together, whether they are alike or not.
+    several = own.where("vec_id is not null").groupBy("vec_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("vec_id", "least")
+    joined = own.join(several, "vec_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a != b")
+    roots = connected(found.where("b is not null").select("a", "b").unionByName(joined))
+    told = materialize(
         own.join(degree, F.col("rep") == F.col("_a"), "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select(F.col("vec_id").alias("_id"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+        .select("vec_id", "rep", (F.col("copies") + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
     )
-    return vectors.select("vec_id").join(told, F.col("vec_id") == F.col("_id"), "left").select(
+    least = told.groupBy("root").agg(F.min("vec_id").cast("long").alias("component_id"))
+    named = told.join(least, "root")
+    ids = named.where("vec_id is not null").groupBy(F.col("vec_id").alias("_id")).agg(F.sum("n").alias("n_links"), F.min("component_id").alias("component_id"))
+    rows = vectors.select("vec_id", F.lit(None).cast("array<double>").alias("_e")).where("vec_id is not null").join(ids, F.col("vec_id") == F.col("_id"), "left")
+    #: Rows without a vec_id are found by their vectors.
+    bare = named.where("vec_id is null").select(F.col("rep").alias("_rep"), F.col("n").alias("n_links"), "component_id")
+    by_vector = reps.select(F.col("_e").alias("_v"), F.col("rep").alias("_of")).join(bare, F.col("_of") == F.col("_rep")).select("_v", "n_links", "component_id")
+    nameless = vectors.where("vec_id is null").select("vec_id", e.alias("_e")).join(by_vector, F.col("_e") == F.col("_v"), "left")
+    own_id = F.coalesce("component_id", F.col("vec_id").cast("long"))
+    both = rows.select("vec_id", "n_links", "component_id").unionByName(nameless.select("vec_id", "n_links", "component_id"))
+    return both.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("root", F.col("vec_id").cast("long")).alias("component_id"),
-        F.coalesce(F.coalesce("root", F.col("vec_id").cast("long")) == F.col("vec_id"), F.lit(False)).alias("kept"),
+        own_id.alias("component_id"),
+        F.coalesce(own_id == F.col("vec_id"), F.lit(False)).alias("kept"),
     )
