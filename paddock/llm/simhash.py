@@ -16,6 +16,10 @@ by chance, and links are verified on the texts' shingles themselves. See ``simil
 Equal fingerprints are one entry. A list with more than BLOCK entries is dealt out as pairs of blocks to
 many tasks; a task returns links that connect what is linked in it, closest first, at most one per
 entry, never all pairs. All links together have the components of all pairs within the distance.
+
+Where links are verified on the texts afterwards, a link that fails may stand for others that wouldn't. So
+groups with a failed link are gone through again, with each entry's closest partners in components other
+than its own, then the next closest, until all its partners have been looked at (``verified_links``).
 """
 
 from __future__ import annotations
@@ -52,6 +56,8 @@ FOUR_BITS = Rule(1, list(combinations(range(7), 3)), 4, 4)
 LIST, GROUPS, SIMILAR = 64, {2: 3, 3: 6, 4: 19}, 0.8
 #: Entries of a list that are compared at once, entries that are compared by shifts, and shingles hashed at once.
 BLOCK, SHIFTS, CHUNK = 1024, 64, 1 << 16
+#: How many of an entry's partners in a list have been looked at after each further pass.
+RANKS = (16, 128, 1 << 62)
 _SEED = 42
 
 
@@ -163,8 +169,26 @@ def forest(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return i[kept], j[kept]
 
 
-def _within(bits: np.ndarray, keys: np.ndarray, own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Links within lists: entries (rows of ``bits``) lie list by list; ``keys`` has (key, x, y) and ``own`` the entry's block."""
+def _ranked(found: list[tuple[np.ndarray, ...]], label: np.ndarray, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (i, j, distance) those between different labels that are among the partners ``ranks`` (from, below) of an entry, closest first."""
+    i, j, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    best = np.full(len(i), np.iinfo(np.int64).max)
+    for one, other in ((i, j), (j, i)):
+        order = np.lexsort((other, d, one))
+        held = one[order]
+        first = np.searchsorted(held, held)
+        best[order] = np.minimum(best[order], np.arange(len(held)) - first)
+    asked = (best >= ranks[0]) & (best < ranks[1]) & (label[i] != label[j])
+    return i[asked], j[asked]
+
+
+def _within(
+    bits: np.ndarray, keys: np.ndarray, own: np.ndarray, rule: Rule, label: np.ndarray | None = None, ranks: tuple[int, int] = (0, 0)
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links within lists: entries (rows of ``bits``) lie list by list; ``keys`` has (key, x, y) and ``own`` the entry's block.
+
+    Without labels what connects them, else what ``_ranked`` says.
+    """
     edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
     begins, ends = np.r_[0, edges], np.r_[edges, len(keys)]
     sizes = ends - begins
@@ -179,6 +203,7 @@ def _within(bits: np.ndarray, keys: np.ndarray, own: np.ndarray, rule: Rule) ->
         for k in range(0, len(at), 1 << 18):
             some = at[k : k + (1 << 18)]
             found.append(_filtered(bits, some, some + d, rule))
+    told = [_ranked(found, label, ranks)] if label is not None else []
     for a, b in zip(begins[sizes > SHIFTS].tolist(), ends[sizes > SHIFTS].tolist()):
         rows = a + (np.arange(b - a) if keys[a, 1] == keys[a, 2] else np.flatnonzero(own[a:b] == keys[a, 1]))
         cols = rows if keys[a, 1] == keys[a, 2] else a + np.flatnonzero(own[a:b] == keys[a, 2])
@@ -186,27 +211,34 @@ def _within(bits: np.ndarray, keys: np.ndarray, own: np.ndarray, rule: Rule) ->
         for k in range(0, len(rows), 128):
             i, j = (x.ravel() for x in np.meshgrid(rows[k : k + 128], cols, indexing="ij"))
             held.append(_filtered(bits, *((i[i < j], j[i < j]) if rows is cols else (i, j)), rule))
+        if label is not None:
+            told.append(_ranked(held, label, ranks))
+            continue
         i, j = forest(held)
         found.append((i, j, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)))
+    if label is not None:
+        return tuple(np.concatenate(x) for x in zip(*told))
     return forest(found)
 
 
-def links(fps: DataFrame, rule: Rule = FOUR_BITS) -> DataFrame:
+def links(fps: DataFrame, rule: Rule = FOUR_BITS, ranks: tuple[int, int] | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (structs of words) that have the components of all pairs by ``rule``.
 
-    ``fps`` has the words w0, w1, ... of distinct fingerprints.
+    ``fps`` has the words w0, w1, ... of distinct fingerprints. With ``ranks`` (from, below) it has ``label``
+    too, and what returns are the pairs of different labels at those places among an entry's partners in a list.
     """
+    extra = [] if ranks is None else ["label"]
     words = words_of(rule)
     byte = lambda i: F.shiftrightunsigned(words[i // 8], 8 * (i % 8)).bitwiseAND(255)
     keys = F.array(*[sum((byte(i) * (1 << 8 * m) for m, i in enumerate(held)), F.lit(n << 32)) for n, held in enumerate(rule.sets)])
-    index = fps.select(*words, F.explode(keys).alias("key"))
+    index = fps.select(*words, *extra, F.explode(keys).alias("key"))
     large = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     held = (
         index.join(large, F.col("key") == F.col("_key"), "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *words)
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *words, *extra)
     )
     names = [f"{side}{i}" for side in "ab" for i in range(rule.words)]
 
@@ -226,7 +258,8 @@ def links(fps: DataFrame, rule: Rule = FOUR_BITS) -> DataFrame:
 
     def found(part: pd.DataFrame) -> pd.DataFrame:
         bits = np.ascontiguousarray(part[words].to_numpy(np.int64)).view(np.uint64)
-        i, j = _within(bits, part[["key", "x", "y"]].to_numpy(np.int64), part["own"].to_numpy(np.int64), rule) if len(part) > 1 else ([], [])
+        told = {} if ranks is None else {"label": part["label"].to_numpy(np.int64), "ranks": ranks}
+        i, j = _within(bits, part[["key", "x", "y"]].to_numpy(np.int64), part["own"].to_numpy(np.int64), rule, **told) if len(part) > 1 else ([], [])
         return pd.DataFrame(np.hstack([bits[i], bits[j]]).view(np.int64).reshape(-1, len(names)), columns=names)
 
     dealt = held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
@@ -264,8 +297,8 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(found).view(np.int64)
 
 
-def _verified(found: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts (node, text; one a node) share at least ``least`` of all their shingles."""
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """node, held: the shingles of each text (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -275,19 +308,52 @@ def _verified(found: DataFrame, texts: DataFrame, n: int, least: float) -> DataF
                 ends = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "held"])
 
-    sets = materialize(texts.mapInArrow(run, "node bigint, held array<bigint>"))
+    return materialize(texts.mapInArrow(run, "node bigint, held array<bigint>"))
+
+
+def _verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose shingles (node, held; one row a node) are alike by ``least`` of all of them."""
     one, two = (sets.select(F.col("node").alias(f"_{c}"), F.col("held").alias(f"_held_{c}")) for c in "ab")
     met = found.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
     both = F.size(F.array_intersect("_held_a", "_held_b"))
     return met.where(both >= least * (F.size("_held_a") + F.size("_held_b") - both)).select("a", "b")
 
 
+def verified_links(nodes: DataFrame, texts: DataFrame, rule: Rule, n: int, least: float) -> DataFrame:
+    """node, root of the components of pairs that ``rule`` finds and whose texts share ``least`` of their shingles.
+
+    ``nodes`` has node and the words of distinct fingerprints, ``texts`` one row (node, text) of each. The first
+    pass verifies what connects the candidates. Only groups with a link that failed are looked at further:
+    their entries' partners by rank, as long as they lie in other components. Ranks count all partners and so
+    don't move between passes; the last one has no end, so none is left out.
+    """
+    names = words_of(rule)
+    node = lambda side: F.xxhash64(*[f"{side}.{w}" for w in names]).alias(side)
+    found = materialize(links(nodes.select(*names), rule).select(node("a"), node("b")).where("a != b"))
+    asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(texts.join(asked, "node", "left_semi"), n)
+    good = materialize(_verified(found, sets, least))
+    failed = found.join(good, ["a", "b"], "left_anti").select("a")
+    if failed.isEmpty():
+        return connected(good)
+    loose = connected(found)
+    open_ = failed.join(loose, F.col("a") == F.col("node")).select("root").distinct()
+    again = materialize(nodes.join(loose.join(open_, "root", "left_semi").select("node"), "node", "left_semi").select("node", *names))
+    for ranks in zip((0, *RANKS), RANKS):
+        own = connected(good).select(F.col("node").alias("of"), "root")
+        held = again.join(own, F.col("node") == F.col("of"), "left").select(*names, F.coalesce("root", "node").alias("label"))
+        more = links(held, rule, ranks).select(node("a"), node("b")).where("a != b")
+        more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        good = materialize(good.unionByName(_verified(more, sets, least)))
+    return connected(good)
+
+
 def one_of_each(docs: DataFrame, n: int = 5, least: float = SIMILAR) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id (null last), then text hash.
 
     Shingles have five words; texts link that share at least ``least`` of their shingles, as far as the
-    index of ``similar`` brings them together (19 of 20 at 0.8, nearly all from 0.85); texts of equal wide
-    fingerprints are one. Columns stay as they are, whatever their names; of rows equal in doc_id and text
+    index of ``similar`` brings them together (19 of 20 at 0.8, nearly all from 0.85), in dense groups of
+    texts just below that too; texts of equal wide fingerprints are one. Columns stay as they are, whatever their names; of rows equal in doc_id and text
     one stays. Texts without words are one component; an empty table gives no rows.
     """
     #: The user's columns travel as one, so their names can't meet ours.
@@ -297,11 +363,9 @@ def one_of_each(docs: DataFrame, n: int = 5, least: float = SIMILAR) -> DataFram
     own = materialize(own.withColumn("node", F.xxhash64(*words_of(rule))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2")).alias("first")
     nodes = materialize(own.groupBy("node").agg(first, *[F.min(w).alias(w) for w in words_of(rule)]))
-    found = materialize(links(nodes, rule).select(F.xxhash64(*[f"a.{w}" for w in words_of(rule)]).alias("a"), F.xxhash64(*[f"b.{w}" for w in words_of(rule)]).alias("b")).where("a != b"))
-    asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = materialize(nodes.join(asked, "node").select("node", F.col("first.key1").alias("key1"), F.col("first.key2").alias("key2")))
-    texts = held.select("key1", "key2", "text").join(reps, ["key1", "key2"]).select("node", "text")
-    roots = connected(materialize(_verified(found, texts, n, least)))
+    reps = nodes.select("node", F.col("first.key1").alias("key1"), F.col("first.key2").alias("key2"))
+    texts = held.select("key1", "key2", "text").join(reps, ["key1", "key2"]).select("node", "text").dropDuplicates(["node"])
+    roots = verified_links(nodes, texts, rule, n, least)
     met = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     winners = materialize(met.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("w")).select("w.key1", "w.key2"))
     return held.join(winners, ["key1", "key2"]).dropDuplicates(["key1", "key2"]).select("row.*")

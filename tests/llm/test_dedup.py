@@ -79,6 +79,28 @@ def test_similar_documents(spark):
     assert {360, 362, 364} <= kept and not {361, 363} & kept
 
 
+def test_dense_groups(spark):
+    """Groups most of whose close pairs are just below 0.8: links that fail may not hide those that pass."""
+    rnd = random.Random(8)
+    docs, group = [], []
+    for g in range(4):
+        base = [str(rnd.getrandbits(30)) for _ in range(200)]
+        for _ in range(150):
+            one = list(base)
+            for k in rnd.sample(range(200), rnd.randint(3, 6)):
+                one[k] = str(rnd.getrandbits(30))
+            docs.append(" ".join(one))
+            group.append(g)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in docs]
+    near = [(a, b) for a in range(len(docs)) for b in range(a) if group[a] == group[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    own = components(range(len(docs)), near)
+    drop = {i for i in own if own[i] != i}
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], DOCS)).select("doc_id").collect()}
+    assert len(drop) >= 20 and set(own.values()) <= kept
+    gone = len(docs) - len(kept)
+    assert 0.9 * len(drop) <= gone <= len(drop), (gone, len(drop))
+
+
 def test_recall_at_the_threshold():
     """Of pairs at a similarity of 0.8 to 0.85 the index, the tally and the distance find nine in ten, at every number of documents."""
     rnd = random.Random(5)
@@ -146,6 +168,29 @@ def test_simhash_edges(spark):
     assert simhash.one_of_each(spark.createDataFrame(rows, DOCS)).count() == 2
 
 
+@pytest.mark.parametrize("n", [500, 10**4, 10**6, 4 * 10**6, 10**8, 10**10])
+def test_filter_recall(n):
+    """Pairs at a cosine of just 0.9 share a filter, whatever the number of vectors that the code is made for."""
+    pick = np.random.default_rng(1)
+    x, z = pick.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    code = capfilters.Code(64, n, 11)
+    a, b = code.filters(x), code.filters(0.9 * x + (1 - 0.81) ** 0.5 * z)
+    assert sum(len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)) >= 0.95 * 400
+
+
+def test_embeddings_of_one_id(spark):
+    """Two vectors of one vec_id are one entry; vectors without vec_id link, connect and name nothing."""
+    east, north, west, far = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [-1.0, 0.05, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]
+    rows = [(5, east), (5, north), (3, east), (9, [0.05, 1.0, 0.0, 0.0]), (7, west), (None, [-1.0, 0.0, 0.0, 0.0]), (None, [-1.0, 0.0, 0.0, 0.0]), (8, [-1.0, -0.05, 0.0, 0.0]), (2, far), (2, [0.0, 0.05, 0.0, 1.0]), (None, [0.0, 0.0, 1.0, 0.0]), (None, None), (6, None)]
+    got = capfilters.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int")).collect()
+    told = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str)
+    want = [(5, 2, 3, False), (5, 2, 3, False), (3, 1, 3, True), (9, 1, 3, False), (7, 3, 7, True), (8, 3, 7, False), (None, 3, 7, False), (None, 3, 7, False), (2, 0, 2, True), (2, 0, 2, True), (None, 0, None, False), (None, 0, None, False), (6, 0, 6, True)]
+    assert told == sorted(want, key=str)
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(capfilters, "BLOCK", 32)
     pick = np.random.default_rng(4)
