@@ -57,7 +57,7 @@ LIST, GROUPS, SIMILAR = 64, {2: 3, 3: 6, 4: 19}, 0.8
 #: Entries of a list that are compared at once, entries that are compared by shifts, and shingles hashed at once.
 BLOCK, SHIFTS, CHUNK = 1024, 64, 1 << 16
 #: How many of an entry's partners in a list have been looked at after each further pass.
-RANKS = (16, 128, 1 << 62)
+RANKS = (32, 1 << 62)
 _SEED = 42
 
 
@@ -334,18 +334,24 @@ def verified_links(nodes: DataFrame, texts: DataFrame, rule: Rule, n: int, least
     sets = _sets(texts.join(asked, "node", "left_semi"), n)
     good = materialize(_verified(found, sets, least))
     failed = found.join(good, ["a", "b"], "left_anti").select("a")
-    if failed.isEmpty():
-        return connected(good)
     loose = connected(found)
-    open_ = failed.join(loose, F.col("a") == F.col("node")).select("root").distinct()
+    if failed.isEmpty():
+        return loose
+    open_ = materialize(failed.join(loose, F.col("a") == F.col("node")).select("root").distinct())
     again = materialize(nodes.join(loose.join(open_, "root", "left_semi").select("node"), "node", "left_semi").select("node", *names))
+    #: A group without a failed link is a component as it is; the others are told by their good links alone.
+    closed = loose.join(open_, "root", "left_anti").select("node", "root")
+    good = materialize(good.join(again.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
+    own = connected(good)
     for ranks in zip((0, *RANKS), RANKS):
-        own = connected(good).select(F.col("node").alias("of"), "root")
-        held = again.join(own, F.col("node") == F.col("of"), "left").select(*names, F.coalesce("root", "node").alias("label"))
+        held = again.join(own.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select(*names, F.coalesce("root", "node").alias("label"))
         more = links(held, rule, ranks).select(node("a"), node("b")).where("a != b")
         more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        good = materialize(good.unionByName(_verified(more, sets, least)))
-    return connected(good)
+        new = materialize(_verified(more, sets, least))
+        if not new.isEmpty():
+            good = good.unionByName(new)
+            own = connected(good)
+    return closed.unionByName(own.select("node", "root"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, least: float = SIMILAR) -> DataFrame:
