@@ -212,3 +212,60 @@ def open_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps recovered in metadata mode from the recordings that have a lap counter."""
     return _opened(spark, sf_dir, True)["laps"].select("recording_id", "number", "start_ns", "complete")
+
+
+def _lapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A recording a customer, by the customer's number in fives.
+
+    0: text with a lap counter and a timer that resets half a second before it; 1: with the timer alone; 3: with a counter
+    that never moves and the timer. 2: lines with a declared lap, a counter that isn't asked and a declared clock; 4: lines
+    without declared laps, with a counter and a channel of Unix seconds.
+    """
+    k, i = F.col("recording_id").cast("long") % 5, F.col("i")
+    rows = _numbered(spark, sf_dir)
+    s = 43_200 + 4 * i
+    at = F.floor(s / 3600) * 10_000 + F.floor(s % 3600 / 60) * 100 + s % 60
+    counter = F.when(k == 0, F.floor(i / 3) + 1).otherwise(5)
+    timer = F.when(i < 3, 4.0 * i).otherwise(i % 3 * 4 + 0.5)
+    line = F.when(k.isin(0, 1, 3), F.format_string("9 %06d %d 4.0 %d %.1f", at, F.floor(i / 4) % 2 + 1, counter, timer)).otherwise((1_600_000_000 + i).cast("string"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda r: r["x"])
+    body = rows.groupBy("recording_id").agg(held.alias("x"), F.count(F.lit(1)).alias("n"))
+    head = F.concat(F.lit("File created on 31/07/2006 at 09:55:20\n[column names]\nsats time driver Tsample "), F.when(k == 1, "Other").otherwise("Lap"), F.lit(" laptime\n[data]\n"))
+    texts = body.where(k.isin(0, 1, 3)).select("recording_id", F.concat(head, F.array_join("x", "\n")).alias("text"))
+    clock = F.when(k == 2, ',"clk":"utc","abs":1500000000000000000,"hint":"h","utc":1700000000000000000,"tz":"Europe/Berlin","drv":"D"').otherwise("")
+    first = F.concat(F.lit('{"mtj":1,"q":10000000,"dur":'), (F.col("n") * 1_000_000_000).cast("string"), clock, F.lit("}"))
+    counts = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda v: v.cast("string")), ",")
+    lines = F.array(
+        first, F.when(k == 2, "[[7,0,20000000,1]]").otherwise("[]"), F.concat(F.lit('{"n":"Lap","hz":1,"v":['), counts, F.lit("]}")),
+        F.concat(F.lit('{"n":"Unix Time","u":"s","hz":1,"v":['), F.array_join("x", ","), F.lit("]}")),
+    )
+    plain = body.where(k.isin(2, 4)).select("recording_id", F.posexplode(lines).alias("n", "line"))
+    return opening.tables({"vbo": texts, "plain": plain})
+
+
+_LAPPED_SQL = f"""{_LOG_SQL}, nn as (select o_custkey as k, count(*) as n, (count(*) - 1) // 3 as last from lg group by 1), mm as (select *, unnest(range(0, last + 1)) as m from nn),
+found as (select k, case when k % 5 = 3 then 5 else m + 1 end::bigint as number, case m when 0 then 0 else 12000000000 * m - 500000000 end::bigint as start_ns, case when m < last then 12000000000 * (m + 1) - 500000000 else 4000000000 * n end::bigint as end_ns,
+    m > 0 and m < last as complete, case when n <= 3 then 'constant' when k % 5 = 0 then 'counter' else 'timer' end as origin from mm where k % 5 in (0, 1, 3) and (n > 3 or k % 5 <> 1)
+  union all select k, 7, 0, 20000000, true, 'authoritative' from nn where k % 5 = 2)"""
+
+
+@query(f"with {_LAPPED_SQL} select k::varchar as recording_id, number, start_ns, end_ns, complete, origin from found")
+def laps_by_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps by the best origin of each recording: declared, counter with a timer, timer, a counter that stands."""
+    return _lapped(spark, sf_dir)["laps"].select("recording_id", "number", "start_ns", "end_ns", "complete", "origin")
+
+
+@query(f"""with {_LAPPED_SQL}, l as (select k, count(*) as laps, count_if(complete) as valid_laps, arg_min(number, (end_ns - start_ns, start_ns)) filter (complete) as fastest, min(end_ns - start_ns) filter (complete) as fastest_ns from found group by 1),
+d as (select o_custkey as k, string_agg(distinct (i // 4 % 2 + 1)::bigint::varchar, ',' order by (i // 4 % 2 + 1)::bigint::varchar) as drivers from lg group by 1)
+select k::varchar as recording_id, case when k % 5 in (0, 1, 3) then 6 else 2 end::bigint as n_channels, case when k % 5 in (0, 1, 3) then 6 else 2 end * n as samples, case when k % 5 in (0, 1, 3) then 'time_of_day' when k % 5 = 2 or n > 1 then 'utc' end as clock,
+case when k % 5 in (0, 1, 3) then 43200000000000 when k % 5 = 2 then 1500000000000000000 when n > 1 then 1600000000000000000 end::bigint as absolute_start_ns,
+case when k % 5 in (0, 1, 3) then 43200000000000 + 4000000000 * n when k % 5 = 2 then 1500000000000000000 + 1000000000 * n when n > 1 then 1600000000000000000 + 1000000000 * (n - 1) end::bigint as absolute_end_ns,
+case when k % 5 in (0, 1, 3) then 'vbo:time_of_day' when k % 5 = 2 then 'h' when n > 1 then 'utc:18518' end as session_hint, case when k % 5 = 2 then 1700000000000000000 end as utc_start_ns, case when k % 5 in (0, 1, 3) then '31/07/2006' end as date,
+case when k % 5 in (0, 1, 3) then drivers else '' end as drivers, coalesce(laps, 0) as laps, coalesce(valid_laps, 0) as valid_laps, fastest, fastest_ns from nn left join l using (k) left join d using (k)""")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of facts a recording, its clock and laps by precedence; the schema hash within the session key has a query of its own."""
+    told = opening.file_metadata(_lapped(spark, sf_dir))
+    return told.select(
+        "recording_id", "n_channels", "samples", "clock", "absolute_start_ns", "absolute_end_ns", F.regexp_extract("session_key", "^(.*):[0-9a-f]{16}$", 1).alias("session_hint"), "utc_start_ns", "date", F.array_join("driver_ids", ",").alias("drivers"),
+        "laps", "valid_laps", F.col("fastest_lap.number").alias("fastest"), F.col("fastest_lap.duration_ns").alias("fastest_ns"),
+    )

@@ -13,7 +13,7 @@ from paddock.operators.lattice import valid_lattice
 from paddock.session import materialize, ship
 from paddock.sources import sidecar
 
-_HEADER = "mtj int, q bigint, dur bigint, o bigint, src string, drv string, veh string, ven string, utc bigint, tz string, hash string"
+_HEADER = "mtj int, q bigint, dur bigint, o bigint, src string, drv string, veh string, ven string, utc bigint, tz string, hash string, clk string, abs bigint, abe bigint, hint string, evt string, ses string, date string, time string"
 _CHANNEL = "n string, u string, hz double, t0 bigint, v array<double>"
 MILLION = 1_000_000
 

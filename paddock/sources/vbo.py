@@ -35,6 +35,19 @@ def seconds(raw: Column) -> Column:
     return F.floor(raw / 10000) * 3600 + F.floor((raw % 10000) / 100) * 60 + raw % 100
 
 
+def origin(files: DataFrame) -> DataFrame:
+    """recording_id, absolute_start_ns, date, time: the first row's time of the day, and the date and time of the line before the sections."""
+    lines = _lines(files)
+    short = F.coalesce(F.min_by("line", F.when(F.col("section") == "column names", F.col("n"))), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == "header", F.struct("n", "line")))), lambda x: x["line"]), " "))
+    names = lines.where("section != 'data'").groupBy("recording_id").agg(F.transform(F.split(short, " +"), lambda x: normalize(x)).alias("short"))
+    rows = lines.where("section = 'data'").withColumn("t", F.split("line", " +")).where(F.size("t") >= 2)
+    first = rows.groupBy("recording_id").agg(F.min_by("t", "n").alias("t")).join(names, "recording_id")
+    at = seconds(F.get("t", (F.array_position("short", "time") - 1).cast("int")).try_cast("double"))
+    started = first.where(F.array_contains("short", "time")).select("recording_id", F.greatest(F.lit(0).cast("long"), F.round(at * 1e9).try_cast("bigint")).alias("absolute_start_ns"))
+    part = lambda i: F.regexp_extract("text", r"(?m)^\s*File created on (\S+)(?: (?:at|@) (\S+))?", i)
+    return files.select("recording_id", part(1).alias("date"), part(2).alias("time")).join(started, "recording_id", "left")
+
+
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(channels, samples, diagnostics) of ``files`` (recording_id, text).
 
