@@ -180,8 +180,8 @@ def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", names.normalize(F.col("p_name")).alias("norm"), names.contains(F.col("p_name"), F.lit("R-e")).alias("has_re"))
 
 
-_NAMES = ["Ground Speed", "Speed", "GPS Speed", "Lap Number", "lap", "Beacon Event Count", "GPS Latitude", "lat", "Driver ID", "Current Lap Time", "Ref Lap Time", "Satellites"]
-_WANTED = {"speed": names.ROLES["speed"], "lap_number": names.ROLES["lap_number"], "latitude": names.ROLES["latitude"], "driver": names.ROLES["driver"]}
+_NAMES = ["Ground Speed", "Speed", "GPS Speed", "Lap Number", "lap", "Beacon Event Count", "GPS Latitude", "lat", "Driver ID", "Current Lap Time", "Ref Lap Time", "Satellites", "lon", "GPS Longitude", "Lap Progress %", "GPS Week", "GPS ITOW", "Global Time", "Unix Time", "GPS Fix Type", "GPS Pos Accuracy", "HDOP", "GPS Fix Valid"]
+_WANTED = names.ROLES
 
 
 @query(
@@ -246,27 +246,29 @@ def timespan_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sampling ---------------------------------------------------------------------------------------
 
-_PROBES_SQL = f"{SAMPLES_SQL}, dur as (select recording_id, max(duration_ns) as duration_ns from samples group by 1), probes as (select recording_id, i as probe, duration_ns // 8 * i as t_ns, duration_ns from dur, range(0, 10) as r(i)), vw as (select recording_id, t_ns, event_id, value from samples where channel = 'view')"
-_ONE_SQL = "vu as (select recording_id, t_ns, arg_max(value, event_id) as value from vw group by 1, 2), vn as (select *, lead(t_ns) over w as nt, lead(value) over w as nv from vu window w as (partition by recording_id order by t_ns))"
+_PROBES_SQL = f"{SAMPLES_SQL}, dur as (select recording_id, max(duration_ns) as duration_ns from samples group by 1), probes as (select recording_id, i as probe, duration_ns // 8 * i as t_ns, duration_ns from dur, range(0, 10) as r(i))"
+_EACH_SQL = "vu as (select recording_id, channel_idx, t_ns, arg_max(value, event_id) as value from samples group by 1, 2, 3), vn as (select *, lead(t_ns) over w as nt, lead(value) over w as nv from vu window w as (partition by recording_id, channel_idx order by t_ns)), ask as (select p.*, channel_idx from probes p join (select distinct recording_id, channel_idx from samples) using (recording_id))"
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     dur = views.samples(spark, sf_dir).groupBy("recording_id").agg(F.max("duration_ns").alias("duration_ns"))
-    return dur.withColumn("probe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).select("recording_id", F.lit(4).alias("channel_idx"), "probe", (F.floor(F.col("duration_ns") / 8) * F.col("probe")).alias("t_ns"))
+    return dur.withColumn("probe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).select("recording_id", "probe", (F.floor(F.col("duration_ns") / 8) * F.col("probe")).alias("t_ns"))
 
 
 def _sampled(spark: SparkSession, sf_dir: str, linear: bool) -> DataFrame:
-    s = views.samples(spark, sf_dir).where("channel = 'view'")
-    return sampling.sample_at(_probes(spark, sf_dir), s, views.channels(spark, sf_dir), linear).select("recording_id", "probe", "t_ns", F.round("value", 6).alias("value"))
+    """Every channel at the recording's probes."""
+    channels = views.channels(spark, sf_dir)
+    asked = _probes(spark, sf_dir).join(channels.select("recording_id", "channel_idx"), "recording_id")
+    return sampling.sample_at(asked, views.samples(spark, sf_dir), channels, linear).select("recording_id", "channel_idx", "probe", "t_ns", F.round("value", 6).alias("value"))
 
 
-@query(f"with {_PROBES_SQL}, {_ONE_SQL} select p.recording_id, probe, p.t_ns, case when p.t_ns < duration_ns then round(vn.value, 6) end as value from probes p asof left join vn on p.recording_id = vn.recording_id and p.t_ns >= vn.t_ns where p.recording_id in (select recording_id from vw)")
+@query(f"with {_PROBES_SQL}, {_EACH_SQL} select p.recording_id, p.channel_idx, probe, p.t_ns, case when p.t_ns < duration_ns then round(vn.value, 6) end as value from ask p asof left join vn on p.recording_id = vn.recording_id and p.channel_idx = vn.channel_idx and p.t_ns >= vn.t_ns")
 def sample_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled(spark, sf_dir, False)
 
 
-@query(f"""with {_PROBES_SQL}, {_ONE_SQL} select p.recording_id, probe, p.t_ns, case when p.t_ns < duration_ns then round(case when nt is not null then vn.value + (nv - vn.value) * ((p.t_ns - vn.t_ns)::double / (nt - vn.t_ns)::double) else vn.value end, 6) end as value
-from probes p asof left join vn on p.recording_id = vn.recording_id and p.t_ns >= vn.t_ns where p.recording_id in (select recording_id from vw)""")
+@query(f"""with {_PROBES_SQL}, {_EACH_SQL} select p.recording_id, p.channel_idx, probe, p.t_ns, case when p.t_ns < duration_ns then round(case when nt is not null then vn.value + (nv - vn.value) * ((p.t_ns - vn.t_ns)::double / (nt - vn.t_ns)::double) else vn.value end, 6) end as value
+from ask p asof left join vn on p.recording_id = vn.recording_id and p.channel_idx = vn.channel_idx and p.t_ns >= vn.t_ns""")
 def sample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled(spark, sf_dir, True)
 
@@ -678,13 +680,13 @@ def diagnostics_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOUR = 3_600_000_000_000
 
 
-@query(f"""with {SAMPLES_SQL}, sl as (select recording_id, channel_idx, local_idx, (t_ns + {_HOUR} // 2) // {_HOUR} as slot, case when k % 9 = 0 then null else value end as v from samples where channel = 'view'),
+@query(f"""with {SAMPLES_SQL}, sl as (select recording_id, channel_idx, local_idx, (t_ns + {_HOUR} // 2) // {_HOUR} as slot, case when k % 9 = 0 then null else value end as v from samples),
 f as (select recording_id, channel_idx, slot, first(v order by local_idx) as value from sl group by 1, 2, 3), e as (select recording_id, channel_idx, max(slot) as last, count(value) as n from f group by 1, 2)
-select s.recording_id, s.slot, s.slot * {_HOUR} as t_ns, f.value from (select recording_id, channel_idx, unnest(range(0, last + 1)) as slot from e where n > 0) s left join f on f.recording_id = s.recording_id and f.slot = s.slot""")
+select s.recording_id, s.channel_idx, s.slot, s.slot * {_HOUR} as t_ns, f.value from (select recording_id, channel_idx, unnest(range(0, last + 1)) as slot from e where n > 0) s left join f on f.recording_id = s.recording_id and f.channel_idx = s.channel_idx and f.slot = s.slot""")
 def lattice_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.samples(spark, sf_dir).where("channel = 'view'").withColumn("value", F.when(F.col("k") % 9 == 0, float("nan")).otherwise(F.col("value")))
+    s = views.samples(spark, sf_dir).withColumn("value", F.when(F.col("k") % 9 == 0, float("nan")).otherwise(F.col("value")))
     lat = s.select("recording_id", "channel_idx").distinct().select("*", F.lit(0).cast("long").alias("t0_ns"), F.lit(_HOUR).cast("long").alias("period_ns"))
-    return lattice.align(s, lat, [*_BY, "channel_idx"]).select("recording_id", "slot", "t_ns", "value")
+    return lattice.align(s, lat, [*_BY, "channel_idx"]).select("recording_id", "channel_idx", "slot", "t_ns", "value")
 
 
 @query("select o_custkey as recording_id, list_reduce(list(distinct cast((o_orderkey % 7 + 1) * 250000 as bigint)), lambda a, b: gcd(a, b)) as q_ns from orders group by 1")
@@ -705,26 +707,26 @@ def snap_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {SAMPLES_SQL}, g as (select recording_id, recording_id * 1000000 as utc, recording_id * 1000000 + (recording_id % 7) * 1000000000 - 2000000000 as gutc from (select distinct recording_id from samples)),
-x as (select s.recording_id, s.channel as name, s.t_ns, s.value, gutc - utc as shift, min(s.t_ns) over (partition by s.recording_id) as first from samples s join g using (recording_id) where s.channel in ('error', 'signup'))
+x as (select s.recording_id, s.channel as name, s.t_ns, s.value, gutc - utc as shift, min(s.t_ns) over (partition by s.recording_id) as first from samples s join g using (recording_id))
 select recording_id, name, t_ns + shift as t_ns, value from x where first + shift >= 0 and recording_id % 5 <> 0""")
 def sidecar_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two channels as a sidecar with its own clock; every fifth recording has a channel of the same name already."""
+    """All channels as a sidecar with its own clock; every fifth recording has a channel of the same name already."""
     s = views.samples(spark, sf_dir)
     r = F.col("recording_id")
-    host = s.select("recording_id").distinct().select("recording_id", (r * 1_000_000).alias("utc_ns"), F.lit("h").alias("schema_hash"), F.when(r % 5 == 0, F.array(F.lit("error"))).otherwise(F.array(F.lit("view"))).alias("names"))
+    host = s.select("recording_id").distinct().select("recording_id", (r * 1_000_000).alias("utc_ns"), F.lit("h").alias("schema_hash"), F.when(r % 5 == 0, F.array(F.lit("error"))).otherwise(F.array(F.lit("Speed"))).alias("names"))
     groups = host.select("recording_id", F.lit(0).alias("group_id"), (F.col("utc_ns") + (r % 7) * 1_000_000_000 - 2_000_000_000).alias("utc_ns"), F.lit("h").alias("host_hash"))
-    own = s.where("channel in ('error', 'signup')").select("recording_id", F.lit(0).alias("group_id"), F.col("channel").alias("name"), "t_ns", "value")
+    own = s.select("recording_id", F.lit(0).alias("group_id"), F.col("channel").alias("name"), "t_ns", "value")
     return lattice.attach(host, groups, own)[0].select("recording_id", "name", "t_ns", "value")
 
 
-@query(f"""with {_PROBES_SQL}, fr as (select recording_id, row_number() over (partition by recording_id order by t_ns, event_id) - 1 as frame, t_ns + 5000000 as pts from vw), fd as (select recording_id, pts, max(frame) as frame from fr group by 1, 2),
+@query(f"""with {_PROBES_SQL}, fr as (select recording_id, row_number() over (partition by recording_id order by t_ns, event_id) - 1 as frame, t_ns + 5000000 as pts from samples), fd as (select recording_id, pts, max(frame) as frame from fr group by 1, 2),
 p as (select recording_id, probe, t_ns, t_ns + (recording_id % 3 - 1) * 104000000 as pts_at from probes)
 select p.recording_id, p.probe, p.t_ns, case when pts_at >= 0 then case when fd.frame is not null then fd.frame when p.recording_id in (select recording_id from fr) then 0 end end as frame from p asof left join fd on p.recording_id = fd.recording_id and p.pts_at >= fd.pts""")
 def video_frame_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("recording_id").orderBy(*_ORDER)
-    fr = views.samples(spark, sf_dir).where("channel = 'view'").select("recording_id", (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("t_ns") + 5_000_000).alias("pts_ns"))
+    fr = views.samples(spark, sf_dir).select("recording_id", (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("t_ns") + 5_000_000).alias("pts_ns"))
     pr = _probes(spark, sf_dir).select("recording_id", "probe", "t_ns", ((F.col("recording_id") % 3 - 1) * 104_000_000).alias("offset_ns"))
     return video.frame_at(pr, fr, _BY).select("recording_id", "probe", "t_ns", "frame")
 
