@@ -11,11 +11,18 @@ DAY_NS = 86_400_000_000_000
 
 
 def civil_to_utc_ns(ns: Column, zone: Column, known: tuple[str, ...]) -> Column:
-    """True UTC of a civil instant that was counted as if UTC; null where the zone isn't ``known``."""
+    """True UTC of a civil instant that was counted as if UTC; null where the zone isn't ``known``.
+
+    An hour that clocks show twice is the later one, as offsets are when it has passed.
+    """
     seconds = F.floor(ns / 1_000_000_000).cast("long")
     ok = zone.isin(*known)
-    local = F.timestamp_seconds(seconds)
-    moved = F.unix_seconds(F.to_utc_timestamp(local, F.when(ok, zone).otherwise(F.lit("UTC"))))
+    place = F.when(ok, zone).otherwise(F.lit("UTC"))
+    shown = lambda utc: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc), place))
+    first = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(seconds), place))
+    # what the offset a day on makes of it counts if the zone's clocks show the same then
+    after = seconds + first + DAY_NS // 1_000_000_000 - shown(first + DAY_NS // 1_000_000_000)
+    moved = F.when((after > first) & (shown(after) == seconds), after).otherwise(first)
     return F.when(ok, moved * 1_000_000_000 + F.pmod(ns, F.lit(1_000_000_000)))
 
 

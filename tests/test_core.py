@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,13 @@ def test_tracks(spark):
     assert [(r["id"], r["slug"]) for r in tracks.nearest_track(p, t, 50_000.0, ["id"]).collect()] == [(1, "road-america")]
     v = spark.createDataFrame([("Sebring",), ("road_america gp",), ("Nowhere",), ("",)], "venue string")
     assert {r["venue"]: r["timezone"] for r in tracks.venue_track(v, t).collect()} == {"Sebring": "America/New_York", "road_america gp": "America/Chicago"}
+
+
+def test_civil_hours_shown_twice(spark):
+    """The later of two hours, in zones that go back by an hour or half an hour; hours left out move on."""
+    known = ("America/New_York", "Australia/Lord_Howe", "Europe/Berlin")
+    rows = [("America/New_York", "1996-10-27 01:30:00"), ("America/New_York", "1996-10-27 02:30:00"), ("America/New_York", "1996-10-27 00:30:00"), ("Australia/Lord_Howe", "2021-04-04 01:45:00"), ("Europe/Berlin", "2021-03-28 02:30:00"), ("Mars/Base", "2021-03-28 02:30:00")]
+    df = spark.createDataFrame(rows, "zone string, told string").withColumn("ns", F.unix_seconds(F.to_timestamp("told")) * 1_000_000_000 + 7)
+    got = df.select(clock.civil_to_utc_ns(F.col("ns"), F.col("zone"), known).alias("u")).collect()
+    at = lambda text: int(datetime.fromisoformat(text + "+00:00").timestamp()) * 1_000_000_000 + 7
+    assert [r["u"] for r in got] == [at("1996-10-27 06:30:00"), at("1996-10-27 07:30:00"), at("1996-10-27 04:30:00"), at("2021-04-03 15:15:00"), at("2021-03-28 01:30:00"), None]
