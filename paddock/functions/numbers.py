@@ -25,7 +25,24 @@ def _plain(texts: pa.Array) -> pa.Array:
     return pa.array(held, pa.string())
 
 
-def texts_of(values: pa.Array) -> pa.Array:
+def _untied(texts: pa.Array, x: np.ndarray) -> pa.Array:
+    """``texts`` of the 32-bit floats ``x``; one as near as another of its length gives way to the whole number's text.
+
+    A tie ends half a unit beyond the text's last decimal. Of twelve decimals or fewer the shifted float is exact in
+    a double; longer ties have more digits than a shortest text.
+    """
+    point = pc.find_substring(texts, ".").to_numpy(zero_copy_only=False)
+    decimals = np.where(point < 0, 0, pc.utf8_length(texts).to_numpy(zero_copy_only=False) - point - 1)
+    shifted = np.abs(x) * 10.0 ** np.minimum(decimals, 12)
+    tied = np.flatnonzero((decimals <= 12) & (shifted - np.floor(shifted) == 0.5))
+    if not len(tied):
+        return texts
+    held = texts.to_numpy(zero_copy_only=False)
+    held[tied] = [f"{v:.{n + 1}f}" for v, n in zip(x[tied].tolist(), decimals[tied].tolist())]
+    return pa.array(held, pa.string())
+
+
+def texts_of(values: pa.Array, untie: bool = False) -> pa.Array:
     """What ``number_text`` says of an array of doubles."""
     x = values.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
     out = np.full(len(x), "null", object)
@@ -37,15 +54,20 @@ def texts_of(values: pa.Array) -> pa.Array:
     out[whole] = [str(min(max(int(v), _LEAST), _MOST)) for v in x[whole]]
     for rows, kind in ((single, np.float32), (double, np.float64)):
         if rows.any():
-            out[rows] = _plain(pa.array(x[rows].astype(kind)).cast(pa.string())).to_numpy(zero_copy_only=False)
+            texts = _plain(pa.array(x[rows].astype(kind)).cast(pa.string()))
+            out[rows] = (_untied(texts, x[rows]) if untie and kind is np.float32 else texts).to_numpy(zero_copy_only=False)
     return pa.array(out, pa.string())
 
 
-def number_text(value: Column) -> Column:
-    """A double as text without exponent: integers as such, else the shortest that reads back as the same 32-bit float where the value is one, else as the same double; ``null`` for missing and infinite values."""
+def number_text(value: Column, untie: bool = False) -> Column:
+    """A double as text without exponent: integers as such, else the shortest that reads back as the same 32-bit float where the value is one, else as the same double; ``null`` for missing and infinite values.
+
+    Of a 32-bit float exactly between two shortest texts the one with the even last digit is told; with ``untie``
+    neither, but the number with its one more digit.
+    """
 
     @F.arrow_udf("string")
     def told(v: pa.Array) -> pa.Array:
-        return texts_of(v)
+        return texts_of(v, untie)
 
     return told(value.cast("double"))

@@ -118,6 +118,12 @@ def test_numbers_over_bit_patterns(spark):
     assert [r["t"] for r in spark.createDataFrame([(1.5,), (None,)], "v double").select(numbers.number_text(F.col("v")).alias("t")).collect()] == ["1.5", "null"]
 
 
+def test_numbers_between_two_texts():
+    x = [131072.125, 262144.375, -454199.03125, 61.6796875, 1441747.25, 524288.125, 0.5, 2.0**-14, 0.1]
+    assert numbers.texts_of(pa.array(x), untie=True).to_pylist() == ["131072.125", "262144.375", "-454199.03", "61.6796875", "1441747.25", "524288.1", "0.5", "0.000061035156", "0.1"]
+    assert numbers.texts_of(pa.array(x[:1])).to_pylist() == ["131072.12"]
+
+
 def test_hash_in_expressions(spark):
     rnd = random.Random(3)
     texts = [b"", b"a", b"foobar", bytes(range(256)), rnd.randbytes(999)]
