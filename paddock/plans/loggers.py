@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,27 +13,28 @@ from pyspark.sql import functions as F
 from paddock.plans import fixtures, views
 from paddock.plans.queries import _LOG_SQL, _numbered, query
 from paddock.plans.views import SAMPLES_SQL, read
-from paddock.session import materialize, ship
+from paddock.session import materialize, ship, spread
 from paddock.sources import aimd, opening, sidecar
 
 
-def _files(rows: DataFrame, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:
-    """recording_id, content: one file of each recording's rows in order of i, built once."""
+def _files(rows: DataFrame, build: Callable[[dict[str, np.ndarray]], bytes]) -> DataFrame:
+    """recording_id, content: one file of each recording's columns in order of i, built once."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"recording_id": b["recording_id"], "content": [build(pd.DataFrame(list(r)).sort_values("i")) for r in b["rows"]]})
+            yield pd.DataFrame({"recording_id": b["recording_id"], "content": [build(dict(zip(held, of))) for of in zip(*[b[c] for c in held])]})
 
     held = [c for c in rows.columns if c != "recording_id"]
-    gathered = rows.groupBy("recording_id").agg(F.collect_list(F.struct(*held)).alias("rows"))
+    each = F.array_sort(F.collect_list(F.struct("i", *[c for c in held if c != "i"])))
+    gathered = spread(rows, "recording_id").groupBy("recording_id").agg(each.alias("rows")).select("recording_id", *[F.col("rows")[c].alias(c) for c in held])
     return materialize(gathered.mapInPandas(run, "recording_id string, content binary"))
 
 
 # ---- camera recordings ------------------------------------------------------------------------------
 
 
-def _camera(rows: pd.DataFrame) -> bytes:
+def _camera(rows: dict[str, np.ndarray]) -> bytes:
     head = fixtures.packet(
         fixtures.definition(5, "Speed", 4, encoding=12), fixtures.definition(7, "Gear", 1), fixtures.definition(9, "Lap Number", 4, group=0x1003), fixtures.definition(11, "RPM", 4), fixtures.definition(12, "Wide", 8),
     )
@@ -52,7 +54,7 @@ cv as (select st.*, name, (stamp + case name when 'RPM' then 1 else 0 end - orig
 
 def _named(raw: DataFrame, index: bool) -> DataFrame:
     names = aimd.channels(raw).select("recording_id", "channel_idx", "name")
-    return aimd.samples(raw, index).join(names, ["recording_id", "channel_idx"]).select("recording_id", "name", "local_idx", "t_ns", "value")
+    return aimd.samples(raw, index).join(names.hint("merge"), ["recording_id", "channel_idx"]).select("recording_id", "name", "local_idx", "t_ns", "value")
 
 
 @query(f"with {_CAMERA_SQL} select recording_id, name, i as local_idx, t_ns, value from cv")

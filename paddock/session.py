@@ -54,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` by the columns over enough partitions for every core, whatever the bytes.
+
+    Partitions that Spark sizes itself follow the bytes; of small files that Python goes through one by one,
+    a few megabytes are the work of all cores.
+    """
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 

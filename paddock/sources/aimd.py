@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions import names
 from paddock.operators import report
-from paddock.session import ship
+from paddock.session import materialize, ship
 
 # The sample entry's code, a packet's signature, how records start.
 ENTRY, SIGNATURE, SCALAR, BLOCK = b"aimd", b"amv0", b"(S", b"<h"
@@ -252,25 +252,36 @@ def track_rows(data: memoryview, size: int) -> Iterator[dict]:
 # ---- rows -------------------------------------------------------------------------------------------
 
 
-def _rows(raw: DataFrame, schema: str, read: Callable[[memoryview], Iterator[pd.DataFrame]]) -> DataFrame:
+def _rows(raw: DataFrame, schema: str, read: Callable[[memoryview], Iterator[list[tuple]]]) -> DataFrame:
+    """Rows of ``schema`` from what ``read`` tells of each content; small files share a frame, as each costs more than its rows."""
     ship(raw.sparkSession)
+    names = _names(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
             for rid, data in zip(b["recording_id"], b["content"]):
                 for part in read(memoryview(bytes(data or b""))):
-                    part.insert(0, "recording_id", rid)
-                    yield part
+                    held += [(rid, *row) for row in part]
+                    if len(held) >= BATCH:
+                        yield pd.DataFrame(held, columns=names, dtype=object)
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=names, dtype=object)
 
-    return raw.mapInPandas(run, schema)
+    return raw.select("recording_id", "content").mapInPandas(run, schema)
+
+
+def _names(schema: str) -> list[str]:
+    """The columns of a schema whose nested ones have no space within."""
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def tracks(raw: DataFrame) -> DataFrame:
     """The tracks of ``raw`` (recording_id, content) with the tables that their clocks follow from."""
 
-    def read(data: memoryview) -> Iterator[pd.DataFrame]:
-        for row in track_rows(data, len(data)):
-            yield pd.DataFrame([{("kind" if k == "track_kind" else k): v for k, v in row.items()}])
+    def read(data: memoryview) -> Iterator[list[tuple]]:
+        yield [tuple(row.values()) for row in track_rows(data, len(data))]
 
     return _rows(raw, TRACKS, read)
 
@@ -282,17 +293,16 @@ def channels(raw: DataFrame) -> DataFrame:
     problem of the first channel.
     """
 
-    def read(data: memoryview) -> Iterator[pd.DataFrame]:
+    def read(data: memoryview) -> Iterator[list[tuple]]:
         try:
             found, fix, skipped = definitions(bytes(packets_of(data)[0]))
         except (KeyError, ValueError, struct.error, IndexError) as broken:
-            yield pd.DataFrame([(0, None, "", "", f"aim.unreadable: {broken}")], columns=["channel_idx", "id", "name", "sample_type", "problem"])
+            yield [(0, None, "", "", f"aim.unreadable: {broken}")]
             return
         told = [(rid, name, kind) for rid, (name, kind) in found.items()]
         if fix is not None:
             told += [(fix + 1 + i, name, kind) for i, (name, _, kind, _) in enumerate(FIX_CHANNELS)]
-        problem = [f"aim.chs_block_skipped: {skipped}" if skipped and i == 0 else None for i in range(len(told))]
-        yield pd.DataFrame({"channel_idx": range(len(told)), "id": [t[0] for t in told], "name": [t[1] for t in told], "sample_type": [t[2] for t in told], "problem": problem})
+        yield [(i, *t, f"aim.chs_block_skipped: {skipped}" if skipped and i == 0 else None) for i, t in enumerate(told)]
 
     return _rows(raw, CHANNELS, read)
 
@@ -300,7 +310,7 @@ def channels(raw: DataFrame) -> DataFrame:
 def records(raw: DataFrame) -> DataFrame:
     """recording_id, packet, seq, id, stamp_ms, value of every scalar record; unreadable files have none."""
 
-    def read(data: memoryview) -> Iterator[pd.DataFrame]:
+    def read(data: memoryview) -> Iterator[list[tuple]]:
         try:
             packets = packets_of(data)
             known = definitions(bytes(packets[0]))[0]
@@ -308,12 +318,13 @@ def records(raw: DataFrame) -> DataFrame:
             return
         seq, rows = 0, []
         for i, p in enumerate(packets[1:], 1):
-            rows += [(i, rid, stamp, float(np.frombuffer(v, _TYPES[known[rid][1]])[0])) for rid, stamp, v in scalars_of(bytes(p), known)]
-            if len(rows) >= BATCH or i == len(packets) - 1:
-                part = pd.DataFrame(rows, columns=["packet", "id", "stamp_ms", "value"])
-                part.insert(1, "seq", range(seq, seq + len(rows)))
-                yield part
-                seq, rows = seq + len(rows), []
+            for rid, stamp, v in scalars_of(bytes(p), known):
+                rows.append((i, seq, rid, stamp, value_of(v, known[rid][1])))
+                seq += 1
+            if len(rows) >= BATCH:
+                yield rows
+                rows = []
+        yield rows
 
     return _rows(raw, RECORDS, read)
 
@@ -321,7 +332,7 @@ def records(raw: DataFrame) -> DataFrame:
 def fixes(raw: DataFrame) -> DataFrame:
     """recording_id, packet, seq and the whole numbers of every satellite record of full size."""
 
-    def read(data: memoryview) -> Iterator[pd.DataFrame]:
+    def read(data: memoryview) -> Iterator[list[tuple]]:
         try:
             packets = packets_of(data)
             if definitions(bytes(packets[0]))[1] is None:
@@ -330,12 +341,13 @@ def fixes(raw: DataFrame) -> DataFrame:
             return
         seq, held = 0, []
         for i, p in enumerate(packets[1:], 1):
-            p = bytes(p)
-            held += [(i, p[a:b]) for a, b in _blocks(p, b"GPS") if b - a == FIX.itemsize and b <= len(p)]
-            if len(held) >= BATCH or i == len(packets) - 1:
-                found = np.frombuffer(b"".join(d for _, d in held), FIX)
-                yield pd.DataFrame({"packet": [i for i, _ in held], "seq": range(seq, seq + len(found))} | {n: found[n].astype(np.int64) for n in FIX.names})
-                seq, held = seq + len(held), []
+            for b in fixes_of(bytes(p)):
+                held.append((i, seq, *np.frombuffer(b, FIX)[0].tolist()))
+                seq += 1
+            if len(held) >= BATCH:
+                yield held
+                held = []
+        yield held
 
     return _rows(raw, FIXES, read)
 
@@ -374,9 +386,11 @@ def frame_times(tracks: DataFrame) -> DataFrame:
     A first track with a problem has no frames.
     """
     video = tracks.where("kind = 'video'").withColumn("offset_ns", F.coalesce(presentation_offset_ns(tracks), F.lit(0)))
-    own = video.groupBy("recording_id").agg(F.min_by(F.struct("timescale", "offset_ns", "stts", "ctts", "problem"), "track").alias("v")).select("recording_id", "v.*").where("problem is null")
+    first = video.groupBy("recording_id").agg(F.min_by(F.struct("timescale", "offset_ns", "stts", "ctts", "problem"), "track").alias("v"))
+    # used three times below, and each use would go through the bytes again
+    own = materialize(first.select("recording_id", "v.*").where("problem is null"))
     shift = _laid_out(own, "ctts").select("recording_id", "i", F.col("delta").alias("shift"))
-    at = _laid_out(own, "stts").join(shift, ["recording_id", "i"], "left").join(own.select("recording_id", "timescale", "offset_ns"), "recording_id")
+    at = _laid_out(own, "stts").join(shift.hint("merge"), ["recording_id", "i"], "left").join(own.select("recording_id", "timescale", "offset_ns").hint("merge"), "recording_id")
     pts = at.select("recording_id", "i", (_scaled(F.col("before") + F.coalesce("shift", F.lit(0)), F.col("timescale")) + F.col("offset_ns")).alias("pts_ns")).where("pts_ns >= 0")
     order = Window.partitionBy("recording_id").orderBy("pts_ns", "i")
     return pts.select("recording_id", (F.row_number().over(order) - 1).cast("long").alias("frame"), "pts_ns")
@@ -414,29 +428,34 @@ def samples(raw: DataFrame, index: bool = False) -> DataFrame:
     Zero is the least of the channels' first stamps as they arrived; earlier ones become zero. In index
     mode channels of ``LAP_CHANNELS`` are whole and of the others evenly spaced packets are taken.
     """
-    return assembled(channels(raw), records(raw), fixes(raw), tracks(raw), index)
+    # the parts are used more than once, and each use would go through the bytes again
+    return assembled(*[materialize(part(raw)) for part in (channels, records, fixes)], tracks(raw), index)
 
 
 def assembled(named: DataFrame, scalars: DataFrame, satellite: DataFrame, held: DataFrame, index: bool) -> DataFrame:
-    """``samples`` from its parts."""
+    """``samples`` from its parts.
+
+    Joins are merge joins: of many small files, parts of a table are told to be far smaller than they are, and
+    would be broadcast through the driver.
+    """
     told = named.where("name != ''").select("recording_id", "channel_idx", "id", "name")
     column = F.create_map(*[F.lit(x) for name, _, _, c in FIX_CHANNELS for x in (name, c)])
     scalar = told.where(F.element_at(column, F.col("name")).isNull())
-    found = scalars.join(scalar, ["recording_id", "id"]).select("recording_id", "channel_idx", "name", "packet", "seq", "stamp_ms", "value")
+    found = scalars.join(scalar.hint("merge"), ["recording_id", "id"]).select("recording_id", "channel_idx", "name", "packet", "seq", "stamp_ms", "value")
     wide = geodetic(satellite)
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, _, _, c in FIX_CHANNELS]))
     long = wide.select("recording_id", "packet", "seq", "stamp_ms", pairs.alias("s")).select("recording_id", "packet", "seq", "stamp_ms", "s.name", "s.value")
-    every = found.unionByName(long.join(told.select("recording_id", "channel_idx", "name"), ["recording_id", "name"]))
+    every = found.unionByName(long.join(told.select("recording_id", "channel_idx", "name").hint("merge"), ["recording_id", "name"]))
     if index:
         # every packet counts, records or not: the track's samples less the definitions
         held = held.where("kind = 'telemetry'").groupBy("recording_id").agg(F.min_by("stts", "track").alias("s"))
         counts = held.select("recording_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("n")).withColumn("n", F.col("n") - 1)
         taken = report.spaced(counts, F.col("n")).select("recording_id", F.col("index").cast("int").alias("packet")).distinct()
         lap = names.normalize(F.col("name")).isin(*LAP_CHANNELS)
-        every = every.where(lap).unionByName(every.where(~lap).join(taken, ["recording_id", "packet"], "left_semi"))
+        every = every.where(lap).unionByName(every.where(~lap).join(taken.hint("merge"), ["recording_id", "packet"], "left_semi"))
     firsts = every.groupBy("recording_id", "channel_idx").agg(F.min_by("stamp_ms", "seq").alias("s")).groupBy("recording_id").agg(F.min("s").alias("origin"))
     order = Window.partitionBy("recording_id", "channel_idx").orderBy("stamp_ms", "seq")
-    return every.join(firsts, "recording_id").select(
+    return every.join(firsts.hint("merge"), "recording_id").select(
         "recording_id", "channel_idx", (F.row_number().over(order) - 1).cast("long").alias("local_idx"), (F.greatest(F.col("stamp_ms") - F.col("origin"), F.lit(0)) * 1_000_000).alias("t_ns"), "value"
     )
 
@@ -470,7 +489,7 @@ def fit_chunks(samples: DataFrame) -> DataFrame:
     spaced = samples.select(*by, "local_idx", "t_ns").withColumn("gap", F.col("t_ns") - F.lag("t_ns").over(w))
     counted = spaced.where("gap > 0").groupBy(*by, "gap").agg(F.count(F.lit(1)).alias("n"))
     modal = counted.groupBy(*by).agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("modal"))
-    runs = spaced.join(modal, by, "left").withColumn("modal", F.coalesce("modal", F.lit(1).cast("long")))
+    runs = spaced.join(modal.hint("merge"), by, "left").withColumn("modal", F.coalesce("modal", F.lit(1).cast("long")))
     runs = runs.withColumn("run", F.sum(F.when(F.col("gap") > F.col("modal") * 2, 1).otherwise(0)).over(w))
     own = Window.partitionBy(*by, "run")
     runs = runs.withColumns({"first": F.min("t_ns").over(own), "base": F.min("local_idx").over(own), "n": F.count(F.lit(1)).over(own), "last": F.max("t_ns").over(own)})

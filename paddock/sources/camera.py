@@ -228,7 +228,20 @@ def scan(raw: DataFrame) -> DataFrame:
             for rid, data in zip(b.column(0).to_pylist(), b.column(1)):
                 yield from rows_of(rid, Held(data.as_py() or b""))
 
-    return raw.select("recording_id", "content").mapInArrow(run, ROWS)
+    return raw.select("recording_id", "content").mapInArrow(lambda batches: _gathered(run(batches)), ROWS)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, up to ``BATCH`` rows: a small file's costs more to hand over than its rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BATCH:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def channels(rows: DataFrame) -> DataFrame:
