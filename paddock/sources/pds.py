@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.units import UNITS, find
-from paddock.session import ship
+from paddock.session import ship, spread
 from paddock.sources.fileio import Held, Ranged
 
 # Directory places in order of trial, a record's mark, the clock's tick, bounds of strides.
@@ -175,6 +175,26 @@ def _text(record: bytes, at: int) -> str | None:
     return text.strip() if text.isascii() and text.isprintable() else None
 
 
+def _texts(records: list[bytes], places: list[int]) -> dict[int, list[str | None]]:
+    """``_text`` of every record at each place; decoded only where a text may start, as most places hold none."""
+    width = max(map(len, records))
+    held = np.zeros((len(records), width + UNIT_BYTES + 1), np.uint8)
+    for i, r in enumerate(records):
+        held[i, : len(r)] = np.frombuffer(r, np.uint8)
+    size = np.array([len(r) for r in records])
+    at = np.array(places, np.int64)
+    first, second = held[:, at], held[:, at + 1]
+    empty = (first == 0) & (second == 0) | (at + 2 > size[:, None])
+    told = (second == 0) & (first >= 0x20) & (first < 0x7F) & ~empty
+    found = {}
+    for k, place in enumerate(places):
+        if not told[:, k].any():
+            found[place] = ["" if e else None for e in empty[:, k]]
+        else:
+            found[place] = ["" if e else _text(r, place) if t else None for r, e, t in zip(records, empty[:, k], told[:, k])]
+    return found
+
+
 def _accepts(code: int, text: str) -> bool:
     """Whether a unit's text goes with a quantity's code."""
     if code not in QUANTITIES:
@@ -193,11 +213,14 @@ def search_units(records: list[bytes], name_at: int) -> tuple[int | None, int |
     """
     length = len(records[0])
     offsets = range(0, max(0, length - 4), 4)
-    texts = {at: [_text(r, at) for r in records] for at in offsets if at != name_at}
+    texts = _texts(records, [at for at in offsets if at != name_at])
     hits = {at: n for at, found in texts.items() if (n := sum(1 <= len(t or "") <= 12 for t in found))}
     starts = [at for at in hits if not hits.get(at - 4, 0) >= hits[at]]  # else the tail of a longer text
-    words = {at: [int.from_bytes(r[at : at + 4], "little") if at + 4 <= len(r) else None for r in records] for at in offsets}
-    small = [at for at, w in words.items() if None not in w and max(w) <= 64 and len(set(w)) > 1]
+    whole = min(map(len, records))
+    held = np.stack([np.frombuffer(r, "<u4", whole // 4) for r in records])
+    low, high = held.min(axis=0), held.max(axis=0)
+    small = [at for at in offsets if at + 4 <= whole and high[at // 4] <= 64 and low[at // 4] < high[at // 4]]
+    words = {at: held[:, at // 4].tolist() for at in small}
     votes = []
     for q in small:
         for u in starts:
@@ -314,12 +337,13 @@ def tables(told: DataFrame) -> dict[str, DataFrame]:
 
     A chunk belongs to the last definition with its id. Its count is cut to what the file holds; its time
     and sample bases are sums over the chunks of its channel before it, in the table's order, which isn't
-    that of the bytes in interrupted logs.
+    that of the bytes in interrupted logs. Joins are merge joins: columns of a table of heads are told to be far
+    smaller than they are, and would be broadcast through the driver.
     """
     typed = _typed(told)
     owner = typed.groupBy("recording_id", "id").agg(F.max_by(F.struct("channel_idx", "name", "sample_type", "width"), "channel_idx").alias("o"))
     row = told.select("recording_id", "size", F.explode("chunks").alias("k")).select("recording_id", "size", "k.*")
-    met = row.join(owner, ["recording_id", "id"], "left").select("recording_id", "size", "row", "ticks", "count", F.col("at").alias("data_ptr"), "o.*")
+    met = row.join(owner.hint("merge"), ["recording_id", "id"], "left").select("recording_id", "size", "row", "ticks", "count", F.col("at").alias("data_ptr"), "o.*")
     held = F.least("count", F.expr("(size - data_ptr) div width"))
     met = met.withColumn("sample_count", held)
     before = Window.partitionBy("recording_id", "channel_idx").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
@@ -330,7 +354,7 @@ def tables(told: DataFrame) -> dict[str, DataFrame]:
     chunks = kept.select("recording_id", "channel_idx", "name", "sample_type", "chunk_idx", "sample_period_ns", "sample_count", "sample_base", "time_base_ns", "data_ptr")
     seen = chunks.groupBy("recording_id", "channel_idx").agg(F.sum("sample_count").alias("sample_count"), F.sum(F.col("sample_count") * F.col("sample_period_ns")).alias("duration_ns"))
     some = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    channels = typed.drop("width").join(seen, ["recording_id", "channel_idx"], "left").select(*[c for c in typed.columns if c != "width"], some("sample_count"), some("duration_ns"))
+    channels = typed.drop("width").join(seen.hint("merge"), ["recording_id", "channel_idx"], "left").select(*[c for c in typed.columns if c != "width"], some("sample_count"), some("duration_ns"))
     counted = met.groupBy("recording_id").agg(
         F.count_if(F.col("channel_idx").isNull()).alias("pds.chunk_channel_unknown"), F.count_if(F.col("sample_count") < F.col("count")).alias("pds.sample_count_clamped"), F.count_if(F.col("sample_count") == 0).alias("pds.chunk_empty_after_clamp"),
     )
@@ -396,7 +420,7 @@ def samples(chunks: DataFrame, raw: DataFrame | None = None, rows: int = 100_000
             each = ({"recording_id": rid} | r for rid, of in zip(b["recording_id"], b["chunks"]) for r in of)
             yield from _decoded(each, lambda rid, at, n, content=content: content[rid][at : at + n], rows)
 
-    return raw.select("recording_id", "content").join(own, "recording_id").mapInPandas(held, SAMPLES)
+    return spread(raw.select("recording_id", "content"), "recording_id").join(spread(own, "recording_id").hint("merge"), "recording_id").mapInPandas(held, SAMPLES)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from paddock.plans import fixtures
-from paddock.session import ship
-from paddock.sources import aimd, camera, opening, sidecar
-from paddock.sources.fileio import Ranged
+from paddock.session import ship, spread
+from paddock.sources import aimd, camera, opening, pds, sidecar
+from paddock.sources.fileio import Held, Ranged
 
 MS = 1_000_000
 
@@ -195,3 +195,16 @@ def test_open_folder(spark, tmp_path):
     slim = opening.open_folder(spark, str(tmp_path), ["*.vbo"], metadata=True)
     assert {(ends(r), r["name"]) for r in slim["channels"].collect()} == {("c.VBO", x) for x in ("time", "Tsample", "Lap")}
     assert [(ends(r), r["laps"]) for r in opening.lap_metadata(slim).collect()] == [("c.VBO", 2)]
+
+
+def test_small_files_share_batches(spark):
+    """Many small files are few batches on many tasks, and their tables are not broadcast."""
+    parts = list(camera.rows_of("a", Held(_camera())))
+    assert len(list(camera._gathered(iter(parts * 50)))) == 1
+    assert sum(b.num_rows for b in camera._gathered(iter(parts * 50))) == 50 * sum(b.num_rows for b in parts)
+    assert spread(spark.range(10), "id").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    raw = spark.createDataFrame([(str(i), bytearray(_camera())) for i in range(3)], "recording_id string, content binary")
+    names = aimd.channels(raw).select("recording_id", "channel_idx", "name")
+    for df in (aimd.samples(raw), aimd.samples(raw, True), aimd.frame_times(aimd.tracks(raw)), pds.tables(pds.heads(raw))["channels"]):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert names.count() == 3 * aimd.channels(raw.limit(1)).count()
