@@ -86,7 +86,7 @@ def _films(raw: DataFrame, metadata: bool) -> dict[str, DataFrame]:
     units = F.create_map(*[F.lit(x) for name, unit, _, _ in aimd.FIX_CHANNELS for x in (name, unit)])
     unit = F.coalesce(F.element_at(units, F.col("name")), F.lit(""))
     by = ["recording_id", "channel_idx"]
-    channels = told.where("name != ''").join(seen, by, "left").join(period, by, "left").withColumns({
+    channels = told.where("name != ''").join(seen.hint("merge"), by, "left").join(period.hint("merge"), by, "left").withColumns({
         "unit": unit, "unit_source": F.when(unit == "", "unknown").otherwise("declared"), "sample_count": F.coalesce("sample_count", F.lit(0).cast("long")), "duration_ns": F.coalesce(F.col("last") + F.col("sample_period_ns"), F.lit(0).cast("long")),
     })
     return {"channels": channels, "samples": samples, "diagnostics": camera.diagnostics(rows)}

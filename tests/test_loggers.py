@@ -205,6 +205,6 @@ def test_small_files_share_batches(spark):
     assert spread(spark.range(10), "id").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     raw = spark.createDataFrame([(str(i), bytearray(_camera())) for i in range(3)], "recording_id string, content binary")
     names = aimd.channels(raw).select("recording_id", "channel_idx", "name")
-    for df in (aimd.samples(raw), aimd.samples(raw, True), aimd.frame_times(aimd.tracks(raw)), pds.tables(pds.heads(raw))["channels"]):
+    for df in (aimd.samples(raw), aimd.samples(raw, True), aimd.frame_times(aimd.tracks(raw)), pds.tables(pds.heads(raw))["channels"], opening._films(raw, False)["channels"]):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert names.count() == 3 * aimd.channels(raw.limit(1)).count()
