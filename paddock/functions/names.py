@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.session import spread
+
 # Normalised channel names of each role, in order of preference.
 ROLES: dict[str, tuple[str, ...]] = {
     "latitude": ("gpslatitudeclean", "gpslatitude", "latitude", "gpslat", "lat"),
@@ -76,8 +78,13 @@ def find(channels: DataFrame, names: tuple[str, ...], out: str = "channel_idx",
 
 
 def resolve_roles(channels: DataFrame, roles: dict[str, tuple[str, ...]] = ROLES) -> DataFrame:
-    """recording_id, role, channel_idx: every role's channel in one pass over the channels."""
+    """recording_id, role, channel_idx: every role's channel in one pass over the channels.
+
+    Hits are dealt over many tasks before they are grouped: few bytes of channel names are many rows of hits,
+    and a task that scans them all would sort them all.
+    """
     listed = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(k).alias("rank"), F.lit(n).alias("wanted")) for r, ns in roles.items() for k, n in enumerate(ns)])
     named = channels.withColumn("_n", normalize(F.col("name")))
     hits = named.select("recording_id", "channel_idx", F.explode(F.filter(listed, lambda x: x["wanted"] == F.col("_n"))).alias("h"))
+    hits = spread(hits, "recording_id")
     return hits.groupBy("recording_id", "h.role").agg(F.min_by("channel_idx", F.struct("h.rank", "channel_idx")).alias("channel_idx"))

@@ -11,6 +11,7 @@ from paddock.functions import clock, geo, names, timespan, units
 from paddock.operators import laps, lattice, normalize, passes, runs, sampling, sessions, summary, tracks, validate, video
 from paddock.plans import views
 from paddock.plans.views import SAMPLES_SQL, read
+from paddock.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,7 +193,8 @@ select recording_id, role, arg_min(channel_idx, rank * 1000 + channel_idx) as ch
 )
 def role_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array(*[F.struct(F.lit(i).alias("channel_idx"), F.lit(n).alias("name")) for i, n in enumerate(_NAMES)])
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.explode(listed).alias("n")).select("recording_id", "n.*")
+    ids = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id")), "recording_id")
+    c = ids.select("recording_id", F.explode(listed).alias("n")).select("recording_id", "n.*")
     c = c.withColumn("name", F.when((F.col("recording_id") + F.col("channel_idx") * 7) % 3 != 0, F.col("name")).otherwise(F.concat(F.lit("other "), F.col("name"))))
     return names.resolve_roles(c, _WANTED)
 
