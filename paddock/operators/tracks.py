@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.geo import LAT_M, LON_M, haversine_m, project
-from paddock.session import materialize
+from paddock.session import materialize, spread
 
 #: Cells of facilities that are broadcast.
 BROADCAST_ROWS = 20_000
+#: Points of one task, each of which becomes a row a segment.
+POINTS = 20_000
 
 
 def _cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
@@ -58,8 +60,12 @@ def segments(centerlines: DataFrame, by: list[str]) -> DataFrame:
 
 
 def progress(points: DataFrame, segs: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """key, progress (0 to 1), distance_m: the foot on the nearest segment of the point's own track, the first at a tie."""
-    met = points.join(segs, by).withColumn("_f", project(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where("total_m > 0")
+    """key, progress (0 to 1), distance_m: the foot on the nearest segment of the point's own track, the first at a tie.
+
+    Segments are written first, so that Spark knows whether they are few: few are broadcast and points stay dealt
+    over tasks, where a join by track would give all points of a track to one.
+    """
+    met = spread(points, *key, each=POINTS).join(materialize(segs), by).withColumn("_f", project(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where("total_m > 0")
     at = (F.col("cum_m") + F.col("_f.frac") * F.col("len_m")) / F.col("total_m")
     best = F.min_by(F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at)).alias("progress"), F.col("_f.distance_m").alias("distance_m")), F.struct("_f.distance_m", "seg_idx"))
     return met.groupBy(*key).agg(best.alias("p")).select(*key, "p.*")
@@ -88,7 +94,7 @@ def progress_at_size(points: DataFrame, segs: DataFrame, by: list[str], key: lis
     done = []
     for r in rings:
         around = F.sequence(F.lit(-r), F.lit(r))
-        near = left.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumn("_y", at(F.col("lat")) + F.col("_dy")).withColumn("_x", at(F.col("lon")) + F.col("_dx"))
+        near = spread(left, *key, each=POINTS).withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumn("_y", at(F.col("lat")) + F.col("_dy")).withColumn("_x", at(F.col("lon")) + F.col("_dx"))
         # points of one track are dealt over cells, and its cells' segments with them
         met = near.join(placed, [*by, "_y", "_x"]).withColumn("_f", project(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
         best = F.min_by(F.struct(((F.col("cum_m") + F.col("_f.frac") * F.col("len_m")) / F.col("total_m")).alias("progress"), F.col("_f.distance_m").alias("distance_m")), F.struct("_f.distance_m", "seg_idx"))

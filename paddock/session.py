@@ -54,14 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str, each: int | None = None) -> DataFrame:
     """``df`` by the columns over enough partitions for every core, whatever the bytes.
 
     Partitions that Spark sizes itself follow the bytes; of small files that Python goes through one by one,
-    a few megabytes are the work of all cores.
+    a few megabytes are the work of all cores. With ``each``, rows are counted, and partitions hold about as many at most.
     """
     spark = df.sparkSession
     n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if each:
+        n = max(n, -(-df.count() // each))
     return df.repartition(n, *by)
 
 

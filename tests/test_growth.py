@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paddock.functions import names
+from paddock.operators import tracks
 
 
 def parts(df):
@@ -17,3 +18,13 @@ def test_roles_are_resolved_by_many_tasks(spark):
     got = names.resolve_roles(held)
     assert parts(got) > 8
     assert sorted(tuple(r) for r in got.where("recording_id = 7").collect()) == [(7, "lap_number", 3), (7, "speed", 12)]
+
+
+def test_points_of_one_track_are_dealt_over_tasks(spark):
+    line = spark.createDataFrame([("t", i, 50.0 + 0.01 * i, 7.0) for i in range(5)], "slug string, idx int, lat double, lon double")
+    points = spark.range(300).select("id", F.lit("t").alias("slug"), (50 + F.col("id") / 10_000).alias("lat"), F.lit(7.5).alias("lon")).coalesce(1)
+    segs = tracks.segments(line, ["slug"])
+    far = tracks.progress(points, segs, ["slug"], ["id", "slug"])
+    near = tracks.progress_at_size(points.withColumn("lon", F.lit(7.001)), segs, ["slug"], ["id", "slug"])
+    assert parts(far) > 8 and far.count() == near.count() == 300
+    assert [round(r["progress"], 4) for r in near.where("id = 100").collect()] == [0.25]
