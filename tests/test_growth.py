@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paddock.functions import names
-from paddock.operators import tracks
+from paddock.operators import lattice, tracks
 
 
 def parts(df):
@@ -22,9 +22,19 @@ def test_roles_are_resolved_by_many_tasks(spark):
 
 def test_points_of_one_track_are_dealt_over_tasks(spark):
     line = spark.createDataFrame([("t", i, 50.0 + 0.01 * i, 7.0) for i in range(5)], "slug string, idx int, lat double, lon double")
-    points = spark.range(300).select("id", F.lit("t").alias("slug"), (50 + F.col("id") / 10_000).alias("lat"), F.lit(7.5).alias("lon")).coalesce(1)
+    points = spark.createDataFrame([(i, "t", 50 + i / 10_000, 7.5) for i in range(300)], "id long, slug string, lat double, lon double").coalesce(1)
     segs = tracks.segments(line, ["slug"])
     far = tracks.progress(points, segs, ["slug"], ["id", "slug"])
     near = tracks.progress_at_size(points.withColumn("lon", F.lit(7.001)), segs, ["slug"], ["id", "slug"])
     assert parts(far) > 8 and far.count() == near.count() == 300
     assert [round(r["progress"], 4) for r in near.where("id = 100").collect()] == [0.25]
+
+
+def test_slots_are_not_shuffled(spark):
+    rows = [("a", 0, 0, 95, 1.0), ("a", 0, 1, 98, 2.0), ("a", 0, 2, 120, float("nan")), ("a", 0, 3, 141, 4.0), ("b", 0, 0, 50, None), ("c", 0, 0, -40, 7.0), ("c", 0, 1, 20, 8.0)]
+    s = spark.createDataFrame(rows, "recording_id string, chunk_idx int, local_idx int, t_ns long, value double").withColumns({"t0_ns": F.lit(70).cast("long"), "period_ns": F.lit(10).cast("long")})
+    got = lattice.align(s, None, ["recording_id"])
+    told = {(r["recording_id"], r["slot"]): r["value"] for r in got.collect()}
+    assert {k[1]: v for k, v in told.items() if k[0] == "a"} == {0: None, 1: None, 2: None, 3: 1.0, 4: None, 5: None, 6: None, 7: 4.0}
+    assert {k[0] for k in told} == {"a"} and got.where("slot = 3").first()["t_ns"] == 100
+    assert lattice.align(s, None, ["recording_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
