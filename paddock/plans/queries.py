@@ -687,8 +687,8 @@ f as (select recording_id, channel_idx, slot, first(v order by local_idx) as val
 select s.recording_id, s.channel_idx, s.slot, s.slot * {_HOUR} as t_ns, f.value from (select recording_id, channel_idx, unnest(range(0, last + 1)) as slot from e where n > 0) s left join f on f.recording_id = s.recording_id and f.channel_idx = s.channel_idx and f.slot = s.slot""")
 def lattice_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.samples(spark, sf_dir).withColumn("value", F.when(F.col("k") % 9 == 0, float("nan")).otherwise(F.col("value")))
-    lat = s.select("recording_id", "channel_idx").distinct().select("*", F.lit(0).cast("long").alias("t0_ns"), F.lit(_HOUR).cast("long").alias("period_ns"))
-    return lattice.align(s, lat, [*_BY, "channel_idx"]).select("recording_id", "channel_idx", "slot", "t_ns", "value")
+    s = s.withColumns({"t0_ns": F.lit(0).cast("long"), "period_ns": F.lit(_HOUR).cast("long")})
+    return lattice.align(s, None, [*_BY, "channel_idx"]).select("recording_id", "channel_idx", "slot", "t_ns", "value")
 
 
 @query("select o_custkey as recording_id, list_reduce(list(distinct cast((o_orderkey % 7 + 1) * 250000 as bigint)), lambda a, b: gcd(a, b)) as q_ns from orders group by 1")
