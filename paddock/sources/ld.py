@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.session import ship
+from paddock.session import ship, spread
 
 # Layout of the file and of a channel's block.
 MAGIC, LEAST_BYTES, BLOCK_BYTES, MOST_CHANNELS = 0x40, 0x1A0, 124, 4096
@@ -70,21 +72,57 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][dD]").load(path).select(F.col("path").alias("recording_id"), "content")
 
 
+def in_folders(spark: SparkSession, path: str, held: int = 16_000_000) -> DataFrame:
+    """recording_id, content of the logs in the folders right under ``path``: the driver lists folders, tasks list and read their files.
+
+    A task holds about ``held`` bytes beside the file that it reads.
+    """
+    ship(spark)
+    system, root = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if re.match(r"\w+:", path) else f"file://{path}")
+    found = [(f.path,) for f in system.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory and not f.base_name.startswith("_")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["folder"]:
+                rows, size = [], 0
+                for f in system.get_file_info(pafs.FileSelector(folder)):
+                    if f.path.lower().endswith(".ld"):
+                        with system.open_input_stream(f.path) as opened:
+                            rows.append((f.path, opened.read()))
+                        size += f.size
+                        if size > held:
+                            yield pd.DataFrame(rows, columns=["recording_id", "content"])
+                            rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=["recording_id", "content"])
+
+    return spread(spark.createDataFrame(found, "folder string"), "folder").mapInPandas(run, "recording_id string, content binary")
+
+
 def channels(raw: DataFrame) -> DataFrame:
     """Channel rows of ``raw`` (recording_id, content); an unreadable file has one nameless row whose problem says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for rid, data in zip(b["recording_id"], b["content"]):
-                yield pd.DataFrame([(rid, i, i, c["name"], c["unit"], "declared" if c["unit"] else "unknown", c["type"], c["n"], c["n"] * c["period"], c["period"], c["problem"]) for i, c in enumerate(_read(bytes(data)))], columns=[x.split()[0] for x in CHANNELS.split(", ")])
+                rows += [(rid, i, i, c["name"], c["unit"], "declared" if c["unit"] else "unknown", c["type"], c["n"], c["n"] * c["period"], c["period"], c["problem"]) for i, c in enumerate(_read(bytes(data)))]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHANNELS.split(", ")])
 
     return raw.mapInPandas(run, CHANNELS)
 
 
 def samples(raw: DataFrame, names: list[str] | None = None, rows: int = 100_000) -> DataFrame:
-    """Sample rows, of the named channels alone if asked, in batches of bounded size."""
+    """Sample rows, of the named channels alone if asked, in batches of bounded size that small channels share."""
+
+    def told(held: list[tuple]) -> pd.DataFrame:
+        n = [len(v) for *_, v in held]
+        local = np.concatenate([np.arange(at, at + len(v)) for _, _, _, at, v in held])
+        each = lambda k, kind=None: np.repeat(np.array([h[k] for h in held], kind), n)
+        return pd.DataFrame({"recording_id": each(0, object), "channel_idx": each(1), "chunk_idx": 0, "local_idx": local, "t_ns": local * each(2, np.int64), "value": np.concatenate([v for *_, v in held])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in batches:
             for rid, data in zip(b["recording_id"], b["content"]):
                 data = bytes(data)
@@ -92,8 +130,13 @@ def samples(raw: DataFrame, names: list[str] | None = None, rows: int = 100_000)
                     if names is None or c["name"] in names:
                         v = values(data, c)
                         for at in range(0, len(v), rows):
-                            n = np.arange(at, min(len(v), at + rows))
-                            yield pd.DataFrame({"recording_id": rid, "channel_idx": i, "chunk_idx": 0, "local_idx": n, "t_ns": n * c["period"], "value": v[n]})
+                            held.append((rid, i, c["period"], at, v[at : at + rows]))
+                            size += len(held[-1][-1])
+                            if size >= rows:
+                                yield told(held)
+                                held, size = [], 0
+        if held:
+            yield told(held)
 
     return raw.mapInPandas(run, "recording_id string, channel_idx int, chunk_idx int, local_idx bigint, t_ns bigint, value double")
 

@@ -3,7 +3,7 @@
 ``refusals`` tells every channel, value and text that the format can't hold without loss; a recording with
 one isn't written. ``pieces`` gives each file's bytes as rows (recording_id, place, content): one row of
 heads and one for every block of samples. ``write`` hands them to a data source writer that stages a file
-per recording and moves it into place on commit, so that a lost task or a failed job leaves no half file.
+per recording and moves it (or a folder of new ones) into place on commit, so that a lost task or a failed job leaves no half file.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from paddock.session import ship
+from paddock.session import ship, spread
 from paddock.sources.ld import BLOCK_BYTES, MAGIC
 
 # Sizes and places of the blocks before the channels, and capacities of texts, their end included.
@@ -35,6 +36,7 @@ ENCODED = {
 }
 BLOCK = 262_144
 PIECES = "recording_id string, place bigint, content binary"
+_FOLDER = re.compile(r"logs-[0-9a-f]{6,}$")
 
 
 def _fits(text: Column, capacity: int) -> Column:
@@ -138,14 +140,14 @@ def pieces(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identity:
         for b in batches:
             yield pd.DataFrame({"recording_id": b["recording_id"], "place": 0, "content": [_head(t or {}, list(c)) for t, c in zip(b["texts"], b["channels"])]})
 
-    def block(held: pd.DataFrame) -> pd.DataFrame:
-        first = held.iloc[0]
-        values = held.sort_values("local_idx")["value"].to_numpy(np.float64)
-        at = int(first["place"]) + int(held["local_idx"].min()) * int(first["width"])
-        return pd.DataFrame([(first["recording_id"], at, values.astype(ENCODED[first["sample_type"]][2]).tobytes())], columns=["recording_id", "place", "content"])
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            content = [np.asarray(v, np.float64).astype(ENCODED[t][2]).tobytes() for v, t in zip(b["values"], b["sample_type"])]
+            yield pd.DataFrame({"recording_id": b["recording_id"], "place": b["place"] + b["least"] * b["width"], "content": content})
 
-    dealt = samples.select(*by, "local_idx", "value").join(placed.select(*by, "sample_type", "width", "place"), by).withColumn("_block", F.floor(F.col("local_idx") / BLOCK))
-    return heads.mapInPandas(head, PIECES).unionByName(dealt.groupBy(*by, "_block").applyInPandas(block, PIECES))
+    blocks = samples.select(*by, "local_idx", "value").groupBy(*by, F.floor(F.col("local_idx") / BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("local_idx", "value"))).alias("v"), F.min("local_idx").alias("least"))
+    dealt = blocks.join(placed.select(*by, "sample_type", "width", "place"), by).select("recording_id", "sample_type", "width", "place", "least", F.col("v.value").alias("values"))
+    return heads.mapInPandas(head, PIECES).unionByName(dealt.mapInPandas(block, PIECES))
 
 
 # ---- the sink ---------------------------------------------------------------------------------------
@@ -157,44 +159,67 @@ def _place(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]] = field(default_factory=list)
+    """Where a task's files are staged: as long for many files as for one."""
+
+    folder: str | None = None
+
+
+def _folder(rid: str, folders: int) -> str:
+    return f"logs-{zlib.crc32(rid.encode()) % folders:06x}/" if folders else ""
 
 
 class LogWriter(DataSourceWriter):
-    """Stages the files of a task under names of its attempt; the commit moves them, an abort removes them."""
+    """Stages the files of a task under a folder of its attempt; the commit moves them, an abort removes them."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
+        self.path, self.overwrite, self.job, self.folders = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex, int(options.get("folders", 0))
 
     def write(self, rows: Iterator) -> Staged:
         system, root = _place(self.path)
-        done, out, now, at = Staged(), None, None, 0
+        own, made = f"{root}/_staged-{self.job}/{uuid.uuid4().hex}", set()
+        out, now, at = None, None, 0
         for r in rows:
             rid, place, content = r[0], r[1], bytes(r[2])
             if rid != now:
                 if out:
                     out.close()
-                name = f"{root}/_staged-{self.job}/{uuid.uuid4().hex}"
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                name = f"{own}/{_folder(rid, self.folders)}{rid}.ld"
+                above = name.rsplit("/", 1)[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 out, now, at = system.open_output_stream(name), rid, 0
-                done.files.append((name, f"{root}/{rid}.ld"))
             if place != at:
                 raise ValueError(f"{rid}: bytes at {place} follow {at}")
             out.write(content)
             at += len(content)
         if out:
             out.close()
-        return done
+        return Staged(own if made else None)
 
     def commit(self, messages: list) -> None:
+        """Folders that are new are moved whole, so the driver's work and memory follow them, not the files."""
         system, root = _place(self.path)
+        listed = lambda path: system.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+        is_dir = lambda f: f.type == pafs.FileType.Directory
         if self.overwrite:
-            old = [f.path for f in system.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".ld")]
-            for path in old:
-                system.delete_file(path)
+            for f in listed(root):
+                if is_dir(f) and _FOLDER.match(f.base_name):
+                    system.delete_dir(f.path)
+                elif f.path.endswith(".ld"):
+                    system.delete_file(f.path)
+
+        def move(staged: str, final: str) -> None:
+            for f in listed(staged):
+                to = f"{final}/{f.base_name}"
+                if is_dir(f) and is_dir(system.get_file_info([to])[0]):
+                    move(f.path, to)
+                else:
+                    system.move(f.path, to)
+
         for m in messages:
-            for staged, final in m.files if m else ():
-                system.move(staged, final)
+            if m and m.folder:
+                move(m.folder, root)
         self._clear()
 
     def abort(self, messages: list) -> None:
@@ -218,8 +243,14 @@ class LogSink(DataSource):
         return LogWriter(self.options, overwrite)
 
 
-def write(laid_out: DataFrame, path: str, mode: str = "append") -> None:
-    """One ``.ld`` file per recording of ``pieces`` under ``path``; a file is one task's, as its bytes are written in order."""
+def write(laid_out: DataFrame, path: str, mode: str = "append", folders: int = 0) -> None:
+    """One ``.ld`` file per recording of ``pieces`` under ``path``; a file is one task's, as its bytes are written in order.
+
+    With ``folders`` the files are dealt over so many folders by their recording, each of them one task's; ``ld.in_folders``
+    reads them. The driver then holds a name a folder. Without, all lie in ``path`` and are listed and moved there.
+    """
     ship(laid_out.sparkSession)
     laid_out.sparkSession.dataSource.register(LogSink)
-    laid_out.repartition("recording_id").sortWithinPartitions("recording_id", "place").select("recording_id", "place", "content").write.format("paddock_ld").mode(mode).save(path)
+    place = F.pmod(F.crc32(F.col("recording_id").cast("binary")), F.lit(folders)) if folders else F.col("recording_id")
+    dealt = spread(laid_out.withColumn("_folder", place), "_folder").sortWithinPartitions("_folder", "recording_id", "place")
+    dealt.select("recording_id", "place", "content").write.format("paddock_ld").option("folders", folders).mode(mode).save(path)

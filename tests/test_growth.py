@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import functions as F
 
 from paddock.functions import names
 from paddock.operators import lattice, tracks
+from paddock.sources import ld, ldwrite
 
 
 def parts(df):
@@ -38,3 +41,17 @@ def test_slots_are_not_shuffled(spark):
     assert {k[1]: v for k, v in told.items() if k[0] == "a"} == {0: None, 1: None, 2: None, 3: 1.0, 4: None, 5: None, 6: None, 7: 4.0}
     assert {k[0] for k in told} == {"a"} and got.where("slot = 3").first()["t_ns"] == 100
     assert lattice.align(s, None, ["recording_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_logs_are_moved_by_folders(spark, tmp_path):
+    made = lambda ids, data: spark.createDataFrame([(f"r{i}", 0, bytearray(data)) for i in ids], ldwrite.PIECES)
+    told = lambda: {r["recording_id"].rsplit("/", 1)[1]: bytes(r["content"]) for r in ld.in_folders(spark, str(tmp_path), held=10).collect()}
+    ldwrite.write(made(range(40), b"one"), str(tmp_path), folders=3)
+    assert len(list(tmp_path.iterdir())) == 3 and all(p.is_dir() for p in tmp_path.iterdir())
+    ldwrite.write(made(range(39, 42), b"two"), str(tmp_path), folders=3)
+    assert told() == {f"r{i}.ld": b"one" if i < 39 else b"two" for i in range(42)}
+    ldwrite.write(made([7], b"new"), str(tmp_path), "overwrite", folders=3)
+    assert told() == {"r7.ld": b"new"}
+    # what a task tells the driver doesn't grow with its files
+    size = lambda n: len(pickle.dumps(ldwrite.LogWriter({"path": str(tmp_path), "folders": "3"}, False).write(iter([(f"x{i}", 0, b"") for i in range(n)]))))
+    assert size(50) == size(1)
