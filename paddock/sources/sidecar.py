@@ -39,26 +39,40 @@ def meta_values(line: Column) -> Column:
     texts stay texts.
     """
 
-    def one(entry: Column) -> Column:
-        value = F.try_variant_get(entry, "$[1]", "variant")
-        kind = F.schema_of_variant(value)
-        inner = F.schema_of_variant(F.try_variant_get(value, "$.v", "variant"))
-        text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        unit, told = F.try_variant_get(value, "$.u", "string"), F.when(inner == "STRING", F.try_variant_get(value, "$.v", "string"))
-        number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(inner == "BIGINT", F.try_variant_get(value, "$.v", "bigint"))
+    get = F.try_variant_get
+
+    # a step a transform: what a step names is worked out once, where a lambda would repeat it at every mention
+    def split(entry: Column) -> Column:
+        return F.struct(F.coalesce(F.schema_of_variant(get(entry, "$[0]", "variant")), F.lit("")).alias("named"), get(entry, "$[0]", "string").alias("name"), get(entry, "$[1]", "variant").alias("value"))
+
+    def kinds(x: Column) -> Column:
+        return F.struct(x["named"].alias("named"), x["name"].alias("name"), x["value"].alias("value"), F.schema_of_variant(x["value"]).alias("kind"), F.schema_of_variant(get(x["value"], "$.v", "variant")).alias("inner"))
+
+    def values(x: Column) -> Column:
+        v, kind, inner = x["value"], x["kind"], x["inner"]
         typed = kind.startswith("OBJECT")
-        ms = F.when(timespan.in_range(number), number).otherwise(timespan.parse_ms(F.coalesce(text, told)).cast("long"))
+        text = F.when(kind == "STRING", get(v, "$", "string"))
+        told = F.when(inner == "STRING", get(v, "$.v", "string"))
+        number = F.when(kind == "BIGINT", get(v, "$", "bigint")).when(inner == "BIGINT", get(v, "$.v", "bigint"))
+        unit_bad = F.when(typed, ~F.coalesce(F.lower(get(v, "$.u", "string")).isin(*TIME_UNITS), F.lit(False)))
+        return F.struct(x["named"].alias("named"), x["name"].alias("name"), text.alias("text"), told.alias("told"), number.alias("number"), unit_bad.alias("unit_bad"))
+
+    def timed(x: Column) -> Column:
+        number = x["number"]
+        ms = F.when(timespan.in_range(number), number).otherwise(timespan.parse_ms(F.coalesce(x["text"], x["told"])).cast("long"))
+        return F.struct(x["named"].alias("named"), x["name"].alias("name"), x["text"].alias("text"), number.alias("number"), x["unit_bad"].alias("unit_bad"), ms.alias("ms"))
+
+    def judged(x: Column) -> Column:
         problem = (
-            F.when(F.coalesce(F.schema_of_variant(F.try_variant_get(entry, "$[0]", "variant")), F.lit("")) != "STRING", "meta_name")
-            .when(typed & ~F.coalesce(F.lower(unit).isin(*TIME_UNITS), F.lit(False)), "meta_unit")
-            .when(number.isNotNull() & ~timespan.in_range(number), "meta_range")
-            .when(ms.isNull() & text.isNull(), "meta_value")
-        )
-        name = F.try_variant_get(entry, "$[0]", "string")
-        return F.struct(name.alias("name"), F.when(ms.isNull(), text).alias("text"), ms.alias("ms"), problem.alias("problem"))
+            F.when(x["named"] != "STRING", "meta_name").when(x["unit_bad"], "meta_unit").when(x["number"].isNotNull() & ~timespan.in_range(x["number"]), "meta_range")
+            .when(x["ms"].isNull() & x["text"].isNull(), "meta_value")
+        )
+        return F.struct(x["name"].alias("name"), F.when(x["ms"].isNull(), x["text"]).alias("text"), x["ms"].alias("ms"), problem.alias("problem"))
 
-    entries = F.coalesce(F.try_variant_get(F.try_parse_json(line), "$.m", "array<variant>"), F.array().cast("array<variant>"))
-    return F.transform(entries, one)
+    found = F.coalesce(get(F.try_parse_json(line), "$.m", "array<variant>"), F.array().cast("array<variant>"))
+    for step in (split, kinds, values, timed, judged):
+        found = F.transform(found, step)
+    return found
 
 
 def span_rows(body: DataFrame, by: list[str], vis_required: bool) -> DataFrame:
@@ -134,7 +148,11 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     """
     w = Window.partitionBy("recording_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.get_json_object("line", "$.mtx").isNotNull()
-    told = lines.withColumn("opens", opens).withColumn("group", (F.sum(F.col("opens").cast("int")).over(w) - 1).cast("int"))
+    # lines are ordered and classed once; each has the lattice of the header before it with it
+    h = F.from_json("line", "q bigint, dur bigint, o bigint")
+    lattice = F.last(F.when(F.col("opens"), F.struct(h["q"].alias("q_ns"), F.coalesce(h["o"], F.lit(0).cast("long")).alias("origin_ns"), h["dur"].alias("duration_ns"))), True).over(w)
+    told = lines.where("recording_id is not null").select("recording_id", "n", "line", opens.alias("opens"), F.coalesce(F.get_json_object("line", "$.k") == "s", F.lit(False)).alias("is_span"), F.schema_of_variant(F.try_parse_json("line")).alias("kind"))
+    told = materialize(told.withColumns({"group": (F.sum(F.col("opens").cast("int")).over(w) - 1).cast("int"), "h": lattice}).select("recording_id", "n", "line", "opens", "is_span", "kind", "group", "h.*"))
     head = told.where("opens").select("recording_id", "group", F.from_json("line", _HEADER).alias("h")).select("recording_id", "group", "h.*").withColumn("o", F.coalesce("o", F.lit(0).cast("long")))
     zones = sorted(zoneinfo.available_timezones())
     good_right = F.coalesce(F.forall("r", lambda x: x["t"].isNotNull() | (F.size(x["p"]) >= 2)), F.lit(True))
@@ -144,13 +162,11 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
         .when(F.coalesce("utc", F.lit(0)) <= 0, "utc").when(~F.coalesce(F.col("tz").isin(*zones) if zones else F.col("tz") != "", F.lit(False)), "tz").when(shown(F.col("vis")).isNull(), "vis").when(~good_right, "right")
         .when(formats.schema_hash(F.coalesce("hash", F.lit("")))["error"].isNotNull(), "hash").when(F.coalesce("vo", "vf", "vpts").isNotNull(), "video").alias("problem"),
     )
-    lattice = groups.select(*_BY, "q_ns", "origin_ns", "duration_ns")
     body = told.where(~F.col("opens"))
     stray = body.where("group < 0").select("recording_id", "group", F.lit("no_header").alias("problem"))
-    body = body.where("group >= 0").join(lattice, _BY)
-    is_span = F.get_json_object("line", "$.k") == "s"
-    spans = span_rows(body, _BY, True)
-    rows = body.where(~F.coalesce(is_span, F.lit(False)) & F.try_parse_json("line").isNotNull()).select(*_BY, "n", "line", "q_ns", "origin_ns", "duration_ns", F.from_json("line", _CHANNEL).alias("x"), display(F.col("line")).alias("display"), labels(F.col("line"), F.col("origin_ns"), F.col("q_ns")).alias("lbl"))
+    body = body.where("group >= 0")
+    spans = span_rows(body.where("is_span"), _BY, True)
+    rows = body.where("not is_span and kind is not null").select(*_BY, "n", "line", "q_ns", "origin_ns", "duration_ns", F.from_json("line", _CHANNEL).alias("x"), display(F.col("line")).alias("display"), labels(F.col("line"), F.col("origin_ns"), F.col("q_ns")).alias("lbl"))
     t0, period = F.coalesce("x.t0", "origin_ns"), period_ns(F.col("x.hz"))
     twice = F.count(F.lit(1)).over(Window.partitionBy(*_BY, "x.n")) > 1
     checked = rows.select(
@@ -161,7 +177,7 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     )
     # every table below is filtered by the problems of all, so each is worked out once
     groups, spans, checked = materialize(groups), materialize(spans), materialize(checked)
-    told_problems = [groups.select(*_BY, "problem"), stray, not_json(body, _BY), spans.select(*_BY, "problem"), checked.select(*_BY, "problem")]
+    told_problems = [groups.select(*_BY, "problem"), stray, body.where(~F.coalesce(F.col("kind"), F.lit("")).startswith("OBJECT")).select(*_BY, F.lit("json").alias("problem")), spans.select(*_BY, "problem"), checked.select(*_BY, "problem")]
     problems = told_problems[0]
     for p in told_problems[1:]:
         problems = problems.unionByName(p)

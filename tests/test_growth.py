@@ -6,9 +6,9 @@ import pickle
 
 from pyspark.sql import functions as F
 
-from paddock.functions import names
+from paddock.functions import names, timespan
 from paddock.operators import lattice, tracks
-from paddock.sources import ld, ldwrite
+from paddock.sources import ld, ldwrite, sidecar
 
 
 def parts(df):
@@ -55,3 +55,13 @@ def test_logs_are_moved_by_folders(spark, tmp_path):
     # what a task tells the driver doesn't grow with its files
     size = lambda n: len(pickle.dumps(ldwrite.LogWriter({"path": str(tmp_path), "folders": "3"}, False).write(iter([(f"x{i}", 0, b"") for i in range(n)]))))
     assert size(50) == size(1)
+
+
+def test_times_of_values_are_parsed_once(spark):
+    parses = lambda c: str(c).count("regexp_extract")
+    assert parses(sidecar.meta_values(F.col("line"))) == parses(timespan.parse_ms(F.col("x"))) > 0
+    line = '{"k":"s","m":[["a","1:02.345"],["b",7],["c",{"v":"0:01.000","u":"laptime_ms"}],["d",{"v":1,"u":"x"}],[1,"t"],["e",true],["f","word"],["g",-1]]}'
+    got = spark.createDataFrame([(line,)], "line string").select(F.explode(sidecar.meta_values(F.col("line"))).alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", None, 62345, None), ("b", None, 7, None), ("c", None, 1000, None), ("d", None, 1, "meta_unit"), ("1", "t", None, "meta_name"), ("e", None, None, "meta_value"), ("f", "word", None, None), ("g", None, None, "meta_range"),
+    ]
