@@ -200,7 +200,7 @@ def _opened(spark: SparkSession, sf_dir: str, metadata: bool) -> dict[str, DataF
     even = F.col("recording_id").cast("long") % 2 == 0
     line = F.format_string("9 %.1f %d 0.5", 120_000 + F.col("i") * 0.5, F.col("o_orderkey") % 300)
     body = rows.where(even).groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda r: r["x"]), "\n").alias("b"))
-    texts = body.select("recording_id", F.concat(F.lit("[column names]\nsats time velocity Tsample\n[data]\n"), "b").alias("text"))
+    texts = materialize(body.select("recording_id", F.concat(F.lit("[column names]\nsats time velocity Tsample\n[data]\n"), "b").alias("text")))
     return opening.tables({"vbo": texts, "aimd": _files(rows.where(~even), _camera)}, metadata)
 
 
@@ -231,7 +231,8 @@ def _lapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     timer = F.when(i < 3, 4.0 * i).otherwise(i % 3 * 4 + 0.5)
     line = F.when(k.isin(0, 1, 3), F.format_string("9 %06d %d 4.0 %d %.1f", at, F.floor(i / 4) % 2 + 1, counter, timer)).otherwise((1_600_000_000 + i).cast("string"))
     held = F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda r: r["x"])
-    body = rows.groupBy("recording_id").agg(held.alias("x"), F.count(F.lit(1)).alias("n"))
+    # files are built once; what reads them goes through them more than once
+    body = materialize(spread(rows, "recording_id").groupBy("recording_id").agg(held.alias("x"), F.count(F.lit(1)).alias("n")))
     head = F.concat(F.lit("File created on 31/07/2006 at 09:55:20\n[column names]\nsats time driver Tsample "), F.when(k == 1, "Other").otherwise("Lap"), F.lit(" laptime\n[data]\n"))
     texts = body.where(k.isin(0, 1, 3)).select("recording_id", F.concat(head, F.array_join("x", "\n")).alias("text"))
     clock = F.when(k == 2, ',"clk":"utc","abs":1500000000000000000,"hint":"h","utc":1700000000000000000,"tz":"Europe/Berlin","drv":"D"').otherwise("")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paddock.functions.clock import period_ns
 from paddock.functions.numbers import number_text
 from paddock.operators.lattice import valid_lattice
-from paddock.session import materialize, ship
+from paddock.session import materialize, ship, spread
 from paddock.sources import sidecar
 
 _HEADER = "mtj int, q bigint, dur bigint, o bigint, src string, drv string, veh string, ven string, utc bigint, tz string, hash string, clk string, abs bigint, abe bigint, hint string, evt string, ses string, date string, time string"
@@ -32,7 +32,8 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     beyond_duration; what ``sidecar.span_rows`` tells of spans. Spans without a flag are visible.
     """
     w = Window.partitionBy("recording_id").orderBy("n")
-    numbered = lines.withColumn("k", F.row_number().over(w))
+    # every table below starts from the lines, so they are split, dealt and numbered once
+    numbered = materialize(spread(lines.select("recording_id", "n", "line"), "recording_id").withColumn("k", F.row_number().over(w)))
     head = numbered.where("k = 1").select("recording_id", F.from_json("line", _HEADER).alias("h")).select("recording_id", "h.*").withColumn("o", F.coalesce("o", F.lit(0).cast("long")))
     top = numbered.where("k = 1").select("recording_id", sidecar.video_links(F.col("line")).alias("v"), sidecar.passes(F.col("line")).alias("p"))
     laps = numbered.where("k = 2").select("recording_id", F.explode(F.from_json("line", "array<array<string>>")).alias("l"))

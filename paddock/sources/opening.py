@@ -34,14 +34,15 @@ def _told(df: DataFrame, code) -> DataFrame:
 
 
 def _text_logs(files: DataFrame, metadata: bool) -> dict[str, DataFrame]:
-    channels, samples, diagnostics = vbo.parse(files)
+    # text is split once; channels, laps, clocks and summaries start from its rows
+    rows = vbo.read(files)
+    channels, samples, diagnostics = vbo.parse(files, rows)
+    channels = materialize(channels)
     if metadata:
         channels = channels.where(normalize(F.col("name")).isin(*METADATA_CHANNELS))
-        samples = samples.join(channels.select("recording_id", "channel_idx"), ["recording_id", "channel_idx"], "left_semi")
-    # text is split once; laps, clocks and summaries start from the tables
-    samples = materialize(samples)
+        samples = materialize(samples.join(channels.select("recording_id", "channel_idx"), ["recording_id", "channel_idx"], "left_semi"))
     clock = {"clock": F.lit("time_of_day"), "session_hint": F.lit("vbo:time_of_day")}
-    return {"channels": channels, "samples": samples, "diagnostics": diagnostics, "origins": _origins(vbo.origin(files), clock)}
+    return {"channels": channels, "samples": samples, "diagnostics": diagnostics, "origins": _origins(vbo.origin(files, rows), clock)}
 
 
 def _origins(told: DataFrame, more: dict) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions import names, timespan
 from paddock.operators import lattice, tracks
-from paddock.sources import ld, ldwrite, sidecar
+from paddock.sources import ld, ldwrite, opening, sidecar
 
 
 def parts(df):
@@ -65,3 +65,35 @@ def test_times_of_values_are_parsed_once(spark):
     assert [tuple(r) for r in got] == [
         ("a", None, 62345, None), ("b", None, 7, None), ("c", None, 1000, None), ("d", None, 1, "meta_unit"), ("1", "t", None, "meta_name"), ("e", None, None, "meta_value"), ("f", "word", None, None), ("g", None, None, "meta_range"),
     ]
+
+
+def counting(df):
+    """``df`` and an accumulator of the rows of it that were worked out."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_texts_and_lines_are_worked_out_once(spark):
+    row = lambda i: f"9 {235950 + i if i < 10 else i - 10:06d} {i // 4} {'x' if i == 2 else '4.0'}"
+    logs = [(f"v{k}", "File created on 31/07/2006 at 09:55:20\n[column names]\nsats time Lap Tsample\n[data]\n1\n" + "\n".join(row(i) for i in range(13))) for k in range(5)]
+    logs.append(("untimed", "[column names]\nsats Lap\n[data]\n1 2\n"))
+    texts, made = counting(spark.createDataFrame(logs, "recording_id string, text string"))
+    held = [(f"j{k}", i, line) for k in range(4) for i, line in enumerate(['{"mtj":1,"q":10000000,"dur":3000000000}', "[]", '{"n":"Lap","hz":1,"v":[1,2,3]}'])]
+    lines, split = counting(spark.createDataFrame(held, "recording_id string, n int, line string"))
+    opened = opening.tables({"vbo": texts, "plain": lines})
+    samples = {(r["recording_id"], r["channel_idx"], r["local_idx"]): (r["t_ns"], r["value"]) for r in opened["samples"].collect()}
+    laps = [r["start_ns"] for r in opened["laps"].where("recording_id = 'v3' and origin = 'counter'").orderBy("start_ns").collect()]
+    told = {(r["code"], r["channel"]) for r in opened["diagnostics"].where("recording_id = 'v1'").collect()}
+    assert samples["v1", 1, 12] == (12_000_000_000, 12.0) and samples["v1", 0, 12] == (12_000_000_000, 9.0) and laps == [4_000_000_000, 8_000_000_000, 12_000_000_000]
+    assert told == {("vbo.value_unparsable", "Tsample"), ("vbo.row_too_few_tokens", None)} and not [k for k in samples if k[0] == "untimed"]
+    assert {r["duration_ns"] for r in opened["channels"].where("recording_id = 'v1'").collect()} == {16_000_000_000}
+    # the texts once to count the files and once to read them
+    assert made.value == 2 * len(logs) and split.value == len(held)
+    start = {r["recording_id"]: r["absolute_start_ns"] for r in opened["origins"].collect()}
+    assert start["v1"] == 86_390_000_000_000 and start["untimed"] is None
