@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions import names
 from paddock.operators import report
-from paddock.session import materialize, ship
+from paddock.session import materialize, ship, spread
 
 # The sample entry's code, a packet's signature, how records start.
 ENTRY, SIGNATURE, SCALAR, BLOCK = b"aimd", b"amv0", b"(S", b"<h"
@@ -45,6 +45,8 @@ LAP_CHANNELS = (
 FRAME_RUN = 65_536
 #: Records handed to Spark at once.
 BATCH = 50_000
+#: Rows that a step over whole channels sorts in one task, about.
+TASK_ROWS = 500_000
 _TYPES = {"u8": "u1", "u32": "<u4", "i32": "<i4", "f32": "<f4"}
 _EDITS = "array<struct<duration:bigint,media:bigint>>"
 TRACKS = f"recording_id string, track int, kind string, timescale bigint, movie_timescale bigint, edits {_EDITS}, stts array<struct<n:bigint,delta:bigint>>, ctts array<struct<n:bigint,delta:bigint>>, problem string"
@@ -486,7 +488,8 @@ def fit_chunks(samples: DataFrame) -> DataFrame:
     """
     by = ["recording_id", "channel_idx"]
     w = Window.partitionBy(*by).orderBy("local_idx")
-    spaced = samples.select(*by, "local_idx", "t_ns").withColumn("gap", F.col("t_ns") - F.lag("t_ns").over(w))
+    # partitions follow the rows: each step below sorts all that its task holds
+    spaced = spread(samples.select(*by, "local_idx", "t_ns"), *by, each=TASK_ROWS).withColumn("gap", F.col("t_ns") - F.lag("t_ns").over(w))
     counted = spaced.where("gap > 0").groupBy(*by, "gap").agg(F.count(F.lit(1)).alias("n"))
     modal = counted.groupBy(*by).agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("modal"))
     runs = spaced.join(modal.hint("merge"), by, "left").withColumn("modal", F.coalesce("modal", F.lit(1).cast("long")))

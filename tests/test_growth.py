@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pickle
+import re
 
 from pyspark.sql import functions as F
 
 from paddock.functions import names, timespan
 from paddock.operators import lattice, tracks
-from paddock.sources import ld, ldwrite, opening, sidecar
+from paddock.sources import aimd, ld, ldwrite, opening, sidecar
 
 
 def parts(df):
@@ -97,3 +98,11 @@ def test_texts_and_lines_are_worked_out_once(spark):
     assert made.value == 2 * len(logs) and split.value == len(held)
     start = {r["recording_id"]: r["absolute_start_ns"] for r in opened["origins"].collect()}
     assert start["v1"] == 86_390_000_000_000 and start["untimed"] is None
+
+
+def test_clock_fits_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(aimd, "TASK_ROWS", 40, raising=False)
+    stamps = spark.range(4_000).select(F.concat(F.lit("r"), (F.col("id") % 200)).alias("recording_id"), F.lit(0).alias("channel_idx"), F.floor(F.col("id") / 200).cast("long").alias("local_idx"), (F.floor(F.col("id") / 200) * 100).cast("long").alias("t_ns"))
+    got = aimd.fit_chunks(stamps)
+    assert re.search(r"hashpartitioning\(recording_id#\d+, channel_idx#\d+, 100\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r)[2:] for r in got.collect()} == {(0, 100, 20, 0, 0)} and got.count() == 200
