@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paddock.functions.clock import gps_ns
 from paddock.functions.geo import finite
 from paddock.functions.names import ROLES, find
+from paddock.session import spread
 
 # Codes of sample types; parameters of the 64-bit FNV-1a hash.
 TYPE_CODES = {"i8": 0, "u8": 1, "i16": 2, "u16": 3, "i32": 4, "u32": 5, "f32": 6, "f64": 7}
@@ -41,7 +42,8 @@ def schema_hash(channels: DataFrame) -> DataFrame:
     """recording_id, schema_hash (16 hex digits) over the channels in order: name and unit in lower case, type."""
     code = F.element_at(F.create_map(*[F.lit(x) for p in TYPE_CODES.items() for x in p]), F.col("sample_type"))
     part = F.concat(F.lower("name"), F.lit("\x00"), F.lower("unit"), F.lit("\x00"), F.chr(code), F.lit("\x00"))
-    joined = channels.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", part.alias("p")))), lambda x: x["p"]), "").cast("binary").alias("_s"))
+    # a fold over every byte: a few megabytes of channels are the work of all cores
+    joined = spread(channels, "recording_id").groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", part.alias("p")))), lambda x: x["p"]), "").cast("binary").alias("_s"))
     return joined.select("recording_id", fnv1a(F.col("_s")).alias("schema_hash"))
 
 

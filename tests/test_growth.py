@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from paddock.functions import names, timespan
-from paddock.operators import lattice, tracks
+from paddock.operators import lattice, summary, tracks
 from paddock.sources import aimd, ld, ldwrite, opening, sidecar
 
 
@@ -106,3 +106,9 @@ def test_clock_fits_follow_the_rows(spark, monkeypatch):
     got = aimd.fit_chunks(stamps)
     assert re.search(r"hashpartitioning\(recording_id#\d+, channel_idx#\d+, 100\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
     assert {tuple(r)[2:] for r in got.collect()} == {(0, 100, 20, 0, 0)} and got.count() == 200
+
+
+def test_schemas_are_hashed_by_many_tasks(spark):
+    held = spark.range(300).select(F.col("id").cast("string").alias("recording_id"), F.lit(0).alias("channel_idx"), F.lit("Speed").alias("name"), F.lit("km/h").alias("unit"), F.lit("f64").alias("sample_type")).coalesce(1)
+    got = summary.schema_hash(held)
+    assert parts(got) > 8 and got.select("schema_hash").distinct().count() == 1
