@@ -16,6 +16,8 @@ bits, and a second round starts from the averages. No text learns from its own c
 in two folds by their hash, copies together, and one fold's weights are learned on the other's counts.
 Scoring reads all counts with the weights of the last round and learns nothing more.
 
+Texts are taken apart once, into a table of symbols, which all that follows reads.
+
 Counts of words are a table that grows with the corpus and is joined by word; the number of symbols and
 the slots of the hashed tables follow from the counted words, up to a documented size. Tables of counts
 are filled by tasks and added up by Spark, and reach the driver as one byte a slot.
@@ -44,8 +46,8 @@ PER_SYMBOL, FEWEST_SYMBOLS, MOST_SYMBOLS = 512, 1 << 14, 1 << 16
 PER_SLOT, FEWEST_BITS, MOST_BITS = 32, 18, 22
 #: Slots of the spelling contexts (bits), parts that a table is added up in, texts whose words are counted at once.
 SPELLING_BITS, PARTS, COUNTED = 20, 512, 2_048
-#: Bits that are scored at once, and bits of a learning step; the step of each round.
-CHUNK, STEP_BITS, STEPS = 1 << 20, 4_096, (0.1, 0.02)
+#: Bits that are gone through at once, so that what they need stays in a core's cache; steps that are read at once; bits of a learning step; the step of each round.
+CHUNK, READ_STEPS, STEP_BITS, STEPS = 1 << 18, 16, 4_096, (0.1, 0.02)
 ESCAPE, END, FIRST = 0, 1, 2
 _GATES = 4
 #: Sums are told apart by this fraction, up to this bound; the last stage learns in wider cells.
@@ -53,6 +55,8 @@ _FINE, _BOUND, _CELLS = 64, 12, 48
 #: A slot's state: its gate, and its logit in levels of this width around the middle one.
 _LEVEL, _MIDDLE = 0.28, 32
 _LOGITS = np.tile((np.arange(64) - _MIDDLE) * _LEVEL, _GATES).astype(np.float32)
+#: The logits of one gate's states, none of the others', by gate. States of the first gate have seen nothing, so their logit is zero.
+_OF_GATE = np.where(np.arange(256) >> 6 == np.arange(_GATES)[:, None], _LOGITS, np.float32(0))
 
 
 class Code:
@@ -94,25 +98,32 @@ class Code:
         whole = held[n:] if n > 1 else np.ones(1)
         logit = np.log((ones + 0.4) / (whole - ones + 0.4)).astype(np.float32)
         self.own = logit[flat]
-        self.place = _mixed(flat)
+        #: The last bit tells the code's bit; slots are made of the first ones.
+        self.place = _mixed(flat) & ~np.uint32(1) | self.bits
+        #: Of each symbol the places and own logits of its bits, as bytes, which Arrow copies by whole symbols.
+        both = np.stack([self.place, self.own.view(np.uint32)], axis=1)
+        ends = np.append(self.start, len(flat)) * both.itemsize * 2
+        self.paths = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(both)])
         self.start, self.length = self.start.astype(np.int32), self.length.astype(np.int32)
 
-    def passed(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many bits each symbol has, and where the bits of all are in the flat arrays."""
+    def passed(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many bits each symbol has, and the places and own logits of the bits of all."""
+        both = np.frombuffer(self.paths.take(pa.array(symbols)).buffers()[2], np.uint32).reshape(-1, 2)
+        return self.length[symbols], both[:, 0], both[:, 1].view(np.float32)
+
+    def by_depth(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols' order by falling length, where each begins in the flat arrays in that order, and how many have a first bit, a second, and so on."""
         n = self.length[symbols]
-        ends = np.cumsum(n, dtype=np.int32)
-        at = np.repeat(self.start[symbols] - (ends - n), n)
-        at += np.arange(len(at), dtype=np.int32)
-        return n, at
+        order = np.argsort((n.max(initial=0) - n).astype(np.uint16), kind="stable")
+        return order, self.start[symbols[order]].astype(np.intp), len(n) - np.cumsum(np.bincount(n))[:-1]
 
     def per(self, symbols: np.ndarray) -> int:
         """Symbols whose bits make up a chunk, about."""
         return max(1, int(CHUNK / max(1.0, float(self.length[symbols].mean())))) if len(symbols) else 1
 
 
-def _slots(context: np.ndarray, n: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
-    h = np.repeat(context, n)
-    h ^= place
+def _slots(context: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    h = context ^ place
     h >>= np.uint32(32 - bits)
     return h
 
@@ -137,11 +148,12 @@ def symbol_contexts(s: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
     return [_mixed(one), _mixed(one, two)]
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def spelled(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Bytes of the words, each closed by a space; where each begins; the contexts of each byte."""
-    b = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    closed = pc.binary_join_element_wise(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), b"", b" ")
+    n = pc.binary_length(closed).to_numpy(zero_copy_only=False).astype(np.int64)
     begins = np.cumsum(n) - n
+    b = np.frombuffer(closed.buffers()[2], np.uint8, int(n.sum()))
     place = np.arange(len(b)) - np.repeat(begins, n)
     back = []
     for k in (1, 2, 3):
@@ -165,13 +177,16 @@ def tally(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], tables: n
     flat = tables.reshape(len(tables), -1)
     one = tables.dtype.type(1)  # of the tables' own type, else each addition casts
     for at in range(0, len(symbols), per):
-        n, where = code.passed(symbols[at : at + per])
-        place, bit = code.place[where], code.bits[where]
-        for k, c in enumerate(contexts):
-            cell = _slots(c[at : at + per], n, place, bits)
-            cell <<= np.uint32(1)
-            cell |= bit
-            np.add.at(flat[k], cell.astype(np.intp), one)
+        order, starts, longer = code.by_depth(symbols[at : at + per])
+        near = [c[at : at + per].take(order) for c in contexts]
+        for depth, n in enumerate(longer):
+            place = code.place.take(starts[:n] + depth, mode="clip")
+            bit = place & np.uint32(1)
+            for k, c in enumerate(near):
+                cell = _slots(c[:n], place, bits)
+                cell <<= np.uint32(1)
+                cell |= bit
+                np.add.at(flat[k], cell.astype(np.intp), one)
 
 
 def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -183,6 +198,13 @@ def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (gate * 64 + level).astype(np.uint8)
 
 
+def _met(state: np.ndarray) -> np.ndarray:
+    """How many of the states of each step have each gate but the first."""
+    steps = np.arange(0, -(-len(state) // 8), STEP_BITS // 8)
+    least = [np.add.reduceat(np.bitwise_count(np.packbits(state >= g * 64)), steps, dtype=np.int64) for g in range(1, _GATES)]
+    return -np.diff(least, axis=0, append=0).T
+
+
 class Weights(NamedTuple):
     """Of the code's own logits, a constant, each context's gates, and what sums of each cell turned out to be (zeros, ones)."""
 
@@ -213,39 +235,57 @@ class Learner:
 
     def learn(self, code: Code, symbols: np.ndarray, contexts: list[np.ndarray], tables: np.ndarray) -> None:
         """Go through the bits of the symbols in order, with the states of ``tables`` (context, slot)."""
-        per = code.per(symbols)
         bits = tables.shape[1].bit_length() - 1
-        for at in range(0, len(symbols), per):
-            n, where = code.passed(symbols[at : at + per])
-            place, bit, x0 = code.place[where], code.bits[where].astype(np.float32), code.own[where]
-            held = [t[_slots(c[at : at + per], n, place, bits)].astype(np.intp) for t, c in zip(tables, contexts)]
-            #: How many bits of each step have each gate.
-            steps = np.arange(len(bit)) // STEP_BITS * _GATES
-            met = [np.maximum(np.bincount(steps + (h >> 6), minlength=len(bit) // STEP_BITS * _GATES + _GATES), 64).reshape(-1, _GATES) for h in held]
-            for k, begin in enumerate(range(0, len(bit), STEP_BITS)):
-                part = slice(begin, begin + STEP_BITS)
-                self._step(bit[part], x0[part], [h[part] for h in held], [m[k] for m in met])
-        self.n += int(code.length[symbols].sum())
-
-    def _step(self, bit: np.ndarray, x0: np.ndarray, held: list[np.ndarray], met: list[np.ndarray]) -> None:
-        z = x0 * np.float32(self.first)
-        z += np.float32(self.bias)
-        for w, h in zip(self.gates, held):
-            z += (np.repeat(w, 64) * _LOGITS).astype(np.float32)[h]
+        ends = np.cumsum(code.length[symbols], dtype=np.int64)
+        total, read = int(ends[-1]) if len(ends) else 0, READ_STEPS * STEP_BITS
+        #: A row for each weight: the code's own logits, a constant, and of each context the logits of each gate but the first.
+        x = np.ones((2 + len(contexts) * (_GATES - 1), min(read, total)), np.float32)
+        w = np.concatenate([[self.first, self.bias], self.gates[:, 1:].ravel()])
+        for begin in range(0, total, read):
+            size = min(read, total - begin)
+            at, last = np.searchsorted(ends, [begin, begin + size - 1], "right")
+            n, place, own = code.passed(symbols[at : last + 1])
+            #: The first and the last symbol may lie partly in other reads.
+            cut = begin - int(ends[at]) + int(n[0])
+            n[0] -= cut
+            n[-1] -= int(ends[last]) - begin - size
+            place = place[cut : cut + size]
+            bit = (place & np.uint32(1)).astype(np.float32)
+            x[0, :size] = own[cut : cut + size]
+            starts = np.arange(0, size, STEP_BITS)
+            met = np.empty((len(starts), len(x)))
+            met[:, :2] = np.minimum(STEP_BITS, size - starts)[:, None]
+            for row, t, c in zip(range(2, len(x), _GATES - 1), tables, contexts):
+                state = t.take(_slots(np.repeat(c[at : last + 1], n), place, bits), mode="clip")
+                met[:, row : row + _GATES - 1] = np.maximum(_met(state), 64)
+                state = state.astype(np.intp)
+                for g in range(1, _GATES):
+                    _OF_GATE[g].take(state, out=x[row + g - 1, :size], mode="clip")
+            z = np.empty(size, np.float32)
+            for begin_, rate in zip(starts, self.step / met):
+                part = slice(begin_, min(begin_ + STEP_BITS, size))
+                w += rate * self._wrong(w, x[:, part], bit[part], z[part])
+            z += _BOUND
+            z *= _CELLS / (2 * _BOUND)
+            cell = np.minimum(z, np.float32(_CELLS - 0.5))
+            bit *= _CELLS
+            np.floor(cell, out=cell)
+            cell += bit
+            self.seen += np.bincount(cell.astype(np.intp), minlength=2 * _CELLS).reshape(2, _CELLS)
+        self.first, self.bias, self.gates[:, 1:] = float(w[0]), float(w[1]), w[2:].reshape(len(contexts), _GATES - 1)
+        self.n += total
+
+    @staticmethod
+    def _wrong(w: np.ndarray, x: np.ndarray, bit: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The error of a step's bits by each row of ``x``; ``z`` gets the sums."""
+        np.matmul(w.astype(np.float32), x, out=z)
         np.clip(z, -_BOUND, _BOUND, out=z)
-        cell = ((z + _BOUND) * np.float32(_CELLS / (2 * _BOUND))).astype(np.intp)
-        cell[cell == _CELLS] = _CELLS - 1
-        of = np.bincount(cell + _CELLS * (bit > 0), minlength=2 * _CELLS).reshape(2, _CELLS)
-        self.seen += of
-        np.negative(z, out=z)
-        np.exp(z, out=z)
-        z += 1
-        wrong = bit - 1 / z
-        self.first += self.step * float(wrong @ x0) / len(bit)
-        self.bias += self.step * float(wrong.mean())
-        exact = wrong.astype(np.float64)
-        for w, h, m in zip(self.gates, held, met):
-            w += self.step * (np.bincount(h, exact, 256) * _LOGITS).reshape(_GATES, 64).sum(axis=1) / m
+        wrong = np.negative(z)
+        np.exp(wrong, out=wrong)
+        wrong += 1
+        np.divide(-1, wrong, out=wrong)
+        wrong += bit
+        return x @ wrong
 
     def row(self) -> bytes:
         """What the task hands on: weights times bits, the cells, and the bits."""
@@ -285,18 +325,22 @@ class Mixer:
         per = code.per(symbols)
         bits = self.tables.shape[1].bit_length() - 1
         for at in range(0, len(symbols), per):
-            n, where = code.passed(symbols[at : at + per])
-            place, z = code.place[where], self.own[where]
-            for v, t, c in zip(self.values, self.tables, contexts):
-                z += v[t[_slots(c[at : at + per], n, place, bits)]]
-            z *= _FINE
-            np.clip(z, -_BOUND * _FINE, _BOUND * _FINE, out=z)
-            z += _BOUND * _FINE + 0.5
-            cell = z.astype(np.uint32)
-            cell <<= np.uint32(1)
-            cell |= code.bits[where]
-            ends = np.cumsum(n)
-            out[at : at + per] = -np.add.reduceat(self.cost[cell], ends - n)
+            order, starts, longer = code.by_depth(symbols[at : at + per])
+            near = [c[at : at + per].take(order) for c in contexts]
+            cost = np.zeros(len(order))
+            for depth, n in enumerate(longer):
+                where = starts[:n] + depth
+                place, z = code.place.take(where, mode="clip"), self.own.take(where, mode="clip")
+                for v, t, c in zip(self.values, self.tables, near):
+                    z += v.take(t.take(_slots(c[:n], place, bits), mode="clip"), mode="clip")
+                z *= _FINE
+                np.clip(z, -_BOUND * _FINE, _BOUND * _FINE, out=z)
+                z += _BOUND * _FINE + 0.5
+                cell = z.astype(np.uint32)
+                cell <<= np.uint32(1)
+                cell |= place & np.uint32(1)
+                cost[:n] -= self.cost.take(cell, mode="clip")
+            out[at : at + per][order] = cost
         return out
 
 
@@ -429,6 +473,32 @@ class Model:
         s[inner] = found
         return s, ends - n
 
+    @property
+    def kind(self) -> str:
+        """The narrowest integers that hold every symbol."""
+        return "<u2" if len(self.counts) <= 1 << 16 else "<u4"
+
+    def packed(self, s: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """The symbols as one value a text."""
+        ends = np.append(begins, len(s)) * np.dtype(self.kind).itemsize
+        return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(s.astype(self.kind))])
+
+    def unpacked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What ``symbols`` gave, from ``packed`` texts."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // np.dtype(self.kind).itemsize
+        s = np.frombuffer(b"".join(texts.to_pylist()), self.kind).astype(np.int32)
+        return s, np.append(0, ends[:-1])
+
+
+def _per_text(words: pa.Array, n: np.ndarray) -> pa.Array:
+    """The distinct words of each text, of which text k has the next n[k], with how often it has them."""
+    held = words.dictionary_encode()
+    width = max(1, len(held.dictionary))
+    key, times = np.unique(np.repeat(np.arange(len(n)) * width, n) + held.indices.to_numpy(), return_counts=True)
+    ends = np.cumsum(np.bincount(key // width, minlength=len(n)))
+    pairs = pa.StructArray.from_arrays([held.dictionary.take(pa.array(key % width)), pa.array(times)], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pairs)
+
 
 def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of every document with its scores by a model of the texts where ``learn`` is true.
@@ -466,14 +536,40 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
     model = spark.sparkContext.broadcast(Model(words, own, np.log10((own + 0.5) / below)))
     symbol_code = spark.sparkContext.broadcast(code)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                flat, words_in = tokens(batch.column("text"))
+                s, begins = m.symbols(flat, words_in)
+                escaped = s == ESCAPE
+                edges = np.cumsum(words_in)
+                lengths = np.r_[0, np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))]
+                more = [
+                    pa.array(words_in + 1),
+                    pa.array(np.add.reduceat((~escaped & (m.counts[s] > 0)).astype(np.int64), begins)),
+                    pa.array(lengths[edges] - lengths[edges - words_in] + words_in + 1),
+                    pa.array(np.add.reduceat(np.where(escaped, 0.0, m.base[s]), begins)),
+                    m.packed(s, begins),
+                    _per_text(flat.filter(pa.array(escaped[s != END])), np.add.reduceat(escaped.astype(np.int64), begins)),
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "learn", "fold")), *more], names=names)
+
+    schema = T.StructType([T.StructField("row", docs.schema["row"].dataType), *T._parse_datatype_string("learn boolean, fold int, n_tokens bigint, known bigint, n_bytes bigint, base double, symbols binary, odd array<struct<word string, n bigint>>").fields])
+    names = [f.name for f in schema.fields]
+    dealt = docs.select("row", "learn", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "text")
+    #: Texts are taken apart once: what follows reads their symbols.
+    rows = materialize(dealt.mapInArrow(read, schema).withColumn("id", F.monotonically_increasing_id()))
+
     def texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         for fold in (0, 1):
-            some = b.column("text").filter(pc.equal(b.column("fold"), fold))
+            some = b.column("symbols").filter(pc.equal(b.column("fold"), fold))
             for at in range(0, len(some), 512):
-                s, begins = model.value.symbols(*tokens(some.slice(at, 512)))
+                s, begins = model.value.unpacked(some.slice(at, 512))
                 yield fold, s, symbol_contexts(s, begins)
 
-    learned = docs.where("learn").select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+    learned = rows.where("learn").select("symbols", "fold")
     slots = min(MOST_BITS, max(FEWEST_BITS, int(total // PER_SLOT).bit_length()))
     tables = _counted(learned, texts, symbol_code, 2, slots)
     mixer = Mixer(code, tables[2].copy(), _learned(learned, texts, symbol_code, tables))
@@ -487,7 +583,7 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
         for fold in (0, 1):
             some = b.column("word").filter(pc.equal(b.column("fold"), fold))
             for at in range(0, len(some), 20_000):
-                s, _, c = spelled([w.encode() for w in some.slice(at, 20_000).to_pylist()])
+                s, _, c = spelled(some.slice(at, 20_000).cast(pa.binary()))
                 yield fold, s, c
 
     #: New words are spelled as words that training has rarely, each once.
@@ -500,44 +596,30 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
     escaped, again = seen["all"] or 0, ((seen["again"] or 0) + 0.5) / ((seen["all"] or 0) + 1)
     text_mixer, word_mixer = spark.sparkContext.broadcast(mixer), spark.sparkContext.broadcast(speller)
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 5_000):
-                some = b.iloc[at : at + 5_000]
-                s, begins, ctx = spelled([w.encode() for w in some["word"]])
-                yield pd.DataFrame({"word": some["word"].tolist(), "c": some["c"].to_numpy(), "new": np.add.reduceat(word_mixer.value.log10(letter_code.value, s, ctx), begins)})
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5_000):
+                some = whole.slice(at, 5_000)
+                s, begins, ctx = spelled(some.column("word").cast(pa.binary()))
+                new = np.add.reduceat(word_mixer.value.log10(letter_code.value, s, ctx), begins)
+                yield pa.RecordBatch.from_arrays([some.column("word"), some.column("c"), pa.array(new)], names=["word", "c", "new"])
 
     by_count = F.lit(again) * F.col("c") / F.lit(float(max(1, escaped)))
-    rare_scored = rare.mapInPandas(spell, "word string, c bigint, new double").select(
+    rare_scored = rare.select("word", "c").mapInArrow(spell, "word string, c bigint, new double").select(
         "word", "c", F.log10(by_count + F.lit(1 - again) * F.pow(F.lit(10.0), F.greatest("new", F.lit(-300.0)))).alias("lp")
     )
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                flat, words_in = tokens(batch.column("text"))
-                s, begins = m.symbols(flat, words_in)
-                escaped = s == ESCAPE
-                rare_in = np.add.reduceat(escaped.astype(np.int32), begins)
-                edges = np.cumsum(words_in)
-                lengths = np.r_[0, np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))]
-                ends = s == END
-                more = [
-                    pa.array(words_in + 1),
-                    pa.array(np.add.reduceat((~escaped & (m.counts[s] > 0)).astype(np.int64), begins)),
-                    pa.array(lengths[edges] - lengths[edges - words_in] + words_in + 1),
-                    pa.array(np.add.reduceat(np.where(escaped, 0.0, m.base[s]), begins)),
-                    pa.array(np.add.reduceat(text_mixer.value.log10(symbol_code.value, s, symbol_contexts(s, begins)), begins)),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_in)], pa.int32()), flat.filter(pa.array(escaped[~ends]))),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), *more], names=names)
+                s, begins = model.value.unpacked(batch.column("symbols"))
+                mixed = np.add.reduceat(text_mixer.value.log10(symbol_code.value, s, symbol_contexts(s, begins)), begins)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.names[:-1]), pa.array(mixed)], names=kept.names)
 
-    schema = T.StructType([T.StructField("row", docs.schema["row"].dataType), *T._parse_datatype_string("n_tokens bigint, known bigint, n_bytes bigint, base double, mixed double, odd array<string>").fields])
-    names = [f.name for f in schema.fields]
-    rows = materialize(docs.select("row", "text").mapInArrow(read, schema).withColumn("id", F.monotonically_increasing_id()))
-    odd = rows.select("id", F.explode("odd").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    kept = T.StructType([rows.schema[c] for c in ("id", "row", "n_tokens", "known", "n_bytes", "base")] + [T.StructField("mixed", T.DoubleType())])
+    scored = rows.select(*kept.names[:-1], "symbols").mapInArrow(mix, kept)
+    odd = rows.select("id", F.explode("odd").alias("odd")).select("id", "odd.word", "odd.n")
     met = odd.join(rare_scored, "word")
     more = met.groupBy(F.col("id").alias("of")).agg(
         F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known2"),
@@ -546,7 +628,7 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     score_ = F.col("mixed") + F.coalesce("mixed2", F.lit(0.0))
-    return rows.join(more, F.col("id") == F.col("of"), "left").select(
+    return scored.join(more, F.col("id") == F.col("of"), "left").select(
         *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)],
         "n_tokens",
         (F.col("known") + zero("known2")).alias("n_known"),

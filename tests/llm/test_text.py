@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paddock.llm import bpe, chat, contextmix, langid, quality
@@ -324,3 +325,52 @@ def test_mixer_is_a_distribution():
     every = np.arange(300, dtype=np.int32)
     one = [np.full(300, c[17], np.uint32) for c in ctx]
     assert abs((10.0 ** m.log10(code, every, one)).sum() - 1) < 0.02
+
+
+def test_lm_takes_texts_apart_twice(spark):
+    """Once for the words, once for the symbols, which counting, both rounds of learning and scoring read."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def told(t):
+        taken.add(1)
+        return t
+
+    docs = docs_of(spark, [f"a b c w{i % 7} w{i}" for i in range(40)]).withColumn("learn", F.col("doc_id") % 5 != 1)
+    seen = docs.withColumn("text", F.udf(told, "string").asNondeterministic()("text"))
+    assert contextmix.score(seen, "learn", ["doc_id"]).count() == 40
+    assert 40 <= taken.value <= 80
+
+
+def test_lm_steps_go_on_across_reads(monkeypatch):
+    """Weights don't depend on how many bits are read at once, also where a read ends within a symbol."""
+    pick = np.random.default_rng(4)
+    counts = pick.integers(0, 1000, 300)
+    code = contextmix.Code(counts)
+    s = pick.choice(300, 9000, p=counts / counts.sum()).astype(np.int32)
+    ctx = contextmix.symbol_contexts(s, np.array([0]))
+    tables = np.zeros((2, 1 << 18, 2), np.uint32)
+    contextmix.tally(code, s, ctx, tables)
+    held = contextmix.states(tables[..., 0].astype(np.float32), tables[..., 1].astype(np.float32))
+    found = []
+    for steps in (1, 3, 16):
+        monkeypatch.setattr(contextmix, "READ_STEPS", steps)
+        own = contextmix.Learner(contextmix.Weights.start(2), 0.1)
+        own.learn(code, s, ctx, held)
+        assert own.n == own.seen.sum() == code.length[s].sum() > 16 * contextmix.STEP_BITS
+        found.append(np.frombuffer(own.row()))
+    assert np.allclose(found[0], found[1], rtol=1e-5) and np.allclose(found[0], found[2], rtol=1e-5)
+
+
+def test_lm_symbols_travel_packed():
+    """Packed symbols come back as they were, from slices too; words are counted by text."""
+    for most in (10, 70_000):
+        model = contextmix.Model(["x"], np.zeros(most), np.zeros(most))
+        s, begins = np.array([1, 5, most - 1, 1, 1], np.int32), np.array([0, 1, 4])
+        packed = model.packed(s, begins)
+        got, at = model.unpacked(packed)
+        assert got.tolist() == s.tolist() and at.tolist() == [0, 1, 4]
+        got, at = model.unpacked(packed.slice(1, 2))
+        assert got.tolist() == s[1:].tolist() and at.tolist() == [0, 3]
+    held = contextmix._per_text(pa.array(["a", "b", "a", "b"]), np.array([3, 0, 1])).to_pylist()
+    assert [sorted((x["word"], x["n"]) for x in t) for t in held] == [[("a", 2), ("b", 1)], [], [("b", 1)]]
+    assert contextmix._per_text(pa.array([], pa.string()), np.array([0, 0])).to_pylist() == [[], []]
