@@ -389,7 +389,8 @@ def _in_parts(tables: np.ndarray) -> Iterator[pd.DataFrame]:
             if t.any():
                 kind = next(x for x in ("<u1", "<u2", "<u4") if t.max() <= np.iinfo(x).max)
                 rows.append((k, p, kind, pack(t.astype(kind).tobytes())))
-        yield pd.DataFrame(rows, columns=["k", "part", "kind", "counts"])
+        if rows:  # a frame without rows has columns of no type
+            yield pd.DataFrame(rows, columns=["k", "part", "kind", "counts"])
 
 
 def _added(parts: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -620,7 +621,8 @@ def score(docs: DataFrame, learn: str, keep: list[str]) -> DataFrame:
     kept = T.StructType([rows.schema[c] for c in ("id", "row", "n_tokens", "known", "n_bytes", "base")] + [T.StructField("mixed", T.DoubleType())])
     scored = rows.select(*kept.names[:-1], "symbols").mapInArrow(mix, kept)
     odd = rows.select("id", F.explode("odd").alias("odd")).select("id", "odd.word", "odd.n")
-    met = odd.join(rare_scored, "word")
+    #: Each rare word is one row there, so a partition of it is small enough to be looked up unsorted.
+    met = odd.join(rare_scored.hint("shuffle_hash"), "word")
     more = met.groupBy(F.col("id").alias("of")).agg(
         F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known2"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / below)).alias("base2"),

@@ -374,3 +374,9 @@ def test_lm_symbols_travel_packed():
     held = contextmix._per_text(pa.array(["a", "b", "a", "b"]), np.array([3, 0, 1])).to_pylist()
     assert [sorted((x["word"], x["n"]) for x in t) for t in held] == [[("a", 2), ("b", 1)], [], [("b", 1)]]
     assert contextmix._per_text(pa.array([], pa.string()), np.array([0, 0])).to_pylist() == [[], []]
+
+
+def test_lm_looks_rare_words_up_unsorted(spark, capsys):
+    docs = docs_of(spark, [f"a b w{i}" for i in range(9)]).withColumn("learn", F.lit(True))
+    contextmix.score(docs, "learn", ["doc_id"]).explain()
+    assert "ShuffledHashJoin [word" in capsys.readouterr().out
