@@ -4,6 +4,9 @@
 one isn't written. ``pieces`` gives each file's bytes as rows (recording_id, place, content): one row of
 heads and one for every block of samples. ``write`` hands them to a data source writer that stages a file
 per recording and moves it (or a folder of new ones) into place on commit, so that a lost task or a failed job leaves no half file.
+
+Tables of a row a recording or channel are met by merge joins: in Parquet millions of them are small enough that Spark would
+broadcast them, and the driver would hold them all.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ def _held(samples: DataFrame, channels: DataFrame) -> DataFrame:
         F.when(kind.isin("i8", "u8", "i16"), whole(-32_768, 32_767)).when(kind.isin("u16", "i32"), whole(-2_147_483_648, 2_147_483_647))
         .when(kind == "f32", (v.cast("float").cast("double") == v) & (F.abs(v) < float("inf")) & ~F.isnan(v)).otherwise(True)
     )
-    met = samples.join(channels.select("recording_id", "channel_idx", "sample_type"), ["recording_id", "channel_idx"])
+    met = samples.join(channels.select("recording_id", "channel_idx", "sample_type").hint("merge"), ["recording_id", "channel_idx"])
     return met.groupBy("recording_id", "channel_idx").agg(F.count(F.lit(1)).alias("n"), F.max("local_idx").alias("last"), F.min("local_idx").alias("least"), F.count_if(~F.coalesce(kept, F.lit(False))).alias("lossy"))
 
 
@@ -70,7 +73,7 @@ def refusals(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identit
     timed = chunks.withColumn("_gap", (F.col("time_base_ns") != expected).cast("int")).groupBy(*by).agg(
         F.min("sample_period_ns").alias("period"), F.max("sample_period_ns").alias("longest"), F.coalesce(F.max("_gap"), F.lit(0)).alias("gap"), F.sum("sample_count").alias("told"),
     )
-    seen = channels.select(*by, "name", "unit", "sample_type").join(_held(samples, channels), by).join(timed, by, "left")
+    seen = channels.select(*by, "name", "unit", "sample_type").join(_held(samples, channels).hint("merge"), by).join(timed.hint("merge"), by, "left")
     second = 1_000_000_000
     rules = [
         ("ldwrite.no_clock", F.coalesce(F.col("period") <= 0, F.lit(True))), ("ldwrite.mixed_periods", F.col("period") != F.col("longest")), ("ldwrite.frequency", (F.col("period") > 0) & ((second % F.greatest("period", F.lit(1)) != 0) | (F.col("period") > second) | (second / F.greatest("period", F.lit(1)) > 65_535))),
@@ -81,7 +84,7 @@ def refusals(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identit
     told = seen.select("recording_id", F.col("name").alias("channel"), F.explode(found).alias("code"), F.col("lossy").cast("string").alias("message"))
     told = told.withColumn("message", F.when(F.col("code") == "ldwrite.value", F.concat("message", F.lit(" values would change"))).otherwise(F.lit("")))
     none = F.lit(None).cast("string")
-    empty = channels.select("recording_id").union(identity.select("recording_id")).distinct().join(seen.select("recording_id").distinct(), "recording_id", "left_anti").select("recording_id", none.alias("channel"), F.lit("ldwrite.empty").alias("code"), F.lit("").alias("message"))
+    empty = channels.select("recording_id").union(identity.select("recording_id")).distinct().join(seen.select("recording_id").distinct().hint("merge"), "recording_id", "left_anti").select("recording_id", none.alias("channel"), F.lit("ldwrite.empty").alias("code"), F.lit("").alias("message"))
     widths = F.create_map(*[F.lit(x) for k, (_, n, _) in ENCODED.items() for x in (k, n)])
     size = seen.groupBy("recording_id").agg(F.sum(F.col("n") * F.try_element_at(widths, F.col("sample_type")) + BLOCK_BYTES).alias("bytes")).where(F.col("bytes") + CHANNELS_AT > 4_294_967_295)
     large = size.select("recording_id", none.alias("channel"), F.lit("ldwrite.too_large").alias("code"), F.col("bytes").cast("string").alias("message"))
@@ -129,12 +132,12 @@ def pieces(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identity:
     counted = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     period = chunks.groupBy(*by).agg(F.min("sample_period_ns").alias("period"))
     widths = F.create_map(*[F.lit(x) for k, (_, n, _) in ENCODED.items() for x in (k, n)])
-    own = channels.select(*by, "name", "unit", "sample_type").join(counted, by).join(period, by).join(bad, "recording_id", "left_anti").withColumn("width", F.element_at(widths, F.col("sample_type")))
+    own = channels.select(*by, "name", "unit", "sample_type").join(counted.hint("merge"), by).join(period.hint("merge"), by).join(bad.hint("merge"), "recording_id", "left_anti").withColumn("width", F.element_at(widths, F.col("sample_type")))
     whole, upto = Window.partitionBy("recording_id"), Window.partitionBy("recording_id").orderBy("channel_idx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.lit(CHANNELS_AT) + BLOCK_BYTES * F.count(F.lit(1)).over(whole)
     placed = own.withColumn("place", start + F.coalesce(F.sum(F.col("n") * F.col("width")).over(upto), F.lit(0)))
     texts = [c for c in TEXTS if c in identity.columns]
-    heads = placed.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("channel_idx", "name", "unit", "sample_type", "n", "period", "place"))).alias("channels")).join(identity.select("recording_id", F.struct(F.lit(0).alias("_"), *texts).alias("texts")), "recording_id", "left")
+    heads = placed.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("channel_idx", "name", "unit", "sample_type", "n", "period", "place"))).alias("channels")).join(identity.select("recording_id", F.struct(F.lit(0).alias("_"), *texts).alias("texts")).hint("merge"), "recording_id", "left")
 
     def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -146,7 +149,7 @@ def pieces(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identity:
             yield pd.DataFrame({"recording_id": b["recording_id"], "place": b["place"] + b["least"] * b["width"], "content": content})
 
     blocks = samples.select(*by, "local_idx", "value").groupBy(*by, F.floor(F.col("local_idx") / BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("local_idx", "value"))).alias("v"), F.min("local_idx").alias("least"))
-    dealt = blocks.join(placed.select(*by, "sample_type", "width", "place"), by).select("recording_id", "sample_type", "width", "place", "least", F.col("v.value").alias("values"))
+    dealt = blocks.join(placed.select(*by, "sample_type", "width", "place").hint("merge"), by).select("recording_id", "sample_type", "width", "place", "least", F.col("v.value").alias("values"))
     return heads.mapInPandas(head, PIECES).unionByName(dealt.mapInPandas(block, PIECES))
 
 

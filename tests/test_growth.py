@@ -58,6 +58,23 @@ def test_logs_are_moved_by_folders(spark, tmp_path):
     assert size(50) == size(1)
 
 
+def test_recordings_to_write_are_not_broadcast(spark, tmp_path):
+    def stored(table, **columns):
+        spark.range(20).select(F.col("id").cast("string").alias("recording_id"), *[v.alias(k) for k, v in columns.items()]).write.parquet(f"{tmp_path}/{table}")
+        return spark.read.parquet(f"{tmp_path}/{table}")
+
+    none, one = F.lit(0), F.lit(1).cast("long")
+    channels = stored("channels", channel_idx=none, name=F.lit("Speed"), unit=F.lit(""), sample_type=F.lit("u8"))
+    chunks = stored("chunks", channel_idx=none, chunk_idx=none, sample_period_ns=F.lit(10_000_000).cast("long"), sample_count=one, time_base_ns=F.lit(0).cast("long"))
+    samples = stored("samples", channel_idx=none, local_idx=F.lit(0).cast("long"), value=F.col("id").cast("double"))
+    held = channels, chunks, samples, stored("identity", driver=F.when(F.col("id") == 3, "€").otherwise("Zoë"))
+    refused, laid_out = ldwrite.refusals(*held), ldwrite.pieces(*held)
+    assert [r["recording_id"] for r in refused.collect()] == ["3"]
+    assert {r["recording_id"] for r in laid_out.collect()} == {str(i) for i in range(20)} - {"3"}
+    for df in (refused, laid_out):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_times_of_values_are_parsed_once(spark):
     parses = lambda c: str(c).count("regexp_extract")
     assert parses(sidecar.meta_values(F.col("line"))) == parses(timespan.parse_ms(F.col("x"))) > 0
