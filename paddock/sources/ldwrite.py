@@ -6,7 +6,8 @@ heads and one for every block of samples. ``write`` hands them to a data source
 per recording and moves it (or a folder of new ones) into place on commit, so that a lost task or a failed job leaves no half file.
 
 Tables of a row a recording or channel are met by merge joins: in Parquet millions of them are small enough that Spark would
-broadcast them, and the driver would hold them all.
+broadcast them, and the driver would hold them all. Those that are used more than once are written, as a plan that repeats them
+has some fifty exchanges, after each of which the driver plans anew.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from paddock.session import ship, spread
+from paddock.session import materialize, ship, spread
 from paddock.sources.ld import BLOCK_BYTES, MAGIC
 
 # Sizes and places of the blocks before the channels, and capacities of texts, their end included.
@@ -73,7 +74,7 @@ def refusals(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identit
     timed = chunks.withColumn("_gap", (F.col("time_base_ns") != expected).cast("int")).groupBy(*by).agg(
         F.min("sample_period_ns").alias("period"), F.max("sample_period_ns").alias("longest"), F.coalesce(F.max("_gap"), F.lit(0)).alias("gap"), F.sum("sample_count").alias("told"),
     )
-    seen = channels.select(*by, "name", "unit", "sample_type").join(_held(samples, channels).hint("merge"), by).join(timed.hint("merge"), by, "left")
+    seen = materialize(channels.select(*by, "name", "unit", "sample_type").join(_held(samples, channels).hint("merge"), by).join(timed.hint("merge"), by, "left"))
     second = 1_000_000_000
     rules = [
         ("ldwrite.no_clock", F.coalesce(F.col("period") <= 0, F.lit(True))), ("ldwrite.mixed_periods", F.col("period") != F.col("longest")), ("ldwrite.frequency", (F.col("period") > 0) & ((second % F.greatest("period", F.lit(1)) != 0) | (F.col("period") > second) | (second / F.greatest("period", F.lit(1)) > 65_535))),
@@ -135,7 +136,7 @@ def pieces(channels: DataFrame, chunks: DataFrame, samples: DataFrame, identity:
     own = channels.select(*by, "name", "unit", "sample_type").join(counted.hint("merge"), by).join(period.hint("merge"), by).join(bad.hint("merge"), "recording_id", "left_anti").withColumn("width", F.element_at(widths, F.col("sample_type")))
     whole, upto = Window.partitionBy("recording_id"), Window.partitionBy("recording_id").orderBy("channel_idx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.lit(CHANNELS_AT) + BLOCK_BYTES * F.count(F.lit(1)).over(whole)
-    placed = own.withColumn("place", start + F.coalesce(F.sum(F.col("n") * F.col("width")).over(upto), F.lit(0)))
+    placed = materialize(own.withColumn("place", start + F.coalesce(F.sum(F.col("n") * F.col("width")).over(upto), F.lit(0))))
     texts = [c for c in TEXTS if c in identity.columns]
     heads = placed.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("channel_idx", "name", "unit", "sample_type", "n", "period", "place"))).alias("channels")).join(identity.select("recording_id", F.struct(F.lit(0).alias("_"), *texts).alias("texts")).hint("merge"), "recording_id", "left")
 
